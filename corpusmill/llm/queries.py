@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from . import chat_rotation, host_rules, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perspectives(spark, sf_dir):
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_host_rules(spark, sf_dir):
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_url_trees(spark, sf_dir):
+    return url_gbt.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_host_rules,)}
+    return {f.__name__: f for f in (op1_perspectives, op8_host_rules, op10_url_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_host_rules": host_rules.ORACLE_SQL}
+    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL}
