@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, host_rules, url_gbt
+from . import chat_rotation, host_rules, superminhash, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -13,6 +13,10 @@ def op1_perspectives(spark, sf_dir):
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op3_superminhash(spark, sf_dir):
+    return superminhash.group_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op8_host_rules(spark, sf_dir):
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
 
@@ -22,8 +26,8 @@ def op10_url_trees(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op8_host_rules, op10_url_trees)}
+    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op8_host_rules, op10_url_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL}
+    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL}
