@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, host_rules, superminhash, url_gbt
+from pyspark.sql import functions as F
+
+from . import chat_rotation, decontamination, host_rules, suffix_dedup, superminhash, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -17,17 +19,27 @@ def op3_superminhash(spark, sf_dir):
     return superminhash.group_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_column_suffixes(spark, sf_dir):
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_host_rules(spark, sf_dir):
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_containment(spark, sf_dir):
+    found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.transform("items", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", (F.col("share") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), ids.alias("item_ids"), F.col("share").alias("containment"))
+
+
 def op10_url_trees(spark, sf_dir):
     return url_gbt.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op8_host_rules, op10_url_trees)}
+    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op6_column_suffixes, op8_host_rules, op9_containment, op10_url_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL}
+    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL, "op9_containment": decontamination.ORACLE_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Spark frees shuffle files when the driver's JVM collects its garbage, which may be long after their last use."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *labels: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for label in labels:
