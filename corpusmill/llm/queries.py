@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontamination, host_rules, suffix_dedup, superminhash, url_gbt
+from . import chat_rotation, decontamination, host_rules, ppm, suffix_dedup, superminhash, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -23,6 +23,10 @@ def op6_column_suffixes(spark, sf_dir):
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_ppm(spark, sf_dir):
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_host_rules(spark, sf_dir):
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_url_trees(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op6_column_suffixes, op8_host_rules, op9_containment, op10_url_trees)}
+    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -116,3 +116,44 @@ def text_shingles(h: np.ndarray, all_shingles: np.ndarray, first: int, last: int
     if last - first >= k:
         return np.unique(all_shingles[first : last - k + 1])
     return shingles(h[first:last], last - first) if last > first else np.zeros(0, U)
+
+
+class Lookup:
+    """Positions of 64-bit keys in a table, found for whole arrays at once: open addressing with linear probing."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = np.ascontiguousarray(keys, np.uint64)
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.key, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]  # of several for one slot the last stays
+            self.key[slot[free]] = keys[left[free]]
+            lost = self.at[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * GOLDEN) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the table's array, or -1."""
+        slot = self._slot(keys)
+        out, hit = self.at[slot], self.key[slot] == keys
+        more = np.flatnonzero(~hit & (out >= 0))
+        out[~hit] = -1
+        slot = slot[more]
+        while len(more):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            at, hit = self.at[slot], self.key[slot] == keys[more]
+            out[more[hit & (at >= 0)]] = at[hit & (at >= 0)]
+            go = ~hit & (at >= 0)
+            more, slot = more[go], slot[go]
+        return out
+
+
+def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of (keys, counts) pairs, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
