@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontamination, host_rules, ppm, suffix_dedup, superminhash, url_gbt
+from . import chat_rotation, decontamination, host_rules, merge_dropout, ppm, suffix_dedup, superminhash, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -19,6 +19,11 @@ def op3_superminhash(spark, sf_dir):
     return superminhash.group_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_merge_dropout(spark, sf_dir):
+    encoded = merge_dropout.encode(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
+
+
 def op6_column_suffixes(spark, sf_dir):
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_url_trees(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
+    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op4_merge_dropout, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
