@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontamination, host_rules, merge_dropout, ppm, suffix_dedup, superminhash, url_gbt
+from . import chat_rotation, decontamination, host_rules, langid, merge_dropout, ppm, suffix_dedup, superminhash, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -24,6 +24,10 @@ def op4_merge_dropout(spark, sf_dir):
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
+def op5_viterbi_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"), spans=False)
+
+
 def op6_column_suffixes(spark, sf_dir):
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_url_trees(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op4_merge_dropout, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
+    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op4_merge_dropout, op5_viterbi_langid, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
