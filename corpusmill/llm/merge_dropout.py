@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 VARIANTS = 8
 WIDE = 64
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 NEVER = np.int32(2**31 - 1)
 U = np.uint64
 
@@ -64,7 +64,9 @@ class Vocabulary:
         single = {p.encode(): i for p, i in ids.items() if len(p) == 1 and p != SPACE}
         self.chars = tv.Lookup(np.array([int.from_bytes(c, "big") + (len(c) << 40) for c in single], U))
         self.char_id = np.array(list(single.values()), np.int32)
-        self.space_id = ids[SPACE]
+        self.one_byte = self.byte_id.copy()
+        self.one_byte[[ord(p) for p in ids if len(p) == 1 and ord(p) < 0x80]] = [i for p, i in ids.items() if len(p) == 1 and ord(p) < 0x80]
+        self.one_byte[0x20] = ids[SPACE]
 
 
 @lru_cache(maxsize=2)
@@ -74,22 +76,19 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 def symbols(v: Vocabulary, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first piece ids, the byte each begins at): a known character is one symbol, the bytes of others one each."""
-    n = len(data)
-    size = np.where(data < 0x80, 1, np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 0))))
-    lead = np.flatnonzero(size)
-    packed = np.zeros(len(lead), U)
-    wide = np.append(data, np.zeros(4, np.uint8)).astype(U)
-    for k in range(1, 5):
-        rows = size[lead] >= k
-        packed[rows] = (packed[rows] << U(8)) | wide[lead[rows] + k - 1]
-    found = v.chars.find(packed + (size[lead].astype(U) << U(40)))
-    ids = v.byte_id[data]
-    begins = np.ones(n, bool)
+    ids, begins = v.one_byte[data], np.ones(len(data), bool)
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    packed = data[lead].astype(U)
+    wide = np.append(data, np.zeros(4, np.uint8))
+    for k in range(1, 4):
+        rows = size > k
+        packed[rows] = (packed[rows] << U(8)) | wide[lead[rows] + k]
+    found = v.chars.find(packed + (size.astype(U) << U(40)))
     known = found >= 0
     ids[lead[known]] = v.char_id[found[known]]
     for k in range(1, 4):
-        begins[lead[known & (size[lead] > k)] + k] = False
-    ids[data == 0x20] = v.space_id
+        begins[lead[known & (size > k)] + k] = False
     at = np.flatnonzero(begins)
     return ids[at], at
 
@@ -141,11 +140,10 @@ def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.nda
         nxt[rows, c], end[rows, c] = after, end[rows, right]
         inner = after < width
         prv[rows[inner], after[inner]] = c[inner]
-        ask(rows, c)
         before = prv[rows, c].astype(np.int64)
         has = before >= 0
         best[rows[has], before[has]] = NEVER
-        ask(rows[has], before[has])
+        ask(np.concatenate([rows, rows[has]]), np.concatenate([c, before[has]]))
     return ids[alive], alive.sum(axis=1)
 
 
@@ -213,7 +211,7 @@ def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_keys:
     sizes = np.diff(begins)
     counts, parts = np.zeros(len(key), np.int64), []
     order = []
-    for low, high in ((0, 4), (4, 8), (8, 16), (16, 32), (32, WIDE)):
+    for low, high in ((0, 3), (3, 5), (5, 7), (7, 9), (9, 12), (12, 16), (16, 32), (32, WIDE)):
         rows = np.flatnonzero((sizes > low) & (sizes <= high))
         if len(rows):
             grid = np.zeros((len(rows), high), np.int32)

@@ -139,9 +139,9 @@ class Lookup:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key in the table's array, or -1."""
         slot = self._slot(keys)
-        out, hit = self.at[slot], self.key[slot] == keys
-        more = np.flatnonzero(~hit & (out >= 0))
-        out[~hit] = -1
+        out, miss = self.at[slot], self.key[slot] != keys
+        more = np.flatnonzero(miss & (out >= 0))
+        out[miss] = -1
         slot = slot[more]
         while len(more):
             slot = (slot + 1) & ((1 << self.bits) - 1)
