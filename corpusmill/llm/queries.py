@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontamination, host_rules, langid, merge_dropout, ppm, suffix_dedup, superminhash, url_gbt
+from . import chat_rotation, cotraining, decontamination, host_rules, langid, merge_dropout, ppm, suffix_dedup, superminhash, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -15,6 +15,10 @@ def op1_perspectives(spark, sf_dir):
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op2_cotraining(spark, sf_dir):
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def op3_superminhash(spark, sf_dir):
     return superminhash.group_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -51,7 +55,7 @@ def op10_url_trees(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op3_superminhash, op4_merge_dropout, op5_viterbi_langid, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
+    return {f.__name__: f for f in (op1_perspectives, op2_cotraining, op3_superminhash, op4_merge_dropout, op5_viterbi_langid, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -67,11 +67,11 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         a = min(b, n)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words [^\\x20\\x09-\\x0D]+, which never cross texts, and the first word of each text (one more entry
-    for the end). data begins at offsets[0]."""
+    for the end). data begins at offsets[0]. separator: another table of the bytes between words."""
     at = offsets - offsets[0]
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     before = np.empty_like(inside)
     before[:1], before[1:] = False, inside[:-1]
     edges = at[:-1][at[:-1] < len(data)]
