@@ -20,7 +20,7 @@ def op2_cotraining(spark, sf_dir):
 
 
 def op3_superminhash(spark, sf_dir):
-    return superminhash.group_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return superminhash.group_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("th")
 
 
 def op4_merge_dropout(spark, sf_dir):

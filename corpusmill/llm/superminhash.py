@@ -191,7 +191,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def group_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept. Documents are linked where 100 * intersection >= percent * union."""
+    """doc_id, th (xxhash64 of the text), n_shingles, component_id, kept. Documents are linked where 100 * intersection >=
+    percent * union."""
     scratch = Scratch(docs.sparkSession, "superminhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands = bands_for(percent / 100)
@@ -223,9 +224,24 @@ def group_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 8
     least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = scratch.save(classes.join(least, "label").select("node", "component_id"), "of_node")
     scratch.drop("texts", "star", "pairs", "nodes")
-    out = signed.select("doc_id", "n", "node").join(of_node, "node", "left")
+    out = signed.select("doc_id", "th", "n", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents, all columns, with one of each group: the least id, and of rows that repeat id and text one."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    scratch = Scratch(docs.sparkSession, "superminhash")
+    groups = scratch.save(group_near_duplicates(docs, **options).select("doc_id", "th", "kept", "n_shingles"), "groups")
+    same = lambda t: docs[id_col].cast("long").eqNullSafe(t["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == t["_th"])
+    named = groups.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"), F.max("n_shingles").alias("n"))
+    dropped = scratch.save(named.where("not kept").select("_id", "_th"), "dropped")
+    twice = scratch.save(named.where("kept and rows > 1 and n > 0").select("_id", "_th"), "twice")
+    left = docs.join(dropped, same(dropped), "left_anti")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def _rest(star: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
