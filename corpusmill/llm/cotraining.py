@@ -7,8 +7,8 @@ neither is fitted to, and each gives the pool documents that it is surest of to
 a logistic combination of both calibrated views, fitted to the calibration labels, scores all documents.
 
 A document is good where quality is 1 and toxic is not 1. Fitting sees at most MAX_LABELLED labelled documents and MAX_POOL
-others, by order of a hash of the id; both are parameters. Scoring sees all documents, whole. What goes to the driver is the
-features of these samples, what comes back is two weight vectors of fixed size.
+others, by order of a hash of the id; both are parameters. One task fits the views to the features of these samples; what it
+sends to the driver, and the driver to the scorers, are weight vectors of fixed size. Scoring sees all documents, whole.
 
 Defined cases: null text is empty; null source or language is a value of its own; labels of a document that disagree count as
 bad if any is bad; null labels are ignored; without labels of both kinds every document has the share of good labels as its
@@ -18,6 +18,7 @@ score (1 without labels); repeated rows each get a row; other columns of the inp
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +197,18 @@ def co_train(sample: Sample, labelled: np.ndarray, y: np.ndarray, pool: np.ndarr
     return views["content"], views["meta"], logistic(both, test_y)
 
 
+def _fit(batches):
+    """The fitted views, pickled; null where the labels are of one kind. The sample's rows come in the order of a hash."""
+    batches = list(batches)
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches).to_pandas().drop_duplicates("doc_id").reset_index(drop=True)
+    y = rows["y"].to_numpy(float)
+    labelled, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
+    fitted = pickle.dumps(co_train(Sample(rows), labelled, y[labelled], pool)) if len(set(y[labelled])) == 2 else None
+    yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], ["model"])
+
+
 def _score(model):
     def run(batches):
         content, meta, both = model.value
@@ -227,15 +240,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     others = ids.join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).withColumn("y", F.lit(None).cast("double"))
     chosen = scratch.save(chosen.union(others), "chosen")
     features = source.drop("th").join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(_features, "doc_id long, h1 long, h2 long, bucket array<int>, content array<float>, meta array<float>")
-    rows = scratch.save(features, "features").join(F.broadcast(chosen), "doc_id").orderBy(*by_hash).toPandas()
-    rows = rows.drop_duplicates("doc_id").reset_index(drop=True)
-    y = rows["y"].to_numpy(float)
-    labelled, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
+    sample = scratch.save(features.join(F.broadcast(chosen), "doc_id").withColumn("at", F.xxhash64("doc_id")), "features")
+    fitted = sample.repartition(1).sortWithinPartitions("at", "doc_id").mapInArrow(_fit, "model binary").first()
+    fitted = fitted and fitted[0]
     kinds = known.agg(F.avg("y")).first()[0]
-    if len(set(y[labelled])) < 2:
+    if fitted is None:
         p = F.lit(1.0 if kinds is None else float(kinds))
         return source.select("doc_id", "th", p.alias("content_score"), p.alias("meta_score"), p.alias("quality"), (p >= threshold).alias("kept"))
-    model = spark.sparkContext.broadcast(co_train(Sample(rows), labelled, y[labelled], pool))
+    model = spark.sparkContext.broadcast(pickle.loads(fitted))
     scored = source.mapInArrow(_score(model), "doc_id long, th long, content_score double, meta_score double, quality double")
     return scored.withColumn("kept", F.col("quality") >= threshold)
 
