@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, social  # noqa: F401
+from . import base, retrieval, social  # noqa: F401
 
 
 def queries() -> dict:
