@@ -232,9 +232,10 @@ def repeated_intervals(source: DataFrame, length: int, scratch: Scratch, group:
     widths = [w for w in WIDTHS if w < length]
     for level in range(len(widths) + 1):
         runs = scratch.save(runs, f"runs-{level}")
-        shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        shared = scratch.save(runs.join(shared, "key"), f"shared-{level}")
-        scratch.drop(f"runs-{level}")
+        # Sums are written before they are joined: only joins of two plain exchanges have their skewed partitions split.
+        keys = scratch.save(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"keys-{level}")
+        shared = scratch.save(runs.join(keys, "key"), f"shared-{level}")
+        scratch.drop(f"runs-{level}", f"keys-{level}")
         scratch.release()
         cells = shared.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "run")).alias("one"))
         cells = scratch.save(cells.select("key", "digest", "n", "one.ref", "one.run"), f"cells-{level}")
@@ -245,7 +246,7 @@ def repeated_intervals(source: DataFrame, length: int, scratch: Scratch, group:
         covers = whole if covers is None else covers.union(whole)
         if level == len(widths):
             return covers
-        mixed = cells.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+        mixed = scratch.save(cells.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), f"mixed-{level}")
         left = scratch.save(cells.join(mixed, "key").select("key", "ref", "run", (F.col("n") == 1).alias("single"), (F.col("texts") > group).alias("large")), f"left-{level}")
         small = _with_runs(source, left.where("not large").select("key", "ref", "run", "single"))
         frames = small.mapInArrow(fragments, "key long, single boolean, ref long, run long, text binary")
