@@ -202,12 +202,13 @@ def group_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 8
     nodes = scratch.save(nodes.select("node", "rep.doc_id", "rep.th", "n", "bands"), "nodes")
 
     met = nodes.select("node", F.explode("bands").alias("key"))
-    full = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Sums are written before they are joined: only joins of two plain exchanges have their skewed partitions split.
+    full = scratch.save(met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
     met = scratch.save(met.join(full, "key"), "met")
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
-    best = met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best")).select("key", F.col("best.node").alias("pivot"))
+    best = scratch.save(met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best")).select("key", F.col("best.node").alias("pivot")), "best")
     pairs = scratch.save(met.join(best, "key").where("node != pivot").select("pivot", "node").distinct(), "pairs")
-    scratch.drop("met")
+    scratch.drop("met", "full", "best")
 
     needed = pairs.select("node").union(pairs.select("pivot")).distinct()
     where = nodes.join(needed, "node", "left_semi").select("node", "doc_id", "th")
@@ -248,7 +249,7 @@ def _rest(star: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, per
     """Links among a pivot's members of which at least one is not linked to the pivot itself."""
     members = star.select("pivot", "node", "linked", (1 - F.col("inter") / F.col("union")).alias("d")).join(nodes.select("node", "n"), "node")
     open_ = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum((~F.col("linked")).cast("int")).alias("outside"), F.sum("n").alias("total"))
-    open_ = open_.where("outside > 0 and members > 1").select("pivot", "total")
+    open_ = scratch.save(open_.where("outside > 0 and members > 1").select("pivot", "total"), "open")
     step = 1.95 / (1 - percent / 100) if percent < 100 else 1.0  # distances that may link differ by less than two steps
     members = members.join(open_, "pivot").withColumn("cut", F.when(F.col("total") <= BLOCK, 0).otherwise(F.floor(F.col("d") * step)).cast("int"))
     cuts = members.groupBy("pivot", "cut").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("subs"), F.min("linked").alias("all_linked"))
