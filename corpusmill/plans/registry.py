@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, evaluation, retrieval, social  # noqa: F401
+from . import base, evaluation, lifecycle, retrieval, social, text  # noqa: F401
 
 
 def queries() -> dict:

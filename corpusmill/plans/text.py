@@ -1,0 +1,237 @@
+"""Text, page and chunk queries over documents, pages and lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import scalars as S, text as X
+from ..operators import chunking as K
+from ..sources import html as H
+from .base import query, table
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
+
+
+@query("word_counts", f"SELECT doc_id, len({WORDS}) AS words, length(text) AS chars FROM documents")
+def word_counts(spark, d):
+    return docs(spark, d).select("doc_id", S.word_count(F.col("text")).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
+
+
+@query("chunk_words_400_50", f"""SELECT doc_id, i // 350 AS k, array_to_string(w[i + 1:i + 400], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, len(w), 350)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents)) WHERE len(w[i + 1:i + 400]) >= 60""")
+def chunk_words_400_50(spark, d):
+    w = S.words(F.col("text"))
+    return docs(spark, d).select("doc_id", F.posexplode(K.windows(w, 400, 350, 60)).alias("k", "chunk")).withColumn("k", F.col("k").cast("long"))
+
+
+@query("chunk_sentences")
+def chunk_sentences(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(K.word_chunks(F.col("text"), 120, 10, 20)).alias("k", "chunk"))
+
+
+@query("chunk_paragraph_fold")
+def chunk_paragraph_fold(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(K.paragraph_chunks(F.col("text"), 200, 120, 20, split="\\n")).alias("k", "chunk"))
+
+
+@query("chunk_chars")
+def chunk_chars(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(K.char_chunks(F.col("text"), 800, 100)).alias("k", "chunk"))
+
+
+LINES = "SELECT doc_id, unnest(range(len(l))) AS seq, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+
+
+def lines(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\\n")).alias("seq", "text"))
+
+
+@query("chunk_numbering", f"SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_total FROM ({LINES})")
+def chunk_numbering(spark, d):
+    return K.numbered(lines(spark, d)).select("doc_id", "seq", "chunk_index", "chunk_total")
+
+
+@query("recommendation_ids", f"SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN 'R' || sum((seq % 3 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY seq) END AS recommendation_id FROM ({LINES})")
+def recommendation_ids(spark, d):
+    typed = lines(spark, d).withColumn("chunk_type", F.when(F.col("seq") % 3 == 0, "recommendation").otherwise("background"))
+    return K.recommendation_ids(typed).select("doc_id", "seq", "recommendation_id")
+
+
+@query("section_fill_forward", f"""WITH l AS ({LINES}), s AS (SELECT *, length(text) < 40 AS h FROM l), n AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY seq) AS section FROM s)
+SELECT doc_id, section::BIGINT AS section, max(text) FILTER (WHERE h) AS heading, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE NOT h), '') AS text FROM n GROUP BY doc_id, section""")
+def section_fill_forward(spark, d):
+    return K.filled_sections(lines(spark, d).withColumn("is_heading", F.length("text") < 40)).withColumn("section", F.col("section").cast("long"))
+
+
+@query("heading_breadcrumbs")
+def heading_breadcrumbs(spark, d):
+    heads = lines(spark, d).select("doc_id", "seq", (1 + F.length("text") % 3).alias("level"), F.substring("text", 1, 12).alias("heading"))
+    return K.breadcrumbs(heads, 3)
+
+
+@query("recommendation_segments")
+def recommendation_segments(spark, d):
+    t = F.concat_ws(" ", F.col("text"), F.lit("We recommend this."), F.col("source"), F.lit("It is recommended too. (1B)"))
+    return docs(spark, d).select("doc_id", F.posexplode(K.segments(t)).alias("k", "s")).select("doc_id", "k", "s.is_match", "s.text")
+
+
+@query("detected_sections")
+def detected_sections(spark, d):
+    t = F.regexp_replace("text", "(?m)^(.{1,30})$", "## $1")
+    return docs(spark, d).select("doc_id", F.posexplode(K.sections(t, F.col("source"))).alias("k", "s")).select("doc_id", "k", "s.*")
+
+
+SIG = "['recommend','suggest','evidence','treatment','therapy','patient','clinical','diagnosis','monitor','dose','mg','risk','guideline','standard','protocol']"
+
+
+@query("confidence_score", f"""SELECT doc_id, round(0.5 * CASE WHEN n < 20 THEN 0.1 WHEN n < 50 THEN 0.5 WHEN n < 400 THEN 1.0 ELSE 0.8 END + 0.2 * CASE WHEN regexp_matches(rtrim(text, ' '), '[.!?):]$') THEN 1.0 ELSE 0.7 END
+ + 0.3 * least(1.0, len(list_filter({SIG}, lambda s: contains(lower(text), s))) / 3), 6)::DOUBLE AS confidence FROM (SELECT *, len({WORDS}) AS n FROM documents)""")
+def confidence_score(spark, d):
+    return docs(spark, d).select("doc_id", F.round(X.confidence(F.col("text"), S.word_count(F.col("text"))), 6).alias("confidence"))
+
+
+@query("chunk_type", """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'recommendation' WHEN item_id % 4 = 1 THEN 'monitoring' WHEN item_id % 4 = 2 THEN 'drug_dosing' ELSE 'background' END AS kind FROM benchmark""")
+def chunk_type(spark, d):
+    word = F.element_at(F.array(*map(F.lit, ["We recommend it", "Parameter", "mg/kg", "nothing"])), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", X.chunk_type(word, F.lit("")).alias("kind"))
+
+
+@query("grade_detect", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'strong' WHEN p_partkey % 3 = 1 THEN 'conditional' END AS strength, CASE WHEN p_partkey % 2 = 0 THEN 'moderate' ELSE 'low' END AS evidence FROM part""")
+def grade_detect(spark, d):
+    k = F.col("p_partkey")
+    t = F.concat(F.when(k % 3 == 0, "We recommend x; ").when(k % 3 == 1, "We suggest x; ").otherwise("x; "), F.when(k % 2 == 0, "moderate certainty").otherwise("very low certainty"))
+    return table(spark, d, "part").select("p_partkey", X.strength(t).alias("strength"), X.evidence(t).alias("evidence"))
+
+
+@query("recommendation_fields", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '1.2.' || p_partkey WHEN 1 THEN '9.3a' WHEN 2 THEN 'R12' END AS id, CASE p_partkey % 4 WHEN 0 THEN '1b' WHEN 1 THEN 'a' WHEN 3 THEN 'strong' END AS grade,
+ CASE p_partkey % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'strong' WHEN 3 THEN 'strong' END AS strength, CASE p_partkey % 4 WHEN 0 THEN 'moderate' WHEN 1 THEN 'high' END AS quality FROM part""")
+def recommendation_fields(spark, d):
+    k = F.col("p_partkey")
+    t = F.when(k % 4 == 0, F.concat(F.lit("1.2."), k.cast("string"), F.lit(" We recommend salt. (1B)"))).when(k % 4 == 1, "9.3a Use it A").when(k % 4 == 2, "R12: drink water").otherwise("Offer it [Strong] now")
+    rec = X.recommendation(t)
+    return table(spark, d, "part").select("p_partkey", rec["id"].alias("id"), rec["grade"].alias("grade"), X.grade(rec["grade"])["strength"].alias("strength"), X.grade(rec["grade"])["quality"].alias("quality"))
+
+
+@query("population_tags", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'adults' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '+pregnant' ELSE '' END AS tags FROM part")
+def population_tags(spark, d):
+    t = F.concat(F.when(F.col("p_size") > 25, "all adults, ").otherwise("adulthood "), F.when(F.col("p_size") % 2 == 0, "in Pregnancy").otherwise("pregnan"))
+    found = X.population_tags(t)
+    return table(spark, d, "part").select("p_partkey", F.concat(F.when(F.array_contains(found, "adults"), "adults").otherwise(""), F.when(F.array_contains(found, "pregnant"), "+pregnant").otherwise("")).alias("tags"))
+
+
+@query("geo_scope", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'east_africa' WHEN 1 THEN 'europe' ELSE 'global' END AS scope FROM nation")
+def geo_scope(spark, d):
+    t = F.when(F.col("n_nationkey") % 3 == 0, "Care in Kenya and Africa").when(F.col("n_nationkey") % 3 == 1, "European care").otherwise("Care")
+    return table(spark, d, "nation").select("n_nationkey", X.scope(t, F.lit("")).alias("scope"))
+
+
+@query("doc_classify", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'clinical_practice_guideline' WHEN 1 THEN 'exclude' WHEN 2 THEN 'randomized_controlled_trial' WHEN 3 THEN 'systematic_review' ELSE 'research_article' END AS type,
+ CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 5 END AS tier FROM orders""")
+def doc_classify(spark, d):
+    k = F.col("o_orderkey") % 5
+    types = F.when(k == 0, F.array(F.lit("Other"), F.lit("Practice Guideline"))).when(k == 1, F.array(F.lit("Editorial"))).otherwise(F.array().cast("array<string>"))
+    c = X.document_class(types, F.when(k == 2, "clinical-trial").otherwise(""), F.when(k == 3, "A Cochrane review of it").otherwise("Its biology"))
+    return table(spark, d, "orders").select("o_orderkey", c["type"].alias("type"), c["tier"].alias("tier"))
+
+
+@query("issuing_body", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'WHO' WHEN 1 THEN 'EULAR' ELSE s_name END AS body FROM supplier")
+def issuing_body(spark, d):
+    name = F.when(F.col("s_suppkey") % 3 == 0, "Those who care").when(F.col("s_suppkey") % 3 == 1, "EULAR board").otherwise(F.col("s_name"))
+    return table(spark, d, "supplier").select("s_suppkey", X.issuing_body(name).alias("body"))
+
+
+@query("sanitize_rows", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'recommendation' WHEN 1 THEN 'table' ELSE 'background' END AS chunk_type, CASE event_id % 4 WHEN 0 THEN 'infectious_disease' WHEN 1 THEN 'hiv' ELSE 'general_medicine' END AS domain,
+ least(3, greatest(1, event_id % 9))::BIGINT AS evidence_tier, CASE WHEN event_id % 300 + 1850 BETWEEN 1900 AND 2100 THEN event_id % 300 + 1850 END AS pub_year,
+ CASE event_id % 3 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2023-05-06' END AS date_published, CASE event_id % 2 WHEN 0 THEN 'strong' END AS grade_strength, CASE event_id % 2 WHEN 0 THEN 'A' END AS grade_symbol FROM events""")
+def sanitize_rows(spark, d):
+    i = F.col("event_id")
+    text = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i % len(v) + 1).cast("int"))
+    columns = {
+        "chunk_type": text("recommendation_statement", "table", "odd"), "document_type": F.lit("formulary"), "domain": text(" TB ", "hiv", "none", ""), "evidence_framework": F.lit("aha/acc"), "geographic_scope": F.lit("East Africa"),
+        "evidence_tier": (i % 9).cast("string"), "section_depth": F.lit("9"), "pub_year": (i % 300 + 1850).cast("string"), "date_published": text("2024", "2023-05-06", "May 2023"),
+        "grade_strength": text("Strong for", ""), "grade_symbol": F.lit("A"), "content_tokens": F.lit(0), "content": F.lit("a b"),
+    }
+    fixed = X.sanitized(columns)
+    return table(spark, d, "events").select("event_id", *[fixed[c].alias(c) for c in ("chunk_type", "domain", "evidence_tier", "pub_year", "date_published", "grade_strength", "grade_symbol")])
+
+
+@query("ocr_quality", "SELECT l_orderkey, CASE WHEN a / n >= 0.9 THEN 'clean' WHEN b / n >= 0.3 THEN 'ocr_low' WHEN a / n >= 0.5 THEN 'mixed' ELSE 'ocr_good' END AS quality FROM (SELECT l_orderkey, count(*) AS n, sum((l_returnflag = 'A')::INT) AS a, sum((l_returnflag = 'R')::INT) AS b FROM lineitem GROUP BY 1)")
+def ocr_quality(spark, d):
+    method = F.when(F.col("l_returnflag") == "A", "pymupdf").when(F.col("l_returnflag") == "R", "claude_low").otherwise("mistral_ocr")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(method).alias("m")).select("l_orderkey", X.ocr_quality(F.col("m")).alias("quality"))
+
+
+@query("metadata_gate", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN least(0.6, x) ELSE x END AS confidence, CASE WHEN raw >= 0.7 THEN 'metadata_extracted' ELSE 'metadata_review' END AS status FROM (SELECT o_orderkey, o_totalprice / 400000 AS raw, least(1.0, greatest(0.0, o_totalprice / 400000)) AS x FROM orders)")
+def metadata_gate(spark, d):
+    g = X.metadata_gate(F.col("o_totalprice") / 400000, F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")))
+    return table(spark, d, "orders").select("o_orderkey", g["confidence"].alias("confidence"), g["status"].alias("status"))
+
+
+@query("display_names", "SELECT c_custkey, coalesce(nullif(trim(concat_ws(' ', nullif(CASE WHEN c_custkey % 3 = 0 THEN 'Ann ' || c_custkey END, ''), nullif(CASE WHEN c_custkey % 2 = 0 THEN 'Lee' END, ''))), ''), nullif(CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey END, ''), 'New User') AS name FROM customer")
+def display_names(spark, d):
+    k = F.col("c_custkey")
+    first, last = F.when(k % 3 == 0, F.concat(F.lit("Ann "), k.cast("string"))), F.when(k % 2 == 0, "Lee")
+    mail = F.when(k % 5 == 0, F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org")))
+    return table(spark, d, "customer").select("c_custkey", S.first_present(F.trim(F.concat_ws(" ", first, last)), F.split_part(mail, F.lit("@"), F.lit(1)), F.lit("New User")).alias("name"))
+
+
+@query("name_backfill", "SELECT c_custkey, string_split(c_name, '#')[1] AS first_name, substr(c_name, position('#' IN c_name) + 1) AS last_name FROM customer")
+def name_backfill(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"), F.expr("substring(c_name, position('#' in c_name) + 1)").alias("last_name"))
+
+
+@query("content_hashes", "SELECT doc_id, sha256(text) AS content_hash, md5(text)[1:12] AS short_hash FROM documents")
+def content_hashes(spark, d):
+    return docs(spark, d).select("doc_id", S.content_id(F.col("text")).alias("content_hash"), F.substring(F.md5("text"), 1, 12).alias("short_hash"))
+
+
+@query("canonical_urls", "SELECT page_id, string_split(regexp_replace(lower(trim(url)), '/+$', ''), '#')[1] AS url FROM pages")
+def canonical_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", S.canonical_url(F.col("url")).alias("url"))
+
+
+@query("link_discovery", """SELECT page_id, len(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1), lambda h: string_split(string_split(h, '?')[1], '#')[1]))) AS n_links FROM pages""".replace("\\\\", "\\"))
+def link_discovery(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(H.links(F.col("html"))).cast("long").alias("n_links"))
+
+
+@query("js_rendered")
+def js_rendered(spark, d):
+    return table(spark, d, "pages").select("page_id", H.is_script_rendered(F.col("html")).alias("js_rendered"))
+
+
+@query("html_sections")
+def html_sections(spark, d):
+    return H.html_sections(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("title_case", "SELECT p_partkey, upper(p_name[1:1]) || substr(p_name, 2, position(' ' IN p_name) - 1) || upper(substr(p_name, position(' ' IN p_name) + 1, 1)) || substr(p_name, position(' ' IN p_name) + 2) AS title FROM part")
+def title_case(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.title_case(F.col("p_name")).alias("title"))
+
+
+@query("suggestion_grounding")
+def suggestion_grounding(spark, d):
+    s = F.concat(F.lit("What about the "), F.initcap(F.element_at(S.words(F.col("text")), 1)), F.lit(" of this one?"))
+    return table(spark, d, "benchmark").select("item_id", X.grounded(s, F.col("text")).alias("grounded"))
+
+
+@query("table_prose", "SELECT l_orderkey, 'key | part' || chr(10) || string_agg('key: ' || l_linenumber || '; part: ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey) AS prose FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+def table_prose(spark, d):
+    rows = table(spark, d, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("r"))
+    cells = F.transform("r", lambda x: F.array(x["l_linenumber"].cast("string"), x["l_partkey"].cast("string")))
+    return rows.select("l_orderkey", K.table_prose(F.concat(F.array(F.array(F.lit("key"), F.lit("part"))), cells)).alias("prose"))
+
+
+@query("font_headings", "SELECT count(*) AS n, sum((p_size >= 1.2 * u)::INT)::BIGINT AS headings FROM part JOIN (SELECT p_brand, min(s) AS u FROM (SELECT p_brand, p_size AS s, count(*) AS c, max(count(*)) OVER (PARTITION BY p_brand) AS m FROM part GROUP BY 1, 2) WHERE c = m GROUP BY 1 HAVING count(*) = 1) USING (p_brand)")
+def font_headings(spark, d):
+    """Brands with one commonest size only, as ties have no order."""
+    p = table(spark, d, "part")
+    counted = p.groupBy("p_brand", "p_size").count().withColumn("m", F.max("count").over(W.partitionBy("p_brand"))).where("count = m")
+    single = counted.groupBy("p_brand").count().where("count = 1").select("p_brand")
+    spans = p.join(single, "p_brand").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("size"), F.col("p_name").alias("text"))
+    return K.font_sections(spans).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_heading").cast("long")).alias("headings"))
