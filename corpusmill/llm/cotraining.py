@@ -28,8 +28,8 @@ from . import textvec as tv
 from .scratch import Scratch
 
 BITS = 18
-MAX_LABELLED = 8000
-MAX_POOL = 8000
+MAX_LABELLED = 5000
+MAX_POOL = 5000
 ROUNDS = 3
 SURE = 0.98
 #: Least G statistic of a word that the content view keeps.
@@ -209,27 +209,47 @@ def _fit(batches):
     yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], ["model"])
 
 
+def _scores(model, data: np.ndarray, offsets: np.ndarray, hashed: np.ndarray):
+    """(content view, metadata view, both) as probabilities."""
+    content, meta, both = model
+    bucket, begin, c, m = text_features(data, offsets)
+    one, two = content.logit(bucket, begin, c), meta.logit(m, hashed)
+    return _sigmoid(one), _sigmoid(two), _sigmoid(np.column_stack([one, two]) @ both[:-1] + both[-1])
+
+
 def _score(model):
     def run(batches):
-        content, meta, both = model.value
         for batch in batches:
             data, offsets = tv.bytes_of(batch.column("text"))
             hashed = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2")])
             for a, b in tv.chunks(offsets):
-                bucket, begin, c, m = text_features(data, offsets[a : b + 1])
-                one, two = content.logit(bucket, begin, c), meta.logit(m, hashed[a:b])
-                p = _sigmoid(np.column_stack([one, two]) @ both[:-1] + both[-1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(_sigmoid(one)), pa.array(_sigmoid(two)), pa.array(p)], ["doc_id", "th", "content_score", "meta_score", "quality"])
+                scores = _scores(model.value, data, offsets[a : b + 1], hashed[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, scores)], ["doc_id", "content_score", "meta_score", "quality"])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
-    """doc_id, th (xxhash64 of the text), content_score, meta_score, quality (0 to 1), kept (quality is threshold or more)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "cotraining")
-    bucket = lambda c, name: F.pmod(F.xxhash64(F.lit(name), F.coalesce(F.col(c).cast("string"), F.lit("\0null"))), F.lit(META_HASH))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), bucket(source_col, "source").alias("h1"), bucket(lang_col, "lang").alias("h2"))
+def _good(model):
+    @F.arrow_udf("double")
+    def quality(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        data, offsets = tv.bytes_of(text)
+        hashed = np.column_stack([x.to_numpy(zero_copy_only=False) for x in (h1, h2)])
+        for a, b in tv.chunks(offsets):
+            out.append(_scores(model.value, data, offsets[a : b + 1], hashed[a:b])[2])
+        return pa.array(np.concatenate(out))
+
+    return quality
+
+
+def _hashed(column: str, name: str):
+    return F.pmod(F.xxhash64(F.lit(name), F.coalesce(F.col(column).cast("string"), F.lit("\0null"))), F.lit(META_HASH))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL):
+    """(the model or None, the share of good labels)."""
+    scratch = Scratch(docs.sparkSession, "cotraining")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), _hashed(source_col, "source").alias("h1"), _hashed(lang_col, "lang").alias("h2"))
     known = labels.where(F.col("doc_id").isNotNull() & F.coalesce("quality", "toxic").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.coalesce(F.min("quality"), F.lit(1)).eqNullSafe(1) & (F.coalesce(F.max("toxic"), F.lit(0)) != 1)).cast("double").alias("y"))
     known = scratch.save(known, "known")
@@ -239,23 +259,30 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     chosen = ids.join(known, "doc_id").orderBy(*by_hash).limit(max_labelled)
     others = ids.join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).withColumn("y", F.lit(None).cast("double"))
     chosen = scratch.save(chosen.union(others), "chosen")
-    features = source.drop("th").join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(_features, "doc_id long, h1 long, h2 long, bucket array<int>, content array<float>, meta array<float>")
+    features = source.join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(_features, "doc_id long, h1 long, h2 long, bucket array<int>, content array<float>, meta array<float>")
     sample = scratch.save(features.join(F.broadcast(chosen), "doc_id").withColumn("at", F.xxhash64("doc_id")), "features")
     fitted = sample.repartition(1).sortWithinPartitions("at", "doc_id").mapInArrow(_fit, "model binary").first()
-    fitted = fitted and fitted[0]
-    kinds = known.agg(F.avg("y")).first()[0]
-    if fitted is None:
-        p = F.lit(1.0 if kinds is None else float(kinds))
-        return source.select("doc_id", "th", p.alias("content_score"), p.alias("meta_score"), p.alias("quality"), (p >= threshold).alias("kept"))
-    model = spark.sparkContext.broadcast(pickle.loads(fitted))
-    scored = source.mapInArrow(_score(model), "doc_id long, th long, content_score double, meta_score double, quality double")
+    share = known.agg(F.avg("y")).first()[0]
+    return (pickle.loads(fitted[0]) if fitted and fitted[0] else None), (1.0 if share is None else float(share))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5, **bounds) -> DataFrame:
+    """doc_id, content_score, meta_score, quality (0 to 1), kept (quality is threshold or more). bounds: max_labelled, max_pool."""
+    model, share = _fitted(docs, labels, id_col, text_col, source_col, lang_col, **bounds)
+    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    if model is None:
+        p = F.lit(share)
+        return docs.select(doc_id, p.alias("content_score"), p.alias("meta_score"), p.alias("quality"), (p >= threshold).alias("kept"))
+    source = docs.select(doc_id, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), _hashed(source_col, "source").alias("h1"), _hashed(lang_col, "lang").alias("h2"))
+    scored = source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, content_score double, meta_score double, quality double")
     return scored.withColumn("kept", F.col("quality") >= threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that the classifier keeps."""
-    scratch = Scratch(docs.sparkSession, "cotraining")
-    rejected = classify(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    rejected = scratch.save(rejected, "rejected")
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    return docs.join(rejected, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_th")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5, **bounds) -> DataFrame:
+    """The documents, all columns, that the classifier keeps. They are scored where they stand and not joined to a list."""
+    model, share = _fitted(docs, labels, id_col, text_col, source_col, lang_col, **bounds)
+    if model is None:
+        return docs if share >= threshold else docs.limit(0)
+    good = _good(docs.sparkSession.sparkContext.broadcast(model))
+    quality = good(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), _hashed(source_col, "source"), _hashed(lang_col, "lang"))
+    return docs.where(quality >= threshold)

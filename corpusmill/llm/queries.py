@@ -16,7 +16,7 @@ def op1_perspectives(spark, sf_dir):
 
 
 def op2_cotraining(spark, sf_dir):
-    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_superminhash(spark, sf_dir):
