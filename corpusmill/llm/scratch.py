@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+#: Rows of a table of keys that is sent to all executors rather than shuffled with what it is joined to.
+BROADCAST_ROWS = 500_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """A saved table of narrow keys, to be broadcast where it is counted to be small; larger ones meet the other side in a
+    shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 class Scratch:
     """A folder for one call of an operator. What the returned DataFrame reads must stay; drop() frees the rest early."""
 

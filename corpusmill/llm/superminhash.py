@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
-from .scratch import Scratch
+from .scratch import Scratch, sized
 
 ROWS = 4
 MISS = 1e-6
@@ -211,8 +211,8 @@ def group_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 8
     scratch.drop("met", "full", "best")
 
     needed = pairs.select("node").union(pairs.select("pivot")).distinct()
-    where = nodes.join(needed, "node", "left_semi").select("node", "doc_id", "th")
-    texts = source.withColumn("th", F.xxhash64("text")).join(where.withColumnRenamed("doc_id", "d"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (where["th"] == F.xxhash64("text")))
+    where = scratch.save(nodes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("th").alias("t")), "needed")
+    texts = source.join(sized(where), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
     texts = scratch.save(texts.select("node", "text"), "texts")
     seen = pairs.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
     star = scratch.save(seen.select("pivot", "node", "text", "pivot_text").mapInArrow(_verify(shingle), "pivot binary, node binary, inter long, union long").distinct(), "star")
@@ -239,10 +239,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     named = groups.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"), F.max("n_shingles").alias("n"))
     dropped = scratch.save(named.where("not kept").select("_id", "_th"), "dropped")
     twice = scratch.save(named.where("kept and rows > 1 and n > 0").select("_id", "_th"), "twice")
-    left = docs.join(dropped, same(dropped), "left_anti")
+    left = docs.join(sized(dropped), same(dropped), "left_anti")
     if twice.isEmpty():
         return left
-    return left.join(twice, same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col]))
+    return left.join(sized(twice), same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def _rest(star: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
