@@ -136,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     hit = find_items(docs, benchmark, **options).where("share > 0").select(F.col("doc_id").alias("_hit"), F.col("th").alias("_th")).distinct()
     hit = Scratch(docs.sparkSession, "decontamination").save(hit, "hit")
-    return docs.join(sized(hit), docs[id_col].cast("long").eqNullSafe(F.col("_hit")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left_anti")
+    return docs.join(sized(hit), docs[id_col].cast("long").eqNullSafe(hit["_hit"]) & (F.xxhash64(docs[text_col]) == hit["_th"]), "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -301,28 +301,29 @@ def _digests(batches):
 def _texts(batches):
     for batch in batches:
         kept = [_cut(t, _spans(p), True).decode("utf-8", "replace") for t, p in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True)]
-        yield batch.drop_columns(["text", "cover"]).append_column("text", pa.array(kept, pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
 
 
-def _with_covers(docs: DataFrame, length: int, id_col: str, text_col: str, group: int, others: list[str]) -> DataFrame:
-    """ref, text (bytes), cover (intervals), and the columns named in others."""
+def _with_covers(docs: DataFrame, length: int, id_col: str, text_col: str, group: int, row: Column) -> DataFrame:
+    """ref, text (bytes), cover (intervals), row."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(ref(F.col(id_col), text).alias("ref"), text.cast("binary").alias("text"), *others)
+    source = docs.select(ref(F.col(id_col), text).alias("ref"), text.cast("binary").alias("text"), row.alias("row"))
     covers = repeated_intervals(source, length, scratch, group)
     cover = covers.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
-    return source.join(scratch.save(cover, "cover"), "ref", "left")
+    return source.join(scratch.save(cover, "cover"), "ref", "left").select("text", "cover", "row")
 
 
 def repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: each byte in a string of length bytes that also starts elsewhere goes."""
-    found = _with_covers(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")), length, "doc_id", "t", group, ["doc_id"])
-    return found.select("doc_id", "text", "cover").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = _with_covers(docs, length, id_col, text_col, group, F.col(id_col).cast("long"))
+    return found.select(F.col("row").alias("doc_id"), "text", "cover").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """The documents, all columns, their texts without repeated strings; characters that are cut in part stay."""
-    others = [c for c in docs.columns if c != text_col]
-    found = _with_covers(docs, length, id_col, text_col, group, others).select(*others, "text", "cover")
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != text_col] + ["text string"])
-    return found.mapInArrow(_texts, schema).withColumnRenamed("text", text_col).select(*docs.columns)
+    """The documents, all columns, their texts without repeated strings; characters that are cut in part stay; null stays null."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("_null_text"))
+    found = _with_covers(docs, length, id_col, text_col, group, row)
+    kept = found.mapInArrow(_texts, f"row {found.schema['row'].dataType.simpleString()}, text string")
+    columns = [F.when(~F.col("row._null_text"), F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return kept.select(*columns)
