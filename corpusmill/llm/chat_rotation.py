@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scratch import Scratch
+
 PART = 64
 BLOCK = 64
 SYSTEM = "system"
@@ -41,31 +43,55 @@ def numbered(turns: DataFrame) -> DataFrame:
     return placed.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", (F.col("base") + F.col("row")).alias("seq"), "speaker", "text")
 
 
+def _head(speaker: Column, perspective: Column) -> Column:
+    return (
+        F.when(speaker == perspective, F.lit("<|assistant|>\n"))
+        .when(speaker == SYSTEM, F.lit("<|system|>\n"))
+        .otherwise(F.concat(F.lit("<|user name="), _safe(F.coalesce(speaker, F.lit(UNKNOWN))), F.lit("|>\n")))
+    )
+
+
 def rotate(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, perspective, part, n_turns, n_masked, char_start, text, mask_spans ('start-end,start-end'). Its size is turns
-    times participants, as every perspective holds the whole dialogue."""
-    speaker = F.coalesce(F.nullif(F.col(speaker_col), F.lit("")), F.lit(None))
+    times participants, as every perspective holds the whole dialogue.
+
+    Texts are shuffled twice, for their numbers and for their parts; participants, and where their parts begin, are worked out
+    on lengths alone and joined to the parts where these stand."""
+    speaker = F.nullif(F.col(speaker_col), F.lit(""))
     turns = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), speaker.alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    people = turns.where(F.col("speaker").isNotNull() & (F.col("speaker") != SYSTEM)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    rows = numbered(turns).withColumn("part", F.floor(F.col("seq") / PART)).join(people, F.col("conv_id").eqNullSafe(F.col("c")))
-    own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
-    head = (
-        F.when(own, F.lit("<|assistant|>\n"))
-        .when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), _safe(F.coalesce("speaker", F.lit(UNKNOWN))), F.lit("|>\n")))
+    rows = numbered(turns).select("conv_id", F.floor(F.col("seq") / PART).alias("part"), "seq", "speaker", F.concat(_safe(F.col("text")), F.lit(END)).alias("body"))
+    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "speaker", "body"))).alias("items"))
+    parts = Scratch(df.sparkSession, "rotation").save(parts, "parts")  # at most PART turns a row
+
+    lengths = parts.select("conv_id", "part", F.explode(F.transform("items", lambda x: F.struct(x["speaker"].alias("speaker"), F.length(x["body"]).cast("long").alias("n")))).alias("x"))
+    sums = lengths.groupBy("conv_id", "part", "x.speaker").agg(F.sum("x.n").alias("n"), F.count(F.lit(1)).alias("turns"))
+    people = sums.where("speaker is not null").where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
+    sized = sums.join(people, F.col("conv_id").eqNullSafe(F.col("c")))
+    sized = sized.groupBy("c", "perspective", "part").agg(F.sum(F.col("n") + F.col("turns") * F.length(_head(F.col("speaker"), F.col("perspective")))).alias("size"))
+    earlier = W.partitionBy("c", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sized.select("c", "perspective", F.col("part").alias("p"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).cast("long").alias("char_start"))
+
+    shown = parts.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    pieces = F.transform("items", lambda x: F.struct(F.coalesce(x["speaker"] == F.col("perspective"), F.lit(False)).alias("own"), _head(x["speaker"], F.col("perspective")).alias("head"), x["body"].alias("body")))
+    shown = shown.withColumn("pieces", pieces)
+    zero = F.struct(F.col("char_start").alias("at"), F.array().cast("array<string>").alias("spans"))
+
+    def step(acc, x):
+        a = acc["at"] + F.length(x["head"])
+        b = a + F.length(x["body"])
+        span = F.concat_ws("-", a.cast("string"), b.cast("string"))
+        return F.struct(b.cast("long").alias("at"), F.when(x["own"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    return shown.select(
+        "conv_id",
+        "perspective",
+        "part",
+        F.size("pieces").cast("long").alias("n_turns"),
+        F.size(F.filter("pieces", lambda x: x["own"])).cast("long").alias("n_masked"),
+        "char_start",
+        F.array_join(F.transform("pieces", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
+        F.aggregate("pieces", zero, step, lambda acc: F.array_join(acc["spans"], ",")).alias("mask_spans"),
     )
-    rows = rows.select("conv_id", "perspective", "part", "seq", own.alias("own"), head.alias("head"), F.concat(_safe(F.col("text")), F.lit(END)).alias("body"))
-    rows = rows.withColumn("size", (F.length("head") + F.length("body")).cast("long"))
-    key = ["conv_id", "perspective", "part"]
-    running = W.partitionBy(*key).orderBy("seq")
-    rows = rows.withColumn("stop", F.sum("size").over(running))
-    item = F.struct("seq", F.concat("head", "body").alias("piece"), F.when(F.col("own"), F.struct((F.col("stop") - F.length("body")).alias("a"), F.col("stop").alias("b"))).alias("span"))
-    parts = rows.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum("size").alias("size"), F.sum(F.col("own").cast("long")).alias("n_masked"))
-    earlier = W.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("char_start", F.coalesce(F.sum("size").over(earlier), F.lit(0)).cast("long"))
-    spans = F.filter(F.transform("items", lambda x: x["span"]), lambda s: s.isNotNull())
-    shown = F.transform(spans, lambda s: F.concat_ws("-", (F.col("char_start") + s["a"]).cast("string"), (F.col("char_start") + s["b"]).cast("string")))
-    return parts.select(*key, F.size("items").cast("long").alias("n_turns"), "n_masked", "char_start", F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("text"), F.array_join(shown, ",").alias("mask_spans"))
 
 
 ORACLE_SQL = r"""
