@@ -31,7 +31,7 @@ from . import textvec as tv
 from .scratch import Scratch
 
 CHUNK = 1 << 20
-GROUP = 20_000
+GROUP = 2_000
 #: Widths of cells of window starts after the runs themselves; a cell of one window needs no sorting.
 WIDTHS = (16, 1)
 #: A run packed in one long: start of the first window, then its anchor's distance from there, then the number of further windows.
