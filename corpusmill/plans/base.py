@@ -28,13 +28,13 @@ def posts(spark, d) -> DataFrame:
     likes = likes_of(spark, d).groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("like_count"))
     o = table(spark, d, "orders")
     rows = o.select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author_id"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") == "P").alias("is_anonymous"), (F.col("o_orderkey") % 17 == 0).alias("is_deleted"), F.array("o_orderpriority").alias("specialty_tags")
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author_id"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") == "P").alias("is_anonymous"), (F.col("o_totalprice") < 20000).alias("is_deleted"), F.array("o_orderpriority").alias("specialty_tags")
     )
     return rows.join(comments, "id", "left").join(likes, "id", "left").fillna(0, ["comment_count", "like_count"])
 
 
 POSTS = """posts AS (
-  SELECT o_orderkey AS id, o_custkey AS author_id, o_orderdate AS created_at, o_orderstatus = 'P' AS is_anonymous, o_orderkey % 17 = 0 AS is_deleted,
+  SELECT o_orderkey AS id, o_custkey AS author_id, o_orderdate AS created_at, o_orderstatus = 'P' AS is_anonymous, o_totalprice < 20000 AS is_deleted,
          [o_orderpriority] AS specialty_tags, coalesce(c.n, 0) AS comment_count, coalesce(k.n, 0) AS like_count
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c ON l_orderkey = o_orderkey
   LEFT JOIN (SELECT item_id, count(*) AS n FROM likes GROUP BY 1) k ON item_id = o_orderkey)"""

@@ -45,14 +45,14 @@ def _results(spark, d):
     """Documents with labels as answers: their text carries marks made from the id, quality is the difficulty."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     i = F.col("doc_id")
-    answer = F.concat(F.substring("text", 1, 60), F.when(i % 3 == 0, F.concat(F.lit(" ["), (i % 5).cast("string"), F.lit("]"))).otherwise(""), F.when(i % 4 == 0, " 12 mg").otherwise(""))
+    answer = F.concat(F.col("text"), F.when(i % 3 == 0, F.concat(F.lit(" ["), (i % 5).cast("string"), F.lit("]"))).otherwise(""), F.when(i % 4 == 0, " 12 mg").otherwise(""))
     truth = F.when(i % 2 == 0, F.lit("12 mg in 3 days")).otherwise(F.lit("none"))
     titles = F.array(F.col("source"), F.col("lang"), F.col("source"))
     return docs.select("doc_id", "quality", answer.alias("answer"), E.numeric_recall(answer, truth).alias("recall"), E.diversity(titles).alias("diversity"), E.covered(titles, F.array(F.lit("SRC1"))).alias("is_covered"))
 
 
 _RESULTS = """r AS (
-  SELECT doc_id, quality, substr(text, 1, 60) || CASE WHEN doc_id % 3 = 0 THEN ' [' || doc_id % 5 || ']' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN ' 12 mg' ELSE '' END AS answer, source, lang
+  SELECT doc_id, quality, text || CASE WHEN doc_id % 3 = 0 THEN ' [' || doc_id % 5 || ']' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN ' 12 mg' ELSE '' END AS answer, source, lang
   FROM documents JOIN labels USING (doc_id)),
 m AS (
   SELECT *, len(regexp_extract_all(answer, '\\[\\d+\\]')) AS marks, CASE WHEN doc_id % 2 = 0 THEN ((contains(lower(answer), '12 mg'))::INT + (contains(lower(answer), '3 days'))::INT) / 2 END AS recall,
@@ -78,12 +78,12 @@ def numeric_recall(spark, d):
     return _results(spark, d).select("doc_id", F.round("recall", 6).alias("recall"))
 
 
-@query("report_compare", """WITH a AS (SELECT event_type AS metric, round(avg(value), 4) AS a FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, round(avg(value), 4) AS b FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+@query("report_compare", """WITH a AS (SELECT event_type AS metric, round(avg(value), 4) AS a FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type AS metric, round(avg(value), 4) AS b FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
 SELECT 'latency' AS section, metric, a, b, round(b - a, 6) AS delta, CASE WHEN abs(b - a) < 1e-6 THEN 'same' WHEN b - a > 0 THEN 'better' ELSE 'worse' END AS direction FROM a JOIN b USING (metric)""")
 def report_compare(spark, d):
     e = table(spark, d, "events")
-    half = lambda r: e.where(F.col("event_id") % 2 == r).groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 4).alias("value")).withColumn("section", F.lit("latency"))
-    return E.compared(half(0), half(1))
+    half = lambda first: e.where((F.col("ts") < F.lit("2024-01-16").cast("timestamp")) == first).groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 4).alias("value")).withColumn("section", F.lit("latency"))
+    return E.compared(half(True), half(False))
 
 
 @query("report_unpivot", "SELECT 'events' AS section, unnest(['n', 'mean']) AS metric, unnest([n::DOUBLE, mean]) AS value FROM (SELECT count(*) AS n, round(avg(value), 6) AS mean FROM events)")
@@ -108,9 +108,9 @@ def distinct_titles(spark, d):
     return table(spark, d, "part").select("p_name").distinct().orderBy("p_name").limit(30)
 
 
-@query("judge_means", "SELECT event_type, round(avg(CASE WHEN event_id % 3 <> 0 THEN value END), 4) AS mean, count(CASE WHEN event_id % 3 <> 0 THEN value END) AS scored FROM events GROUP BY 1")
+@query("judge_means", "SELECT event_type, round(avg(CASE WHEN value > 5 THEN value END), 4) AS mean, count(CASE WHEN value > 5 THEN value END) AS scored FROM events GROUP BY 1")
 def judge_means(spark, d):
-    v = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    v = F.when(F.col("value") > 5, F.col("value"))
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(v), 4).alias("mean"), F.count(v).alias("scored"))
 
 
@@ -164,9 +164,9 @@ def optional_param_filter(spark, d):
     return rows.select("c_custkey")
 
 
-@query("must_not_filter", "SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END, '') <> 'F'")
+@query("must_not_filter", "SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_totalprice < 100000 THEN NULL ELSE o_orderstatus END, '') <> 'F'")
 def must_not_filter(spark, d):
-    kind = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus"))
+    kind = F.when(F.col("o_totalprice") >= 100000, F.col("o_orderstatus"))
     return table(spark, d, "orders").where(~(F.coalesce(kind, F.lit("")) == "F")).select("o_orderkey")
 
 

@@ -14,16 +14,17 @@ def events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("upsert_latest", """WITH c AS (SELECT user_id, event_id, value FROM events WHERE event_id < 5000), n AS (SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id >= 9950) WHERE k = 1)
+@query("upsert_latest", """WITH c AS (SELECT user_id, event_id, value FROM events WHERE event_type <> 'purchase'), n AS (SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'purchase') WHERE k = 1)
 SELECT * FROM c WHERE user_id NOT IN (SELECT user_id FROM n) UNION ALL SELECT * FROM n""")
 def upsert_latest(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "value")
-    return L.upserted(e.where("event_id < 5000"), e.where("event_id >= 9950"), ["user_id"], F.desc("event_id"))
+    e = table(spark, d, "events")
+    columns = ["user_id", "event_id", "value"]
+    return L.upserted(e.where("event_type <> 'purchase'").select(columns), e.where("event_type = 'purchase'").select(columns), ["user_id"], F.desc("event_id"))
 
 
-@query("insert_if_absent", "SELECT c_custkey AS k FROM customer WHERE c_custkey < 100 UNION ALL SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 100)")
+@query("insert_if_absent", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def insert_if_absent(spark, d):
-    return L.inserted(table(spark, d, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    return L.inserted(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("update_where", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS status FROM orders")
@@ -44,10 +45,10 @@ def cascade_delete(spark, d):
     return left.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("novelty_anti_join", "SELECT doc_id FROM documents a WHERE doc_id >= 500 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id < 500 AND b.lang = a.lang AND sha256(b.text) = sha256(a.text))")
+@query("novelty_anti_join", "SELECT doc_id FROM documents a WHERE source <> 'src0' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.source = 'src0' AND b.lang = a.lang AND sha256(b.text) = sha256(a.text))")
 def novelty_anti_join(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("content_hash"))
-    return L.novel(rows.where("doc_id >= 500"), rows.where("doc_id < 500"), "lang").select("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("content_hash"))
+    return L.novel(rows.where("source <> 'src0'"), rows.where("source = 'src0'"), "lang").select("doc_id")
 
 
 @query("stale_difference", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)")
@@ -81,9 +82,9 @@ def state_moves(spark, d):
     return L.moved(docs, results).select("doc_id", "status", "retry_count")
 
 
-@query("attempts_left", "SELECT user_id AS doc_id, count(*) AS attempts FROM events WHERE event_type = 'error' AND event_id < 3000 GROUP BY 1 HAVING count(*) < 3")
+@query("attempts_left", "SELECT user_id || '/' || ts::DATE AS doc_id, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) < 3")
 def attempts_left(spark, d):
-    return L.attempts_left(events(spark, d).where("event_type = 'error' and event_id < 3000").select(F.col("user_id").alias("doc_id")))
+    return L.attempts_left(events(spark, d).where("event_type = 'error'").select(F.concat_ws("/", "user_id", F.to_date("ts").cast("string")).alias("doc_id")))
 
 
 @query("constraint_quarantine", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 40 THEN '' ELSE 'quantity' END || CASE WHEN l_discount < 0.09 THEN '' ELSE '+discount' END AS broken FROM lineitem WHERE NOT (l_quantity <= 40 AND l_discount < 0.09)")
@@ -144,5 +145,5 @@ def not_processed(spark, d):
 @query("seeded_sample")
 def seeded_sample(spark, d):
     """A sampling operator: 20 items that were not seen, in the order of a seeded random number."""
-    seen = table(spark, d, "benchmark").where("item_id % 4 = 0").select("item_id")
+    seen = table(spark, d, "benchmark").where("length(text) < 200").select("item_id")
     return table(spark, d, "benchmark").join(seen, "item_id", "left_anti").orderBy(F.xxhash64("item_id", F.lit(11)), "item_id").limit(20).select("item_id")

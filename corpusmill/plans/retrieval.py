@@ -14,40 +14,47 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _asked(spark, d, most: int):
-    return _vectors(spark, d).where(F.col("id") % 50 == 0).where(F.col("id") < most).select(F.col("id").alias("query_id"), "embedding")
+def _asked(spark, d):
+    """The query set of searches: every row whose id is divisible by 20, against all rows."""
+    return _vectors(spark, d).where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "embedding")
 
 
-def _knn_sql(k, where="true", most=1000):
+def _item_vectors(spark, d):
+    """A vector for each benchmark item: the one of the same id."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return _vectors(spark, d).select(F.col("id").alias("query_id"), "embedding").join(items, "query_id", "left_semi")
+
+
+def _knn_sql(k, where="true", asked="q.vec_id % 20 = 0"):
     return f"""SELECT query_id, id, score, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-        SELECT q.vec_id AS query_id, a.vec_id AS id, round({COS}, 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0 AND q.vec_id < {most} AND {where}))
+        SELECT q.vec_id AS query_id, a.vec_id AS id, round({COS}, 6) AS score FROM embeddings a, embeddings q WHERE {asked} AND {where}))
       WHERE rank <= {k}"""
 
 
-@query("knn_topk", _knn_sql(40, most=1))
+@query("knn_topk", _knn_sql(40))
 def knn_topk(spark, d):
-    return R.knn(_vectors(spark, d), _asked(spark, d, 1), 40)
+    return R.knn(_vectors(spark, d), _asked(spark, d), 40)
 
 
 @query("knn_batch", _knn_sql(10))
 def knn_batch(spark, d):
-    return R.knn(_vectors(spark, d), _asked(spark, d, 1000), 10)
+    return R.knn(_vectors(spark, d), _asked(spark, d), 10)
 
 
 @query("knn_filtered", _knn_sql(5, "a.label <> 3"))
 def knn_filtered(spark, d):
-    return R.knn(_vectors(spark, d).where("label <> 3"), _asked(spark, d, 1000), 5)
+    return R.knn(_vectors(spark, d).where("label <> 3"), _asked(spark, d), 5)
 
 
 @query("knn_one_label", _knn_sql(5, "a.label = 3"))
 def knn_one_label(spark, d):
-    return R.knn(_vectors(spark, d).where("label = 3"), _asked(spark, d, 1000), 5)
+    return R.knn(_vectors(spark, d).where("label = 3"), _asked(spark, d), 5)
 
 
 @query("knn_score_floor", f"SELECT * FROM ({_knn_sql(40)}) WHERE score >= 0.3")
 def knn_score_floor(spark, d):
-    return R.knn(_vectors(spark, d), _asked(spark, d, 1000), 40, floor=0.3)
+    return R.knn(_vectors(spark, d), _asked(spark, d), 40, floor=0.3)
 
 
 def _chunks(spark, d):
@@ -55,12 +62,12 @@ def _chunks(spark, d):
 
 
 def _questions(spark, d):
-    """The first three words of five letters or more of each benchmark item."""
-    words = F.slice(R.terms(F.col("text"), 5), 1, 3)
+    """The words of five letters or more of each benchmark item."""
+    words = R.terms(F.col("text"), 5)
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("terms")).where(F.size("terms") > 0)
 
 
-_FTS = """qs AS (SELECT item_id AS query_id, list_slice(list_distinct_ordered, 1, 3) AS terms FROM (
+_FTS = """qs AS (SELECT item_id AS query_id, list_distinct_ordered AS terms FROM (
     SELECT item_id, (SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest(l) AS w, unnest(range(len(l))) AS p) GROUP BY w)) AS list_distinct_ordered
     FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{5,}') AS l FROM benchmark))),
 ix AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{5,}')) AS term FROM documents) GROUP BY 1, 2),
@@ -86,7 +93,7 @@ def fts_any_topk(spark, d):
 
 _HYBRID = f"""WITH {_FTS},
 t AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h),
-v AS (SELECT query_id, id, rank FROM ({_knn_sql(40)})),
+v AS (SELECT query_id, id, rank FROM ({_knn_sql(40, asked='q.vec_id IN (SELECT item_id FROM benchmark)')})),
 l AS (SELECT query_id, id, 0 AS list, rank FROM v UNION ALL SELECT query_id, id, 1, rank FROM t WHERE rank <= 40 AND query_id IN (SELECT query_id FROM v)),
 f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min((list, rank)) AS first FROM l GROUP BY 1, 2),
 r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f)
@@ -94,8 +101,8 @@ r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _fused(spark, d, top):
-    vector = R.knn(_vectors(spark, d), _asked(spark, d, 1000), 40)
-    text = _search(spark, d, 40, False).join(_asked(spark, d, 1000).select("query_id"), "query_id", "left_semi")
+    vector = R.knn(_vectors(spark, d), _item_vectors(spark, d), 40)
+    text = _search(spark, d, 40, False).join(_item_vectors(spark, d).select("query_id"), "query_id", "left_semi")
     return R.rrf(vector, text, top=top)
 
 
@@ -108,7 +115,7 @@ def rrf_fuse(spark, d):
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS k FROM t WHERE (query_id, id) NOT IN (SELECT query_id, id FROM b) AND query_id IN (SELECT query_id FROM b) AND rank <= 40)
 SELECT query_id, id, rank, false AS injected FROM b UNION ALL SELECT query_id, id, 10 + k, true FROM e WHERE k <= 3""")
 def rrf_inject(spark, d):
-    extra = _search(spark, d, 40, False).join(_asked(spark, d, 1000).select("query_id"), "query_id", "left_semi")
+    extra = _search(spark, d, 40, False).join(_item_vectors(spark, d).select("query_id"), "query_id", "left_semi")
     return R.inject(_fused(spark, d, 10), extra, 3)
 
 
@@ -138,11 +145,11 @@ def query_normalise(spark, d):
     return table(spark, d, "benchmark").select("item_id", R.query_terms(F.col("text"), ["the", "and", "from", "with", "that"]).alias("terms"))
 
 
-@query("phrase_lookup", """WITH p AS (SELECT item_id AS query_id, regexp_extract(text, '^[^ ]+ [^ ]+', 0) AS phrase FROM benchmark)
+@query("phrase_lookup", """WITH p AS (SELECT item_id AS query_id, text AS phrase FROM benchmark)
 SELECT query_id, phrase, id, rank FROM (SELECT query_id, phrase, doc_id AS id, row_number() OVER (PARTITION BY query_id, phrase ORDER BY length(text), doc_id) AS rank
 FROM documents JOIN p ON contains(lower(text), lower(phrase))) WHERE rank <= 4""")
 def phrase_lookup(spark, d):
-    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("phrase"))
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
     return R.phrase_lookup(_chunks(spark, d), phrases)
 
 
@@ -159,10 +166,10 @@ def part_mentions(spark, d):
     return R.mentions(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), ["red", "blue", "ring", "widget", "bolt", "small"])
 
 
-@query("mention_weights", r"""SELECT name, sum(CASE WHEN id % 2 = 0 AND name = 'ring' THEN 2 ELSE 1 END)::BIGINT AS weight FROM (SELECT DISTINCT p_partkey AS id, lower(unnest(regexp_extract_all(p_name, '(?i)\b(widget|ring|bolt)\b', 1))) AS name FROM part) GROUP BY 1""")
+@query("mention_weights", r"""SELECT name, sum(CASE WHEN p_size > 25 AND name = 'ring' THEN 2 ELSE 1 END)::BIGINT AS weight FROM (SELECT DISTINCT p_partkey AS id, p_size, lower(unnest(regexp_extract_all(p_name, '(?i)\b(widget|ring|bolt)\b', 1))) AS name FROM part) GROUP BY 1""")
 def mention_weights(spark, d):
     found = R.mentions(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), ["ring", "widget", "bolt"])
-    labels = found.where("name = 'ring' and id % 2 = 0").select("id", "name", F.lit(True).alias("is_label"))
+    labels = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"), F.lit("ring").alias("name"), F.lit(True).alias("is_label"))
     return R.mention_weights(found, labels)
 
 
@@ -186,13 +193,14 @@ def citation_compress(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", R.compressed(text).alias("answer"))
 
 
-@query("rerank_overlap", """WITH p AS (SELECT item_id AS query_id, text AS q FROM benchmark WHERE item_id < 10),
-c AS (SELECT query_id, doc_id AS id, doc_id AS rank, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]{3,}')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS b FROM documents, p WHERE doc_id < 100)
-SELECT query_id, id, new_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new_score DESC NULLS LAST, rank) AS new_rank FROM (
-  SELECT query_id, id, rank, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) END AS new_score FROM c)) WHERE new_rank <= 10""")
+@query("rerank_overlap", f"""WITH {_FTS}, c AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h) WHERE rank <= 40),
+s AS (SELECT query_id, id, rank, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]{{3,}}')) AS w FROM c JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = id),
+r AS (SELECT query_id, id, rank, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, w)) / len(a), 6) END AS new_score FROM s)
+SELECT query_id, id, new_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new_score DESC NULLS LAST, rank) AS new_rank FROM r) WHERE new_rank <= 10""")
 def rerank_overlap(spark, d):
-    questions = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    candidates = _chunks(spark, d).where("id < 100").withColumn("rank", F.col("id")).join(F.broadcast(questions), how="cross")
+    """The forty candidates of each term search, scored again by the stand-in."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    candidates = _search(spark, d, 40, False).join(questions, "query_id").join(_chunks(spark, d), "id")
     return R.rerank(candidates, R.overlap_score(F.col("q"), F.col("text"))).select("query_id", "id", "new_score", "new_rank")
 
 
@@ -210,9 +218,9 @@ def chunk_range_join(spark, d):
 
 
 @query("prompt_context", """SELECT l_orderkey AS query_id, string_agg('[' || k || '] p' || l_partkey || chr(10) || l_suppkey, chr(10) || chr(10) ORDER BY k) AS context
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem WHERE l_orderkey < 200) GROUP BY 1""")
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) GROUP BY 1""")
 def prompt_context(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 200").withColumn("rank", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = table(spark, d, "lineitem").withColumn("rank", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     return R.prompt_context(rows.select(F.col("l_orderkey").alias("query_id"), "rank", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("title"), F.col("l_suppkey").cast("string").alias("content")))
 
 

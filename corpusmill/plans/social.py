@@ -57,17 +57,17 @@ def user_posts(spark, d):
     return rows.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "like_count")
 
 
-@query("post_with_context", f"""WITH {_FEED} SELECT id, author_name, author_specialty, country, verified, viewer_liked, is_following FROM feed WHERE id IN (1, 2, 3, 4, 5, 6)""")
+@query("post_with_context", f"""WITH {_FEED} SELECT id, author_name, author_specialty, country, verified, viewer_liked, is_following FROM feed""")
 def post_with_context(spark, d):
-    rows = O.with_author(B.posts(spark, d).where(F.col("id").isin(1, 2, 3, 4, 5, 6) & ~F.col("is_deleted")), B.profiles(spark, d))
+    rows = O.with_author(B.posts(spark, d).where(~F.col("is_deleted") & (F.col("created_at") < F.lit(NOW).cast("timestamp"))), B.profiles(spark, d))
     return O.with_viewer(rows, VIEWER, B.likes_of(spark, d), B.follows_of(spark, d)).select("id", "author_name", "author_specialty", "country", "verified", "viewer_liked", "is_following")
 
 
 @query("comments_with_context", f"""WITH {B.LIKES}, {B.FOLLOWS}, {B.PROFILES}, {B.COMMENTS}
 SELECT DISTINCT c.id, post_id, CASE WHEN is_anonymous THEN 'Anonymous Physician' ELSE display_name END AS author_name, verified, l.user_id IS NOT NULL AS viewer_liked
-FROM comments c JOIN profiles u ON u.user_id = author_id LEFT JOIN likes l ON l.item_id = c.id AND l.user_id = {VIEWER} WHERE post_id < 50 AND NOT is_deleted""")
+FROM comments c JOIN profiles u ON u.user_id = author_id LEFT JOIN likes l ON l.item_id = c.id AND l.user_id = {VIEWER} WHERE NOT is_deleted""")
 def comments_with_context(spark, d):
-    rows = O.with_author(B.comments(spark, d).where("post_id < 50 and not is_deleted"), B.profiles(spark, d))
+    rows = O.with_author(B.comments(spark, d).where("not is_deleted"), B.profiles(spark, d))
     return O.with_viewer(rows, VIEWER, B.likes_of(spark, d)).select("id", "post_id", "author_name", "verified", "viewer_liked").distinct()
 
 
@@ -191,11 +191,11 @@ def last_assistant_message(spark, d):
     return C.last_of_role(B.messages(spark, d))
 
 
-@query("message_visibility", f"WITH {_M} SELECT id FROM m WHERE conversation_id IN (SELECT conversation_id FROM m WHERE conversation_id % 10 = 3)")
+@query("message_visibility", f"WITH {_M} SELECT id FROM m WHERE conversation_id IN (SELECT conversation_id FROM m WHERE turn = 0 AND role = 'system')")
 def message_visibility(spark, d):
     m = B.messages(spark, d)
-    owned = m.select("conversation_id", (F.col("conversation_id") % 10).alias("user_id")).distinct()
-    return O.visible_messages(m, owned, 3).select("id")
+    owned = m.where("turn = 0").select("conversation_id", F.col("role").alias("user_id"))  # whoever opens a conversation owns it
+    return O.visible_messages(m, owned, "system").select("id")
 
 
 @query("anonymised_projection", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Anonymous Physician' ELSE c_name END AS author_name, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE c_mktsegment END AS specialty, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey""")

@@ -69,7 +69,7 @@ def section_fill_forward(spark, d):
 
 @query("heading_breadcrumbs")
 def heading_breadcrumbs(spark, d):
-    heads = lines(spark, d).select("doc_id", "seq", (1 + F.length("text") % 3).alias("level"), F.substring("text", 1, 12).alias("heading"))
+    heads = lines(spark, d).select("doc_id", "seq", (1 + F.length("text") % 3).alias("level"), F.col("text").alias("heading"))
     return K.breadcrumbs(heads, 3)
 
 
@@ -220,9 +220,9 @@ def suggestion_grounding(spark, d):
     return table(spark, d, "benchmark").select("item_id", X.grounded(s, F.col("text")).alias("grounded"))
 
 
-@query("table_prose", "SELECT l_orderkey, 'key | part' || chr(10) || string_agg('key: ' || l_linenumber || '; part: ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey) AS prose FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@query("table_prose", "SELECT l_orderkey, 'key | part' || chr(10) || string_agg('key: ' || l_linenumber || '; part: ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey) AS prose FROM lineitem GROUP BY 1")
 def table_prose(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("r"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("r"))
     cells = F.transform("r", lambda x: F.array(x["l_linenumber"].cast("string"), x["l_partkey"].cast("string")))
     return rows.select("l_orderkey", K.table_prose(F.concat(F.array(F.array(F.lit("key"), F.lit("part"))), cells)).alias("prose"))
 
