@@ -140,9 +140,9 @@ def fts_source_concat(spark, d):
     return R.concatenated(*lists)
 
 
-@query("query_normalise", r"""SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[?.,!;:()\[\]/+]', ' ', 'g'), '\s+'), lambda w: len(w) >= 3 AND w NOT IN ('the', 'and', 'from', 'with', 'that') AND NOT regexp_matches(w, '^[0-9]+$')) AS terms FROM benchmark""")
+@query("query_normalise", r"""SELECT item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[?.,!;:()\[\]/+]', ' ', 'g'), '\s+'), lambda w: len(w) >= 3 AND w NOT IN ('the', 'and', 'from', 'with', 'that') AND NOT regexp_matches(w, '^[0-9]+$')), ' ') AS terms FROM benchmark""")
 def query_normalise(spark, d):
-    return table(spark, d, "benchmark").select("item_id", R.query_terms(F.col("text"), ["the", "and", "from", "with", "that"]).alias("terms"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(R.query_terms(F.col("text"), ["the", "and", "from", "with", "that"]), " ").alias("terms"))
 
 
 @query("phrase_lookup", """WITH p AS (SELECT item_id AS query_id, text AS phrase FROM benchmark)
