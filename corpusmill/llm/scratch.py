@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -34,6 +35,22 @@ def sized(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+_LEFT: list[str] = []
+
+
+def _delete(path: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    while _LEFT:
+        _delete(_LEFT.pop())
+
+
 class Scratch:
     """A folder for one call of an operator. What the returned DataFrame reads must stay; drop() frees the rest early."""
 
@@ -41,7 +58,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
-        """Write df and read it back: lost executors no longer matter, and its size is known to the planner."""
+        """Write df and read it back: lost executors no longer matter, and its size is known to the planner. What is left of a
+        session's folders goes when the driver's Python ends."""
+        if self.root not in _LEFT:
+            _LEFT.append(self.root)
         path = f"{self.root}/{label}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -52,7 +72,5 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *labels: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(f"{self.root}/{label}")
