@@ -222,7 +222,7 @@ def group_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 8
     found = found.union(_rest(star.withColumn("linked", linked), nodes, texts, shingle, percent, scratch))
     labels = components(found, scratch)
     classes = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = scratch.save(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     of_node = scratch.save(classes.join(least, "label").select("node", "component_id"), "of_node")
     scratch.drop("texts", "star", "pairs", "nodes")
     out = signed.select("doc_id", "th", "n", "node").join(of_node, "node", "left")
