@@ -103,6 +103,23 @@ def document_class(publication_types: Column, article_type: Column, title: Colum
     return F.struct(kind.alias("type"), F.coalesce(S.mapped(kind, {k: str(v) for k, v in V.TYPE_TIERS.items()}).cast("int"), F.lit(5)).alias("tier"))
 
 
+def authority_rank(body: Column, kind: Column) -> Column:
+    """1 to 4 by the issuing body; guidelines of other bodies rank third."""
+    name = F.lower(body)
+    listed = S.first_match(name, V.RANKS, None).cast("int")
+    third = (kind == "clinical_practice_guideline") | F.exists(F.array(*map(F.lit, V.THIRD_RANK)), lambda t: F.contains(name, t))
+    return F.coalesce(listed, F.when(third, 3).otherwise(4))
+
+
+def is_clinical(keywords: Column, title: Column) -> Column:
+    """Not animals or cells alone, and not veterinary alone."""
+    words, head = F.lower(F.array_join(keywords, " ")), F.lower(title)
+    any_in = lambda names, *texts: F.exists(F.array(*map(F.lit, names)), lambda n: reduce(lambda a, b: a | b, [F.contains(t, n) for t in texts]))
+    basic = any_in(V.NON_CLINICAL, words) & ~any_in(V.CLINICAL, words, head)
+    veterinary = F.contains(head, F.lit("veterinar")) & ~any_in(["human", "patient", "women", "men", "children", "adult"], head)
+    return ~(basic | veterinary)
+
+
 def skipped_section(title: Column) -> Column:
     return F.exists(F.array(*map(F.lit, V.SKIPPED_SECTIONS)), lambda s: F.contains(F.lower(title), s))
 

@@ -146,6 +146,29 @@ TITLE_MARKERS = (
     (["randomized", "randomised", " rct", "clinical trial"], "randomized_controlled_trial"),
     (["review"], "review_article"),
 )
+# Issuing bodies of the first three ranks, by a substring of their name.
+RANKS = (
+    (["who", "world health organization", "world health organisation", "nice", "national institute for health and care excellence", "cochrane", "kdigo", "africa cdc", "africa centres for disease control"], 1),
+    ([
+        "esc", "european society of cardiology", "ada", "american diabetes association", "aha", "american heart association", "acc", "american college of cardiology", "eacs",
+        "european aids clinical society", "idsa", "infectious diseases society of america", "isth", "international society on thrombosis", "figo", "international federation of gynecology", "wses",
+        "world society of emergency surgery", "eras", "enhanced recovery after surgery", "wgo", "world gastroenterology organisation", "eular", "european league against rheumatism", "esmo",
+        "european society for medical oncology", "asco", "american society of clinical oncology", "espen", "european society for clinical nutrition", "ash", "american society of hematology", "aasld",
+        "american association for study of liver", "easl", "european association for the study of the liver", "aan", "american academy of neurology", "ean", "european academy of neurology", "sccm",
+        "society of critical care medicine", "surviving sepsis", "ers", "european respiratory society", "ats", "american thoracic society", "idf", "international diabetes federation", "sahcs",
+        "southern african hiv clinicians society", "bhiva", "british hiv association", "acr", "american college of rheumatology", "aap", "american academy of pediatrics", "who afro",
+        "regional office for africa", "eha", "european hematology association", "esge", "european society of gastrointestinal endoscopy", "rcog", "royal college of obstetricians", "sso",
+        "society of surgical oncology",
+    ], 2),
+)
+THIRD_RANK = [
+    "ministry of health", "national guidelines", "nascop", "government", "national institute", "health authority", "kenya medical research", "kemri", "kenya ministry", "national aids",
+    "east african community", "amref",
+]
+NON_CLINICAL = [
+    "animals", "rats", "mice", "mouse model", "murine", "rodent", "dogs", "cattle", "swine", "in vitro", "cell line", "cell culture", "geology", "seismic", "earthquake", "mineral", "cryptocurrency",
+]
+CLINICAL = ["patient", "clinical", "guideline", "human", "treatment", "diagnosis"]
 # Abbreviations, replaced in this order.
 ABBREVIATIONS = {
     "ARV": "antiretroviral", "ARVs": "antiretroviral", "ART": "antiretroviral therapy", "TB": "tuberculosis", "PPH": "postpartum haemorrhage", "SAM": "severe acute malnutrition",

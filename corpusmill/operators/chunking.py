@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import scalars as S, vocabulary as V
+from ..functions import scalars as S, text as X, vocabulary as V
 
 SENTENCE_END = "(?<=[.!?])\\s+"
 MARK = "\u0001"
@@ -132,6 +132,30 @@ def recommendation_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("recommendation_id", F.when(is_rec, F.concat(F.lit("R"), n.cast("string"))))
 
 
+def built_chunks(docs: DataFrame, *, most: int = 400, least: int = 60, overlap: int = 50) -> DataFrame:
+    """Enriched chunks of documents (doc_id, title, text): sections without those to skip, cut at recommendations, packed by
+    words, typed, graded and tagged, numbered in each document."""
+    cut = docs.select("doc_id", F.posexplode(sections(F.col("text"), F.col("title"), least)).alias("_s", "section")).where(~X.skipped_section(F.col("section.title")))
+    cut = cut.select("doc_id", "_s", F.col("section.title").alias("section_title"), F.posexplode(segments(F.col("section.text"))).alias("_p", "segment"))
+    rows = cut.select("doc_id", "_s", "_p", "section_title", F.col("segment.is_match").alias("at_recommendation"), F.posexplode(word_chunks(F.col("segment.text"), most, least, overlap)).alias("_c", "content"))
+    place = W.partitionBy("doc_id").orderBy("_s", "_p", "_c")
+    text, at = F.col("content"), F.col("at_recommendation")
+    rows = rows.withColumns(
+        {
+            "seq": F.row_number().over(place),
+            "chunk_type": X.segment_type(text, at),
+            "grade_strength": F.when(at, X.strength(text)),
+            "grade_evidence": F.when(at, X.evidence(text)),
+            "population_tags": X.population_tags(text),
+            "intervention_tags": X.intervention_tags(text),
+            "has_dosage": X.has_dosage(text),
+            "word_count": S.word_count(text),
+            "content_hash": F.substring(S.content_id(text), 1, 32),
+        }
+    )
+    return recommendation_ids(numbered(rows)).drop("_s", "_p", "_c", "seq")
+
+
 def table_prose(rows: Column) -> Column:
     """A table's rows (arrays of cells): the first as 'a | b', others of its width as 'a: x; b: y' without empty cells."""
     full = F.filter(F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit(""))))), lambda r: F.exists(r, lambda c: c != ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import retrieval as R
+from ..operators import labels as Lb, retrieval as R
 from .base import query, table
 
 COS = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
@@ -266,3 +266,34 @@ def embedding_sanity(spark, d):
 def embedding_decode(spark, d):
     text = F.to_json(F.col("embedding"))
     return table(spark, d, "embeddings").select("vec_id", F.size(R.decode_vector(text)).cast("long").alias("dims"))
+
+
+def _labels(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("section"))
+
+
+_SECTIONS = ["ECONOMY", "SMALL", "LARGE", "STANDARD", "PROMO", "MEDIUM"]
+_LABEL_SQL = """q AS (SELECT DISTINCT p_brand AS query_id FROM part),
+w AS (SELECT query_id, unnest(['small', 'widget']) AS word FROM q),
+n AS (SELECT query_id, name FROM (SELECT query_id, word, name, row_number() OVER (PARTITION BY query_id, word ORDER BY name) AS k FROM w JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(name), word)) WHERE k <= 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name) AS nn FROM (SELECT DISTINCT query_id, name FROM n)),
+l AS (SELECT query_id, p_partkey AS id, p_name AS name, p_type AS section, nn, list_position(['ECONOMY', 'SMALL', 'LARGE', 'STANDARD', 'PROMO', 'MEDIUM'], p_type) AS pos FROM part JOIN o ON name = p_name WHERE nn <= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY pos, id) AS r FROM l WHERE pos BETWEEN 1 AND 5)"""
+
+
+@query("label_direct_lookup", f"WITH {_LABEL_SQL} SELECT query_id, id, name, section, row_number() OVER (PARTITION BY query_id ORDER BY nn, pos, id) AS rank FROM r WHERE r <= 4")
+def label_direct_lookup(spark, d):
+    """Brands as questions, part names as labels, part types as sections."""
+    questions = table(spark, d, "part").select(F.col("p_brand").alias("query_id"), F.lit("small widget, of x").alias("text")).distinct()
+    return Lb.direct_lookup(questions, _labels(spark, d), sections=_SECTIONS, hints=((["no such word"], "ECONOMY"),))
+
+
+@query("label_augment", r"""WITH f AS (SELECT p_brand AS query_id, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, p_name AS content FROM part WHERE p_type = 'ECONOMY'),
+m AS (SELECT query_id, lower(p) AS key, count(*) AS w FROM (SELECT query_id, id, unnest(list_distinct(regexp_extract_all(lower(content), '\b(small ring|red widget|blue bolt)\b', 1))) AS p FROM f) GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, key) AS n FROM m),
+a AS (SELECT query_id, n, p_partkey AS id, row_number() OVER (PARTITION BY query_id, key ORDER BY p_partkey) AS r FROM b JOIN part ON p_name = key AND p_type = 'SMALL' WHERE n <= 5)
+SELECT query_id, id, rank, false AS added FROM f UNION ALL SELECT a.query_id, a.id, x.m + row_number() OVER (PARTITION BY a.query_id ORDER BY n, a.id), true FROM a JOIN (SELECT query_id, max(rank) AS m FROM f GROUP BY 1) x USING (query_id) WHERE r <= 8""".replace("\\\\", "\\"))
+def label_augment(spark, d):
+    w = W.partitionBy("p_brand").orderBy("p_partkey")
+    found = table(spark, d, "part").where("p_type = 'ECONOMY'").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("id"), F.row_number().over(w).alias("rank"), F.col("p_name").alias("content"))
+    return Lb.augmented(found, _labels(spark, d), ["small ring", "red widget", "blue bolt"], sections=["SMALL"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import scalars as S, text as X
+from ..functions import display as Dsp, scalars as S, text as X
 from ..operators import chunking as K
 from ..sources import html as H
 from .base import query, table
@@ -235,3 +235,36 @@ def font_headings(spark, d):
     single = counted.groupBy("p_brand").count().where("count = 1").select("p_brand")
     spans = p.join(single, "p_brand").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("size"), F.col("p_name").alias("text"))
     return K.font_sections(spans).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_heading").cast("long")).alias("headings"))
+
+
+@query("authority_rank", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS rank FROM supplier")
+def authority_rank(spark, d):
+    k = F.col("s_suppkey") % 4
+    body = F.when(k == 0, "NICE").when(k == 1, "The EULAR board").when(k == 2, "Ministry of Health").otherwise("Somebody")
+    return table(spark, d, "supplier").select("s_suppkey", X.authority_rank(body, F.lit("research_article")).alias("rank"))
+
+
+@query("built_chunks")
+def built_chunks(spark, d):
+    """Documents with a recommendation behind each, chunked and enriched."""
+    t = F.concat_ws(" ", F.col("text"), F.lit("We recommend 5 mg for adults twice daily; the dose is strong."), F.col("text"))
+    return K.built_chunks(docs(spark, d).select("doc_id", F.col("source").alias("title"), t.alias("text")), most=120, least=10, overlap=20)
+
+
+@query("source_pills", """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'WHO 2020' WHEN 1 THEN 'ABC' WHEN 2 THEN 'Lancet 2020' ELSE s_name[1:12] || '…' END AS pill FROM supplier""")
+def source_pills(spark, d):
+    k = F.col("s_suppkey") % 4
+    publisher = F.when(k == 0, "the who office").when(k == 1, "Association of Big Clinics (ABC)").when(k == 2, "Lancet group")
+    return table(spark, d, "supplier").select("s_suppkey", Dsp.source_pill(publisher, F.when(k % 2 == 0, 2020), F.col("s_name"), F.lit(1)).alias("pill"))
+
+
+@query("listed_boxes", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'x' || chr(10) || '- a' || chr(10) || '- ' || p_name ELSE p_name END AS text FROM part")
+def listed_boxes(spark, d):
+    t = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("x\n☐ a. ☐ "), F.col("p_name"), F.lit("."))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", Dsp.listed_boxes(t).alias("text"))
+
+
+@query("history_with_sources", """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN text || chr(10) || chr(10) || 'Referenced sources:' || chr(10) || '[1] T — P · 2020' || chr(10) || '    Content: b' ELSE text END AS content FROM conversations""")
+def history_with_sources(spark, d):
+    cits = F.when(F.col("role") == "assistant", F.array(F.struct(F.lit(1).alias("index"), F.lit("T").alias("title"), F.lit("P").alias("publisher"), F.lit(2020).alias("year"), F.lit("b").alias("body"))))
+    return table(spark, d, "conversations").select("conv_id", "turn", Dsp.with_sources(F.col("text"), cits).alias("content"))

@@ -118,6 +118,61 @@ def article_of(xml: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+def _words(e) -> str:
+    return " ".join(" ".join(e.itertext()).split()) if e is not None else ""
+
+
+def article_metadata(xml: str | None) -> dict | None:
+    """Title, identifiers, publication types, keywords (at most thirty), authors ("A, B, C et al.") and licence of an article's
+    XML; None without a title."""
+    try:
+        root = ET.fromstring(xml or "")
+    except ET.ParseError:
+        return None
+    for e in root.iter():
+        e.tag = e.tag.split("}")[-1] if isinstance(e.tag, str) else ""
+    title = _words(root.find(".//article-title"))
+    if not title:
+        return None
+    groups = [(g, g.get("kwd-group-type", "").lower()) for g in root.iter("kwd-group")]
+    subjects = [_words(s) for g in root.iter("subj-group") if g.get("subj-group-type", "").lower() in ("heading", "article-type", "publication-type") for s in g.findall("subject")]
+    types = subjects + [_words(k) for g, kind in groups if "pub" in kind for k in g.findall("kwd")]
+    controlled = [_words(k) for g, kind in groups if "mesh" in kind or "controlled" in kind for k in g.findall("kwd")]
+    free = [w for w in map(_words, root.iter("kwd")) if w[:1].isupper() and len(w.split()) <= 6]
+    people = []
+    for c in root.iter("contrib"):
+        if c.get("contrib-type") == "author":
+            surname, given = _words(c.find("name/surname")), _words(c.find("name/given-names"))
+            person = f"{surname} {''.join(w[0] for w in given.split())}".strip() if surname else _words(c.find("collab"))
+            people += [person] if person else []
+    return {
+        "title": title,
+        "doi": next((_words(a) for a in root.iter("article-id") if a.get("pub-id-type") == "doi"), ""),
+        "journal": _words(root.find(".//journal-title")),
+        "year": _words(root.find(".//pub-date/year")),
+        "authors": ", ".join(people[:3]) + (" et al." if len(people) > 3 else ""),
+        "licence": next((x.get("license-type") for x in root.iter("license") if x.get("license-type")), "open-access"),
+        "article_type": root.get("article-type", ""),
+        "pub_types": [t for t in types if t],
+        "keywords": sorted({w for w in controlled or free if w})[:30],
+    }
+
+
+def xml_metadata(articles: DataFrame, key: str, body: str) -> DataFrame:
+    """One row for each article that has a title."""
+    kind = dict(articles.dtypes)[key]
+    texts = ["title", "doi", "journal", "year", "authors", "licence", "article_type"]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, m) for k, x in zip(batch.column(key).to_pylist(), batch.column("body").to_pylist(), strict=True) if (m := article_metadata(x))]
+            columns = [pa.array([k for k, _ in rows], batch.schema.field(key).type), *[pa.array([m[c] for _, m in rows], pa.string()) for c in texts]]
+            columns += [pa.array([m[c] for _, m in rows], pa.list_(pa.string())) for c in ("pub_types", "keywords")]
+            yield pa.RecordBatch.from_arrays(columns, [key, *texts, "pub_types", "keywords"])
+
+    return articles.select(key, F.col(body).alias("body")).mapInArrow(run, f"{key} {kind}, {', '.join(f'{c} string' for c in texts)}, pub_types array<string>, keywords array<string>")
+
+
 def _rows(parse, key: str):
     def run(batches):
         for batch in batches:

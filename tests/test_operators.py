@@ -210,3 +210,25 @@ def test_ranking_edges(spark):
     assert [(r["id"], r["score"]) for r in R.knn(v, q, 4).orderBy("rank").collect()] == [(2, 1.0), (1, 0.0), (3, 0.0), (4, 0.0)]
     lists = [spark.createDataFrame(x, "query_id int, id int, rank int") for x in ([(1, 10, 1), (1, 11, 2)], [(1, 11, 1), (1, 12, 2)], [])]
     assert [r["id"] for r in R.rrf(*lists).orderBy("rank").collect()] == [11, 10, 12]
+
+
+def test_article_metadata():
+    xml = """<article article-type="review" xmlns="urn:x"><front><article-meta><article-id pub-id-type="doi">10.1/x</article-id><subj-group subj-group-type="heading"><subject>Review</subject></subj-group>
+    <title-group><article-title>On <i>salt</i></article-title></title-group><contrib contrib-type="author"><name><surname>Doe</surname><given-names>Ann B</given-names></name></contrib>
+    <contrib contrib-type="author"><name><surname>Roe</surname></name></contrib><contrib contrib-type="author"><collab>The Group</collab></contrib><contrib contrib-type="author"><name><surname>Poe</surname></name></contrib>
+    <pub-date><year>2020</year></pub-date><license license-type="cc"/><kwd-group kwd-group-type="mesh"><kwd>Salts</kwd><kwd>Salts</kwd></kwd-group></article-meta></front></article>"""
+    got = H.article_metadata(xml)
+    assert got["title"] == "On salt" and got["authors"] == "Doe AB, Roe, The Group et al." and got["doi"] == "10.1/x" and got["year"] == "2020"
+    assert got["pub_types"] == ["Review"] and got["keywords"] == ["Salts"] and got["licence"] == "cc" and got["article_type"] == "review"
+    assert H.article_metadata("<a/>") is None and H.article_metadata(None) is None and H.article_metadata("x <") is None
+
+
+def test_clinical(spark):
+    f = lambda k, t: one(spark, X.is_clinical(F.array(*map(F.lit, k)), F.lit(t)))
+    assert f(["Mice"], "On salt") is False and f(["Mice"], "Human salt") is True and f(["x"], "Veterinary salt") is False and f(["x"], "Salt") is True
+
+
+def test_markdown():
+    from corpusmill.functions.display import markdown
+
+    assert markdown({"run_id": "r", "latency": {"p50": 1}}) == "# Report r\n\n## latency\n| Metric | Value |\n| --- | --- |\n| p50 | 1 |\n"
