@@ -204,17 +204,17 @@ def group_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 8
     met = nodes.select("node", F.explode("bands").alias("key"))
     # Sums are written before they are joined: only joins of two plain exchanges have their skewed partitions split.
     full = scratch.save(met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
-    met = scratch.save(met.join(full, "key"), "met")
+    met = scratch.save(met.join(sized(full), "key"), "met")
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
     best = scratch.save(met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best")).select("key", F.col("best.node").alias("pivot")), "best")
-    pairs = scratch.save(met.join(best, "key").where("node != pivot").select("pivot", "node").distinct(), "pairs")
+    pairs = scratch.save(met.join(sized(best), "key").where("node != pivot").select("pivot", "node").distinct(), "pairs")
     scratch.drop("met", "full", "best")
 
     needed = pairs.select("node").union(pairs.select("pivot")).distinct()
     where = scratch.save(nodes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("th").alias("t")), "needed")
     texts = source.join(sized(where), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
     texts = scratch.save(texts.select("node", "text"), "texts")
-    seen = pairs.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    seen = texts.join(sized(pairs), "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
     star = scratch.save(seen.select("pivot", "node", "text", "pivot_text").mapInArrow(_verify(shingle), "pivot binary, node binary, inter long, union long").distinct(), "star")
     linked = F.col("inter") * 100 >= F.col("union") * percent
     found = star.where(linked).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
@@ -262,7 +262,7 @@ def _rest(star: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, per
     one = members.join(meet, ["pivot", "cut", "sub"]).select(*key, "node", "linked", F.lit(0).alias("side"))
     second = meet.where("cut2 != cut or sub2 != sub").select("pivot", F.col("cut").alias("cut1"), F.col("sub").alias("sub1"), F.col("cut2").alias("cut"), F.col("sub2").alias("sub"))
     two = members.join(second, ["pivot", "cut", "sub"]).select("pivot", F.col("cut1").alias("cut"), F.col("sub1").alias("sub"), F.col("cut").alias("cut2"), F.col("sub").alias("sub2"), "node", "linked", F.lit(1).alias("side"))
-    dealt = scratch.save(one.union(two), "dealt").join(texts, "node")
+    dealt = texts.join(sized(scratch.save(one.union(two), "dealt")), "node")
     return scratch.save(dealt.groupBy(*key).applyInPandas(_block_links(shingle, percent), "a binary, b binary").distinct(), "rest")
 
 
