@@ -171,9 +171,24 @@ NON_CLINICAL = [
 CLINICAL = ["patient", "clinical", "guideline", "human", "treatment", "diagnosis"]
 # Abbreviations, replaced in this order.
 ABBREVIATIONS = {
-    "ARV": "antiretroviral", "ARVs": "antiretroviral", "ART": "antiretroviral therapy", "TB": "tuberculosis", "PPH": "postpartum haemorrhage", "SAM": "severe acute malnutrition",
-    "COPD": "chronic obstructive pulmonary disease", "UTI": "urinary tract infection", "HTN": "hypertension", "DM": "diabetes mellitus", "CKD": "chronic kidney disease", "DVT": "deep vein thrombosis",
+    "ARV": "antiretroviral", "ARVs": "antiretroviral", "ART": "antiretroviral therapy", "TB": "tuberculosis", "MDR-TB": "multidrug resistant tuberculosis", "PPH": "postpartum haemorrhage",
+    "PE": "pre-eclampsia", "SAM": "severe acute malnutrition", "COPD": "chronic obstructive pulmonary disease", "CAP": "community acquired pneumonia", "UTI": "urinary tract infection",
+    "RDS": "respiratory distress syndrome", "HTN": "hypertension", "DM": "diabetes mellitus", "T2DM": "type 2 diabetes", "ACS": "acute coronary syndrome", "HF": "heart failure",
+    "PPROM": "preterm premature rupture membranes", "PROM": "premature rupture membranes", "IgAN": "IgA nephropathy", "CKD": "chronic kidney disease", "GDM": "gestational diabetes",
+    "PIH": "pregnancy induced hypertension", "APH": "antepartum haemorrhage", "PID": "pelvic inflammatory disease", "STI": "sexually transmitted infection", "SLE": "systemic lupus erythematosus",
+    "RA": "rheumatoid arthritis", "OA": "osteoarthritis", "NEC": "necrotising enterocolitis", "IVH": "intraventricular haemorrhage", "BPD": "bronchopulmonary dysplasia",
+    "ROP": "retinopathy of prematurity", "AKI": "acute kidney injury", "DKA": "diabetic ketoacidosis", "AFI": "amniotic fluid index", "FGR": "fetal growth restriction",
+    "IUGR": "intrauterine growth restriction", "GBS": "group B streptococcus", "PCOS": "polycystic ovary syndrome", "CVD": "cardiovascular disease", "AVN": "avascular necrosis",
+    "DVT": "deep vein thrombosis", "VTE": "venous thromboembolism",
 }
+# Words of questions that no document is searched for.
+QUERY_STOP = [
+    "when", "what", "how", "why", "where", "which", "who", "whom", "should", "would", "could", "can", "may", "might", "must", "shall", "used", "use", "given", "give", "prescribed", "prescribe",
+    "have", "has", "had", "been", "being", "does", "doing", "want", "need", "like", "find", "instead", "versus", "compared", "from", "with", "without", "about", "above", "after", "before", "during",
+    "between", "into", "onto", "upon", "also", "then", "thus", "iv", "im", "sc", "po", "od", "bd", "tds", "qds", "patient", "patients", "year", "years", "old", "aged", "age", "male", "female",
+    "woman", "women", "man", "men", "boy", "girl", "para", "gravida", "parity", "weeks", "days", "months", "trimester", "gestation", "gestational", "presenting", "presented", "presents",
+    "presentation", "complains", "complaining", "complained", "complaint", "noticed", "developed", "diagnosed", "known", "history", "background", "baseline", "current", "recent",
+]
 PHRASE_STOP = ["what", "when", "where", "which", "how", "why", "who", "did", "does", "the", "and", "for", "from", "with", "show", "shows", "trial", "study", "patient", "patients"]
 SUGGESTION_STOP = [
     "what", "which", "should", "would", "could", "given", "after", "before", "during", "about", "these", "their", "there", "where", "when", "while", "since", "until", "other", "first", "second",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
+from ..functions import vocabulary as V
 from ..operators import labels as Lb, retrieval as R
 from .base import query, table
 
@@ -140,9 +141,12 @@ def fts_source_concat(spark, d):
     return R.concatenated(*lists)
 
 
-@query("query_normalise", r"""SELECT item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[?.,!;:()\[\]/+]', ' ', 'g'), '\s+'), lambda w: len(w) >= 3 AND w NOT IN ('the', 'and', 'from', 'with', 'that') AND NOT regexp_matches(w, '^[0-9]+$')), ' ') AS terms FROM benchmark""")
+STOP = ", ".join(f"'{w}'" for w in V.QUERY_STOP)
+
+
+@query("query_normalise", rf"""SELECT item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[?.,!;:()\[\]/+]', ' ', 'g'), '\s+'), lambda w: len(w) >= 3 AND w NOT IN ({STOP}) AND NOT regexp_matches(w, '^[0-9]+$')), ' ') AS terms FROM benchmark""")
 def query_normalise(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(R.query_terms(F.col("text"), ["the", "and", "from", "with", "that"]), " ").alias("terms"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(R.query_terms(F.col("text"), V.QUERY_STOP), " ").alias("terms"))
 
 
 @query("phrase_lookup", """WITH p AS (SELECT item_id AS query_id, text AS phrase FROM benchmark)

@@ -232,3 +232,12 @@ def test_markdown():
     from corpusmill.functions.display import markdown
 
     assert markdown({"run_id": "r", "latency": {"p50": 1}}) == "# Report r\n\n## latency\n| Metric | Value |\n| --- | --- |\n| p50 | 1 |\n"
+
+
+def test_question_to_terms(spark):
+    from corpusmill.functions.vocabulary import ABBREVIATIONS, QUERY_STOP
+
+    c = R.query_terms(F.regexp_replace(R.expand(F.col("t"), ABBREVIATIONS), "-", " "), QUERY_STOP)
+    assert one(spark, c, t="What dose of ART should a patient with TB (aged 30) have?") == ["dose", "antiretroviral", "therapy", "tuberculosis"]
+    assert one(spark, c, t="MDR-TB, 10mg")[:2] == ["mdr", "tuberculosis"]  # the shorter form comes first
+    assert one(spark, c, t="what who 12") == []
