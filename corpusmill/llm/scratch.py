@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir where it is set; else a temporary folder in local mode, and the warehouse on a cluster."""
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir", None):
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return folder.rstrip("/")
+    conf = spark.sparkContext.getConf()
     if conf.get("spark.master", "").startswith("local[") or conf.get("spark.master", "") == "local":
         if not hasattr(shared_folder, "local"):
             shared_folder.local = tempfile.mkdtemp(prefix="corpusmill-")
