@@ -6,7 +6,8 @@ from corpusmill.llm import scratch
 def test_folder_comes_from_the_session(spark):
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://x/shared/"))
     assert scratch.shared_folder(named) == "hdfs://x/shared"
-    assert "corpusmill-" in scratch.shared_folder(spark)
+    local = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(getConf=lambda: {"spark.master": "local[2]"}, getCheckpointDir=lambda: None))
+    assert "corpusmill-" in scratch.shared_folder(local)
     cluster = SimpleNamespace(getConf=lambda: {"spark.master": "yarn"}, getCheckpointDir=lambda: None)
     unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: {"spark.sql.warehouse.dir": "hdfs://w"}.get(key, default)), sparkContext=cluster)
     assert scratch.shared_folder(unnamed) == "hdfs://w/_scratch"
