@@ -25,10 +25,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector is 0, of another length, or null."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
+    product = norm(a) * norm(b)
+    return F.when((F.size(a) == F.size(b)) & (product > 0), dot(a, b) / product).otherwise(F.lit(0.0))
 
 
 def decode_vector(c: Column) -> Column:
@@ -42,8 +46,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, floor: float | None =
     parts = []
     for block in range(max(1, -(-n // BLOCK))):
         some = queries if n <= BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == block)
-        pairs = vectors.join(F.broadcast(some.select("query_id", F.col("embedding").alias("_q"))), how="cross")  # a stated query set, in blocks
-        scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("_q")), digits).alias("score"))
+        asked = some.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"))
+        pairs = vectors.withColumn("_n", norm(F.col("embedding"))).join(F.broadcast(asked), how="cross")  # a stated query set, in blocks
+        product = F.col("_n") * F.col("_nq")
+        score = F.when((F.size("embedding") == F.size("_q")) & (product > 0), dot(F.col("embedding"), F.col("_q")) / product).otherwise(F.lit(0.0))
+        scored = pairs.select("query_id", "id", F.round(score, digits).alias("score"))
         scored = scored if floor is None else scored.where(F.col("score") >= floor)
         local = W.partitionBy("query_id", "_part").orderBy(F.desc("score"), "id")  # each part's own best k, before all meet
         best = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).withColumn("_k", F.row_number().over(local)).where(F.col("_k") <= k)
