@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL, "op9_containment": decontamination.ORACLE_SQL}
+    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op6_column_suffixes": suffix_dedup.ORACLE_SQL, "op8_host_rules": host_rules.ORACLE_SQL, "op9_containment": decontamination.ORACLE_SQL}

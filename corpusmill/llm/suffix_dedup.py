@@ -327,3 +327,16 @@ def without_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id
     kept = found.mapInArrow(_texts, f"row {found.schema['row'].dataType.simpleString()}, text string")
     columns = [F.when(~F.col("row._null_text"), F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
     return kept.select(*columns)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT k, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT k, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+j AS (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM (SELECT k, min(i) AS a, max(i) + 400 AS b FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS island FROM j) GROUP BY k, island)),
+c AS (SELECT k, count(*) AS spans, sum(b - a) AS removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM s JOIN d USING (k) GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (k)
+"""
