@@ -251,9 +251,10 @@ def _rest(star: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, per
     open_ = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum((~F.col("linked")).cast("int")).alias("outside"), F.sum("n").alias("total"))
     open_ = scratch.save(open_.where("outside > 0 and members > 1").select("pivot", "total"), "open")
     step = 1.95 / (1 - percent / 100) if percent < 100 else 1.0  # distances that may link differ by less than two steps
-    members = members.join(open_, "pivot").withColumn("cut", F.when(F.col("total") <= BLOCK, 0).otherwise(F.floor(F.col("d") * step)).cast("int"))
-    cuts = members.groupBy("pivot", "cut").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("subs"), F.min("linked").alias("all_linked"))
-    members = members.join(cuts.select("pivot", "cut", "subs"), ["pivot", "cut"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
+    members = members.join(sized(open_), "pivot").withColumn("cut", F.when(F.col("total") <= BLOCK, 0).otherwise(F.floor(F.col("d") * step)).cast("int"))
+    members = scratch.save(members, "members")
+    cuts = scratch.save(members.groupBy("pivot", "cut").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("subs"), F.min("linked").alias("all_linked")), "cuts")
+    members = members.join(sized(cuts.select("pivot", "cut", "subs")), ["pivot", "cut"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
     blocks = cuts.select("pivot", "cut", "all_linked", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     other = blocks.select("pivot", F.col("cut").alias("cut2"), F.col("sub").alias("sub2"), F.col("all_linked").alias("all_linked2"))
     meet = blocks.join(other, "pivot").where("(cut2 > cut or cut2 = cut and sub2 >= sub) and cut2 - cut <= 2 and not (all_linked and all_linked2)")
