@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -48,7 +49,8 @@ def _delete(path: str) -> None:
 @atexit.register
 def _delete_left() -> None:
     while _LEFT:
-        _delete(_LEFT.pop())
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            _delete(_LEFT.pop())
 
 
 class Scratch:

@@ -73,6 +73,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, data).count() > 100
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_rows(spark, odd, number):
+    name, stage = corpus_pipeline.STAGES[number]
+    out = stage(spark, odd, "/root/testdata/sf0.001")
+    rows = out.collect()
+    assert len(rows) <= odd.count() and {str(r["doc_id"]) for r in rows} <= {str(r["doc_id"]) for r in odd.collect()}
+    assert out.columns == odd.columns if number < 4 else all(r["lossless"] or r["ids"] is None for r in rows)
+    assert stage(spark, odd.limit(0), "/root/testdata/sf0.001").collect() == []
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "nothing"), (3, "https://A.Example.org/es/x?q=/en/1"), (4, "http://example.org/en/13"), (5, "http://example.org/en/2"), (6, "http://x.com/fr/1"), (7, "http://x.com/de/"), (8, "http://x.net/de/1#f"), (9, "http://org"), (10, "http://badexample.org/es/"), (11, "http://org/")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "label": F.lit(3)})
