@@ -8,9 +8,11 @@ equally likely. A shorter context counts a symbol once for each longer context t
 the longer ones did not know. As contexts are nested, what is excluded depends on the longer context alone, so the code length of a byte is
 a few lookups, done for whole batches.
 
-The trie that scorers hold keeps the strings whose counts reach a power of two, the least with which each order has at most
-NODES of them; order 0 is whole. Word counts are whole however many there are: scorers hold the most frequent words (at most
-WORDS), and the rest meet their counts in a join.
+The trie is whole however many strings it has (a caller may bound each order by `nodes`). It is dealt out by the two symbols
+before the newest: what the coding of a string looks up at orders from 2 up shares them, and orders 0 and 1 have a fixed size
+and are sent to all. So each distinct string of the texts is coded once, in its part of the trie. Scorers hold the code lengths
+of the most frequent strings (at most CODES), and the rest meet theirs in a join. Word counts are whole in the same way:
+scorers hold the most frequent words (at most WORDS), and the rest meet their counts in a join.
 
 Defined cases: null text is empty, its only token is the end; a null id counts as the empty string; without training texts all
 counts are 0 and each symbol of a text is coded with 1 / 257; repeated rows each train and each get a row. Words are told
@@ -32,8 +34,10 @@ from . import textvec as tv
 from .scratch import Scratch
 
 ORDER = 5
-NODES = 500_000
+CODES = 2_000_000
 WORDS = 65_536
+#: Strings of the dealt trie, and asked ones, in a part.
+PART = 500_000
 #: Bytes that are scored at once, and distinct keys that a counting task holds.
 CHUNK, HELD = 1 << 19, 2_000_000
 END, START, ALPHABET = 256, 257, 257
@@ -170,74 +174,118 @@ class Trie:
         return out
 
 
-class Counts:
-    """The kept strings and counts of each order: what travels. Workers build the trie from it once."""
+def _sorted(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = part["key"].to_numpy().view(np.uint64)
+    at = np.argsort(keys)
+    return keys[at], part["m"].to_numpy()[at]
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.tables, self.built = tables, None
 
-    def trie(self) -> Trie:
-        if self.built is None:
-            self.built = Trie(self.tables)
-        return self.built
+def _code(low, order):
+    """log10 of the asked strings (level -1) of a part, by the part's strings of the orders from 2 up and all of low."""
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        level = rows["level"].to_numpy()
+        asked = rows.filter(pa.array(level < 0))
+        if not len(asked):
+            return
+        trie = Trie(low.value + [_sorted(rows.filter(pa.array(level == k))) for k in range(len(low.value), order + 1)])
+        for batch in asked.to_batches(100_000):
+            code = trie.log10(batch.column("key").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("m"), pa.array(code)], ["key", "n", "code"])
+
+    return run
 
 
-def train(source: DataFrame, scratch: Scratch, order: int = ORDER, nodes: int = NODES) -> Counts:
-    """The trie's counts of source's texts (column text, bytes)."""
+def codes(source: DataFrame, scratch: Scratch, order: int = ORDER, nodes: int | None = None) -> DataFrame:
+    """key, n, code: each distinct string of order + 1 symbols of source's texts (column text, bytes), how often it occurs, and
+    the log10 probability of its newest symbol by the trie of the texts that are not held out."""
     if not 0 <= order <= MOST_ORDER:
         raise ValueError(f"order is 0 to {MOST_ORDER}")
-    counted = source.select("text").mapInArrow(_count("text", lambda data, offsets: grams(data, offsets, order)[0]), _GRAM)
-    tables = [scratch.save(counted.groupBy("key").agg(F.sum("n").alias("n")).withColumn("m", F.col("n")), f"grams-{order}")]
+    count = lambda df: df.select("text").mapInArrow(_count("text", lambda data, offsets: grams(data, offsets, order)[0]), _GRAM)
+    training, rest = count(source.where(~F.col("held_out"))), count(source.where(F.col("held_out")))
+    every = training.withColumn("all", F.col("n")).union(rest.select("key", F.lit(0).cast("long"), "n"))
+    every = scratch.save(every.groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all")), "grams")
+    tables = [every.where(F.col("n") > 0).select("key", "n", F.col("n").alias("m"))]
     for k in range(order - 1, -1, -1):
         key = F.col("key").bitwiseAND(F.lit((1 << (9 * (k + 1))) - 1))
         tables.append(scratch.save(tables[-1].groupBy(key.alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")), f"grams-{k}"))
     tables.reverse()
-    least = max([1, *[_least_power(t, nodes) for t in tables[1:]]])
-    held = []
-    for k, t in enumerate(tables):
-        scratch.release()
-        part = (t.where(F.col("n") >= least) if k and least > 1 else t).select("key", "m").toArrow()  # at most nodes rows; order 0: 257
-        keys = part["key"].to_numpy().view(np.uint64)
-        at = np.argsort(keys)
-        held.append((keys[at], part["m"].to_numpy()[at].astype(np.uint32 if k else np.int64)))
-    return Counts(held)
-
-
-def _score(trie, words):
+    if nodes is not None:
+        least = max([1, *[_least_power(t, nodes) for t in tables[1:]]])
+        tables[1:] = [t.where(F.col("n") >= least) for t in tables[1:]]
+    scratch.release()
+    low = source.sparkSession.sparkContext.broadcast([_sorted(t.select("key", "m").toArrow()) for t in tables[:2]])  # 257 and 66,306 rows at most
+    rows = every.select(F.lit(-1).alias("level"), "key", F.col("all").alias("m"))
+    for k, t in enumerate(tables[2:], 2):
+        rows = rows.union(t.select(F.lit(k), "key", "m"))
+    before = F.shiftright("key", 9).bitwiseAND(F.lit((1 << 18) - 1))  # the two symbols before the newest
+    parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every.count() // PART))
+    return scratch.save(rows.repartition(parts, before).mapInArrow(_code(low, order), "key long, n long, code double"), "codes")
+
+
+class Table:
+    """Keys and their values: what travels. Workers build the lookup from it once; the value of what it lacks is 0."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.lookup = keys, np.append(values, 0.0), None
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the value of each key, is it known)."""
+        if self.lookup is None:
+            self.lookup = tv.Lookup(self.keys)
+        at = self.lookup.find(keys)
+        return self.values[at], at >= 0
+
+
+def _lists(keys, wanted, first):
+    """The wanted keys of each text."""
+    at = np.flatnonzero(wanted)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first).astype(np.int32)), pa.array(keys[at].view(np.int64)))
+
+
+def _score(codes, words, order):
     def run(batches):
-        model, (keys, logs) = trie.value.trie(), words.value
-        frequent = tv.Lookup(keys)
-        order = model.order
+        coded, frequent = codes.value, words.value
         for batch in batches:
             data, offsets = tv.bytes_of(batch.column("text"))
             rid, doc_id, out = batch.column("rid"), batch.column("doc_id"), batch.column("held_out")
             for a, b in tv.chunks(offsets, CHUNK):
                 part = offsets[a : b + 1]
                 packed, begin = grams(data, part, order)
-                score = np.add.reduceat(model.log10(packed), begin)
+                code, there = coded.find(packed)
+                score = np.add.reduceat(code, begin)
                 h, first = tv.words(data, part)
-                at = frequent.find(h)
-                known = at >= 0
-                sums = np.append(np.cumsum(np.where(known, logs[at], 0.0)), 0.0)
+                log, known = frequent.find(h)
+                sums = np.append(np.cumsum(log), 0.0)
                 sums = np.where(first > 0, sums[first - 1], 0.0)
                 count = np.concatenate([[0], np.cumsum(known)])[first]
-                rare = np.flatnonzero(~known)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(h[rare].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [rid.slice(a, b - a), doc_id.slice(a, b - a), out.slice(a, b - a), pa.array(np.diff(first) + 1), pa.array(np.diff(count)), pa.array(np.diff(sums)), pa.array(score), lists],
-                    ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                    [rid.slice(a, b - a), doc_id.slice(a, b - a), out.slice(a, b - a), pa.array(np.diff(first) + 1), pa.array(np.diff(count)), pa.array(np.diff(sums)), pa.array(score)]
+                    + [_lists(h, ~known, first), _lists(packed, ~there, np.append(begin, len(packed)))],
+                    ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "rare_grams"],
                 )
 
     return run
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, nodes: int = NODES, frequent: int = WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Trained on the documents not held out."""
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, nodes: int | None = None, frequent: int = WORDS, held: int = CODES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Trained on the documents not held out.
+    nodes: a bound on the trie's strings of each order; by default there is none. frequent, held: words and strings that scorers
+    hold; the rest are joined."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), held_out(F.col(id_col)).alias("held_out"))
     training = source.where(~F.col("held_out"))
-    trie = train(training, scratch, order, nodes)
+    coded = codes(source, scratch, order, nodes)
+    seldom = _least_power(coded, held)
+    top = coded.where(F.col("n") >= seldom).select("key", "code").toArrow()  # at most `held` rows
+    table = Table(top["key"].to_numpy().view(np.uint64), top["code"].to_numpy())
+    share = [spark.sparkContext.broadcast(table)]
+    del top, table
     scratch.release()
     words = scratch.save(training.select("text").mapInArrow(_count("text", _tokens), _GRAM).groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -245,26 +293,25 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     top = words.where(F.col("n") >= least).toArrow()  # at most `frequent` rows
     end = words.where(F.col("key") == F.lit(int(END_TOKEN))).select("n").first()
     end_log = math.log10((end["n"] if end else 0) + 0.5)
-    table = (top["key"].to_numpy().view(np.uint64), np.log10(top["n"].to_numpy() + 0.5)) if len(top) else (np.zeros(0, np.uint64), np.zeros(1))
-    share = [spark.sparkContext.broadcast(x) for x in (trie, table)]
-    del trie, table, top
-    scratch.release()
+    share.append(spark.sparkContext.broadcast(Table(top["key"].to_numpy().view(np.uint64), np.log10(top["n"].to_numpy() + 0.5))))
     seen = source.withColumn("rid", F.monotonically_increasing_id())
-    seen = seen.mapInArrow(_score(*share), "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>")
+    seen = seen.mapInArrow(_score(*share, order), "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, rare_grams array<long>")
     scored = scratch.save(seen, "scored")
-    # Only words below the frequent ones move; the others were summed where they stood.
+    # Only words and strings below the frequent ones move; the others were summed where they stood.
     rare = scored.select("rid", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key", "left")
     rare = rare.groupBy("rid").agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rare_logs"))
+    seldom_codes = scored.select("rid", F.explode("rare_grams").alias("key")).join(coded.where(F.col("n") < seldom), "key")
+    seldom_codes = seldom_codes.groupBy("rid").agg(F.sum("code").alias("rare_codes"))
     norm = math.log10(total + 0.5 * (distinct + 1))
     has_end = F.lit(1 if end else 0)
-    return scored.drop("rare").join(rare, "rid", "left").select(
+    return scored.drop("rare", "rare_grams").join(rare, "rid", "left").join(seldom_codes, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0)) + has_end).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_codes", F.lit(0.0))).alias("score"),
     )
 
 

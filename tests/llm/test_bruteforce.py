@@ -164,6 +164,17 @@ def test_ppm(spark, order, nodes, frequent, least):
     assert sorted(got, key=str) == ppm_restated(rows, order, least)
 
 
+@pytest.mark.parametrize(("order", "held"), [(0, 5), (1, 40), (3, 10), (5, 1), (6, 200)])
+def test_ppm_of_all_contexts(spark, monkeypatch, order, held):
+    """Every context of the training texts counts, however few strings scorers hold and however small the parts are."""
+    monkeypatch.setattr(ppm, "PART", 50)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcA é\n") for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(77, None), (78, ""), (None, "abc abc"), (5, "xyz"), (5, "xyz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in map(tuple, ppm.score_documents(df, order=order, held=held, frequent=3).collect())]
+    assert sorted(got, key=str) == ppm_restated(rows, order)
+
+
 def test_ppm_in_chunks(spark, monkeypatch):
     """A batch of several chunks counts as one of one chunk."""
     texts = ["some words of a text", "more of it", "", "a text of some more words"]
