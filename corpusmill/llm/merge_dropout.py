@@ -2,13 +2,13 @@
 
 A text is cut into segments (spaces and what follows them; no piece of the model reaches over such a cut, which is checked on
 loading). In a segment the best-scored mergeable pair merges first, the leftmost of equals, as an agenda would pop it. A
-candidate merge is skipped where a keyed hash of seed, variant, segment and the candidate's place falls below the dropout
-rate; it stays skipped until one of its two sides has changed, when it is another candidate. The variant of a segment is a
-keyed hash of seed, document id and the segment's number modulo VARIANTS, so equal words of a text are cut in different ways,
-and equal seeds give equal ids on any cluster.
+candidate merge is skipped where a keyed hash of seed, document id, the segment's number, segment and the candidate's place falls
+below the dropout rate; it stays skipped until one of its two sides has changed, when it is another candidate. So each
+occurrence of a word is cut by itself, and equal seeds give equal ids on any cluster.
 
-Distinct (segment, variant) pairs of a batch are merged together, one merge of each in a round, as arrays; segments of more
-than WIDE symbols take an agenda of their own. Spaces are the model's U+2581; a U+2581 of the text itself, and characters
+Distinct segments of a batch are merged together without dropout, one merge of each in a round, as arrays, and their candidates
+kept; occurrences that skip none of these have that result. The others are merged together too, each by its own key. Segments
+of more than WIDE symbols take an agenda of their own. Spaces are the model's U+2581; a U+2581 of the text itself, and characters
 without a piece, become bytes; so decode() gives back every text.
 
 Defined cases: null text has null ids; empty text has no ids; a null id counts as the empty string; repeated rows get equal
@@ -29,6 +29,7 @@ from . import textvec as tv
 #: A public model; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Keys of a segment where encode_chunk() is asked to bound them; encode() does not.
 VARIANTS = 8
 WIDE = 64
 CHUNK = 1 << 20
@@ -99,9 +100,9 @@ def _skipped(key: np.ndarray, a, b, c, rate: int) -> np.ndarray:
     return tv.mix(key ^ tv.mix(place + tv.GOLDEN)) < U(rate)
 
 
-def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All segments of up to WIDE symbols at once. ids: n x width, sizes and keys by row. The final ids, one after another, and
-    their number by row."""
+    their number by row. seen: takes the candidates, as arrays of rows and three columns."""
     n, width = ids.shape
     col = np.arange(width)
     nxt = np.broadcast_to(np.minimum(col + 1, width), (n, width)).astype(np.int16).copy()
@@ -119,6 +120,8 @@ def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.nda
         at = v.find.find((ids[r, c].astype(U) << U(20)) | ids[r, right].astype(U))
         found = at >= 0
         r, c, right, at = r[found], c[found], right[found], at[found]
+        if seen is not None:
+            seen.append((r, c, right, end[r, right]))
         if rate:
             go = ~_skipped(keys[r], c, right, end[r, right], rate)
             r, c, at = r[go], c[go], at[go]
@@ -174,8 +177,61 @@ def merge_agenda(v: Vocabulary, ids: list[int], key: int, rate: int) -> list[int
     return [i for i, x in zip(ids, alive, strict=True) if x]
 
 
-def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, dropout: float, seed: int, prefix: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, one after another; where each text begins, and the end). prefix: the model's space before a text."""
+def _merged(v: Vocabulary, data, start, stop, keys, rate: int, seen: list | None = None):
+    """(ids of the segments, in some order; where each segment's begin; their numbers; the segments' symbols). seen: takes the
+    candidates; segments of more than WIDE symbols are left out then."""
+    # The segments' bytes, one after another.
+    length = stop - start
+    base = np.concatenate([[0], np.cumsum(length)])
+    flat = data[np.repeat(start - base[:-1], length) + np.arange(base[-1])]
+    ids, place = symbols(v, flat)
+    begins = np.searchsorted(place, base)
+    sizes = np.diff(begins)
+    counts, parts, order = np.zeros(len(start), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for low, high in ((0, 3), (3, 5), (5, 7), (7, 9), (9, 12), (12, 16), (16, 32), (32, WIDE)):
+        rows = np.flatnonzero((sizes > low) & (sizes <= high))
+        if len(rows):
+            grid = np.zeros((len(rows), high), np.int32)
+            inside = np.arange(high) < sizes[rows][:, None]
+            grid[inside] = ids[(begins[rows][:, None] + np.arange(high))[inside]]
+            found = None if seen is None else []
+            out, counts[rows] = merge_rounds(v, grid, sizes[rows], keys[rows], rate, found)
+            parts.append(out)
+            order.append(rows)
+            if found:
+                seen.extend((rows[r], *place) for r, *place in found)
+    for row in np.flatnonzero(sizes > WIDE) if seen is None else ():
+        out = merge_agenda(v, ids[begins[row] : begins[row + 1]].tolist(), int(keys[row]), rate)
+        counts[row] = len(out)
+        parts.append(np.array(out, np.int32))
+        order.append(np.array([row]))
+    order = np.concatenate(order)
+    where = np.zeros(len(start), np.int64)
+    where[order] = np.cumsum(counts[order]) - counts[order]
+    return np.concatenate(parts), where, counts, sizes
+
+
+def _skips(which: np.ndarray, keys: np.ndarray, seen: list, n: int, rate: int) -> np.ndarray:
+    """Does an occurrence of segment `which` (of n) skip one of the segment's candidates?"""
+    row, a, b, c = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64),) * 4
+    at = np.argsort(row, kind="stable")
+    a, b, c = a[at], b[at], c[at]
+    many = np.bincount(row, minlength=n)
+    first = np.cumsum(many) - many
+    out, left, k = np.zeros(len(which), bool), np.flatnonzero(many[which]), 0
+    while len(left):  # the k-th candidate of all that skipped none before it
+        i = first[which[left]] + k
+        skip = _skipped(keys[left], a[i], b[i], c[i], rate)
+        out[left[skip]] = True
+        k += 1
+        left = left[~skip]
+        left = left[many[which[left]] > k]
+    return out
+
+
+def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, dropout: float, seed: int, prefix: bool = True, variants: int | None = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, one after another; where each text begins, and the end). prefix: the model's space before a text. variants: at
+    most so many keys of a segment; with None each occurrence has its own."""
     rate = int(dropout * 2**64) if dropout < 1 else 2**64 - 1
     at = offsets - offsets[0]
     n = np.diff(at)
@@ -199,37 +255,19 @@ def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_keys:
     np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     word = tv.mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U))
     salt = tv.mix(np.array([seed], U) + tv.GOLDEN)
-    variant = tv.mix(tv.mix(doc_keys.astype(U)[text] ^ salt) + number.astype(U)) % U(VARIANTS) if rate else np.zeros(len(start), U)
-    key = tv.mix(word ^ tv.mix(variant + salt))
-    key, one, which = np.unique(key, return_index=True, return_inverse=True)
-    # The distinct segments' bytes, one after another.
-    length = (stop - start)[one]
-    base = np.concatenate([[0], np.cumsum(length)])
-    flat = data[np.repeat(start[one] - base[:-1], length) + np.arange(base[-1])]
-    ids, place = symbols(v, flat)
-    begins = np.searchsorted(place, base)
-    sizes = np.diff(begins)
-    counts, parts = np.zeros(len(key), np.int64), []
-    order = []
-    for low, high in ((0, 3), (3, 5), (5, 7), (7, 9), (9, 12), (12, 16), (16, 32), (32, WIDE)):
-        rows = np.flatnonzero((sizes > low) & (sizes <= high))
-        if len(rows):
-            grid = np.zeros((len(rows), high), np.int32)
-            inside = np.arange(high) < sizes[rows][:, None]
-            grid[inside] = ids[(begins[rows][:, None] + np.arange(high))[inside]]
-            out, counts[rows] = merge_rounds(v, grid, sizes[rows], key[rows], rate)
-            parts.append(out)
-            order.append(rows)
-    for row in np.flatnonzero(sizes > WIDE):
-        out = merge_agenda(v, ids[begins[row] : begins[row + 1]].tolist(), int(key[row]), rate)
-        counts[row] = len(out)
-        parts.append(np.array(out, np.int32))
-        order.append(np.array([row]))
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(len(n) + 1, np.int64)
-    pool, order = np.concatenate(parts), np.concatenate(order)
-    where = np.zeros(len(key), np.int64)
-    where[order] = np.concatenate([[0], np.cumsum(counts[order])[:-1]])
+    variant = tv.mix(tv.mix(doc_keys.astype(U)[text] ^ salt) + number.astype(U))
+    key = tv.mix(word ^ tv.mix((variant % U(variants) if variants else variant) + salt))
+    _, one, which = np.unique(word, return_index=True, return_inverse=True)
+    seen: list | None = [] if rate else None
+    pool, where, counts, sizes = _merged(v, data, start[one], stop[one], key[one], 0, seen)
+    if rate:
+        own = np.flatnonzero((sizes > WIDE)[which] | _skips(which, key, seen, len(one), rate))
+        _, some, inverse = np.unique(key[own], return_index=True, return_inverse=True)
+        some = own[some]
+        which[own] = len(one) + inverse
+        pool_own, where_own, counts_own, _ = _merged(v, data, start[some], stop[some], key[some], rate)
+        where, counts = np.concatenate([where, len(pool) + where_own]), np.concatenate([counts, counts_own])
+        pool = np.concatenate([pool, pool_own])
     many = counts[which]
     total = np.concatenate([[0], np.cumsum(many)])
     return pool[np.repeat(where[which] - total[:-1], many) + np.arange(total[-1])], total[first]
@@ -263,7 +301,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
             for a, b in tv.chunks(offsets, CHUNK):
                 part = offsets[a : b + 1]
                 raw = data[part[0] : part[-1]]
-                ids, begin = encode_chunk(v, raw, part, keys[a:b], dropout, seed, prefix)
+                ids, begin = encode_chunk(v, raw, part, keys[a:b], dropout, seed, prefix, None)
                 null = column.slice(a, b - a).is_null()
                 flat, edges, view, out = ids.tolist(), begin.tolist(), memoryview(raw), v.output
                 at = (part - part[0]).tolist()

@@ -276,6 +276,29 @@ def test_rounds_and_agenda_agree(pieces):
         assert md.merge_rounds(v, ids[None].copy(), np.array([len(ids)]), k, rate)[0].tolist() == md.merge_agenda(v, ids.tolist(), int(k[0]), rate)
 
 
+def test_dropout_of_each_occurrence(spark):
+    df = spark.createDataFrame([(i, "internationalization") for i in range(300)], "doc_id long, text string")
+    assert len({tuple(r["ids"]) for r in md.encode(df, dropout=0.3).collect()}) > 20
+    v = md.vocabulary(open(md.MODEL, "rb").read())
+    once = spark.createDataFrame([(1, "internationalization " * 300)], "doc_id long, text string")
+    ids = md.encode(once, dropout=0.3).first()["ids"]
+    begins = [k for k, i in enumerate(ids) if v.pieces[i].startswith(md.SPACE)]
+    assert len({tuple(ids[a:b]) for a, b in itertools.pairwise(begins)}) > 20
+
+
+def test_shared_merging_is_each_occurrences_own(pieces, monkeypatch):
+    """Occurrences that share a result have the one that merging by themselves gives."""
+    v, _ = pieces
+    rng = random.Random(8)
+    texts = [*TEXTS, *(" ".join(rng.choice(["the", "internationalization", "ciónmenteas", "a" * 70, "x", "日本語", ""]) for _ in range(40)) for _ in range(30))]
+    for rate in (0.02, 0.1, 0.6):
+        got = md.encode_chunk(v, *packed(texts), np.arange(len(texts)), rate, 7, True, None)
+        with monkeypatch.context() as m:
+            m.setattr(md, "_skips", lambda which, *_: np.ones(len(which), bool))
+            alone = md.encode_chunk(v, *packed(texts), np.arange(len(texts)), rate, 7, True, None)
+        assert all(a.tolist() == b.tolist() for a, b in zip(got, alone, strict=True))
+
+
 def test_decode(spark, odd):
     got = md.decode(md.encode(odd)).collect()
     assert sorted(str(r["text"]) for r in got) == sorted(str(r["text"]) for r in odd.collect())
