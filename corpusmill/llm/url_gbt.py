@@ -1,9 +1,10 @@
 """URL verdicts: listed rules first, gradient-boosted trees on lexical features for the rest. DataFrame functions and Spark's
 own boosted trees only.
 
-The trees learn from labelled URLs: a bounded, hash-ordered sample of max_train of them. Features: lengths, depth, digit
-ratio, character entropy, parameters, and the smoothed block rates of host and file suffixes among the labelled URLs. Suffixes
-are hashed to BUCKETS buckets, so the table of rates has a fixed size however many hosts there are.
+The trees learn from labelled URLs: a bounded, hash-ordered sample of max_train distinct ones, half of each label where there
+are enough; a URL of both labels counts for each by its share. Features: lengths, depth, digit ratio, character entropy,
+parameters, and the smoothed block rates of host and file suffixes among all labelled URLs, repeated ones as often as they
+occur. The table of rates is keyed by the suffix itself and is broadcast only where it was counted to be small.
 
 Defined cases: a null url, or one without '://', has an empty host and path and fits no rule; it gets the trees' verdict like
 others. Repeated rows each get their verdict; ties between rules of equal length go to the first listed. Without labelled
@@ -18,11 +19,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, sized
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-BUCKETS = 1024
 PRIOR = 20.0
 PARTS = "(?s)://([^/?#]*)([^?#]*)"
 SUFFIXES = ("tld", "domain", "file")
@@ -58,7 +58,7 @@ def _entropy(c: Column) -> Column:
 
 
 def with_features(urls: DataFrame) -> DataFrame:
-    """Adds numeric features and one bucket for each kind of suffix. Needs columns url, host and path."""
+    """Adds numeric features and each kind of suffix. Needs columns url, host and path."""
     u, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
     query = F.regexp_extract(u, "(?s)\\?([^#]*)", 1)
@@ -79,35 +79,40 @@ def with_features(urls: DataFrame) -> DataFrame:
             "f_slash_end": path.endswith("/").cast("double"),
             "f_entropy": _entropy(u),
             "f_host_entropy": _entropy(host),
-            **{f"b_{k}": F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int") for k, c in suffix.items()},
+            **{f"s_{k}": c for k, c in suffix.items()},
         }
     )
 
 
 def suffix_rates(labelled: DataFrame) -> DataFrame:
-    """kind, bucket, rate: at most len(SUFFIXES) * BUCKETS rows."""
-    long = labelled.select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"b_{k}").alias("bucket")) for k in SUFFIXES])).alias("s"))
-    return long.groupBy("s.kind", "s.bucket").agg(((F.sum("label") + PRIOR / 2) / (F.count(F.lit(1)) + PRIOR)).alias("rate"))
+    """kind, suffix, rate. labelled: the suffixes, n (how often a URL is labelled) and blocked (how often for block)."""
+    long = labelled.select("n", "blocked", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s_{k}").alias("suffix")) for k in SUFFIXES])).alias("s"))
+    return long.groupBy("s.kind", "s.suffix").agg(((F.sum("blocked") + PRIOR / 2) / (F.sum("n") + PRIOR)).alias("rate"))
 
 
 def with_rates(urls: DataFrame, rates: DataFrame) -> DataFrame:
     for k in SUFFIXES:
-        own = rates.where(F.col("kind") == k).select(F.col("bucket").alias(f"b_{k}"), F.col("rate").alias(f"f_{k}_rate"))
-        urls = urls.join(F.broadcast(own), f"b_{k}", "left").fillna(0.5, [f"f_{k}_rate"])  # BUCKETS rows at most
+        own = rates.where(F.col("kind") == k).select(F.col("suffix").alias(f"s_{k}"), F.col("rate").alias(f"f_{k}_rate"))
+        urls = urls.join(sized(own), f"s_{k}", "left").fillna(0.5, [f"f_{k}_rate"])
     return urls
 
 
 def fit(labelled: DataFrame, scratch: Scratch, max_train: int = 10_000, trees: int = 12, depth: int = 3):
     """(model, rates), or (the only verdict, None). labelled: columns url, host, path, label (1.0: block)."""
-    labelled = with_features(labelled)
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(max_train)
-    sample = scratch.save(sample, "sample")
-    kinds = [r["label"] for r in sample.groupBy("label").count().orderBy("label").collect()]
-    if len(kinds) < 2:
-        return ("block" if kinds == [1.0] else "allow"), None
-    rates = scratch.save(suffix_rates(sample), "rates")
-    n, blocked = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
-    weight = F.when(F.col("label") == 1.0, F.lit(n / (2.0 * blocked))).otherwise(F.lit(n / (2.0 * (n - blocked))))
+    distinct = labelled.groupBy("url", "host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
+    distinct = scratch.save(distinct, "distinct")
+    of = {0.0: F.col("n") - F.col("blocked"), 1.0: F.col("blocked")}  # how often a URL has each label
+    sizes = {label: distinct.where(n > 0).count() for label, n in of.items()}
+    if not all(sizes.values()):
+        return ("block" if sizes[1.0] else "allow"), None
+    rates = scratch.save(suffix_rates(with_features(distinct)), "rates")
+    half = max_train // 2
+    taken = {label: min(sizes[label], max(half, max_train - sizes[1.0 - label])) for label in of}
+    parts = [distinct.where(n > 0).orderBy(F.xxhash64("url"), "url").limit(taken[label]).withColumns({"label": F.lit(label), "share": n / F.col("n")}) for label, n in of.items()]
+    sample = scratch.save(with_features(parts[0].union(parts[1])), "sample")
+    total = {r["label"]: r["share"] for r in sample.groupBy("label").agg(F.sum("share").alias("share")).collect()}
+    each = sum(total.values()) / 2.0
+    weight = F.col("share") * F.when(F.col("label") == 1.0, F.lit(each / total[1.0])).otherwise(F.lit(each / total[0.0]))
     train = assembled(with_rates(sample, rates)).withColumn("weight", weight)
     return GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(train), rates
 

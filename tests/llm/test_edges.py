@@ -117,3 +117,17 @@ def test_conversations(spark):
         assert [whole[a:b] for a, b in spans] == [f"t{i}<|end|>\n" for i in range(200) if ("ann" if i % 2 else "bob") == who]
         assert [got[(3, who, k)]["char_start"] for k in range(4)] == [sum(len(got[(3, who, j)]["text"]) for j in range(k)) for k in range(4)]
     assert chat_rotation.rotate(df.limit(0)).collect() == []
+
+
+def test_urls_that_repeat(spark):
+    """A URL that repeats does not fill the sample, and suffixes outside the sample have their rates."""
+    urls = [f"https://{'bad' if i % 2 else 'good'}.net/{'x' * (i % 7)}/{i}" for i in range(200)]
+    df = spark.createDataFrame([(u, int("bad" in u)) for u in urls], "url string, label int")
+    first = df.orderBy(F.xxhash64("url")).first()
+    labels = df.union(spark.createDataFrame([tuple(first)] * 300, df.schema))
+    asked = spark.createDataFrame([(1, "https://bad.net/new"), (2, "https://good.net/new")], "page_id int, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_gbt.filter_urls(asked, labels=labels, max_train=100).collect()}
+    assert got == {1: "block", 2: "allow"}
+    known = spark.createDataFrame([("https://a.net/", "a.net", "/", 3, 3.0), ("https://b.net/", "b.net", "/", 2, 0.0)], "url string, host string, path string, n long, blocked double")
+    rates = {(r["kind"], r["suffix"]): r["rate"] for r in url_gbt.suffix_rates(url_gbt.with_features(known)).collect()}
+    assert rates["domain", "a.net"] == 13 / 23 and rates["domain", "b.net"] == 10 / 22 and rates["tld", "net"] == 13 / 25
