@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: inside the lambdas of array functions, Spark would work it out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def title_case(c: Column) -> Column:
     """Upper case for the first letter of each run of letters, lower case for the rest ('ART/HIV care-plan' becomes 'Art/Hiv Care-Plan')."""
     runs = F.regexp_extract_all(F.lower(c), F.lit("(\\p{L}+|[^\\p{L}]+)"), F.lit(1))

@@ -16,39 +16,52 @@ def sentences(text: Column) -> Column:
 
 def windows(words: Column, size: int, step: int, least: int = 1) -> Column:
     """Fixed windows of words, each as a text; those of fewer than `least` words are left out."""
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    found = F.transform(starts, lambda i: F.slice(words, i + 1, F.lit(size)))
-    return F.transform(F.filter(found, lambda w: F.size(w) >= least), lambda w: F.array_join(w, " "))
+
+    def cut(w):
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, lambda i: F.least(F.lit(size), F.size(w) - i) >= least), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    return S.let(words, cut)
+
+
+def cuts(sizes: Column, most: int, overlap: int = 0) -> Column:
+    """array of struct(a, b): pieces a to b - 1 make a chunk of up to `most`, or one piece that is larger. A chunk begins with the
+    last whole pieces of the one before that fit in `overlap`. One pass over the sizes; what is appended are two numbers a chunk."""
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("n"))
+
+    def tail(first, end):
+        """(place, size) of the last pieces before end that fit in the overlap, going back from the end."""
+        open_ = F.struct(F.lit(True).alias("open"), end.alias("at"), F.lit(0).alias("n"))
+        back = lambda z, k: F.when(z["open"] & (z["n"] + F.get(sizes, k) <= overlap), F.struct(F.lit(True).alias("open"), k.alias("at"), (z["n"] + F.get(sizes, k)).alias("n"))).otherwise(F.struct(F.lit(False).alias("open"), z["at"].alias("at"), z["n"].alias("n")))
+        return F.aggregate(F.sequence(end - 1, first, F.lit(-1)), open_, back)
+
+    def step(acc, x):
+        full = (x["i"] > acc["a"]) & (acc["n"] + x["n"] > most)
+        begin = tail(acc["a"], x["i"]) if overlap else F.struct(x["i"].alias("at"), F.lit(0).alias("n"))
+        move = S.let(begin, lambda t: F.struct(F.array_append(acc["done"], F.struct(acc["a"].alias("a"), x["i"].alias("b"))).alias("done"), t["at"].alias("a"), (t["n"] + x["n"]).alias("n")))
+        return F.when(full, move).otherwise(F.struct(acc["done"].alias("done"), acc["a"].alias("a"), (acc["n"] + x["n"]).alias("n")))
+
+    last = lambda a: F.when(F.size(sizes) > a["a"], F.array_append(a["done"], F.struct(a["a"].alias("a"), F.size(sizes).alias("b")))).otherwise(a["done"])
+    return F.aggregate(F.transform(sizes, lambda n, i: F.struct(i.alias("i"), n.alias("n"))), start, step, last)
 
 
 def packed(pieces: Column, size, most: int, overlap: int = 0, joint: str = " ") -> Column:
     """Pieces joined greedily up to `most` by the measure `size`; each chunk begins with the last whole pieces of the one before
-    that fit in `overlap`."""
-    item = "struct<s:string,n:int>"
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast(f"array<{item}>").alias("buf"), F.lit(0).alias("n"))
-    total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["n"])
-    text = lambda b: F.array_join(F.transform(b, lambda x: x["s"]), joint)
-
-    def step(acc, piece):
-        new = F.struct(piece.alias("s"), size(piece).cast("int").alias("n"))
-        full = (F.size(acc["buf"]) > 0) & (acc["n"] + new["n"] > most)
-        tail = F.filter(acc["buf"], lambda x, i: total(F.slice(acc["buf"], i + 1, F.size(acc["buf"]))) <= overlap) if overlap else F.array().cast(f"array<{item}>")
-        kept = F.when(full, tail).otherwise(acc["buf"])
-        return F.struct(
-            F.when(full, F.array_append(acc["out"], text(acc["buf"]))).otherwise(acc["out"]).alias("out"),
-            F.array_append(kept, new).alias("buf"),
-            (F.when(full, total(tail)).otherwise(acc["n"]) + new["n"]).cast("int").alias("n"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda a: F.when(F.size(a["buf"]) > 0, F.array_append(a["out"], text(a["buf"]))).otherwise(a["out"]))
+    that fit in `overlap`. Sizes are measured once, and a chunk is one slice of the pieces."""
+    text = lambda p, c: F.array_join(F.slice(p, c["a"] + 1, c["b"] - c["a"]), joint)
+    by_size = lambda p: S.let(F.transform(p, lambda x: size(x).cast("int")), lambda n: cuts(n, most, overlap))
+    return S.let(pieces, lambda p: F.transform(by_size(p), lambda c: text(p, c)))
 
 
 def word_chunks(text: Column, most: int = 400, least: int = 60, overlap: int = 50) -> Column:
-    """A text of up to `most` words whole; else sentences packed with overlap, and windows of what is still too long."""
-    n = S.word_count(text)
+    """A text of up to `most` words whole; else sentences packed with overlap, of what is still too long its lines, and windows of
+    a line that is."""
+    wide = lambda p: windows(S.words(p), most, max(1, most - overlap), least)
+    by_line = lambda p: F.flatten(F.transform(packed(F.split(p, "\\n"), S.word_count, most, overlap, "\n"), lambda q: F.when(S.word_count(q) > most, wide(q)).otherwise(F.array(q))))
     parts = packed(sentences(text), S.word_count, most, overlap)
-    cut = F.flatten(F.transform(parts, lambda p: F.when(S.word_count(p) > most, windows(S.words(p), most, max(1, most - overlap), least)).otherwise(F.array(p))))
-    return F.when(n < least, F.array().cast("array<string>")).when(n <= most, F.array(text)).otherwise(F.filter(cut, lambda p: S.word_count(p) >= least))
+    cut = F.flatten(F.transform(parts, lambda p: F.when(S.word_count(p) > most, by_line(p)).otherwise(F.array(p))))
+    long = F.filter(cut, lambda p: S.word_count(p) >= least)
+    return S.let(S.word_count(text), lambda n: F.when(n < least, F.array().cast("array<string>")).when(n <= most, F.array(text)).otherwise(long))
 
 
 def sentence_chunks(text: Column, most: int, size=S.word_count) -> Column:
@@ -56,10 +69,12 @@ def sentence_chunks(text: Column, most: int, size=S.word_count) -> Column:
 
 
 def paragraph_chunks(text: Column, most: int = 600, target: int = 400, overlap: int = 50, size=S.word_count, split: str = "\\n{2,}") -> Column:
-    """Paragraphs packed to target; one longer than most is packed by sentences of its own. The overlap is the last whole
-    paragraphs that fit, and size any measure (words here; a tokenizer's count where one is plugged in)."""
+    """Paragraphs packed to target. One longer than most is packed by sentences of its own, a sentence longer than most is cut in
+    windows of words; a paragraph that begins with [TABLE] is never cut. The overlap is the last whole paragraphs that fit, and
+    size any measure (words here; a tokenizer's count where one is plugged in)."""
     paragraphs = F.filter(F.transform(F.split(text, split), F.trim), lambda p: p != "")
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(size(p) > most, packed(sentences(p), size, most)).otherwise(F.array(p))))
+    hard = lambda p: F.flatten(F.transform(packed(sentences(p), size, most), lambda s: F.when(size(s) > most, windows(S.words(s), most, most)).otherwise(F.array(s))))
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.when((size(p) > most) & ~F.startswith(p, F.lit("[TABLE]")), hard(p)).otherwise(F.array(p))))
     return packed(pieces, size, target, overlap, "\n\n")
 
 

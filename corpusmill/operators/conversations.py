@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-
-def active_path(spark: SparkSession, messages: DataFrame, roots: DataFrame, depth: int = 10_000) -> DataFrame:
-    """Messages reached from the roots by selected_child_id, with their depth. The recursion runs over all conversations at
-    once, one join for each level."""
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(depth))
-    messages.createOrReplaceTempView("_messages")
-    roots.createOrReplaceTempView("_roots")
-    return spark.sql("""
-        WITH RECURSIVE path(id, conversation_id, selected_child_id, depth) AS (
-          SELECT m.id, m.conversation_id, m.selected_child_id, 0 FROM _messages m JOIN _roots r ON m.id = r.id
-          UNION ALL
-          SELECT m.id, m.conversation_id, m.selected_child_id, p.depth + 1 FROM path p JOIN _messages m ON m.id = p.selected_child_id)
-        SELECT id, conversation_id, depth FROM path""")
+from ..scratch import Scratch
+
+
+def active_path(spark: SparkSession, messages: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, conversation_id, depth of the messages reached from the roots by selected_child_id.
+
+    Every message looks back at the one that selected it, and in each round at twice the distance, over all conversations at
+    once: the rounds grow with the logarithm of the longest path. What has found its path's first message is set aside, so only
+    open messages meet in the next round, each at another one. A message is selected by one other at most; messages on a cycle
+    find no first message and are not on a path."""
+    scratch = Scratch(spark, "active-path")
+    chosen = messages.where("selected_child_id is not null").select(F.col("selected_child_id").alias("id"), F.col("id").alias("far"))
+    state = messages.select("id").join(chosen, "id", "left").select("id", F.coalesce("far", "id").alias("far"), F.col("far").isNotNull().cast("int").alias("depth"), F.col("far").isNull().alias("done"))
+    state = scratch.save(state, "0")
+    rounds = max(1, state.count()).bit_length()
+    for turn in range(1, rounds + 1):
+        seen = state.select(F.col("id").alias("far"), F.col("far").alias("_far"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        open_ = state.where("not done").join(seen, "far")
+        moved = open_.select("id", F.col("_far").alias("far"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        state = scratch.save(state.where("done").union(moved), str(turn))
+        if state.where("not done").isEmpty():
+            break
+    reached = state.where("done").join(roots.select(F.col("id").alias("far")).distinct(), "far", "left_semi")
+    return messages.select("id", "conversation_id").join(reached.select("id", "depth"), "id")
 
 
 def siblings(messages: DataFrame) -> DataFrame:

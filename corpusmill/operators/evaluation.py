@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
 
@@ -16,22 +18,37 @@ LOWER_IS_BETTER = (
 )
 
 
-def exclusive_quantile(values: Column, percent: int) -> Column:
-    """The percent-th percentile at rank percent * (n + 1) / 100 of a sorted array, between its neighbours; the value itself for
-    one, 0 for none. Rounded to one place for two or more."""
-    n = F.size(values)
-    place = F.lit(percent) * (n + 1)
-    at = F.greatest(F.lit(1), F.least(n - 1, F.floor(place / 100))).cast("int")
-    rest = place - at * 100
-    low, high = F.get(values, at - 1), F.get(values, at)
-    return F.when(n == 0, F.lit(0.0)).when(n == 1, F.get(values, F.lit(0))).otherwise(F.round((low * (100 - rest) + high * rest) / 100.0, 1))
+#: Of percentile_approx; its rank is wrong by n / ACCURACY at most.
+ACCURACY = 10_000
 
 
 def latency(results: DataFrame, key: list[str], value: str, percents=(50, 95)) -> DataFrame:
-    """Exclusive quantiles of each group. A group's values are one array: these are evaluation runs of hundreds of questions; use
-    percentile_approx for unbounded groups."""
-    grouped = results.groupBy(*key).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    return grouped.select(*key, *[exclusive_quantile(F.col("_v"), p).alias(f"p{p}") for p in percents], F.size("_v").cast("long").alias("n"))
+    """Exclusive quantiles of each group: the percent-th percentile at rank percent * (n + 1) / 100 between its two neighbours,
+    rounded to one place; of one value the value itself. Groups of nulls alone have 0 and n = 0.
+
+    Exact, and no group is collected: percentile_approx gives a value on either side of both neighbours, what lies below is
+    counted, and only distinct values between the two (some ten-thousandths of a group) are put in order."""
+    rows = results.select(*key, F.col(value).cast("double").alias("_v"))
+    margin = 4 / ACCURACY
+    ends = [x for p in percents for x in (max(0.0, p / 100 - margin), min(1.0, p / 100 + margin))]
+    sizes = rows.groupBy(*key).agg(F.count("_v").alias("n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", ends, ACCURACY).alias("_e"))
+    whole = F.col("n") <= ACCURACY  # small groups are ordered whole
+    spans = F.array(*[F.struct(F.lit(p).alias("p"), F.when(whole, F.col("_least")).otherwise(F.get("_e", F.lit(2 * i))).alias("lo"), F.when(whole, F.col("_most")).otherwise(F.get("_e", F.lit(2 * i + 1))).alias("hi")) for i, p in enumerate(percents)])
+    bounds = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "n", spans.alias("_spans"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    counted = rows.where("_v is not null").groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    met = counted.join(bounds, reduce(lambda a, b: a & b, same)).select(*key, "n", "_v", "_m", F.explode("_spans").alias("_s"))
+    shown = F.when(F.col("_v") < F.col("_s.lo"), F.lit(None)).otherwise(F.col("_v"))  # all that lies below is one row
+    near = met.where(F.col("_v") <= F.col("_s.hi")).groupBy(*key, "n", F.col("_s.p").alias("p"), shown.alias("v")).agg(F.sum("_m").alias("m"))
+    upto = near.withColumn("_to", F.sum("m").over(W.partitionBy(*key, "p").orderBy(F.asc_nulls_first("v"))))
+    at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("p") * (F.col("n") + 1) / 100)))
+    holds = lambda rank: (F.col("_to") >= rank) & (F.col("_to") - F.col("m") < rank)
+    pair = upto.groupBy(*key, "n", "p").agg(F.max(F.when(holds(at), F.col("v"))).alias("low"), F.max(F.when(holds(at + 1), F.col("v"))).alias("high"))
+    rest = F.col("p") * (F.col("n") + 1) - at * 100
+    between = F.when(F.col("n") == 1, F.col("low")).otherwise(F.round((F.col("low") * (100 - rest) + F.col("high") * rest) / 100.0, 1))
+    found = pair.select(*key, "p", between.alias("x")).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(*[F.max(F.when(F.col("p") == p, F.col("x"))).alias(f"p{p}") for p in percents])
+    of_all = sizes.select(*key, "n").join(found, reduce(lambda a, b: a & b, same), "left")
+    return of_all.select(*key, *[F.coalesce(f"p{p}", F.lit(0.0)).alias(f"p{p}") for p in percents], "n")
 
 
 def numbers_of(text: Column) -> Column:

@@ -41,8 +41,10 @@ def direct_lookup(questions: DataFrame, labels: DataFrame, *, sections: list[str
     """query_id, id, name, section, rank: label rows of the names that a question's words are part of. The names' dictionary is
     joined to the words, not the labels."""
     words = questions.select("query_id", F.explode(candidate_words(F.col("text"))).alias("word"))
-    known = labels.select("name").distinct()
-    hits = known.join(F.broadcast(words), F.contains(F.lower(known["name"]), F.lower(words["word"])))
+    known = labels.select("name", F.col("name").alias("text")).distinct()
+    first = R.containing(known, words.select(F.col("word").alias("phrase"))).select(F.col("phrase").alias("_w"), "name")
+    first = first.withColumn("_k", F.row_number().over(W.partitionBy("_w").orderBy("name"))).where(F.col("_k") <= per_word).drop("_k")
+    hits = words.join(first, F.lower("word") == F.col("_w")).select("query_id", "word", "name")
     hits = hits.withColumn("_k", F.row_number().over(W.partitionBy("query_id", "word").orderBy("name"))).where(F.col("_k") <= per_word)
     own = hits.select("query_id", "name").distinct().withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("name"))).where(F.col("_n") <= names)
     wanted = own.join(questions.select("query_id", section_order(F.col("text"), sections, hints).alias("_order")), "query_id")

@@ -1,7 +1,7 @@
 """Versions of a corpus: novelty, upserts, supersession, staleness, deletion, states of work, as set operations on snapshots.
 
-There is no table format in a plain Spark, so a table is a folder of snapshots and a pointer to the current one; a change reads
-the current snapshot, writes the next and moves the pointer, so a lost executor or a repeated run leaves a whole state."""
+There is no table format in a plain Spark, so a table is a folder of snapshots and a log of them; a change reads the newest
+snapshot, writes the next and appends it to the log, so a lost executor or a repeated run leaves a whole state."""
 
 from __future__ import annotations
 
@@ -14,27 +14,43 @@ MOVES = {"pending": ["fetched", "failed"], "fetched": ["extracted", "failed"], "
 MOST_RETRIES = 3
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has published a snapshot since the one that was read."""
+
+
 class SnapshotTable:
-    """A folder of Parquet snapshots with a pointer file."""
+    """A folder of Parquet snapshots and a log of them. A change writes its snapshot, then appends one line to the log: nothing is
+    replaced or deleted, so a crash leaves the state before or after. Of two writers that publish the same number, the one whose
+    snapshot has the lesser name stands, and the other gets ConcurrentChange."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self):
-        return f"{self.path}/current"
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema("number long, name string").json(f"{self.path}/log")
+
+    def _newest(self):
+        return self._log().orderBy(F.desc("number"), "name").first()
 
     def read(self) -> DataFrame:
-        name = self.spark.read.text(self._pointer()).first()[0]
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{self._newest()['name']}")
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
+    def write(self, df: DataFrame, partition_by: list[str] | None = None, *, after: int = -1) -> None:
+        """after: the number of the snapshot that df was made from; -1 for a table's first."""
         name = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
+        self.spark.createDataFrame([(after + 1, name)], "number long, name string").coalesce(1).write.mode("append").json(f"{self.path}/log")
+        if (last := self._newest())["number"] != after + 1 or last["name"] != name:
+            raise ConcurrentChange(f"{last['name']} is newer than number {after}")
+
+    def change(self, make, partition_by: list[str] | None = None) -> None:
+        """Publish make(current)."""
+        last = self._newest()
+        self.write(make(self.spark.read.parquet(f"{self.path}/{last['name']}")), partition_by, after=last["number"])
 
     def upsert(self, rows: DataFrame, keys: list[str], order: Column) -> None:
-        self.write(upserted(self.read(), rows, keys, order))
+        self.change(lambda current: upserted(current, rows, keys, order))
 
 
 def newest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

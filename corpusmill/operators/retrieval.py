@@ -1,9 +1,8 @@
 """Hybrid retrieval for batches of queries: exact vector search, term search, phrase and dictionary lookup, rank fusion,
 injection, re-scoring, citations and a semantic cache.
 
-Every function takes a table of queries, so a batch is one job; every ranking ends in an id, so it is total. Query vectors
-travel to the vectors in blocks (BLOCK queries at a time, broadcast); the scores of a query are ranked in PARTS parts first,
-and only each part's best k meet, so no task ranks all vectors.
+Every function takes a table of queries, so a batch is one job; every ranking ends in an id, so it is total. Vectors are searched
+in blocks (operators/vectors.py), texts for phrases by one automaton of many phrases.
 """
 
 from __future__ import annotations
@@ -11,14 +10,16 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .vectors import nearest
 
 K_RRF = 60
-BLOCK = 1024
-PARTS = 64
+#: Characters of phrases that one automaton holds; more are searched for in further passes.
+PHRASE_CHARS = 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,20 +43,7 @@ def decode_vector(c: Column) -> Column:
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, floor: float | None = None, digits: int = 6) -> DataFrame:
     """query_id, id, score, rank. vectors: id, embedding; queries: query_id, embedding. Filters go on the inputs."""
-    n = queries.count()
-    parts = []
-    for block in range(max(1, -(-n // BLOCK))):
-        some = queries if n <= BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == block)
-        asked = some.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"))
-        pairs = vectors.withColumn("_n", norm(F.col("embedding"))).join(F.broadcast(asked), how="cross")  # a stated query set, in blocks
-        product = F.col("_n") * F.col("_nq")
-        score = F.when((F.size("embedding") == F.size("_q")) & (product > 0), dot(F.col("embedding"), F.col("_q")) / product).otherwise(F.lit(0.0))
-        scored = pairs.select("query_id", "id", F.round(score, digits).alias("score"))
-        scored = scored if floor is None else scored.where(F.col("score") >= floor)
-        local = W.partitionBy("query_id", "_part").orderBy(F.desc("score"), "id")  # each part's own best k, before all meet
-        best = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).withColumn("_k", F.row_number().over(local)).where(F.col("_k") <= k)
-        parts.append(top_k(best.drop("_part", "_k"), k))
-    return reduce(DataFrame.union, parts)
+    return top_k(nearest(vectors, queries, k, floor=floor, digits=digits), k)
 
 
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -77,8 +65,9 @@ def term_index(docs: DataFrame, least: int = 1) -> DataFrame:
 def full_text(index: DataFrame, queries: DataFrame, n_docs: int, k: int, *, every: bool = True, digits: int = 6) -> DataFrame:
     """query_id, id, score, matched, rank: documents with all (or any) terms of a query, by the sum of tf * idf."""
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    index = index.join(wanted.select("term").distinct(), "term", "left_semi")  # below the index's own aggregate
     sizes = queries.select("query_id", F.size(F.array_distinct("terms")).alias("_n"))
-    frequency = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     hits = index.join(wanted, "term").join(frequency, "term")
     weight = F.col("tf") * F.log1p(F.lit(float(n_docs)) / F.col("_df"))
     found = hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), digits).alias("score"), F.count(F.lit(1)).alias("matched"))
@@ -115,12 +104,52 @@ def proper_phrases(c: Column, stop: list[str]) -> Column:
     return F.filter(found, lambda p, i: ~F.exists(F.slice(found, 1, i), lambda q: F.lower(q) == F.lower(p)))
 
 
+def _finder(phrases: list[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for p in phrases:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    return automaton
+
+
+def containing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrase and the columns of rows: each row once for each distinct phrase (any case) that its text contains. rows: text and
+    others. A text is read once for all phrases of a pass, by an Aho-Corasick automaton; a pass takes PHRASE_CHARS of phrases."""
+    own = phrases.where(F.length("phrase") > 0).select(F.lower("phrase").alias("phrase")).distinct()
+    passes = -(-(own.agg(F.sum(F.length("phrase") + 8)).first()[0] or 0) // PHRASE_CHARS)
+    texts = rows.withColumn("_text", F.lower("text"))
+    kept = [c for c in texts.columns if c != "_text"]
+
+    def found(some):
+        def run(batches):
+            automaton = _finder(some)
+            for batch in batches:
+                at, names = [], []
+                for i, text in enumerate(batch.column("_text").to_pylist()):
+                    hits = sorted({p for _, p in automaton.iter(text)}) if text else []
+                    at += [i] * len(hits)
+                    names += hits
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(batch.column(c).take(pa.array(at, pa.int64())) for c in kept)], ["phrase", *kept])
+
+        return run
+
+    schema = T.StructType([T.StructField("phrase", T.StringType()), *[texts.schema[c] for c in kept]])
+    parts = []
+    for i in range(passes):  # PHRASE_CHARS of a stated set of phrases at a time
+        some = [r["phrase"] for r in own.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == i).collect()]
+        if some:
+            parts.append(texts.mapInArrow(found(some), schema))
+    return reduce(DataFrame.union, parts) if parts else texts.select(F.lit("").alias("phrase"), *kept).limit(0)
+
+
 def phrase_lookup(docs: DataFrame, phrases: DataFrame, limit: int = 4) -> DataFrame:
-    """query_id, phrase, id, rank: shortest documents with each phrase, in any case. phrases: query_id, phrase (a bounded set
-    of at most four for each query)."""
-    hits = docs.join(F.broadcast(phrases), F.contains(F.lower(docs["text"]), F.lower(phrases["phrase"])))
-    w = W.partitionBy("query_id", "phrase").orderBy(F.length("text"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "phrase", "id", "rank")
+    """query_id, phrase, id, rank: shortest documents with each phrase, in any case. phrases: query_id, phrase."""
+    sized = containing(docs.select("id", "text"), phrases).select(F.col("phrase").alias("_p"), "id", F.length("text").alias("_n"))
+    w = W.partitionBy("_p").orderBy("_n", "id")
+    best = sized.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return phrases.distinct().join(best, F.lower("phrase") == F.col("_p")).select("query_id", "phrase", "id", "rank")
 
 
 def dictionary_pattern(names: list[str]) -> str:
@@ -220,14 +249,14 @@ def overlap_score(question: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, F.lit(None)).otherwise(F.round(F.size(F.array_intersect(q, terms(text, 3))) / F.size(q), 6))
 
 
-def semantic_cache(requests: DataFrame, *, least: float = 0.92, hours: int = 24, digits: int = 6) -> DataFrame:
-    """request_id, hit_id, score: the most similar earlier request of the same shard within the time limit, if similar enough.
-    requests: request_id, shard, ts, embedding. The shard (a coarse bucket) bounds what a request is compared with."""
-    past = requests.select(F.col("request_id").alias("hit_id"), "shard", F.col("ts").alias("_then"), F.col("embedding").alias("_e"))
-    near = requests.join(past, "shard").where((F.col("_then") < F.col("ts")) & (F.col("_then") >= F.col("ts") - F.expr(f"interval {int(hours)} hours")))
-    scored = near.select("request_id", "hit_id", F.round(cosine(F.col("embedding"), F.col("_e")), digits).alias("score")).where(F.col("score") >= least)
-    w = W.partitionBy("request_id").orderBy(F.desc("score"), "hit_id")
-    return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def semantic_cache(requests: DataFrame, asked: DataFrame, *, least: float = 0.92, hours: int = 24, digits: int = 6) -> DataFrame:
+    """request_id, hit_id, score: for each request of asked the most similar earlier one of all requests within the time limit, if
+    similar enough. Both: request_id, ts, embedding. Exact: blocks of requests meet where their times are near enough."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    past = requests.withColumn("id", F.col("request_id"))
+    now = asked.withColumn("query_id", F.col("request_id"))
+    hits = nearest(past, now, 1, floor=least, digits=digits, at=at, query_at=at, span=int(hours) * 3_600_000_000)
+    return top_k(hits, 1).select(F.col("query_id").alias("request_id"), F.col("id").alias("hit_id"), "score")
 
 
 def quantised(vectors: DataFrame, quantile: float = 0.99) -> tuple[DataFrame, float]:

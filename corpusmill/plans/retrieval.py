@@ -177,12 +177,14 @@ def mention_weights(spark, d):
     return R.mention_weights(found, labels)
 
 
-@query("semantic_cache_hits", f"""WITH r AS (SELECT vec_id AS request_id, label AS shard, TIMESTAMP '2024-01-01' + to_hours(vec_id::INT) AS ts, embedding FROM embeddings)
+@query("semantic_cache_hits", f"""WITH r AS (SELECT vec_id AS request_id, TIMESTAMP '2024-01-01' + to_hours(vec_id::INT) AS ts, embedding FROM embeddings)
 SELECT request_id, hit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, hit_id) AS k FROM (
-  SELECT a.request_id, q.request_id AS hit_id, round({COS}, 6) AS score FROM r a JOIN r q ON a.shard = q.shard AND q.ts < a.ts AND q.ts >= a.ts - INTERVAL 240 HOURS) WHERE score >= 0.3) WHERE k = 1""")
+  SELECT a.request_id, q.request_id AS hit_id, round({COS}, 6) AS score FROM r a JOIN r q ON q.ts < a.ts AND q.ts >= a.ts - INTERVAL 240 HOURS WHERE a.request_id % 20 = 0) WHERE score >= 0.3) WHERE k = 1""")
 def semantic_cache_hits(spark, d):
+    """The stated query set against all earlier requests."""
     ts = F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, cast(vec_id as int), 0, 0)")
-    return R.semantic_cache(table(spark, d, "embeddings").select(F.col("vec_id").alias("request_id"), F.col("label").alias("shard"), ts.alias("ts"), "embedding"), least=0.3, hours=240)
+    requests = table(spark, d, "embeddings").select(F.col("vec_id").alias("request_id"), ts.alias("ts"), "embedding")
+    return R.semantic_cache(requests, requests.where("request_id % 20 = 0"), least=0.3, hours=240)
 
 
 @query("citation_renumber")
