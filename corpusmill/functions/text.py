@@ -23,12 +23,10 @@ def chunk_type(content: Column, heading: Column) -> Column:
 
 def recommendation(content: Column) -> Column:
     """struct(id, text, grade) by four patterns; the first two decide alone."""
-    numbered = "(?i)^(\\d+(?:\\.\\d+){1,3}[a-z]?)\\s+(.+?)[\\s.]+\\(([12][ABCD])\\)"
-    lettered = "(?is)^(\\d+\\.\\d+[a-z]?)\\s+(.+)\\s+([ABCE])$"
-    plain = "(?is)^(R\\d+|Recommendation\\s+\\d+)[:\\s]+(.+)"
+    numbered, lettered, plain = V.RECOMMENDATION_NUMBERED, V.RECOMMENDATION_LETTERED, V.RECOMMENDATION_PLAIN
     t = F.trim(content)
     pick = lambda c, p: F.struct(F.regexp_extract(c, p, 1).alias("id"), F.trim(F.regexp_extract(c, p, 2)).alias("text"), F.lower(F.regexp_extract(c, p, 3)).alias("grade"))
-    bracket = F.nullif(F.lower(F.regexp_extract(content, "(?i)\\[(strong|conditional)\\]", 1)), F.lit(""))
+    bracket = F.nullif(F.lower(F.regexp_extract(content, V.RECOMMENDATION_BRACKET, 1)), F.lit(""))
     rest = F.struct(
         F.nullif(F.regexp_extract(content, plain, 1), F.lit("")).alias("id"), F.nullif(F.substring(F.trim(F.regexp_extract(content, plain, 2)), 1, 500), F.lit("")).alias("text"), bracket.alias("grade")
     )
@@ -62,11 +60,10 @@ def evidence(content: Column) -> Column:
 def segment_type(content: Column, at_recommendation: Column) -> Column:
     t = F.lower(content)
     has = lambda *words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
-    signals = reduce(lambda a, b: a + b, [content.rlike(p).cast("int") for p in ("(?i)\\bevidence\\b", "(?i)\\btrial\\b", "(?i)\\bmeta.analysis\\b", "(?i)\\bsystematic review\\b", "(?i)\\bRCT\\b", "(?i)\\bstudy\\b")])
-    dose = "(?i)(?:\\d+\\s*mg|\\d+\\s*mcg|\\d+\\s*g\\b|\\d+\\s*ml\\b|\\d+\\s*(?:tablet|capsule|vial|unit|IU|dose)s?\\b|twice daily|once daily|BD|TDS|OD\\b|per kg|mg/kg)"
+    signals = reduce(lambda a, b: a + b, [content.rlike(p).cast("int") for p in V.REASONS])
     return (
         F.when(at_recommendation & content.rlike(V.RECOMMENDATION), "recommendation")
-        .when(content.rlike(dose) & has("dose", "dosage", "dosing", "mg/kg", "per kg"), "drug_dosing")
+        .when(content.rlike(V.DOSES) & has("dose", "dosage", "dosing", "mg/kg", "per kg"), "drug_dosing")
         .when(has("monitor", "surveillance", "follow-up", "follow up"), "monitoring")
         .when(has("defined as", "criterion", "criteria", "classified as"), "definition_criteria")
         .when(signals >= 2, "rationale")

@@ -38,11 +38,21 @@ EVIDENCE = (
     ("high certainty", "high"), ("high-certainty", "high"), ("moderate certainty", "moderate"), ("low certainty", "low"), ("very low certainty", "very_low"), ("very-low certainty", "very_low"),
     ("grade a", "high"), ("level a", "high"), ("grade b", "moderate"), ("level b", "moderate"), ("grade c", "low"), ("level c", "low"), ("level 1", "high"), ("level 2", "moderate"),
 )
-RECOMMENDATION = (
+# Where a recommendation begins, in journal articles, and in guideline documents, which have numbered and lettered ones beside.
+RECOMMENDATION_IN_ARTICLES = (
     "(?:[Ww]e (?:strongly )?recommend\\b|[Ww]e (?:weakly )?suggest\\b|[Ss]trong recommendation|[Cc]onditional recommendation|[Gg]ood practice statement|[Ii]t is recommended|"
     "[Ss]hould be (?:offered|used|given|provided|initiated|started)\\b|[Ii]s recommended for\\b|[Aa]re recommended for\\b|"
-    "\\((?:strong|conditional|weak),\\s*(?:high|moderate|low|very low)[^\\)]{0,30}\\)|\\([12][ABCD]\\)|\\([Gg]rade\\s+[ABCE]\\)|(?:STRONG|CONDITIONAL)\\s+RECOMMENDATION|[Rr]ecommendation\\s+\\d+[.:]\\s*)"
+    "\\((?:strong|conditional|weak),\\s*(?:high|moderate|low|very low)[^\\)]{0,30}\\)|\\([12][ABCD]\\)|\\([Gg]rade\\s+[ABCE]\\)|(?:STRONG|CONDITIONAL)\\s+RECOMMENDATION)"
 )
+RECOMMENDATION = RECOMMENDATION_IN_ARTICLES[:-1] + "|[Rr]ecommendation\\s+\\d+[.:]\\s*|^[A-Z]\\.\\s+(?:We |It |All |Patients ))"
+# A recommendation's number, text and grade: with a grade in parentheses, with a grade letter at the end, or with a number alone.
+RECOMMENDATION_NUMBERED = "(?i)^(\\d+(?:\\.\\d+){1,3}[a-z]?)\\s+(.+?)[\\s.]+\\(([12][ABCD])\\)"
+RECOMMENDATION_LETTERED = "(?is)^(\\d+\\.\\d+[a-z]?)\\s+(.+)\\s+([ABCE])$"
+RECOMMENDATION_PLAIN = "(?is)^(R\\d+|Recommendation\\s+\\d+)[:\\s]+(.+)"
+RECOMMENDATION_BRACKET = "(?i)\\[(strong|conditional)\\]"
+# What makes a segment one of reasons, and one of doses.
+REASONS = ("(?i)\\bevidence\\b", "(?i)\\btrial\\b", "(?i)\\bmeta.analysis\\b", "(?i)\\bsystematic review\\b", "(?i)\\bRCT\\b", "(?i)\\bstudy\\b")
+DOSES = "(?i)(?:\\d+\\s*mg|\\d+\\s*mcg|\\d+\\s*g\\b|\\d+\\s*ml\\b|\\d+\\s*(?:tablet|capsule|vial|unit|IU|dose)s?\\b|twice daily|once daily|BD|TDS|OD\\b|per kg|mg/kg)"
 DOSAGE = ("\\d+\\s*mg", "\\d+\\s*mcg", "\\d+\\s*μg", "\\d+\\s*mg/kg", "\\d+\\s*mg/day", "\\d+\\s*units", "once daily", "twice daily", "three times", "oral dose", "iv dose", "loading dose")
 POPULATIONS = {
     "adults": ["(?i)\\badult[s]?\\b"],

@@ -92,3 +92,23 @@ def messages(spark, d) -> DataFrame:
     key = F.col("conv_id") * 1000 + F.col("turn")
     last = F.max("turn").over(W.partitionBy("conv_id"))
     return c.select(key.alias("id"), F.col("conv_id").alias("conversation_id"), F.when(F.col("turn") > 0, key - 1).alias("parent_id"), F.when(F.col("turn") < last, key + 1).alias("selected_child_id"), "turn", "role", F.col("text").alias("content"))
+
+
+def literal(text) -> str:
+    """A text as SQL."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def spliced(text, markers):
+    """A text with one of the markers behind it, chosen by the text's length: the corpus's prose has no clinical words."""
+    return F.concat_ws(" ", text, F.element_at(F.array(*map(F.lit, markers)), (F.pmod(F.length(text), F.lit(len(markers))) + 1).cast("int")))
+
+
+def spliced_sql(markers, text: str = "text") -> str:
+    return f"{text} || ' ' || ([{', '.join(map(literal, markers))}])[length({text}) % {len(markers)} + 1]"
+
+
+def first_match_sql(text: str, rules, default: str = "NULL") -> str:
+    """CASE over (marker or markers, label); the first that is in the text."""
+    cases = [f"WHEN {' OR '.join(f'contains({text}, {literal(m)})' for m in ([k] if isinstance(k, str) else k))} THEN {literal(str(v))}" for k, v in rules]
+    return f"CASE {' '.join(cases)} ELSE {default} END"

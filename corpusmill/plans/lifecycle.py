@@ -125,11 +125,23 @@ def sse_assemble(spark, d):
     return J.answers_of(J.token_events(answers))
 
 
-@query("sse_parse", "SELECT conv_id, 'token' AS event, 1 AS n FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("sse_parse", r"""WITH p AS (SELECT conv_id, turn, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t, len(w) AS n FROM (SELECT conv_id, turn, string_split(text, '. ') AS w FROM conversations))
+SELECT conv_id, turn, i - 1 AS k, CASE WHEN i % 5 = 0 THEN 'citations' ELSE 'token' END AS event, t AS data FROM p WHERE i % 7 <> 0 AND i % 11 <> 0 AND i % 13 <> 0 AND NOT (i = n AND turn % 2 = 1)""")
 def sse_parse(spark, d):
-    text = F.lit('event: token\ndata: {"t": 1}\n\nevent: bad\ndata: {"t":\n\nevent: tail\ndata: {"t": 2}')
-    found = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.explode(R.event_blocks(text)).alias("e"))
-    return found.groupBy("conv_id", "e.event").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """The sentences of every text as a stream of events: some lack the event's line, some have data that is not JSON, some have
+    none, and every other stream breaks off in its last block."""
+    p = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", "\\. ").alias("w"))
+
+    def block(t, i):
+        k = i + 1
+        name = F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("event: "), F.when(k % 5 == 0, "citations").otherwise("token"), F.lit("\n")))
+        data = F.when(k % 11 == 0, F.lit('data: {"t":')).when(k % 13 == 0, F.lit("retry: 3")).otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(i.alias("k"), t.alias("t")))))
+        return F.concat(name, data)
+
+    text = F.concat(F.array_join(F.transform("w", block), "\n\n"), F.when(F.col("turn") % 2 == 0, F.lit("\n\n")).otherwise(""))
+    found = p.select("conv_id", "turn", F.explode(R.event_blocks(text)).alias("e"))
+    value = F.from_json("e.data", "k long, t string")
+    return found.select("conv_id", "turn", value["k"].alias("k"), "e.event", value["t"].alias("data"))
 
 
 @query("failed_share", "SELECT l_orderkey AS doc_id, count(*) AS rows, count(*) FILTER (WHERE l_quantity >= 40) AS bad, count(*) FILTER (WHERE l_quantity >= 40) > count(*) * 0.3 AS failed FROM lineitem GROUP BY 1")

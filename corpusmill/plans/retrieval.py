@@ -160,7 +160,7 @@ def phrase_lookup(spark, d):
 NAMES = ["the", "than", "inthe", "that", "von", "que", "dans", "er"]
 
 
-@query("lexicon_mentions")
+@query("lexicon_mentions", rf"""SELECT id, name, count(*) AS n FROM (SELECT doc_id AS id, lower(unnest(string_split_regex(text, '[^\pL\pM\pN_]+'))) AS name FROM documents) WHERE name IN ({', '.join(f"'{n}'" for n in NAMES)}) GROUP BY 1, 2""")
 def lexicon_mentions(spark, d):
     return R.mentions(_chunks(spark, d), NAMES)
 
@@ -187,16 +187,33 @@ def semantic_cache_hits(spark, d):
     return R.semantic_cache(requests, requests.where("request_id % 20 = 0"), least=0.3, hours=240)
 
 
-@query("citation_renumber")
+#: Marks behind the sentences of a conversation's texts, one group after another.
+_MARKS = ["[3]", "[1][2]", "", "[2][1][3]", "[12]", "[1][1]", "[4][5][7][6]", "[x]", "[]"]
+_MARKED_SQL = f"""SELECT conv_id, turn, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '. ' || ([{', '.join(f"'{m}'" for m in _MARKS)}])[(turn + i) % {len(_MARKS)} + 1] || ' ' ELSE '' END), '') AS t FROM (SELECT conv_id, turn, string_split(text, '. ') AS p FROM conversations)"""
+
+
+def _marked(spark, d):
+    marks = F.array(*map(F.lit, _MARKS))
+    behind = lambda i: F.concat(F.lit(". "), F.element_at(marks, ((F.col("turn") + i) % len(_MARKS) + 1).cast("int")), F.lit(" "))
+    parts = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", "\\. ").alias("p"))
+    return parts.select("conv_id", "turn", F.array_join(F.transform("p", lambda x, i: F.concat(x, F.when(i + 1 < F.size("p"), behind(i + 1)).otherwise(""))), "").alias("t"))
+
+
+@query("citation_renumber", rf"""WITH m AS ({_MARKED_SQL}), a AS (SELECT *, regexp_extract_all(t, '\[(\d+)\]', 1) AS n FROM m),
+f AS (SELECT conv_id, turn, list(x ORDER BY k) AS seen FROM (SELECT conv_id, turn, x, min(k) AS k FROM (SELECT conv_id, turn, unnest(n) AS x, unnest(range(len(n))) AS k FROM a) GROUP BY ALL) GROUP BY ALL)
+SELECT a.conv_id, a.turn, CASE WHEN len(n) = 0 THEN t ELSE array_to_string(list_transform(regexp_extract_all(t, '(\[\d+\]|[^\[]+|\[)', 1), lambda p: CASE WHEN regexp_full_match(p, '\[\d+\]') THEN '[' || list_position(seen, p[2:-2]) || ']' ELSE p END), '') END AS answer FROM a LEFT JOIN f USING (conv_id, turn)""")
 def citation_renumber(spark, d):
-    text = F.concat(F.lit("a["), (F.col("turn") + 3).cast("string"), F.lit("][1] b [2][1]["), (F.col("turn") + 3).cast("string"), F.lit("]"))
-    return table(spark, d, "conversations").select("conv_id", "turn", R.renumbered(text).alias("answer"))
+    return _marked(spark, d).select("conv_id", "turn", R.renumbered(F.col("t")).alias("answer"))
 
 
-@query("citation_compress")
+@query("citation_compress", rf"""WITH m AS ({_MARKED_SQL}), p AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '((?:\[\d+\])+|[^\[]+|\[)', 1)) AS s, unnest(range(len(regexp_extract_all(t, '((?:\[\d+\])+|[^\[]+|\[)', 1)))) AS k FROM m),
+n AS (SELECT conv_id, turn, k, x, row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY x) AS r FROM (SELECT conv_id, turn, k, unnest(regexp_extract_all(s, '\[(\d+)\]', 1))::INT AS x FROM p WHERE s LIKE '[%' AND s <> '[')),
+i AS (SELECT *, sum(CASE WHEN x = before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn, k ORDER BY r) AS g FROM (SELECT *, lag(x) OVER (PARTITION BY conv_id, turn, k ORDER BY r) AS before FROM n)),
+s AS (SELECT conv_id, turn, k, g, CASE WHEN min(x) = max(x) THEN '[' || min(x) || ']' ELSE '[' || min(x) || '-' || max(x) || ']' END AS shown FROM i GROUP BY ALL),
+j AS (SELECT conv_id, turn, k, string_agg(shown, '' ORDER BY g) AS shown FROM s GROUP BY ALL)
+SELECT conv_id, turn, string_agg(coalesce(j.shown, p.s), '' ORDER BY k) AS answer FROM p LEFT JOIN j USING (conv_id, turn, k) GROUP BY ALL""")
 def citation_compress(spark, d):
-    text = F.concat(F.lit("x [3][1][2] y [1][2][3]["), (F.col("turn") + 3).cast("string"), F.lit("] [1][1] z"))
-    return table(spark, d, "conversations").select("conv_id", "turn", R.compressed(text).alias("answer"))
+    return _marked(spark, d).select("conv_id", "turn", R.compressed(F.col("t")).alias("answer"))
 
 
 @query("rerank_overlap", f"""WITH {_FTS}, c AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h) WHERE rank <= 40),
@@ -256,10 +273,12 @@ def lsh_buckets(spark, d):
     return _vectors(spark, d).select("id", R.signature(F.col("embedding"), 12).alias("bucket"))
 
 
-@query("cosine_zero_safe", """SELECT vec_id, 0.0::DOUBLE AS s FROM embeddings""")
+@query("cosine_zero_safe", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_transform(embedding, lambda x: CASE WHEN vec_id % 4 = 0 OR x < 0 THEN 0.0 ELSE x::DOUBLE END)::DOUBLE[] AS b FROM embeddings)
+SELECT vec_id, CASE WHEN list_dot_product(b, b) > 0 THEN round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) ELSE 0.0 END AS s FROM e""")
 def cosine_zero_safe(spark, d):
-    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
-    return table(spark, d, "embeddings").select("vec_id", R.cosine(F.col("embedding"), zero).alias("s"))
+    """Each vector and its positive part; a quarter of these are zero vectors."""
+    positive = F.transform("embedding", lambda x: F.when((F.col("vec_id") % 4 == 0) | (x < 0), F.lit(0.0)).otherwise(x.cast("double")))
+    return table(spark, d, "embeddings").select("vec_id", F.round(R.cosine(F.col("embedding"), positive), 6).alias("s"))
 
 
 @query("embedding_sanity", "SELECT len(embedding) AS dims, count(*) AS n, sum(len(list_filter(embedding, lambda x: x <> 0)))::BIGINT AS non_zero FROM embeddings GROUP BY 1")

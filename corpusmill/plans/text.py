@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import display as Dsp, scalars as S, text as X
+from ..functions import display as Dsp, scalars as S, text as X, vocabulary as V
 from ..operators import chunking as K
 from ..sources import html as H
-from .base import query, table
+from .base import first_match_sql, literal, query, spliced, spliced_sql, table
 
 
 def docs(spark, d):
@@ -28,17 +28,67 @@ def chunk_words_400_50(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(K.windows(w, 400, 350, 60)).alias("k", "chunk")).withColumn("k", F.col("k").cast("long"))
 
 
-@query("chunk_sentences")
+def packed_sql(pieces: str, size: str, most: int, overlap: int, joint: str = " ") -> str:
+    """Chunks (key, k, chunk) of pieces (key, p: a list of texts), as the greedy rule is stated: a piece that does not fit closes
+    the chunk, and the next one begins with the last whole pieces that fit in the overlap. One step of recursion for each piece."""
+    return f"""(WITH RECURSIVE src AS (SELECT key, p, list_transform(p, lambda x: {size}) AS n FROM ({pieces}) WHERE len(p) > 0),
+    pre AS (SELECT key, p, n, list_prepend(0::BIGINT, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])::BIGINT)) AS s FROM src),
+    st(key, i, a, cut) AS (
+      SELECT key, 2::BIGINT, 1::BIGINT, NULL::BIGINT FROM pre
+      UNION ALL
+      SELECT key, i + 1, CASE WHEN NOT is_full THEN a ELSE coalesce(list_min(list_filter(range(a, i), lambda j: s[i] - s[j] <= {overlap})), i) END, CASE WHEN is_full THEN a END
+      FROM (SELECT st.key, i, a, s, s[i + 1] - s[a] > {most} AS is_full FROM st JOIN pre USING (key) WHERE i <= len(pre.p))),
+    ends AS (SELECT key, cut AS a, i - 1 AS b FROM st WHERE cut IS NOT NULL UNION ALL SELECT st.key, st.a, len(pre.p) + 1 FROM st JOIN pre USING (key) WHERE st.i = len(pre.p) + 1)
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY a, b) - 1 AS k, array_to_string(p[a:b - 1], {literal(joint)}) AS chunk FROM ends JOIN pre USING (key))"""
+
+
+N_WORDS = r"len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''))"
+SENTENCES = r"string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _windows_sql(rows: str, most: int, step: int, least: int) -> str:
+    """(key, k, j, chunk) of rows (key, k, w: words)."""
+    return f"SELECT key, k, j // {step} AS j, array_to_string(w[j + 1:j + {most}], ' ') AS chunk FROM (SELECT *, unnest(range(0, len(w), {step})) AS j FROM ({rows})) WHERE len(w[j + 1:j + {most}]) >= {least}"
+
+
+_W = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+_PACKED = packed_sql(f"SELECT doc_id AS key, {SENTENCES.format('text')} AS p FROM documents WHERE len({_W.format('text')}) > 120", N_WORDS, 120, 20)
+_LINED = packed_sql(f"SELECT (key, k) AS key, string_split(chunk, chr(10)) AS p FROM c WHERE len({_W.format('chunk')}) > 120", N_WORDS, 120, 20, "\n")
+_SENTENCE_CHUNKS = f"""WITH c AS MATERIALIZED {_PACKED}, l AS MATERIALIZED {_LINED},
+o AS (
+  SELECT doc_id AS key, 0 AS k, 0 AS m, 0 AS j, text AS chunk FROM documents WHERE len({_W.format('text')}) BETWEEN 10 AND 120
+  UNION ALL SELECT key, k, 0, 0, chunk FROM c WHERE len({_W.format('chunk')}) BETWEEN 10 AND 120
+  UNION ALL SELECT key[1], key[2], k, 0, chunk FROM l WHERE len({_W.format('chunk')}) BETWEEN 10 AND 120
+  UNION ALL SELECT key[1], key[2], k, j, chunk FROM ({_windows_sql(f"SELECT key, k, {_W.format('chunk')} AS w FROM l WHERE len({_W.format('chunk')}) > 120", 120, 100, 10)}))
+SELECT key AS doc_id, (row_number() OVER (PARTITION BY key ORDER BY k, m, j) - 1)::INT AS k, chunk FROM o"""
+
+
+@query("chunk_sentences", _SENTENCE_CHUNKS)
 def chunk_sentences(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(K.word_chunks(F.col("text"), 120, 10, 20)).alias("k", "chunk"))
 
 
-@query("chunk_paragraph_fold")
+_HARD = packed_sql(f"SELECT (doc_id, i) AS key, {SENTENCES.format('t')} AS p FROM g WHERE n > 200", N_WORDS, 200, 0)
+_PARAGRAPH_CHUNKS = f"""WITH g AS MATERIALIZED (SELECT doc_id, i, t, len({_W.format('t')}) AS n FROM (SELECT doc_id, unnest(range(len(l))) AS i, trim(unnest(l), ' ') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE t <> ''),
+h AS MATERIALIZED {_HARD},
+p AS (SELECT doc_id, i, 0 AS k, 0 AS j, t FROM g WHERE n <= 200 UNION ALL SELECT key[1], key[2], k, 0, chunk FROM h WHERE len({_W.format('chunk')}) <= 200
+  UNION ALL SELECT key[1], key[2], k, j, chunk FROM ({_windows_sql(f"SELECT key, k, {_W.format('chunk')} AS w FROM h WHERE len({_W.format('chunk')}) > 200", 200, 200, 1)})),
+b AS (SELECT doc_id AS key, list(t ORDER BY i, k, j) AS p FROM p GROUP BY doc_id)
+SELECT key AS doc_id, k::INT AS k, chunk FROM {packed_sql("SELECT * FROM b", N_WORDS, 120, 20, chr(10) * 2)}"""
+
+
+@query("chunk_paragraph_fold", _PARAGRAPH_CHUNKS)
 def chunk_paragraph_fold(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(K.paragraph_chunks(F.col("text"), 200, 120, 20, split="\\n")).alias("k", "chunk"))
 
 
-@query("chunk_chars")
+_CHAR_CHUNKS = rf"""WITH g AS MATERIALIZED (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(range(len(l))) AS i, trim(unnest(l), ' ') AS t FROM (SELECT doc_id, string_split_regex(text, '\n{{2,}}') AS l FROM documents)) WHERE t <> ''),
+p AS (SELECT doc_id, i, 0 AS j, t FROM g WHERE length(t) <= 800 UNION ALL SELECT doc_id, i, j, substr(t, j, 800) FROM (SELECT doc_id, i, t, unnest(range(1, length(t) + 1, 700)) AS j FROM g WHERE length(t) > 800)),
+b AS (SELECT doc_id AS key, list(t ORDER BY i, j) AS p FROM p GROUP BY doc_id)
+SELECT key AS doc_id, k::INT AS k, chunk FROM {packed_sql("SELECT * FROM b", "length(x) + 1", 801, 0, chr(10) * 2)}"""
+
+
+@query("chunk_chars", _CHAR_CHUNKS)
 def chunk_chars(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(K.char_chunks(F.col("text"), 800, 100)).alias("k", "chunk"))
 
@@ -67,13 +117,21 @@ def section_fill_forward(spark, d):
     return K.filled_sections(lines(spark, d).withColumn("is_heading", F.length("text") < 40)).withColumn("section", F.col("section").cast("long"))
 
 
-@query("heading_breadcrumbs")
+_CRUMBS = f"""WITH h AS (SELECT doc_id, seq, 1 + length(text) % 3 AS level, text AS heading FROM ({LINES})),
+l AS (SELECT *, max(CASE WHEN level = 1 THEN seq END) OVER w AS s1, max(CASE WHEN level = 2 THEN seq END) OVER w AS s2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+j AS (SELECT l.*, a.heading AS h1, b.heading AS h2 FROM l LEFT JOIN h a ON a.doc_id = l.doc_id AND a.seq = s1 LEFT JOIN h b ON b.doc_id = l.doc_id AND b.seq = s2)
+SELECT doc_id, seq::INT AS seq, level::INT AS level, heading, list_filter([CASE WHEN level > 1 THEN h1 END, CASE WHEN level = 3 AND s2 > coalesce(s1, -1) THEN h2 END, heading], lambda x: x IS NOT NULL) AS path FROM j"""
+
+
+@query("heading_breadcrumbs", _CRUMBS)
 def heading_breadcrumbs(spark, d):
     heads = lines(spark, d).select("doc_id", "seq", (1 + F.length("text") % 3).alias("level"), F.col("text").alias("heading"))
     return K.breadcrumbs(heads, 3)
 
 
-@query("recommendation_segments")
+@query("recommendation_segments", f"""WITH t AS (SELECT doc_id, text || ' We recommend this. ' || source || ' It is recommended too. (1B)' AS t FROM documents),
+p AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, {literal('(' + V.RECOMMENDATION + ')')}, chr(1) || '\\1', 'g'), chr(1)) AS l FROM t))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS k, i > 0 AS is_match, trim(s, ' ') AS text FROM p WHERE trim(s, ' ') <> ''""")
 def recommendation_segments(spark, d):
     t = F.concat_ws(" ", F.col("text"), F.lit("We recommend this."), F.col("source"), F.lit("It is recommended too. (1B)"))
     return docs(spark, d).select("doc_id", F.posexplode(K.segments(t)).alias("k", "s")).select("doc_id", "k", "s.is_match", "s.text")
@@ -94,54 +152,99 @@ def confidence_score(spark, d):
     return docs(spark, d).select("doc_id", F.round(X.confidence(F.col("text"), S.word_count(F.col("text"))), 6).alias("confidence"))
 
 
-@query("chunk_type", """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'recommendation' WHEN item_id % 4 = 1 THEN 'monitoring' WHEN item_id % 4 = 2 THEN 'drug_dosing' ELSE 'background' END AS kind FROM benchmark""")
+def _flat(rules):
+    return [m for k, _ in rules for m in ([k] if isinstance(k, str) else k)]
+
+
+_TYPE_MARKERS = [*_flat(V.CHUNK_TYPES), "nothing"]
+
+
+@query("chunk_type", f"SELECT doc_id, {first_match_sql('t', V.CHUNK_TYPES, literal('background'))} AS kind FROM (SELECT doc_id, lower(({spliced_sql(_TYPE_MARKERS)}) || ' ' || source) AS t FROM documents)")
 def chunk_type(spark, d):
-    word = F.element_at(F.array(*map(F.lit, ["We recommend it", "Parameter", "mg/kg", "nothing"])), (F.col("item_id") % 4 + 1).cast("int"))
-    return table(spark, d, "benchmark").select("item_id", X.chunk_type(word, F.lit("")).alias("kind"))
+    """Whole texts, each with a marker of one of the types."""
+    return docs(spark, d).select("doc_id", X.chunk_type(spliced(F.col("text"), _TYPE_MARKERS), F.col("source")).alias("kind"))
 
 
-@query("grade_detect", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'strong' WHEN p_partkey % 3 = 1 THEN 'conditional' END AS strength, CASE WHEN p_partkey % 2 = 0 THEN 'moderate' ELSE 'low' END AS evidence FROM part""")
+_GRADE_MARKERS = [f"{a.capitalize()} it, {b}." for (a, _), (b, _) in zip([*V.STRENGTHS, ("so", "")], [*V.EVIDENCE, ("", "")], strict=False)] + [b for b, _ in V.EVIDENCE] + ["nothing"]
+
+
+@query("grade_detect", f"SELECT doc_id, {first_match_sql('t', V.STRENGTHS)} AS strength, {first_match_sql('t', V.EVIDENCE)} AS evidence FROM (SELECT doc_id, lower({spliced_sql(_GRADE_MARKERS)}) AS t FROM documents)")
 def grade_detect(spark, d):
-    k = F.col("p_partkey")
-    t = F.concat(F.when(k % 3 == 0, "We recommend x; ").when(k % 3 == 1, "We suggest x; ").otherwise("x; "), F.when(k % 2 == 0, "moderate certainty").otherwise("very low certainty"))
-    return table(spark, d, "part").select("p_partkey", X.strength(t).alias("strength"), X.evidence(t).alias("evidence"))
+    t = spliced(F.col("text"), _GRADE_MARKERS)
+    return docs(spark, d).select("doc_id", X.strength(t).alias("strength"), X.evidence(t).alias("evidence"))
+
+
+#: What stands before and behind a text: a number with a grade, a grade letter, a number alone, a grade in brackets, nothing.
+_FORMS = [("1.2.3", "(1B)"), ("9.3a", "A"), ("R12:", ""), ("Offer it [Strong] now:", ""), ("Recommendation 4", "[conditional]"), ("2.1", ". (2c)"), ("", "")]
+_FORM = f"length(text) % {len(_FORMS)} + 1"
+_REC = f"""SELECT doc_id, ([{', '.join(literal(a) for a, _ in _FORMS)}])[{_FORM}] || ' ' || text || ' ' || ([{', '.join(literal(b) for _, b in _FORMS)}])[{_FORM}] AS c FROM documents"""
+_GRADE_SQL = "CASE grade " + " ".join(f"WHEN {literal(k)} THEN {literal(v[0])}" for k, v in V.GRADES.items()) + " END AS strength, CASE grade " + " ".join(f"WHEN {literal(k)} THEN {literal(v[1])}" for k, v in V.GRADES.items() if v[1]) + " END AS quality"
+
 
+def _pattern(p):
+    return literal(p)
 
-@query("recommendation_fields", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '1.2.' || p_partkey WHEN 1 THEN '9.3a' WHEN 2 THEN 'R12' END AS id, CASE p_partkey % 4 WHEN 0 THEN '1b' WHEN 1 THEN 'a' WHEN 3 THEN 'strong' END AS grade,
- CASE p_partkey % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'strong' WHEN 3 THEN 'strong' END AS strength, CASE p_partkey % 4 WHEN 0 THEN 'moderate' WHEN 1 THEN 'high' END AS quality FROM part""")
+
+@query("recommendation_fields", f"""WITH r AS ({_REC}), p AS (SELECT doc_id, c, trim(c, ' ') AS t FROM r),
+f AS (SELECT doc_id, CASE WHEN regexp_matches(c, {_pattern(V.RECOMMENDATION_NUMBERED)}) THEN 1 WHEN regexp_matches(t, {_pattern(V.RECOMMENDATION_LETTERED)}) THEN 2 ELSE 3 END AS kind, c, t FROM p),
+g AS (SELECT doc_id, CASE kind WHEN 1 THEN regexp_extract(c, {_pattern(V.RECOMMENDATION_NUMBERED)}, 1) WHEN 2 THEN regexp_extract(t, {_pattern(V.RECOMMENDATION_LETTERED)}, 1) ELSE nullif(regexp_extract(c, {_pattern(V.RECOMMENDATION_PLAIN)}, 1), '') END AS id,
+ CASE kind WHEN 1 THEN lower(regexp_extract(c, {_pattern(V.RECOMMENDATION_NUMBERED)}, 3)) WHEN 2 THEN lower(regexp_extract(t, {_pattern(V.RECOMMENDATION_LETTERED)}, 3)) ELSE nullif(lower(regexp_extract(c, {_pattern(V.RECOMMENDATION_BRACKET)}, 1)), '') END AS grade FROM f)
+SELECT doc_id, id, grade, {_GRADE_SQL} FROM g""")
 def recommendation_fields(spark, d):
-    k = F.col("p_partkey")
-    t = F.when(k % 4 == 0, F.concat(F.lit("1.2."), k.cast("string"), F.lit(" We recommend salt. (1B)"))).when(k % 4 == 1, "9.3a Use it A").when(k % 4 == 2, "R12: drink water").otherwise("Offer it [Strong] now")
-    rec = X.recommendation(t)
-    return table(spark, d, "part").select("p_partkey", rec["id"].alias("id"), rec["grade"].alias("grade"), X.grade(rec["grade"])["strength"].alias("strength"), X.grade(rec["grade"])["quality"].alias("quality"))
+    n = F.pmod(F.length("text"), F.lit(len(_FORMS))) + 1
+    side = lambda k: F.element_at(F.array(*[F.lit(f[k]) for f in _FORMS]), n.cast("int"))
+    rec = docs(spark, d).select("doc_id", X.recommendation(F.concat_ws(" ", side(0), F.col("text"), side(1))).alias("r"))
+    return rec.select("doc_id", "r.id", "r.grade", X.grade(F.col("r.grade"))["strength"].alias("strength"), X.grade(F.col("r.grade"))["quality"].alias("quality"))
+
+
+_TAG_MARKERS = ["all adults", "Adult care", "children", "a paediatric dose", "newborn", "in pregnancy", "MATERNAL", "adolescents", "PLHIV", "HIV-positive", "metformin and insulin", "INH", "ART", "ferrous salts", "nothing"]
+
 
+def _tags_sql(patterns):
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches(t, {literal(p)})' for p in ps)} THEN {literal(name)} END" for name, ps in patterns.items()) + "], lambda x: x IS NOT NULL), ',')"
 
-@query("population_tags", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'adults' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '+pregnant' ELSE '' END AS tags FROM part")
+
+@query("population_tags", f"SELECT doc_id, {_tags_sql(V.POPULATIONS)} AS populations, {_tags_sql(V.INTERVENTIONS)} AS interventions FROM (SELECT doc_id, {spliced_sql(_TAG_MARKERS)} AS t FROM documents)")
 def population_tags(spark, d):
-    t = F.concat(F.when(F.col("p_size") > 25, "all adults, ").otherwise("adulthood "), F.when(F.col("p_size") % 2 == 0, "in Pregnancy").otherwise("pregnan"))
-    found = X.population_tags(t)
-    return table(spark, d, "part").select("p_partkey", F.concat(F.when(F.array_contains(found, "adults"), "adults").otherwise(""), F.when(F.array_contains(found, "pregnant"), "+pregnant").otherwise("")).alias("tags"))
+    t = spliced(F.col("text"), _TAG_MARKERS)
+    return docs(spark, d).select("doc_id", F.array_join(X.population_tags(t), ",").alias("populations"), F.array_join(X.intervention_tags(t), ",").alias("interventions"))
+
 
+_PLACE_MARKERS = [*_flat(V.PLACES), "elsewhere", "nowhere", "at sea"]
 
-@query("geo_scope", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'east_africa' WHEN 1 THEN 'europe' ELSE 'global' END AS scope FROM nation")
+
+@query("geo_scope", f"SELECT doc_id, {first_match_sql('t', V.PLACES, literal('global'))} AS scope FROM (SELECT doc_id, lower(source || ' ' || ({spliced_sql(_PLACE_MARKERS)})) AS t FROM documents)")
 def geo_scope(spark, d):
-    t = F.when(F.col("n_nationkey") % 3 == 0, "Care in Kenya and Africa").when(F.col("n_nationkey") % 3 == 1, "European care").otherwise("Care")
-    return table(spark, d, "nation").select("n_nationkey", X.scope(t, F.lit("")).alias("scope"))
+    return docs(spark, d).select("doc_id", X.scope(F.col("source"), spliced(F.col("text"), _PLACE_MARKERS)).alias("scope"))
+
 
+_TITLE_MARKERS = [*_flat(V.TITLE_MARKERS), "biology", "its causes"]
+_KINDS = [*[k.title() for k in V.PUBLICATION_TYPES], "Other", "Lecture"]
+_ARTICLES = [*_flat(V.ARTICLE_MARKERS), "", "", "paper"]
+_CLASS_SQL = f"""SELECT doc_id, list_filter([{', '.join(map(literal, ['Other', 'Journal']))}, CASE WHEN length(text) % 3 = 0 THEN ([{', '.join(map(literal, _KINDS))}])[length(text) % {len(_KINDS)} + 1] END], lambda x: x IS NOT NULL) AS types,
+ CASE WHEN length(text) % 3 = 1 THEN ([{', '.join(map(literal, _ARTICLES))}])[length(text) % {len(_ARTICLES)} + 1] ELSE '' END AS article, lower({spliced_sql(_TITLE_MARKERS)}) AS title FROM documents"""
+_KNOWN_SQL = "list_filter(list_transform(types, lambda p: CASE lower(p) " + " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in V.PUBLICATION_TYPES.items()) + " END), lambda x: x IS NOT NULL)[1]"
 
-@query("doc_classify", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'clinical_practice_guideline' WHEN 1 THEN 'exclude' WHEN 2 THEN 'randomized_controlled_trial' WHEN 3 THEN 'systematic_review' ELSE 'research_article' END AS type,
- CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 5 END AS tier FROM orders""")
+
+@query("doc_classify", f"""WITH c AS ({_CLASS_SQL}), k AS (SELECT doc_id, {_KNOWN_SQL} AS known, {first_match_sql('article', V.ARTICLE_MARKERS)} AS by_article, {first_match_sql('title', V.TITLE_MARKERS, literal('research_article'))} AS by_title FROM c),
+t AS (SELECT doc_id, coalesce(CASE WHEN known = '' THEN 'exclude' ELSE known END, by_article, by_title) AS type FROM k)
+SELECT doc_id, type, CASE type {' '.join(f'WHEN {literal(k)} THEN {v}' for k, v in V.TYPE_TIERS.items())} ELSE 5 END AS tier FROM t""")
 def doc_classify(spark, d):
-    k = F.col("o_orderkey") % 5
-    types = F.when(k == 0, F.array(F.lit("Other"), F.lit("Practice Guideline"))).when(k == 1, F.array(F.lit("Editorial"))).otherwise(F.array().cast("array<string>"))
-    c = X.document_class(types, F.when(k == 2, "clinical-trial").otherwise(""), F.when(k == 3, "A Cochrane review of it").otherwise("Its biology"))
-    return table(spark, d, "orders").select("o_orderkey", c["type"].alias("type"), c["tier"].alias("tier"))
+    """A third of the texts has a publication type, a third an article type, all have markers in what stands for the title."""
+    n = F.length("text")
+    one = lambda names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    types = F.filter(F.array(F.lit("Other"), F.lit("Journal"), F.when(n % 3 == 0, one(_KINDS))), lambda x: x.isNotNull())
+    c = X.document_class(types, F.when(n % 3 == 1, one(_ARTICLES)).otherwise(""), spliced(F.col("text"), _TITLE_MARKERS))
+    return docs(spark, d).select("doc_id", c["type"].alias("type"), c["tier"].alias("tier"))
+
 
+_BODY_MARKERS = [*[f"the {m} board" for m, _ in V.BODIES], *V.THIRD_RANK, "a clinic", "a ward"]
 
-@query("issuing_body", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'WHO' WHEN 1 THEN 'EULAR' ELSE s_name END AS body FROM supplier")
+
+@query("issuing_body", f"SELECT doc_id, coalesce({first_match_sql('lower(trim(n))', V.BODIES)}, n) AS body FROM (SELECT doc_id, {spliced_sql(_BODY_MARKERS)} AS n FROM documents)")
 def issuing_body(spark, d):
-    name = F.when(F.col("s_suppkey") % 3 == 0, "Those who care").when(F.col("s_suppkey") % 3 == 1, "EULAR board").otherwise(F.col("s_name"))
-    return table(spark, d, "supplier").select("s_suppkey", X.issuing_body(name).alias("body"))
+    """The rule is a substring's, so it also finds letters inside the corpus's words."""
+    return docs(spark, d).select("doc_id", X.issuing_body(spliced(F.col("text"), _BODY_MARKERS)).alias("body"))
 
 
 @query("sanitize_rows", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'recommendation' WHEN 1 THEN 'table' ELSE 'background' END AS chunk_type, CASE event_id % 4 WHEN 0 THEN 'infectious_disease' WHEN 1 THEN 'hiv' ELSE 'general_medicine' END AS domain,
@@ -199,7 +302,7 @@ def link_discovery(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(H.links(F.col("html"))).cast("long").alias("n_links"))
 
 
-@query("js_rendered")
+@query("js_rendered", r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda p: length(trim(regexp_replace(p, '<[^>]*>', '', 'g'), ' ')) > 50)) < 3 AS js_rendered FROM pages""")
 def js_rendered(spark, d):
     return table(spark, d, "pages").select("page_id", H.is_script_rendered(F.col("html")).alias("js_rendered"))
 
@@ -237,11 +340,12 @@ def font_headings(spark, d):
     return K.font_sections(spans).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_heading").cast("long")).alias("headings"))
 
 
-@query("authority_rank", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS rank FROM supplier")
+@query("authority_rank", f"""SELECT doc_id, coalesce(({first_match_sql('n', V.RANKS)})::INT, CASE WHEN length(text) % 5 = 0 OR {' OR '.join(f'contains(n, {literal(t)})' for t in V.THIRD_RANK)} THEN 3 ELSE 4 END) AS rank
+FROM (SELECT doc_id, text, lower(([{', '.join(map(literal, _BODY_MARKERS))}])[length(text) % {len(_BODY_MARKERS)} + 1] || ' of ' || source) AS n FROM documents)""")
 def authority_rank(spark, d):
-    k = F.col("s_suppkey") % 4
-    body = F.when(k == 0, "NICE").when(k == 1, "The EULAR board").when(k == 2, "Ministry of Health").otherwise("Somebody")
-    return table(spark, d, "supplier").select("s_suppkey", X.authority_rank(body, F.lit("research_article")).alias("rank"))
+    n = F.length("text")
+    body = F.concat(F.element_at(F.array(*map(F.lit, _BODY_MARKERS)), (n % len(_BODY_MARKERS) + 1).cast("int")), F.lit(" of "), F.col("source"))
+    return docs(spark, d).select("doc_id", X.authority_rank(body, F.when(n % 5 == 0, "clinical_practice_guideline").otherwise("research_article")).alias("rank"))
 
 
 @query("built_chunks")
