@@ -49,12 +49,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def path(self, label: str) -> str:
+        """A path below the folder, for other writers than save()."""
+        if self.root not in _LEFT:
+            _LEFT.append(self.root)
+        return f"{self.root}/{label}"
+
     def save(self, df: DataFrame, label: str) -> DataFrame:
         """Write df and read it back: lost executors no longer matter, and its size is known to the planner. What is left of a
         session's folders goes when the driver's Python ends."""
-        if self.root not in _LEFT:
-            _LEFT.append(self.root)
-        path = f"{self.root}/{label}"
+        path = self.path(label)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

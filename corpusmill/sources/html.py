@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
 
+#: Elements that are taken out.
 NOISE = {"nav", "footer", "header", "aside", "script", "style", "noscript", "form", "button"}
 #: Classes (whole names) whose elements are taken out.
 NOISE_CLASSES = {"breadcrumbs", "share-links", "in-page-nav", "local-header", "sticky-header", "feedback", "print-link"}
@@ -198,6 +199,15 @@ def paragraphs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit("(?is)<p(?:\\s[^>]*)?>(.*?)</p>"), F.lit(1)), lambda p: F.trim(F.regexp_replace(p, "<[^>]*>", "")))
 
 
+def routed(content_type: Column, body: Column) -> Column:
+    """The parser of a body: 'html', 'xml', 'bundle' (a JSON object with chapters) or 'other', by the content type and, where it
+    names none of them, by how the body begins."""
+    kind, start = F.lower(F.coalesce(content_type, F.lit(""))), F.ltrim(F.coalesce(body, F.lit("")))
+    named = F.when(F.contains(kind, F.lit("html")), "html").when(F.contains(kind, F.lit("xml")), "xml").when(F.contains(kind, F.lit("json")), "bundle").when(F.contains(kind, F.lit("pdf")), "other")
+    seen = F.when(start.startswith("{"), "bundle").when(F.lower(F.substring(start, 1, 5)) == "<?xml", "xml").when(start.startswith("<"), "html").otherwise("other")
+    return F.coalesce(named, seen)
+
+
 def is_script_rendered(html: Column, least: int = 50) -> Column:
     """Fewer than three paragraphs of more than 50 characters."""
     return F.size(F.filter(paragraphs(html), lambda p: F.length(p) > least)) < 3

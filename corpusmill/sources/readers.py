@@ -23,6 +23,13 @@ def report_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"run_id string, per_question array<struct<{row.replace(' string', ':string').replace(' int', ':int')}>>").json(path, multiLine=True).select("run_id", F.explode("per_question").alias("q")).select("run_id", "q.*")
 
 
+def bundle_chapters(bundles: DataFrame, key: str, body: str) -> DataFrame:
+    """key, chapter (from 0), slug, title, url, html of each chapter of JSON bundles, in the bundle's order; a body that is no
+    bundle has none. The html goes through sources.html.html_sections as any page does."""
+    kind = "struct<chapters: array<struct<slug: string, title: string, url: string, html: string>>>"
+    return bundles.select(key, F.posexplode(F.from_json(F.col(body), kind)["chapters"]).alias("chapter", "c")).select(key, "chapter", "c.*")
+
+
 def hashed_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """Files below path whose stem is a 64-digit hash: hash, path, length; contents are not read unless asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
