@@ -170,10 +170,12 @@ def mention_weights(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rrf(*lists: DataFrame, k: int = K_RRF, top: int = 40, digits: int = 8, weights: tuple[float, ...] | None = None) -> DataFrame:
-    """Reciprocal rank fusion of lists (query_id, id, rank): the sum of 1 / (k + rank), ties by the first list and rank."""
+    """Reciprocal rank fusion of lists (query_id, id, rank): the sum of 1 / (k + rank), ties by the first list and rank. A table may
+    hold several lists, told apart by a column source from 0."""
     weights = weights or (1.0,) * len(lists)
-    all_ = reduce(DataFrame.union, [x.select("query_id", "id", F.lit(i).alias("list"), "rank", F.lit(w).alias("w")) for i, (x, w) in enumerate(zip(lists, weights, strict=True))])
-    fused = all_.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), digits).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    all_ = reduce(DataFrame.union, [x.select("query_id", "id", F.struct(F.lit(i).alias("i"), (F.col("source") if "source" in x.columns else F.lit(0)).cast("int").alias("source")).alias("list"), "rank", F.lit(w).alias("w")) for i, (x, w) in enumerate(zip(lists, weights, strict=True))])
+    # Dealt out here: Spark would take the union's lists for dealt out alike, as each is by query.
+    fused = all_.repartition("query_id", "id").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), digits).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
     return top_k(fused, top, F.desc("score"), F.col("first"), F.col("id")).drop("first")
 
 
@@ -192,6 +194,17 @@ def inject(fused: DataFrame, extra: DataFrame, cap: int) -> DataFrame:
     return fused.select("query_id", "id", "rank", F.lit(False).alias("injected")).unionByName(added)
 
 
+def hybrid(lists: list[DataFrame], phrases: DataFrame | None = None, direct: DataFrame | None = None, *, k: int = 40) -> DataFrame:
+    """query_id, id, rank, injected: lists of any number of searches fused to k, then what a direct lookup and a search for exact
+    phrases found beside, up to a third and a quarter of k (two and three at least)."""
+    found = rrf(*lists, top=k).select("query_id", "id", "rank", F.lit(False).alias("injected"))
+    for extra, cap in ((direct, max(2, k // 3)), (phrases, max(3, k // 4))):
+        if extra is not None:
+            more = inject(found, extra, cap)
+            found = more.join(found.select("query_id", "id", F.col("injected").alias("_was")), ["query_id", "id"], "left").select("query_id", "id", "rank", (F.col("injected") | F.coalesce("_was", F.lit(False))).alias("injected"))
+    return found
+
+
 def citations(ranked: DataFrame) -> DataFrame:
     """query_id, key, id, position, index: titles of the same trimmed lower-case form share the first one's index from 1."""
     keyed = ranked.withColumn("key", F.lower(F.trim(F.coalesce("title", F.lit("")))))

@@ -120,12 +120,32 @@ def rrf_inject(spark, d):
     return R.inject(_fused(spark, d, 10), extra, 3)
 
 
-@query("hybrid_search", _HYBRID + """, c AS (SELECT r.query_id, r.id, r.score, r.rank, lower(trim(coalesce(source, ''))) AS key FROM r JOIN documents ON doc_id = id WHERE rank <= 10)
+@query("hybrid_search", f"""WITH {_FTS},
+s3 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id % 3 AS s FROM h WHERE query_id IN (SELECT vec_id FROM embeddings)),
+t AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id, s ORDER BY rank) AS rank FROM s3),
+v AS (SELECT query_id, id, rank FROM ({_knn_sql(40, asked='q.vec_id IN (SELECT item_id FROM benchmark)')})),
+v3 AS (SELECT query_id, id, rank FROM ({_knn_sql(12, 'a.label = 3', 'q.vec_id IN (SELECT item_id FROM benchmark)')})),
+l AS (SELECT query_id, id, 0 AS list, rank FROM v UNION ALL SELECT query_id, id, 1, rank FROM v3 UNION ALL SELECT query_id, id, 2 + s, rank FROM t WHERE rank <= 12),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min((list, rank)) AS first FROM l GROUP BY 1, 2),
+r AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f) WHERE rank <= 40),
+p AS (SELECT item_id AS query_id, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), doc_id) AS k FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE item_id IN (SELECT query_id FROM r)),
+e AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k, id) AS k FROM p WHERE k <= 4 AND (query_id, id) NOT IN (SELECT query_id, id FROM r)),
+a AS (SELECT * FROM r UNION ALL SELECT e.query_id, e.id, n + k FROM e JOIN (SELECT query_id, max(rank) AS n FROM r GROUP BY 1) USING (query_id) WHERE k <= 10),
+c AS (SELECT query_id, id, rank, lower(trim(coalesce(source, ''))) AS key FROM a JOIN documents ON doc_id = id)
 SELECT query_id, key, min(rank) AS position, arg_min(id, rank) AS id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS index FROM c GROUP BY query_id, key""")
 def hybrid_search(spark, d):
-    """Vector and term search, fused, cut to ten, cited by source."""
+    """Five searches (all vectors, vectors of one label, terms in three sources) fused to forty, exact phrases injected, cited by
+    source."""
+    asked, docs = _item_vectors(spark, d), _chunks(spark, d)
+    ids = asked.select("query_id")
+    hits = R.full_text(R.term_index(docs, 5), _questions(spark, d).join(ids, "query_id", "left_semi"), docs.count(), 10**9, every=False)
+    by_source = W.partitionBy("query_id", "source").orderBy(F.desc("score"), "id")
+    terms = hits.withColumn("source", F.col("id") % 3).withColumn("rank", F.row_number().over(by_source)).where("rank <= 12")
+    vectors = [R.knn(_vectors(spark, d), asked, 40), R.knn(_vectors(spark, d).where("label = 3"), asked, 12)]
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase")).join(ids, "query_id", "left_semi")
+    found = R.hybrid([*vectors, terms], R.phrase_lookup(docs, phrases))
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"))
-    return R.citations(_fused(spark, d, 10).join(titles, "id"))
+    return R.citations(found.join(titles, "id"))
 
 
 @query("fts_source_concat", f"""WITH {_FTS}, t AS (SELECT query_id, id, id % 3 AS s, row_number() OVER (PARTITION BY query_id, id % 3 ORDER BY score DESC, id) AS k FROM h)
