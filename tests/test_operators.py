@@ -1,12 +1,15 @@
 """Operators without SQL, and edge cases, against small restatements."""
 
+import math
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import external as E
 from corpusmill.functions import scalars as S, text as X
-from corpusmill.operators import chunking as K, evaluation as V, lifecycle as L, retrieval as R, social as O
+from corpusmill.operators import chunking as K, conversations as C, evaluation as V, lifecycle as L, retrieval as R, social as O, vectors as Vc
 from corpusmill.sources import html as H, readers as Rd
 from corpusmill.streaming import jobs as J
 
@@ -241,3 +244,86 @@ def test_question_to_terms(spark):
     assert one(spark, c, t="What dose of ART should a patient with TB (aged 30) have?") == ["dose", "antiretroviral", "therapy", "tuberculosis"]
     assert one(spark, c, t="MDR-TB, 10mg")[:2] == ["mdr", "tuberculosis"]  # the shorter form comes first
     assert one(spark, c, t="what who 12") == []
+
+
+def test_quantiles_of_large_and_small_groups(spark, monkeypatch):
+    """Exact with the two bounds of each rank found by an approximate percentile, as groups of more than ACCURACY values have."""
+    monkeypatch.setattr(V, "ACCURACY", 60)
+    rng = random.Random(4)
+    groups = {"many": [float(rng.randrange(10_000)) for _ in range(3000)], "ties": [float(rng.randrange(4)) for _ in range(2000)], "one": [7.0], "two": [1.0, 2.0], "few": [5.0, 1.0, 3.0], "none": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("few", None)]
+    got = {r["g"]: r for r in V.latency(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v", (50, 95)).collect()}
+
+    def exclusive(vs, p):
+        vs = sorted(vs)
+        if len(vs) < 2:
+            return vs[0] if vs else 0.0
+        at = max(1, min(len(vs) - 1, p * (len(vs) + 1) // 100))
+        rest = p * (len(vs) + 1) - at * 100
+        return round((vs[at - 1] * (100 - rest) + vs[at] * rest) / 100, 1)
+
+    for g, vs in groups.items():
+        assert got[g]["n"] == len(vs)
+        assert all(abs(got[g][f"p{p}"] - exclusive(vs, p)) < 0.11 and abs(got[g][f"p{p}"] * 10 - round(got[g][f"p{p}"] * 10)) < 1e-6 for p in (50, 95)), g
+
+
+def test_active_path_of_long_chains_forks_and_cycles(spark):
+    n = 700
+    rows = [(i, 1, i + 1 if i < n - 1 else None) for i in range(n)]  # one long chain
+    rows += [(10_000, 2, 10_002), (10_001, 2, None), (10_002, 2, None), (20_000, 3, 20_001), (20_001, 3, 20_000), (30_000, 4, 39_999)]  # a branch left aside, a cycle, a child that is not there
+    m = spark.createDataFrame(rows, "id long, conversation_id long, selected_child_id long")
+    roots = spark.createDataFrame([(0,), (10_000,), (20_000,), (30_000,)], "id long")
+    got = {r["id"]: r["depth"] for r in C.active_path(spark, m, roots).collect()}
+    assert got == {**{i: i for i in range(n)}, 10_000: 0, 10_002: 1, 30_000: 0}
+
+
+def test_snapshots_of_two_writers(spark, tmp_path):
+    t = L.SnapshotTable(spark, f"{tmp_path}/t")
+    t.write(spark.createDataFrame([(1,)], "v int"))
+    t.write(spark.createDataFrame([(2,)], "v int"), after=0)
+    with pytest.raises(L.ConcurrentChange):
+        for _ in range(20):  # of the same number: the lesser name stands, whoever has it
+            t.write(spark.createDataFrame([(3,)], "v int"), after=0)
+    with pytest.raises(L.ConcurrentChange):
+        t.write(spark.createDataFrame([(4,)], "v int"), after=-1)
+    assert t.read().first()["v"] in (2, 3)
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    """Many chunks and blocks, ties, vectors of another length, null and zero, against all pairs."""
+    monkeypatch.setattr(Vc, "CHUNK_BYTES", 8 * 4 * 5)
+    monkeypatch.setattr(Vc, "BLOCK", 3)
+    monkeypatch.setattr(Vc, "HELD", 4)
+    rng = random.Random(8)
+    vectors = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, [1.0, 2.0]), (62, None), (63, [1.0, None, 0.0, 0.0])]
+    asked = [(i * 7, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(8)] + [(100, [1.0, 2.0]), (101, None)]
+    got = {}
+    v, q = spark.createDataFrame(vectors, "id long, embedding array<float>").repartition(3), spark.createDataFrame(asked, "query_id long, embedding array<float>").repartition(2)
+    for r in R.knn(v, q, 6).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 6) if size else 0.0
+
+    for i, e in asked:
+        want = sorted(((-cosine(e, x), k) for k, x in vectors))[:6]
+        assert [(k, -s) for s, k in want] == [(k, s) for _, k, s in sorted(got[i])], i
+
+
+def test_phrases_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(R, "PHRASE_CHARS", 20)
+    texts = ["The cat sat", "a CAT", "", None, "cats and dogs", "nothing"]
+    phrases = ["cat", "Cat", "dog", "s a", "zebra", "", "the cat sat on"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted((r["phrase"], r["id"]) for r in R.containing(rows, spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect())
+    assert got == sorted({(p.lower(), i) for p in phrases if p for i, t in enumerate(texts) if t and p.lower() in t.lower()})
+
+
+def test_tables_and_long_sentences(spark):
+    table = "[TABLE]\n" + " | ".join(["x"] * 30)
+    text = "one two three.\n\n" + table + "\n\n" + "w " * 45
+    got = one(spark, K.paragraph_chunks(F.col("t"), 20, 10, 0), t=text)
+    assert got == ["one two three.", table, " ".join(["w"] * 20), " ".join(["w"] * 20), " ".join(["w"] * 5)]
