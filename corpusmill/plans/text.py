@@ -137,9 +137,22 @@ def recommendation_segments(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(K.segments(t)).alias("k", "s")).select("doc_id", "k", "s.is_match", "s.text")
 
 
-@query("detected_sections")
+_HEADED = rf"""SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '(?m)^(.{{1,30}})$', '## \1', 'g') ELSE regexp_replace(text, '(?m)^([A-Z].{{3,30}})$', '3.1 \1', 'g') END AS t FROM documents"""
+
+
+@query("detected_sections", rf"""WITH h AS ({_HEADED}),
+c AS (SELECT doc_id, source, t, list_transform(string_split(regexp_replace(t, '(?m)^(#{{1,3}})\s+(.+)$', chr(1) || '\1' || chr(2) || '\2' || chr(2), 'g'), chr(1))[2:], lambda p: string_split(p, chr(2))) AS one,
+  list_transform(string_split(regexp_replace(t, '(?m)^(\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{{3,60}})$', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:], lambda p: string_split(p, chr(2))) AS three FROM h),
+l AS (SELECT *, list_filter(three, lambda p: len(list_filter(string_split_regex(p[2], '\s+'), lambda w: w <> '')) >= 60) AS long FROM c),
+r AS (SELECT doc_id, unnest(range(len(one))) AS k, unnest(list_transform(one, lambda p: {{'title': trim(p[2], ' '), 'depth': length(p[1]), 'method': 'markdown_heading', 'text': trim(p[3], ' ')}})) AS s FROM l WHERE len(one) >= 3
+  UNION ALL SELECT doc_id, unnest(range(len(long))), unnest(list_transform(long, lambda p: {{'title': trim(p[1], ' '), 'depth': 1, 'method': 'numbered_heading', 'text': trim(p[2], ' ')}})) FROM l WHERE len(one) < 3 AND len(three) >= 3 AND len(long) > 0
+  UNION ALL SELECT doc_id, 0, {{'title': source, 'depth': 1, 'method': 'sliding_window', 'text': trim(t, ' ')}} FROM l WHERE len(one) < 3 AND (len(three) < 3 OR len(long) = 0))
+SELECT doc_id, k::INT AS k, s.title AS title, s.depth::INT AS depth, s.method AS method, s.text AS text FROM r""")
 def detected_sections(spark, d):
-    t = F.regexp_replace("text", "(?m)^(.{1,30})$", "## $1")
+    """Short lines as headings, of one kind in every second document and of the other in the rest. The corpus has no headings in
+    capitals."""
+    even = F.col("doc_id") % 2 == 0
+    t = F.when(even, F.regexp_replace("text", "(?m)^(.{1,30})$", "## $1")).otherwise(F.regexp_replace("text", "(?m)^([A-Z].{3,30})$", "3.1 $1"))
     return docs(spark, d).select("doc_id", F.posexplode(K.sections(t, F.col("source"))).alias("k", "s")).select("doc_id", "k", "s.*")
 
 
@@ -317,10 +330,21 @@ def title_case(spark, d):
     return table(spark, d, "part").select("p_partkey", S.title_case(F.col("p_name")).alias("title"))
 
 
-@query("suggestion_grounding")
+_SUGGESTED = r"""SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'Is ' ELSE 'What about the ' END || CASE WHEN w = '' THEN '' ELSE upper(w[1]) || lower(w[2:]) END || CASE WHEN doc_id % 3 = 0 THEN ' dose' ELSE ' of this' END || CASE WHEN doc_id % 7 = 0 THEN ' one.' ELSE ' one?' END AS s
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN f ELSE reverse(f) END AS w FROM (SELECT doc_id, text, coalesce(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1], '') AS f FROM documents))"""
+
+
+@query("suggestion_grounding", rf"""WITH q AS ({_SUGGESTED}),
+n AS (SELECT *, list_filter(string_split_regex(s, '[^\pL\pM\pN_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z]{{4,}}') AND lower(w) NOT IN ({', '.join(map(literal, V.SUGGESTION_STOP))})) AS names FROM q)
+SELECT doc_id, ends_with(trim(s, ' '), '?') AND len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) >= 5
+ AND (NOT regexp_matches(s, {literal(V.DRUG_QUESTION)}) OR (NOT ({' OR '.join(f"contains(lower(s), {literal(x)})" for x in V.NUTRITION)}) AND regexp_matches(text, {literal(V.DRUG_MARKERS)})))
+ AND len(list_filter(names, lambda w: NOT contains(lower(text), lower(w)))) = 0 AS grounded FROM n""")
 def suggestion_grounding(spark, d):
-    s = F.concat(F.lit("What about the "), F.initcap(F.element_at(S.words(F.col("text")), 1)), F.lit(" of this one?"))
-    return table(spark, d, "benchmark").select("item_id", X.grounded(s, F.col("text")).alias("grounded"))
+    """Suggestions from each text's first word, half of them with its letters turned round, some too short, some about doses."""
+    k, first = F.col("doc_id"), F.coalesce(F.try_element_at(S.words(F.col("text")), F.lit(1)), F.lit(""))
+    word = F.initcap(F.when(k % 2 == 0, first).otherwise(F.reverse(first)))
+    s = F.concat(F.when(k % 5 == 0, "Is ").otherwise("What about the "), word, F.when(k % 3 == 0, " dose").otherwise(" of this"), F.when(k % 7 == 0, " one.").otherwise(" one?"))
+    return docs(spark, d).select("doc_id", X.grounded(s, F.col("text")).alias("grounded"))
 
 
 @query("table_prose", "SELECT l_orderkey, 'key | part' || chr(10) || string_agg('key: ' || l_linenumber || '; part: ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey) AS prose FROM lineitem GROUP BY 1")
