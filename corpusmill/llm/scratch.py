@@ -1,78 +1,34 @@
-"""Tables that cut lineage: Parquet in the folder that driver and executors share."""
+"""Tables that cut lineage, and lists that are broadcast where they were weighed."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from ..scratch import Scratch, shared_folder
 
+__all__ = ["BROADCAST_BYTES", "Scratch", "fits", "shared_folder", "sized"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; else a temporary folder in local mode, and the warehouse on a cluster."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return folder.rstrip("/")
-    conf = spark.sparkContext.getConf()
-    if conf.get("spark.master", "").startswith("local[") or conf.get("spark.master", "") == "local":
-        if not hasattr(shared_folder, "local"):
-            shared_folder.local = tempfile.mkdtemp(prefix="corpusmill-")
-            atexit.register(shutil.rmtree, shared_folder.local, ignore_errors=True)
-        return f"file://{shared_folder.local}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+#: Of a list in an executor's memory, with ROW_BYTES for each row beside its values.
+BROADCAST_BYTES = 24 << 20
+ROW_BYTES = 32
+_WIDTHS = {T.LongType: 8, T.IntegerType: 4, T.DoubleType: 8, T.BooleanType: 1}
 
 
-#: Rows of a table of keys that is sent to all executors rather than shuffled with what it is joined to.
-BROADCAST_ROWS = 500_000
+def fits(rows: DataFrame) -> bool:
+    """Do the rows of a saved table weigh BROADCAST_BYTES at most? All of them are weighed."""
+    fixed, measured = ROW_BYTES, F.lit(0)
+    for field in rows.schema:
+        if width := _WIDTHS.get(type(field.dataType)):
+            fixed += width
+        elif isinstance(field.dataType, T.ArrayType):
+            each = sum(_WIDTHS[type(f.dataType)] for f in field.dataType.elementType) if isinstance(field.dataType.elementType, T.StructType) else 8
+            measured += 16 + F.size(field.name) * (8 + each)
+        else:
+            measured += 8 + F.coalesce(F.octet_length(field.name), F.lit(0))
+    weight = rows.select((F.lit(fixed) + measured).cast("long").alias("w")).agg(F.sum("w")).first()[0]
+    return (weight or 0) <= BROADCAST_BYTES
 
 
-def sized(keys: DataFrame) -> DataFrame:
-    """A saved table of narrow keys, to be broadcast where it is counted to be small; larger ones meet the other side in a
-    shuffle."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
-_LEFT: list[str] = []
-
-
-def _delete(path: str) -> None:
-    context = SparkContext._active_spark_context
-    if context is not None and context._jsc is not None:
-        p = context._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _delete_left() -> None:
-    while _LEFT:
-        with contextlib.suppress(Exception):  # the JVM may have ended before
-            _delete(_LEFT.pop())
-
-
-class Scratch:
-    """A folder for one call of an operator. What the returned DataFrame reads must stay; drop() frees the rest early."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, label: str) -> DataFrame:
-        """Write df and read it back: lost executors no longer matter, and its size is known to the planner. What is left of a
-        session's folders goes when the driver's Python ends."""
-        if self.root not in _LEFT:
-            _LEFT.append(self.root)
-        path = f"{self.root}/{label}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def release(self) -> None:
-        """Spark frees shuffle files when the driver's JVM collects its garbage, which may be long after their last use."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, *labels: str) -> None:
-        for label in labels:
-            _delete(f"{self.root}/{label}")
+def sized(rows: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast where it fits; a larger one meets the other side in a shuffle."""
+    return F.broadcast(rows) if fits(rows) else rows

@@ -20,7 +20,14 @@ def test_saved_and_dropped(spark):
 
 
 def test_sized(spark, monkeypatch):
-    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 2 * (scratch.ROW_BYTES + 8))
     few, many = spark.range(2), spark.range(3)
     plan = lambda df: spark.range(9).join(scratch.sized(df), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(few) and "broadcast" not in plan(many)
+
+
+def test_weight_of_values(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 200)
+    assert scratch.fits(spark.createDataFrame([("x",)], "t string")) and not scratch.fits(spark.createDataFrame([("x" * 200,)], "t string"))
+    lists = lambda n: spark.createDataFrame([(1, [(2, True)] * n)], "ref long, runs array<struct<a: long, b: boolean>>")
+    assert scratch.fits(lists(1)) and not scratch.fits(lists(20)) and scratch.fits(spark.createDataFrame([(None,)], "t string"))
