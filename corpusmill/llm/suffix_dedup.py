@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textvec as tv
-from .scratch import Scratch
+from .scratch import Scratch, fits
 
 CHUNK = 1 << 20
 GROUP = 2_000
@@ -36,7 +36,8 @@ GROUP = 2_000
 WIDTHS = (16, 1)
 #: A run packed in one long: start of the first window, then its anchor's distance from there, then the number of further windows.
 _FIELD = 15
-RUN = "key long, digest long, ref long, run long"
+RUN = "key long, digest long, ref long, run long, times int, spans array<struct<a: long, b: long>>"
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _pack(start, lead, more):
@@ -97,6 +98,9 @@ _SYMBOL = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint6
 
 
 def _emit_runs(length: int):
+    """A row for each different run of a text: runs of a text that are equal (in periodic texts nearly all are) have one row with
+    their number and what they cover, as they are repeated whatever other texts have."""
+
     def run(batches):
         for batch in batches:
             data, offsets = tv.bytes_of(batch.column("text"))
@@ -105,8 +109,17 @@ def _emit_runs(length: int):
                 part = np.ascontiguousarray(data[offsets[a] : offsets[b]])
                 text, key, start, lead, more = text_runs(part, offsets[a : b + 1], length)
                 view, base = memoryview(part), (offsets[a:b] - offsets[a])[text] + start
-                digest = [_digest64(view[i:j]) for i, j in zip(base.tolist(), (base + more + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest, pa.int64()), pa.array(refs[a:b][text]), pa.array(_pack(start, lead, more))], ["key", "digest", "ref", "run"])
+                digest = np.array([_digest64(view[i:j]) for i, j in zip(base.tolist(), (base + more + length).tolist(), strict=True)], np.int64)
+                order = np.lexsort((start, digest, key, text))
+                text, key, digest, start, lead, more = (x[order] for x in (text, key, digest, start, lead, more))
+                first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]) if len(text) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[first, len(text)])
+                spans = [None] * len(first)
+                for i in np.flatnonzero(times > 1).tolist():
+                    own = slice(first[i], first[i] + times[i])
+                    spans[i] = [{"a": a, "b": b} for a, b in _merged(zip(start[own].tolist(), (start[own] + more[own] + length).tolist(), strict=True))]
+                run = pa.array(_pack(start, lead, more)[first])
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(digest[first]), pa.array(refs[a:b][text[first]]), run, pa.array(times.astype(np.int32)), pa.array(spans, _SPANS)], ["key", "digest", "ref", "run", "times", "spans"])
 
     return run
 
@@ -148,7 +161,8 @@ def _emit_cells(length: int, width: int):
                         for column, value in zip(out, (int.from_bytes(core, "little", signed=True), _digest64(view[s : last + length]), refs[i], _pack(s, anchor - s, last - s)), strict=True):
                             column.append(value)
                         s = last + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "digest", "ref", "run"])
+            once = [pa.array(np.ones(len(out[0]), np.int32)), pa.nulls(len(out[0]), _SPANS)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), *once], ["key", "digest", "ref", "run", "times", "spans"])
 
     return run
 
@@ -218,10 +232,22 @@ def _sort_groups(length: int):
     return run
 
 
-def _with_runs(source: DataFrame, runs: DataFrame) -> DataFrame:
+def _beside(source: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """source with the lists (ref and one array) of its documents. Where the ids can be broadcast, only texts with a list are
+    shuffled, to meet it; other texts stay where they are."""
+    ids = lists.select("ref")
+    if not fits(ids):
+        return source.join(lists, "ref", how)
+    met = source.join(F.broadcast(ids), "ref", "left_semi").join(lists, "ref")
+    if how == "inner":
+        return met
+    return met.unionByName(source.join(F.broadcast(ids), "ref", "left_anti"), allowMissingColumns=True)
+
+
+def _with_runs(source: DataFrame, runs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """Documents with the list of their runs in question; a list is bounded by its text."""
     lists = runs.groupBy("ref").agg(F.collect_list(F.struct("key", "single", "run")).alias("runs"))
-    return source.select("ref", "text").join(lists, "ref")
+    return _beside(source.select("ref", "text"), scratch.save(lists, label), "inner")
 
 
 def repeated_intervals(source: DataFrame, length: int, scratch: Scratch, group: int = GROUP) -> DataFrame:
@@ -231,40 +257,45 @@ def repeated_intervals(source: DataFrame, length: int, scratch: Scratch, group:
     covers = None
     widths = [w for w in WIDTHS if w < length]
     for level in range(len(widths) + 1):
-        runs = scratch.save(runs, f"runs-{level}")
+        at = f"{length}-{level}"
+        runs = scratch.save(runs, f"runs-{at}")
+        own = runs.where("times > 1").select("ref", F.explode("spans").alias("s")).select("ref", "s.a", "s.b")
+        own = scratch.save(own, f"own-{at}")
+        covers = own if covers is None else covers.union(own)
+        runs = runs.drop("spans")
         # Sums are written before they are joined: only joins of two plain exchanges have their skewed partitions split.
-        keys = scratch.save(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"keys-{level}")
-        shared = scratch.save(runs.join(keys, "key"), f"shared-{level}")
-        scratch.drop(f"runs-{level}", f"keys-{level}")
+        keys = scratch.save(runs.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), f"keys-{at}")
+        shared = scratch.save(runs.join(keys, "key"), f"shared-{at}")
+        scratch.drop(f"runs-{at}", f"keys-{at}")
         scratch.release()
-        cells = shared.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "run")).alias("one"))
-        cells = scratch.save(cells.select("key", "digest", "n", "one.ref", "one.run"), f"cells-{level}")
-        whole = shared.join(cells.where("n > 1").select("key", "digest"), ["key", "digest"])
+        cells = shared.groupBy("key", "digest").agg(F.sum("times").alias("n"), F.min(F.struct("ref", "run")).alias("one"))
+        cells = scratch.save(cells.select("key", "digest", "n", "one.ref", "one.run"), f"cells-{at}")
+        whole = shared.where("times = 1").join(cells.where("n > 1").select("key", "digest"), ["key", "digest"])
         start, more = F.shiftright("run", 2 * _FIELD), F.col("run").bitwiseAND(F.lit((1 << _FIELD) - 1))
-        whole = scratch.save(whole.select("ref", start.cast("long").alias("a"), (start + more + length).cast("long").alias("b")), f"whole-{level}")
-        scratch.drop(f"shared-{level}")
-        covers = whole if covers is None else covers.union(whole)
+        whole = scratch.save(whole.select("ref", start.cast("long").alias("a"), (start + more + length).cast("long").alias("b")), f"whole-{at}")
+        scratch.drop(f"shared-{at}")
+        covers = covers.union(whole)
         if level == len(widths):
             return covers
-        mixed = scratch.save(cells.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), f"mixed-{level}")
-        left = scratch.save(cells.join(mixed, "key").select("key", "ref", "run", (F.col("n") == 1).alias("single"), (F.col("texts") > group).alias("large")), f"left-{level}")
-        small = _with_runs(source, left.where("not large").select("key", "ref", "run", "single"))
+        mixed = scratch.save(cells.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), f"mixed-{at}")
+        left = scratch.save(cells.join(mixed, "key").select("key", "ref", "run", (F.col("n") == 1).alias("single"), (F.col("texts") > group).alias("large")), f"left-{at}")
+        small = _with_runs(source, left.where("not large").select("key", "ref", "run", "single"), scratch, f"small-{at}")
         frames = small.mapInArrow(fragments, "key long, single boolean, ref long, run long, text binary")
         sorted_ = frames.repartition(F.col("key")).sortWithinPartitions("key")
-        covers = covers.union(scratch.save(sorted_.mapInArrow(_sort_groups(length), "ref long, a long, b long"), f"sorted-{level}"))
-        scratch.drop(f"cells-{level}")
+        covers = covers.union(scratch.save(sorted_.mapInArrow(_sort_groups(length), "ref long, a long, b long"), f"sorted-{at}"))
+        scratch.drop(f"cells-{at}", f"small-{at}")
         scratch.release()
         large = left.where("large").select("key", "ref", "run", "single")
         if large.isEmpty():
             return covers
-        runs = _with_runs(source, large).mapInArrow(_emit_cells(length, widths[level]), RUN)
+        runs = _with_runs(source, large, scratch, f"large-{at}").mapInArrow(_emit_cells(length, widths[level]), RUN)
     return covers
 
 
-def _spans(pairs) -> list[tuple[int, int]]:
-    """The maximal runs of a union of intervals."""
+def _merged(intervals) -> list[tuple[int, int]]:
+    """The maximal runs of a union of intervals, which come in order."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in pairs or ()):
+    for a, b in intervals:
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -272,6 +303,10 @@ def _spans(pairs) -> list[tuple[int, int]]:
     return out
 
 
+def _spans(pairs) -> list[tuple[int, int]]:
+    return _merged(sorted((x["a"], x["b"]) for x in pairs or ()))
+
+
 def _cut(text: bytes, spans: list[tuple[int, int]], whole_characters: bool) -> bytes:
     """The text without its spans. whole_characters: a span is narrowed to the characters that lie in it as a whole."""
     kept, at = [], 0
@@ -286,16 +321,23 @@ def _cut(text: bytes, spans: list[tuple[int, int]], whole_characters: bool) -> b
     return b"".join([*kept, text[at:]])
 
 
-def _digests(batches):
-    for batch in batches:
-        rows = {"doc_id": batch.column("doc_id").to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, pairs in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
-            spans = _spans(pairs)
-            rows["n_bytes"].append(len(text))
-            rows["n_removed"].append(sum(b - a for a, b in spans))
-            rows["n_spans"].append(len(spans))
-            rows["kept_sha256"].append(hashlib.sha256(_cut(text, spans, False)).hexdigest())
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], ("kept_sha256", pa.string())]))
+_DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _digests(passages: bool):
+    def run(batches):
+        for batch in batches:
+            texts, columns = batch.column("text").to_pylist(), {"doc_id": batch.column("doc_id")}
+            spans = [_spans(pairs) for pairs in batch.column("cover").to_pylist()]
+            columns["n_bytes"] = pa.array([len(t) for t in texts], pa.int64())
+            columns["n_removed"] = pa.array([sum(b - a for a, b in s) for s in spans], pa.int64())
+            columns["n_spans"] = pa.array([len(s) for s in spans], pa.int64())
+            columns["kept_sha256"] = pa.array([hashlib.sha256(_cut(t, s, False)).hexdigest() for t, s in zip(texts, spans, strict=True)], pa.string())
+            if passages:
+                columns["n_passage_bytes"] = pa.array([sum(b - a for a, b in _spans(pairs)) for pairs in batch.column("passages").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
 def _texts(batches):
@@ -304,20 +346,26 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
 
 
-def _with_covers(docs: DataFrame, length: int, id_col: str, text_col: str, group: int, row: Column) -> DataFrame:
-    """ref, text (bytes), cover (intervals), row."""
+def _with_covers(docs: DataFrame, length: int, id_col: str, text_col: str, group: int, row: Column, passage: int | None = None) -> DataFrame:
+    """text (bytes), cover (intervals), row and, where passage is given, the intervals of strings of passage bytes as passages."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(ref(F.col(id_col), text).alias("ref"), text.cast("binary").alias("text"), row.alias("row"))
-    covers = repeated_intervals(source, length, scratch, group)
-    cover = covers.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
-    return source.join(scratch.save(cover, "cover"), "ref", "left").select("text", "cover", "row")
+    out = source
+    for name, least in (("cover", length), ("passages", passage)):
+        if least:
+            covers = repeated_intervals(source, least, scratch, group).groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias(name))
+            out = _beside(out, scratch.save(covers, name), "left")
+            scratch.drop(*[f"{kind}-{least}-{level}" for kind in ("own", "whole", "sorted", "left", "mixed", "large") for level in range(len(WIDTHS) + 1)])
+            scratch.release()
+    return out.drop("ref")
 
 
-def repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: each byte in a string of length bytes that also starts elsewhere goes."""
-    found = _with_covers(docs, length, id_col, text_col, group, F.col(id_col).cast("long"))
-    return found.select(F.col("row").alias("doc_id"), "text", "cover").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def repeats(docs: DataFrame, *, length: int = 400, passage: int | None = None, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: each byte in a string of length bytes that also starts elsewhere goes.
+    passage: another length; n_passage_bytes is then the bytes in strings of so many bytes that also start elsewhere. They stay."""
+    found = _with_covers(docs, length, id_col, text_col, group, F.col(id_col).cast("long"), passage)
+    return found.withColumnRenamed("row", "doc_id").mapInArrow(_digests(bool(passage)), _DIGESTS + ", n_passage_bytes long" * bool(passage))
 
 
 def without_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -329,14 +377,22 @@ def without_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id
     return kept.select(*columns)
 
 
-ORACLE_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT k, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT k, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
-r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
-j AS (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM r),
-s AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM (SELECT k, min(i) AS a, max(i) + 400 AS b FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS island FROM j) GROUP BY k, island)),
-c AS (SELECT k, count(*) AS spans, sum(b - a) AS removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM s JOIN d USING (k) GROUP BY k)
+def _islands_sql(length: int, name: str) -> str:
+    """The maximal runs of bytes in strings of length bytes that start more than once: a to b of document k."""
+    return f"""
+w{name} AS (SELECT k, i, md5(substr(h, 2 * i + 1, {2 * length})) AS g FROM (SELECT k, h, unnest(range(0, n - {length - 1})) AS i FROM d WHERE n >= {length})),
+r{name} AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY g) AS c FROM w{name}) WHERE c > 1),
+j{name} AS (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= {length} THEN 0 ELSE 1 END AS new FROM r{name}),
+{name} AS (SELECT k, min(i) AS a, max(i) + {length} AS b FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS island FROM j{name}) GROUP BY k, island)"""
+
+
+def oracle_sql(length: int = 400, passage: int = 200) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),{_islands_sql(length, "x")},{_islands_sql(passage, "y")},
+s AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM x),
+c AS (SELECT k, count(*) AS spans, sum(b - a) AS removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM s JOIN d USING (k) GROUP BY k),
+p AS (SELECT k, sum(b - a) AS passages FROM y GROUP BY k)
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN c USING (k)
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(passages, 0)::BIGINT AS n_passage_bytes
+FROM d LEFT JOIN c USING (k) LEFT JOIN p USING (k)
 """
