@@ -62,8 +62,9 @@ def term_index(docs: DataFrame, least: int = 1) -> DataFrame:
     return docs.select("id", F.explode(words).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def full_text(index: DataFrame, queries: DataFrame, n_docs: int, k: int, *, every: bool = True, digits: int = 6) -> DataFrame:
-    """query_id, id, score, matched, rank: documents with all (or any) terms of a query, by the sum of tf * idf."""
+def full_text(index: DataFrame, queries: DataFrame, n_docs: int, k: int, *, every: bool = True, digits: int = 6, source: Column | None = None) -> DataFrame:
+    """query_id, id, score, matched, rank: documents with all (or any) terms of a query, by the sum of tf * idf. source: of what
+    source a document is, by its id; then the best k of each source are found, and source is a column too."""
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     index = index.join(wanted.select("term").distinct(), "term", "left_semi")  # below the index's own aggregate
     sizes = queries.select("query_id", F.size(F.array_distinct("terms")).alias("_n"))
@@ -73,7 +74,10 @@ def full_text(index: DataFrame, queries: DataFrame, n_docs: int, k: int, *, ever
     found = hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), digits).alias("score"), F.count(F.lit(1)).alias("matched"))
     if every:
         found = found.join(sizes, "query_id").where(F.col("matched") == F.col("_n")).drop("_n")
-    return top_k(found, k)
+    if source is None:
+        return top_k(found, k)
+    w = W.partitionBy("query_id", "source").orderBy(F.desc("score"), "id")
+    return found.withColumn("source", source).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def expand(c: Column, abbreviations: dict[str, str]) -> Column:
@@ -180,9 +184,11 @@ def rrf(*lists: DataFrame, k: int = K_RRF, top: int = 40, digits: int = 8, weigh
 
 
 def concatenated(*lists: DataFrame) -> DataFrame:
-    """One ranking of several sources, one after the other: the second begins where the first ends."""
-    all_ = reduce(DataFrame.union, [x.select("query_id", "id", F.lit(i).alias("_source"), F.col("rank").alias("_rank")) for i, x in enumerate(lists)])
-    return all_.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_source", "_rank"))).drop("_source", "_rank")
+    """One ranking of several sources, one after the other: the second begins where the first ends. A table may hold several, told
+    apart by a column source."""
+    own = lambda x: (F.col("source") if "source" in x.columns else F.lit(0)).cast("int")
+    all_ = reduce(DataFrame.union, [x.select("query_id", "id", F.lit(i).alias("_list"), own(x).alias("_source"), F.col("rank").alias("_rank")) for i, x in enumerate(lists)])
+    return all_.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_list", "_source", "_rank"))).drop("_list", "_source", "_rank")
 
 
 def inject(fused: DataFrame, extra: DataFrame, cap: int) -> DataFrame:

@@ -138,9 +138,7 @@ def hybrid_search(spark, d):
     source."""
     asked, docs = _item_vectors(spark, d), _chunks(spark, d)
     ids = asked.select("query_id")
-    hits = R.full_text(R.term_index(docs, 5), _questions(spark, d).join(ids, "query_id", "left_semi"), docs.count(), 10**9, every=False)
-    by_source = W.partitionBy("query_id", "source").orderBy(F.desc("score"), "id")
-    terms = hits.withColumn("source", F.col("id") % 3).withColumn("rank", F.row_number().over(by_source)).where("rank <= 12")
+    terms = R.full_text(R.term_index(docs, 5), _questions(spark, d).join(ids, "query_id", "left_semi"), docs.count(), 12, every=False, source=F.col("id") % 3)
     vectors = [R.knn(_vectors(spark, d), asked, 40), R.knn(_vectors(spark, d).where("label = 3"), asked, 12)]
     phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase")).join(ids, "query_id", "left_semi")
     found = R.hybrid([*vectors, terms], R.phrase_lookup(docs, phrases))
@@ -152,13 +150,8 @@ def hybrid_search(spark, d):
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s, k) AS rank FROM t WHERE k <= 4""")
 def fts_source_concat(spark, d):
     docs = _chunks(spark, d)
-    index, n = R.term_index(docs, 5), docs.count()
-    hits = R.full_text(index, _questions(spark, d), n, 10**9, every=False)
-    lists = []
-    for s in range(3):
-        own = hits.where(F.col("id") % 3 == s).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 4")
-        lists.append(own)
-    return R.concatenated(*lists)
+    hits = R.full_text(R.term_index(docs, 5), _questions(spark, d), docs.count(), 4, every=False, source=F.col("id") % 3)
+    return R.concatenated(hits)
 
 
 STOP = ", ".join(f"'{w}'" for w in V.QUERY_STOP)
