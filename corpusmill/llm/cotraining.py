@@ -1,24 +1,28 @@
 """A quality classifier of two views, trained by co-training.
 
-The content view sees a text's words: which of them it has, and how its words are written (repeated, capitalised, ending in
-signs). The metadata view sees what a page's record tells: source, language, length, lines, and the shares of bytes that are
-upper case, digits, signs or not ASCII. In each round both views are fitted to their labelled sets, calibrated on labels that
-neither is fitted to, and each gives the pool documents that it is surest of to the other's set as pseudo-labels. At the end
-a logistic combination of both calibrated views, fitted to the calibration labels, scores all documents.
-
-A document is good where quality is 1 and toxic is not 1. Fitting sees at most MAX_LABELLED labelled documents and MAX_POOL
-others, by order of a hash of the id; both are parameters. One task fits the views to the features of these samples; what it
-sends to the driver, and the driver to the scorers, are weight vectors of fixed size. Scoring sees all documents, whole.
-
-Defined cases: null text is empty; null source or language is a value of its own; labels of a document that disagree count as
-bad if any is bad; null labels are ignored; without labels of both kinds every document has the share of good labels as its
-score (1 without labels); repeated rows each get a row; other columns of the input are ignored.
+The content view sees a text alone: which words it has, how they are written (repeated, capitalised, ending in signs) and how its
+bytes are made up. The metadata view sees a page's record alone: source, language, both together, and the record's length. In
+each round both views are fitted to their labelled sets and calibrated on labels that neither is fitted to; each then scores all
+unlabelled documents, and the documents that it is surest of go to the other's set as pseudo-labels. At the end a logistic
+combination of both calibrated views, fitted to the calibration labels, scores all documents.
+
+A document is good where quality is 1 and toxic is not 1. Fitting sees at most MAX_LABELLED labelled documents, by order of a hash
+of the id; it is a parameter. The pool is every other document: its features are written once, each round scores them all, and a
+distributed top-k takes the surest few, a tenth of the labelled set of each kind. One task fits the views to these bounded sets;
+what it sends to the driver, and the driver to the scorers, are weight vectors of fixed size.
+
+Defined cases: null text is empty; null source, language or length is a value of its own; labels of a document that disagree count
+as bad if any is bad; null labels are ignored; without labels of both kinds every document has the share of good labels as its
+score (1 without labels); repeated rows each get a row, and are fitted to once; rows that share an id and not a text share its
+label; documents without an id are scored and not fitted to; of equally sure documents the first by hash of id and text is taken;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,6 @@ from .scratch import Scratch
 
 BITS = 18
 MAX_LABELLED = 5000
-MAX_POOL = 5000
 ROUNDS = 3
 SURE = 0.98
 #: Least G statistic of a word that the content view keeps.
@@ -38,13 +41,18 @@ SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in "#*$%&|<>!?@^~_=+{}[]\\/"]] = True
 #: ASCII other than letters and digits, between the content view's words.
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-CONTENT = ("repeated", "upper_words", "capital_words", "sign_ends", "stop_ends", "word_length", "distinct")
-META = ("log_bytes", "log_lines", "line_length", "upper", "digits", "signs", "other_script", "log_words")
+CONTENT = (
+    "repeated", "upper_words", "capital_words", "sign_ends", "stop_ends", "word_length", "distinct",
+    "log_bytes", "log_lines", "line_length", "upper", "digits", "signs", "other_script", "log_words",
+)
 META_HASH = 1024
+#: Of the record: hashes of source, of language, of both, and of language and length; and the length's logarithm.
+HASHED = ("h1", "h2", "h3", "h4")
+RECORD = [*HASHED, "size"]
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray):
-    """(bucket of each distinct word of each text, where each text's begin, content measures, metadata measures)."""
+    """(bucket of each distinct word of each text, where each text's begin, content measures)."""
     part, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     n, size = len(at) - 1, np.maximum(np.diff(at), 1)
     starts, ends, first = tv.word_spans(part, offsets)
@@ -71,8 +79,8 @@ def text_features(data: np.ndarray, offsets: np.ndarray):
     content = np.stack(
         [share(again), share((lengths > 1) & (ups[ends] - ups[starts] >= 2)), share(upper[starts] if len(starts) else upper[:0]), share(SIGNS[last]), share((last == 46) | (last == 44)), letters / one / 10, distinct / np.sqrt(one) / 10], axis=1
     )
-    meta = np.stack([np.log1p(size) / 5, np.log1p(lines) / 3, np.log1p(size / lines) / 5, sums(upper) / size, sums((part >= 48) & (part <= 57)) / size, sums(SIGNS[part]) / size, sums(part >= 128) / size, np.log1p(count) / 5], axis=1)
-    return bucket, np.searchsorted(of, np.arange(n + 1)), content, meta
+    made = np.stack([np.log1p(size) / 5, np.log1p(lines) / 3, np.log1p(size / lines) / 5, sums(upper) / size, sums((part >= 48) & (part <= 57)) / size, sums(SIGNS[part]) / size, sums(part >= 128) / size, np.log1p(count) / 5], axis=1)
+    return bucket, np.searchsorted(of, np.arange(n + 1)), np.column_stack([content, made, made**2])
 
 
 def _sigmoid(x):
@@ -124,41 +132,49 @@ class Content:
 
 
 class Meta:
-    """Measures of the record, and hashed source and language."""
+    """Rates of the record's hashed values, and its length."""
 
-    def __init__(self, meta, hashed, y):
-        self.rates = np.zeros(META_HASH)
-        for column in hashed.T:
+    def __init__(self, size, hashed, y):
+        self.rates = np.zeros((hashed.shape[1], META_HASH))
+        for row, column in zip(self.rates, hashed.T, strict=True):
             n, good = np.bincount(column, minlength=META_HASH), np.bincount(column, weights=y, minlength=META_HASH)
-            self.rates += np.where(n > 0, np.log((good + 10 * y.mean() + 0.01) / (n - good + 10 * (1 - y.mean()) + 0.01)) - math.log((y.mean() + 0.001) / (1 - y.mean() + 0.001)), 0)
-        self.w = logistic(self._rows(meta, hashed), y)
+            row += np.where(n > 0, np.log((good + 10 * y.mean() + 0.01) / (n - good + 10 * (1 - y.mean()) + 0.01)) - math.log((y.mean() + 0.001) / (1 - y.mean() + 0.001)), 0)
+        self.w = logistic(self._rows(size, hashed), y)
 
-    def _rows(self, meta, hashed):
-        return np.column_stack([meta, meta**2, self.rates[hashed].sum(axis=1)])
+    def _rows(self, size, hashed):
+        return np.column_stack([size, size**2, *(row[column] for row, column in zip(self.rates, hashed.T, strict=True))])
 
-    def logit(self, meta, hashed):
-        return self._rows(meta, hashed) @ self.w[:-1] + self.w[-1]
+    def logit(self, size, hashed):
+        return self._rows(size, hashed) @ self.w[:-1] + self.w[-1]
+
+
+def _lists(x, t):
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], np.int32)), pa.array(x.ravel(), t))
+
+
+_FEATURES = "doc_id long, th long, h1 int, h2 int, h3 int, h4 int, size double, bucket array<int>, content array<float>"
 
 
 def _features(batches):
     for batch in batches:
         data, offsets = tv.bytes_of(batch.column("text"))
         for a, b in tv.chunks(offsets):
-            bucket, begin, content, meta = text_features(data, offsets[a : b + 1])
-            many = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], np.int32)), pa.array(x.ravel(), t))
-            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(bucket))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "h1", "h2")), lists, many(content, pa.float32()), many(meta, pa.float32())], ["doc_id", "h1", "h2", "bucket", "content", "meta"])
+            bucket, begin, content = text_features(data, offsets[a : b + 1])
+            words = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(bucket))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "th", *RECORD)), words, _lists(content, pa.float32())], ["doc_id", "th", *RECORD, "bucket", "content"])
 
 
 class Sample:
-    """Features of a bounded set of documents."""
+    """Features of documents, from an Arrow table or batch."""
 
     def __init__(self, rows):
-        self.begin = np.concatenate([[0], np.cumsum([len(b) for b in rows["bucket"]])]).astype(np.int64)
-        self.bucket = np.concatenate([*rows["bucket"], np.zeros(0, np.int32)]).astype(np.int64)
-        self.content = np.array(list(rows["content"]), float).reshape(len(rows), len(CONTENT))
-        self.meta = np.array(list(rows["meta"]), float).reshape(len(rows), len(META))
-        self.hashed = rows[["h1", "h2"]].to_numpy(np.int64)
+        column = lambda c: x.combine_chunks() if isinstance(x := rows.column(c), pa.ChunkedArray) else x
+        words = column("bucket")
+        self.begin = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.bucket = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.content = column("content").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+        self.hashed = np.column_stack([column(c).to_numpy(zero_copy_only=False) for c in HASHED]).astype(np.int64)
+        self.size = column("size").to_numpy(zero_copy_only=False)
 
     def content_of(self, at: np.ndarray):
         sizes = np.diff(self.begin)[at]
@@ -167,122 +183,152 @@ class Sample:
         return flat, begin, self.content[at]
 
     def meta_of(self, at: np.ndarray):
-        return self.meta[at], self.hashed[at]
-
-
-def co_train(sample: Sample, labelled: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUNDS, sure: float = SURE):
-    """(content view, metadata view, combination). labelled and pool are rows of the sample, y the labels of the labelled."""
-    held = np.arange(len(labelled)) % 4 == 3  # the order is that of a hash
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(labelled), bool)
-    fit_rows, fit_y = labelled[~held], y[~held]
-    test, test_y = (labelled[held], y[held]) if held.any() else (labelled, y)
-    sets = {k: (fit_rows, fit_y) for k in ("content", "meta")}
-    taken = {k: np.zeros(len(pool), bool) for k in sets}
-    make = {"content": lambda at, t: Content(*sample.content_of(at), t), "meta": lambda at, t: Meta(*sample.meta_of(at), t)}
-    of = {"content": sample.content_of, "meta": sample.meta_of}
-    for turn in range(rounds + 1):
-        views = {k: make[k](*sets[k]) for k in sets}
-        if turn == rounds or not len(pool):
-            break
-        for giver, taker in (("content", "meta"), ("meta", "content")):
-            scale = logistic(views[giver].logit(*of[giver](test))[:, None], test_y)
-            p = _sigmoid(views[giver].logit(*of[giver](pool)) * scale[0] + scale[1])
-            limit = len(fit_rows) // 10 + 1  # of each kind in a round, so that pseudo-labels stay a minority
-            for label, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                good = [i for i in order if not taken[taker][i] and (p[i] >= sure if label else p[i] <= 1 - sure)][:limit]
-                taken[taker][good] = True
-                sets[taker] = np.concatenate([sets[taker][0], pool[good]]), np.concatenate([sets[taker][1], np.full(len(good), label)])
-    both = np.column_stack([views[k].logit(*of[k](test)) for k in ("content", "meta")])
-    return views["content"], views["meta"], logistic(both, test_y)
+        return self.size[at], self.hashed[at]
+
+    def logits(self, content: Content, meta: Meta):
+        return content.logit(self.bucket, self.begin, self.content), meta.logit(self.size, self.hashed)
+
+
+def held_out(y: np.ndarray) -> np.ndarray:
+    """The labels for calibration: every fourth, in the order of a hash; none where either part would be of one kind."""
+    held = np.arange(len(y)) % 4 == 3
+    return held if len(set(y[held])) == 2 and len(set(y[~held])) == 2 else np.zeros(len(y), bool)
+
+
+def fit_round(sample: Sample, y: np.ndarray, for_content: np.ndarray, for_meta: np.ndarray):
+    """(content view, metadata view, their calibrations, combination). y: labels of the sample's rows, at first those that are
+    known, in the order of a hash; for_content and for_meta: is a row a pseudo-label of that view's set? If neither, it is known."""
+    known = np.flatnonzero(~for_content & ~for_meta)
+    held = held_out(y[known])
+    fit, test = known[~held], known[held] if held.any() else known
+    ours = np.concatenate([fit, np.flatnonzero(for_content)])
+    theirs = np.concatenate([fit, np.flatnonzero(for_meta)])
+    content, meta = Content(*sample.content_of(ours), y[ours]), Meta(*sample.meta_of(theirs), y[theirs])
+    one, two = content.logit(*sample.content_of(test)), meta.logit(*sample.meta_of(test))
+    return content, meta, (logistic(one[:, None], y[test]), logistic(two[:, None], y[test])), logistic(np.column_stack([one, two]), y[test])
 
 
 def _fit(batches):
-    """The fitted views, pickled; null where the labels are of one kind. The sample's rows come in the order of a hash."""
+    """The views of a round, pickled; null where the labels are of one kind. Rows come in order."""
     batches = list(batches)
     if not batches:
         return
-    rows = pa.Table.from_batches(batches).to_pandas().drop_duplicates("doc_id").reset_index(drop=True)
-    y = rows["y"].to_numpy(float)
-    labelled, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-    fitted = pickle.dumps(co_train(Sample(rows), labelled, y[labelled], pool)) if len(set(y[labelled])) == 2 else None
+    rows = pa.Table.from_batches(batches)
+    y, kind = rows.column("y").to_numpy(), rows.column("kind").to_numpy()
+    fitted = pickle.dumps(fit_round(Sample(rows), y, kind == 1, kind == 2)) if len(set(y[kind == 0])) == 2 else None
     yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], ["model"])
 
 
-def _scores(model, data: np.ndarray, offsets: np.ndarray, hashed: np.ndarray):
+def _calibrated(model):
+    """doc_id, th and both views' calibrated probabilities of documents by their features."""
+
+    def run(batches):
+        content, meta, scales, _ = model.value
+        for batch in batches:
+            p = [_sigmoid(x * s[0] + s[1]) for x, s in zip(Sample(batch).logits(content, meta), scales, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *map(pa.array, p)], ["doc_id", "th", "by_content", "by_meta"])
+
+    return run
+
+
+def _scores(model, one: np.ndarray, two: np.ndarray):
     """(content view, metadata view, both) as probabilities."""
-    content, meta, both = model
-    bucket, begin, c, m = text_features(data, offsets)
-    one, two = content.logit(bucket, begin, c), meta.logit(m, hashed)
-    return _sigmoid(one), _sigmoid(two), _sigmoid(np.column_stack([one, two]) @ both[:-1] + both[-1])
+    _, _, (c, m), both = model
+    return _sigmoid(one * c[0] + c[1]), _sigmoid(two * m[0] + m[1]), _sigmoid(np.column_stack([one, two]) @ both[:-1] + both[-1])
 
 
 def _score(model):
     def run(batches):
+        content, meta, *_ = model.value
         for batch in batches:
-            data, offsets = tv.bytes_of(batch.column("text"))
-            hashed = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2")])
-            for a, b in tv.chunks(offsets):
-                scores = _scores(model.value, data, offsets[a : b + 1], hashed[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, scores)], ["doc_id", "content_score", "meta_score", "quality"])
+            scores = _scores(model.value, *Sample(batch).logits(content, meta))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, scores)], ["doc_id", "content_score", "meta_score", "quality"])
 
     return run
 
 
 def _good(model):
     @F.arrow_udf("double")
-    def quality(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
+    def quality(text: pa.Array, h1: pa.Array, h2: pa.Array, h3: pa.Array, h4: pa.Array, size: pa.Array) -> pa.Array:
+        content, meta, *_ = model.value
         out = [np.zeros(0)]
         data, offsets = tv.bytes_of(text)
-        hashed = np.column_stack([x.to_numpy(zero_copy_only=False) for x in (h1, h2)])
+        hashed = np.column_stack([x.to_numpy(zero_copy_only=False) for x in (h1, h2, h3, h4)])
+        length = size.to_numpy(zero_copy_only=False)
         for a, b in tv.chunks(offsets):
-            out.append(_scores(model.value, data, offsets[a : b + 1], hashed[a:b])[2])
+            out.append(_scores(model.value, content.logit(*text_features(data, offsets[a : b + 1])), meta.logit(length[a:b], hashed[a:b]))[2])
         return pa.array(np.concatenate(out))
 
     return quality
 
 
-def _hashed(column: str, name: str):
-    return F.pmod(F.xxhash64(F.lit(name), F.coalesce(F.col(column).cast("string"), F.lit("\0null"))), F.lit(META_HASH))
+def _record(docs: DataFrame, source_col: str, lang_col: str, chars_col: str) -> dict:
+    """The record's features, by name; a column that is not there is null."""
+    have = lambda c, t: F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t)
+    source, lang, chars = have(source_col, "string"), have(lang_col, "string"), have(chars_col, "long")
+    step = F.coalesce(F.floor(F.log2(F.greatest(chars, F.lit(0)) + 1) * 2).cast("string"), F.lit("\0null"))
+    text = lambda c: F.coalesce(c, F.lit("\0null"))
+    of = lambda name, *parts: F.pmod(F.xxhash64(F.lit(name), *parts), F.lit(META_HASH)).cast("int")
+    return {"h1": of("source", text(source)), "h2": of("lang", text(lang)), "h3": of("both", text(source), text(lang)), "h4": of("length", text(lang), step), "size": F.coalesce(F.log1p(F.greatest(chars, F.lit(0)).cast("double")) / 5, F.lit(0.0))}
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL):
-    """(the model or None, the share of good labels)."""
-    scratch = Scratch(docs.sparkSession, "cotraining")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), _hashed(source_col, "source").alias("h1"), _hashed(lang_col, "lang").alias("h2"))
+def _fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, columns: tuple, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, sure: float = SURE):
+    """(the model or None, the share of good labels, the features of all documents)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    record = _record(docs, *columns)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"), *[c.alias(k) for k, c in record.items()])
     known = labels.where(F.col("doc_id").isNotNull() & F.coalesce("quality", "toxic").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.coalesce(F.min("quality"), F.lit(1)).eqNullSafe(1) & (F.coalesce(F.max("toxic"), F.lit(0)) != 1)).cast("double").alias("y"))
     known = scratch.save(known, "known")
-    ids = source.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    by_hash = F.xxhash64("doc_id"), F.col("doc_id")
-    # Bounded: max_labelled and max_pool rows. They are broadcast to one scan that computes the features of these documents.
-    chosen = ids.join(known, "doc_id").orderBy(*by_hash).limit(max_labelled)
-    others = ids.join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).withColumn("y", F.lit(None).cast("double"))
-    chosen = scratch.save(chosen.union(others), "chosen")
-    features = source.join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(_features, "doc_id long, h1 long, h2 long, bucket array<int>, content array<float>, meta array<float>")
-    sample = scratch.save(features.join(F.broadcast(chosen), "doc_id").withColumn("at", F.xxhash64("doc_id")), "features")
-    fitted = sample.repartition(1).sortWithinPartitions("at", "doc_id").mapInArrow(_fit, "model binary").first()
     share = known.agg(F.avg("y")).first()[0]
-    return (pickle.loads(fitted[0]) if fitted and fitted[0] else None), (1.0 if share is None else float(share))
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5, **bounds) -> DataFrame:
-    """doc_id, content_score, meta_score, quality (0 to 1), kept (quality is threshold or more). bounds: max_labelled, max_pool."""
-    model, share = _fitted(docs, labels, id_col, text_col, source_col, lang_col, **bounds)
-    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    share = 1.0 if share is None else float(share)
+    features = scratch.save(source.mapInArrow(_features, _FEATURES), "features")
+    keys = features.select("doc_id", "th").where("doc_id is not null")
+    by_hash = F.xxhash64("doc_id", "th"), F.col("doc_id"), F.col("th")
+    # Bounded: max_labelled rows and, in each round, a tenth of them for each view and label.
+    chosen = scratch.save(keys.join(known, "doc_id").distinct().orderBy(*by_hash).limit(max_labelled).withColumn("kind", F.lit(0)), "chosen")
+    n = chosen.count()
+    limit = (n - n // 4) // 10 + 1  # of each kind in a round, so that pseudo-labels stay a minority
+    model = None
+    for turn in range(rounds + 1):
+        unique = features.join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "kind", *RECORD])
+        fitted = unique.repartition(1).sortWithinPartitions(*by_hash, "kind", *RECORD).mapInArrow(_fit, "model binary").first()
+        model = pickle.loads(fitted[0]) if fitted and fitted[0] else None
+        if model is None or turn == rounds:
+            break
+        held = docs.sparkSession.sparkContext.broadcast(model)
+        pool = features.where("doc_id is not null").mapInArrow(_calibrated(held), "doc_id long, th long, by_content double, by_meta double")
+        pool = pool.where((F.greatest("by_content", "by_meta") >= sure) | (F.least("by_content", "by_meta") <= 1 - sure))
+        pool = scratch.save(pool.join(known, "doc_id", "left_anti").distinct(), f"pool-{turn}")
+        parts = [chosen]
+        for kind, p in ((2, "by_content"), (1, "by_meta")):  # a view's surest documents are the other's pseudo-labels
+            fresh = pool.join(F.broadcast(chosen.where(F.col("kind") == kind).select("doc_id", "th")), ["doc_id", "th"], "left_anti")
+            for y, fits, order in ((1.0, F.col(p) >= sure, F.desc(p)), (0.0, F.col(p) <= 1 - sure, F.asc(p))):
+                parts.append(fresh.where(fits).orderBy(order, *by_hash).limit(limit).select("doc_id", "th", F.lit(y).alias("y"), F.lit(kind).alias("kind")))
+        chosen = scratch.save(reduce(DataFrame.union, parts), f"chosen-{turn}")
+        scratch.drop(f"pool-{turn}")
+    return model, share, features
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5, **options) -> DataFrame:
+    """doc_id, content_score, meta_score, quality (0 to 1), kept (quality is threshold or more). options: max_labelled, rounds,
+    sure (a pseudo-label's least probability)."""
+    scratch = Scratch(docs.sparkSession, "cotraining")
+    model, share, features = _fitted(docs, labels, scratch, id_col, text_col, (source_col, lang_col, chars_col), **options)
     if model is None:
         p = F.lit(share)
-        return docs.select(doc_id, p.alias("content_score"), p.alias("meta_score"), p.alias("quality"), (p >= threshold).alias("kept"))
-    source = docs.select(doc_id, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), _hashed(source_col, "source").alias("h1"), _hashed(lang_col, "lang").alias("h2"))
-    scored = source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, content_score double, meta_score double, quality double")
+        return features.select("doc_id", p.alias("content_score"), p.alias("meta_score"), p.alias("quality"), (p >= threshold).alias("kept"))
+    scored = features.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, content_score double, meta_score double, quality double")
     return scored.withColumn("kept", F.col("quality") >= threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5, **bounds) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5, **options) -> DataFrame:
     """The documents, all columns, that the classifier keeps. They are scored where they stand and not joined to a list."""
-    model, share = _fitted(docs, labels, id_col, text_col, source_col, lang_col, **bounds)
+    scratch = Scratch(docs.sparkSession, "cotraining")
+    model, share, _ = _fitted(docs, labels, scratch, id_col, text_col, (source_col, lang_col, chars_col), **options)
+    scratch.drop("features")
     if model is None:
         return docs if share >= threshold else docs.limit(0)
     good = _good(docs.sparkSession.sparkContext.broadcast(model))
-    quality = good(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), _hashed(source_col, "source"), _hashed(lang_col, "lang"))
-    return docs.where(quality >= threshold)
+    record = _record(docs, source_col, lang_col, chars_col)
+    return docs.where(good(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), *[record[k] for k in RECORD]) >= threshold)
