@@ -1,15 +1,15 @@
 """Language labels for the words of mixed-language text.
 
-A word (a run of letters and marks) belongs to the script of its first letter, and only languages that use the script are its
+A word (a run of letters and marks with a letter in it) belongs to the script of its first letter, and only languages that use the script are its
 candidates. Each candidate scores the word by the log-probabilities of its letter trigrams with the word's ends. Viterbi
 decoding over a text's words, with a penalty for each switch of language, labels spans; all texts of a batch are decoded
 together, one word of each in a step. The text's language is the one that labels most letters, and its score is that share.
 
 Learned from all training texts: trigram counts in 2**16 hashed buckets and letters by script, for each language. The model is
-languages times a fixed number of buckets; more than MAX_LANGUAGES labels are refused.
+languages times a fixed number of buckets: it grows with the number of labels (a quarter of a megabyte each), not with the corpus.
 
-Defined cases: null text, or text without letters, is 'und' with score 0 and no spans; so is every text where there was
-nothing to learn from; rows with a null language are not learned from; of languages with equal letters the first by name
+Defined cases: null text, or text without letters (marks alone are none), is 'und' with score 0 and no spans; so is every text
+where there was nothing to learn from; rows with a null language are not learned from; of languages with equal letters the first by name
 wins; repeated rows count each time they are learned from; other columns of the input are ignored.
 """
 
@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
 SWITCH = 8.0
 ALPHA = 0.5
 #: A script is a language's own from this share of its letters.
@@ -48,24 +47,26 @@ WIDTH = BUCKETS + len(SCRIPT_NAMES)
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: is it part of a word; its lower case where that is one character; its script's number."""
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: is it part of a word; is it a letter; its lower case where that is one character; its script's number."""
     n = sys.maxunicode + 1
-    word = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(n)), bool, n)
+    kind = np.fromiter((ord(unicodedata.category(chr(i))[0]) for i in range(n)), np.uint8, n)
+    letter = kind == ord("L")
+    word = letter | (kind == ord("M"))
     lower = np.arange(n, dtype=np.uint32)
     for i in np.flatnonzero(word):
         if len(x := chr(i).lower()) == 1:
             lower[i] = ord(x)
     edges = np.array([a for a, _ in SCRIPTS])
     number = np.array([SCRIPT_NAMES.index(s) for _, s in SCRIPTS], np.int16)
-    return word, lower, number[np.searchsorted(edges, np.arange(n), "right") - 1]
+    return word, letter, lower, number[np.searchsorted(edges, np.arange(n), "right") - 1]
 
 
 class Words:
     """The words of a list of texts."""
 
     def __init__(self, texts: list[str]):
-        word, lower, script = tables()
+        word, letter, lower, script = tables()
         sizes = np.array([len(t) for t in texts])
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.at = np.concatenate([[0], np.cumsum(sizes)])
@@ -74,10 +75,16 @@ class Words:
         before[self.at[:-1][self.at[:-1] < len(points)]] = False
         after = np.r_[inside[1:], False] if len(points) else inside.copy()
         after[self.at[1:][self.at[1:] > 0] - 1] = False
-        self.start, self.end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        is_letter = letter[points]
+        upto = np.concatenate([[0], np.cumsum(is_letter)])
+        real = upto[end] > upto[start]  # runs of marks alone are no words
+        inside = np.repeat(real, end - start)[np.cumsum(inside) - 1] & inside if len(start) else inside
+        self.start, self.end = start[real], end[real]
         self.letters = self.end - self.start
         self.first = np.searchsorted(self.start, self.at)  # word of each text
-        self.script = script[points[self.start]]
+        first_letter = np.searchsorted(upto, upto[self.start], "right") - 1
+        self.script = script[points[first_letter]]
         # Trigrams around each letter; outside the word stands 0.
         middle = np.flatnonzero(inside)
         x = np.where(inside, lower[points], 0).astype(np.uint64)
@@ -171,10 +178,7 @@ def _count(batches):
 def fit(training: DataFrame) -> Model:
     """training: columns text and lang, without nulls."""
     table = training.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = [r["lang"] for r in training.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = {name: np.zeros(WIDTH) for name in names}
+    counts = {r["lang"]: np.zeros(WIDTH) for r in training.select("lang").distinct().collect()}
     found = table.toPandas()  # languages times WIDTH rows at most
     for name, rows in found.groupby("lang"):
         counts[name][rows["bucket"].to_numpy()] = rows["n"].to_numpy()
