@@ -8,8 +8,10 @@ Equal sets are one node. Nodes that share a band meet in a bucket. Each bucket h
 fullest, and all its members are compared with the pivot on their full shingle sets. The members of a pivot's buckets that it
 does not link are then compared with the others in blocks: members are cut by their distance to the pivot, and as Jaccard
 distance is a metric, only blocks whose distances differ by at most the allowed distance meet. So no pair within a bucket is
-left out, no task holds more than two blocks, and no pairs are written but links. Two sets of the least similarity meet in no
-bucket with probability at most MISS.
+left out, no task holds more than two blocks, and no pairs are written but links. (Where very many texts are alike but not alike
+enough, as under one long common page head, the blocks of their pivot still meet each other, in as many tasks.) Two sets of the
+least similarity meet in no bucket with probability at most MISS. Full sets are sets of 64-bit hashes of shingles, not of words:
+two shingles of one text pair share a hash with probability below 2**-40.
 
 Defined cases: null or wordless text has an empty set and no links; a text with fewer words than a shingle is one shingle; a
 document's component is the least id reachable; null ids are never the least and their rows are not kept unless the component
@@ -33,6 +35,8 @@ ROWS = 4
 MISS = 1e-6
 #: Shingles in a block of members.
 BLOCK = 100_000
+#: Members that are compared with one copy of their pivot's text.
+STAR = 512
 SEED = np.uint64(0x5EED0F5EED)
 
 
@@ -108,23 +112,26 @@ def _sign(k: int, bands: int):
 
 
 def _verify(k: int):
-    """Sizes of intersection and union with the pivot's set, which is kept while the same pivot comes again."""
+    """Sizes of a member's set, and of its intersection and union with the pivot's. Rows come sorted, the pivot's text before its
+    members, and its set is kept until the next pivot's."""
 
     def run(batches):
-        last, own = None, np.zeros(0, np.uint64)
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            pivots = batch.column("pivot").to_pylist()
-            texts = batch.column("pivot_text")
+            pivot_row = batch.column("side").to_numpy(zero_copy_only=False) == 0
             for a, b, sets in _sets(batch.column("text"), k):
-                inter, union = [], []
-                for i, s in enumerate(sets):
-                    if pivots[a + i] != last:
-                        last = pivots[a + i]
-                        own = next(_sets(texts.slice(a + i, 1), k))[2][0]
+                at, size, inter, union = [], [], [], []
+                for i, s in enumerate(sets, a):
+                    if pivot_row[i]:
+                        own = s
+                        continue
                     both = len(np.intersect1d(own, s, assume_unique=True))
+                    at.append(i)
+                    size.append(len(s))
                     inter.append(both)
                     union.append(len(own) + len(s) - both)
-                yield pa.RecordBatch.from_arrays([batch.column("pivot").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["pivot", "node", "inter", "union"])
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("pivot").take(rows), batch.column("node").take(rows), *(pa.array(x, pa.int64()) for x in (size, inter, union))], ["pivot", "node", "n", "inter", "union"])
 
     return run
 
@@ -172,7 +179,8 @@ def _block_links(k: int, percent: int):
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the least node reachable. Least neighbour and pointer jumping in turn, each round written to the shared
     folder; the rounds grow with the logarithm of the longest chain. Only the count of changes comes to the driver."""
-    both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = scratch.save(edges.select(ways.alias("w")).select("w.a", "w.b").distinct(), "edges")
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("label")), "labels-0")
     turn = 0
     while True:
@@ -206,24 +214,32 @@ def group_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 8
     full = scratch.save(met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
     met = scratch.save(met.join(sized(full), "key"), "met")
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
-    best = scratch.save(met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best")).select("key", F.col("best.node").alias("pivot")), "best")
-    pairs = scratch.save(met.join(sized(best), "key").where("node != pivot").select("pivot", "node").distinct(), "pairs")
+    best = met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"), F.max("size").alias("size"))
+    best = scratch.save(best.select("key", F.col("best.node").alias("pivot"), "size"), "best")
+    pairs = met.select("node", "key").join(sized(best), "key").where("node != pivot").groupBy("pivot", "node").agg(F.max("size").alias("size"))
+    # A pivot's members are dealt out to cells of about STAR, so that the pivot's text travels once a cell and each member's once.
+    cells = F.ceil(F.col("size") / STAR).cast("int")
+    pairs = scratch.save(pairs.select("pivot", "node", F.hash(cells, F.pmod(F.xxhash64("node"), cells)).alias("cell")), "pairs")
     scratch.drop("met", "full", "best")
 
-    needed = pairs.select("node").union(pairs.select("pivot")).distinct()
-    where = scratch.save(nodes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("th").alias("t")), "needed")
-    texts = source.join(sized(where), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
-    texts = scratch.save(texts.select("node", "text"), "texts")
-    seen = texts.join(sized(pairs), "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    star = scratch.save(seen.select("pivot", "node", "text", "pivot_text").mapInArrow(_verify(shingle), "pivot binary, node binary, inter long, union long").distinct(), "star")
+    roles = pairs.select("node", "pivot", "cell", F.lit(1).alias("side")).union(pairs.select(F.col("pivot").alias("node"), "pivot", "cell", F.lit(0).alias("side")).distinct())
+    where = scratch.save(nodes.join(roles.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("th").alias("t")), "needed")
+    texts = source.join(sized(where), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))).select("node", "text")
+    texts = scratch.save(texts, "texts")
+    cast = texts.join(roles, "node").select("pivot", "cell", "side", "node", "text").repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "side")
+    star = cast.mapInArrow(_verify(shingle), "pivot binary, node binary, n long, inter long, union long")
+    star = scratch.save(star.distinct(), "star")  # equal texts of repeated rows
     linked = F.col("inter") * 100 >= F.col("union") * percent
     found = star.where(linked).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
-    found = found.union(_rest(star.withColumn("linked", linked), nodes, texts, shingle, percent, scratch))
+    found = found.union(_rest(star.withColumn("linked", linked), texts, shingle, percent, scratch))
     labels = components(found, scratch)
-    classes = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = scratch.save(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    of_node = scratch.save(classes.join(least, "label").select("node", "component_id"), "of_node")
+    # Nodes without a link have their own least id; those with one, that of their component.
+    ids = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"), F.first("node").alias("node"))
+    least = scratch.save(least, "least")
+    linked = labels.join(least.where("nodes > 1").select("label", "component_id"), "label").select("node", "component_id")
+    of_node = scratch.save(least.where("nodes = 1").select("node", "component_id").union(linked), "of_node")
     scratch.drop("texts", "star", "pairs", "nodes")
     out = signed.select("doc_id", "th", "n", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
@@ -234,20 +250,20 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, with one of each group: the least id, and of rows that repeat id and text one."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     scratch = Scratch(docs.sparkSession, "superminhash")
-    groups = scratch.save(group_near_duplicates(docs, **options).select("doc_id", "th", "kept", "n_shingles"), "groups")
+    groups = group_near_duplicates(docs, **options)
     same = lambda t: docs[id_col].cast("long").eqNullSafe(t["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == t["_th"])
     named = groups.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"), F.max("n_shingles").alias("n"))
-    dropped = scratch.save(named.where("not kept").select("_id", "_th"), "dropped")
-    twice = scratch.save(named.where("kept and rows > 1 and n > 0").select("_id", "_th"), "twice")
-    left = docs.join(sized(dropped), same(dropped), "left_anti")
+    changed = scratch.save(named.where("not kept or rows > 1 and n > 0").select("_id", "_th", "kept"), "changed")
+    left = docs.join(sized(changed.select("_id", "_th")), same(changed), "left_anti")
+    twice = changed.where("kept").select("_id", "_th")
     if twice.isEmpty():
         return left
-    return left.join(sized(twice), same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col]))
+    return left.unionByName(docs.join(sized(twice), same(twice), "left_semi").dropDuplicates([id_col, text_col]))
 
 
-def _rest(star: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+def _rest(star: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links among a pivot's members of which at least one is not linked to the pivot itself."""
-    members = star.select("pivot", "node", "linked", (1 - F.col("inter") / F.col("union")).alias("d")).join(nodes.select("node", "n"), "node")
+    members = star.select("pivot", "node", "n", "linked", (1 - F.col("inter") / F.col("union")).alias("d"))
     open_ = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum((~F.col("linked")).cast("int")).alias("outside"), F.sum("n").alias("total"))
     open_ = scratch.save(open_.where("outside > 0 and members > 1").select("pivot", "total"), "open")
     step = 1.95 / (1 - percent / 100) if percent < 100 else 1.0  # distances that may link differ by less than two steps
@@ -263,8 +279,7 @@ def _rest(star: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, per
     one = members.join(meet, ["pivot", "cut", "sub"]).select(*key, "node", "linked", F.lit(0).alias("side"))
     second = meet.where("cut2 != cut or sub2 != sub").select("pivot", F.col("cut").alias("cut1"), F.col("sub").alias("sub1"), F.col("cut2").alias("cut"), F.col("sub2").alias("sub"))
     two = members.join(second, ["pivot", "cut", "sub"]).select("pivot", F.col("cut1").alias("cut"), F.col("sub1").alias("sub"), F.col("cut").alias("cut2"), F.col("sub").alias("sub2"), "node", "linked", F.lit(1).alias("side"))
-    dealt = texts.join(sized(scratch.save(one.union(two), "dealt")), "node")
-    return scratch.save(dealt.groupBy(*key).applyInPandas(_block_links(shingle, percent), "a binary, b binary").distinct(), "rest")
+    return texts.join(one.union(two), "node").groupBy(*key).applyInPandas(_block_links(shingle, percent), "a binary, b binary")
 
 
 ORACLE_SQL = r"""
