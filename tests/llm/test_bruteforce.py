@@ -5,17 +5,19 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
-from corpusmill.llm import cotraining, langid, merge_dropout as md, ppm, suffix_dedup, superminhash, textvec as tv
+from corpusmill.llm import cotraining, langid, merge_dropout as md, ppm, scratch, suffix_dedup, superminhash, textvec as tv
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from plain import LOWER, WORD, components_of
 
 
 def packed(texts):
@@ -53,35 +55,44 @@ def test_superminhash_is_unbiased():
     assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(m))  # a permutation of the slots
 
 
-def test_near_duplicates(spark):
-    rng, rows = random.Random(5), []
+def near_copies(seed, groups, most=25, changed=25):
+    rng, rows = random.Random(seed), []
     vocabulary = [f"w{i}" for i in range(400)]
-    for group in range(12):
+    for _ in range(groups):
         base = [rng.choice(vocabulary) for _ in range(rng.randint(3, 160))]
-        for _ in range(rng.randint(1, 25)):
+        for _ in range(rng.randint(1, most)):
             words = base[:]
-            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+            for _ in range(rng.randint(0, max(1, len(base) // changed))):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             rows.append((len(rows) * 7 % 1009, " ".join(words)))
-    sets = {}
-    for i, t in rows:
-        w = t.split()
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)}
-    parent = {i: i for i in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(sets, 2):
-        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
+    return rows
+
+
+def chained(seed):
+    """Texts that drift away from one another word by word, and texts that share most of their words but are not near copies."""
+    rng = random.Random(seed)
+    words = [f"c{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(90):
+        words[i % 120] = f"d{i}"
+        rows.append((2000 + i * 11 % 997, " ".join(words)))
+    head = [f"h{i}" for i in range(100)]
+    rows += [(4000 + i, " ".join(head + [f"t{i}x{j}" for j in range(30 + i % 5)])) for i in range(80)]
+    return rows
+
+
+@pytest.mark.parametrize(("block", "star", "weight"), [(100_000, 512, None), (400, 3, 0), (2_000, 1, 0)])
+def test_near_duplicates(spark, monkeypatch, block, star, weight):
+    """Also with small blocks and cells and without broadcasts, as large tables have them."""
+    monkeypatch.setattr(superminhash, "BLOCK", block)
+    monkeypatch.setattr(superminhash, "STAR", star)
+    if weight is not None:
+        monkeypatch.setattr(scratch, "BROADCAST_BYTES", weight)
+    rows = near_copies(5, 12) + chained(2)
+    want = components_of(rows, 3, 85)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in superminhash.group_near_duplicates(df, shingle=3, percent=85).collect()}
-    assert {i: r["component_id"] for i, r in got.items()} == {i: root(i) for i in sets}
-    assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in superminhash.group_near_duplicates(df, shingle=3, percent=85).collect()}
+    assert got == want and len({c for c, _ in want.values()}) > 80
 
 
 def repeats(rows, length):
@@ -304,6 +315,78 @@ def test_decode(spark, odd):
     assert sorted(str(r["text"]) for r in got) == sorted(str(r["text"]) for r in odd.collect())
 
 
+def plain_identify(rows, penalty=langid.SWITCH):
+    """rows: id, text, lang. Words, scripts, counts, scores and paths one by one, with dictionaries."""
+    script_of = lambda c: next(s for a, s in reversed(langid.SCRIPTS) if a <= ord(c))
+    category = lambda c: unicodedata.category(c)[0]
+
+    def words(text):
+        runs = ["".join(g) for inside, g in itertools.groupby(text or "", lambda c: category(c) in "LM") if inside]
+        return [w for w in runs if any(category(c) == "L" for c in w)]
+
+    def grams(word):
+        low = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word), 0]
+        out = []
+        for a, b, c in zip(low, low[1:], low[2:], strict=False):
+            h = (a << 42) ^ (b << 21) ^ c
+            out.append((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64 >> 48)
+        return out
+
+    script = lambda w: script_of(next(c for c in w if category(c) == "L"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    counts, letters = defaultdict(Counter), defaultdict(Counter)
+    for i, text, lang in rows:
+        if not held(i) and lang is not None and text is not None:
+            counts[lang], letters[lang] = counts[lang], letters[lang]
+            for w in words(text):
+                counts[lang].update(grams(w))
+                letters[lang][script(w)] += len(w)
+    languages = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in languages}
+    own = lambda x, s: letters[x][s] >= langid.SCRIPT_SHARE * max(sum(letters[x].values()), 1)
+    out = {}
+    for i, text, _ in rows:
+        best = back = None
+        path, found = [], words(text)
+        for w in found if languages else ():
+            s = script(w)
+            allowed = [x for x in languages if own(x, s)] or languages
+            score = {x: sum(math.log((counts[x][g] + langid.ALPHA) / (total[x] + langid.ALPHA * langid.BUCKETS)) for g in grams(w)) if x in allowed else -1e6 for x in languages}
+            if best is None:
+                best, back = score, {}
+            else:
+                top = max(languages, key=lambda x: best[x])
+                back = {x: x if best[x] >= best[top] - penalty else top for x in languages}
+                best = {x: max(best[x], best[top] - penalty) + score[x] for x in languages}
+            path.append(back)
+        share = Counter()
+        if path:
+            at = max(languages, key=lambda x: best[x])
+            for w, step in zip(reversed(found), reversed(path), strict=True):
+                share[at] += len(w)
+                at = step.get(at, at)
+        top = min(share, key=lambda x: (-share[x], x)) if share else "und"
+        out[i] = (held(i), top, share[top] / sum(share.values()) if share else 0.0)
+    return out
+
+
+def test_identify_is_the_plain_reading(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 600), "lang").limit(120).collect()]
+    rows += [(9001, "Это русский текст", "ru"), (9002, "русский и english words mixed", None), (9003, "\u0301\u0301 12 !", "en"), (9004, None, "en"), (9005, "", None), (9006, "e\u0301te\u0301 \u0301x", None), (9007, "日本語 abc", "ja")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = plain_identify(rows)
+    for r in langid.identify(df).collect():
+        held, lang, score = want[r["doc_id"]]
+        assert (r["held_out"], r["lang_pred"]) == (held, lang) and abs(r["score"] - score) < 1e-9, r
+    assert want[9003][1] == "und" and want[9004] == (want[9004][0], "und", 0.0)
+
+
+def test_many_languages(spark):
+    rows = [(i, " ".join(chr(97 + (i * 7 + j * (1 + i % 5)) % 26) * 3 for j in range(30)), f"l{i % 300:03}") for i in range(900)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spans=False)
+    assert found.where("lang_pred like 'l%'").count() == 900
+
+
 def test_quality_held_out(spark):
     """Fitted to half of the labels, the views judge the other half."""
     data = "/root/testdata/sf0.01"
@@ -313,6 +396,41 @@ def test_quality_held_out(spark):
     assert sum(r["kept"] for r in clean) >= 0.95 * len(clean) and sum(r["kept"] for r in junk) <= 0.2 * len(junk)
 
 
+def test_co_training_over_the_whole_pool(spark):
+    """The rounds restated: lists of documents, sorted whole, in place of jobs, weighed pools and top-k."""
+    data, most, rounds, sure = "/root/testdata/sf0.001", 60, 2, 0.8
+    d, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r["quality"] for r in cotraining.classify(d, labels, max_labelled=most, rounds=rounds, sure=sure).collect()}
+
+    record = cotraining._record(d, "source", "lang", "n_chars")
+    rows = d.select("doc_id", "text", F.xxhash64("text").alias("th"), F.xxhash64("doc_id", F.xxhash64("text")).alias("order"), *[c.alias(k) for k, c in record.items()]).collect()
+    rows.sort(key=lambda r: (r["order"], r["doc_id"]))
+    told = defaultdict(list)
+    for r in labels.collect():
+        told[r["doc_id"]].append((r["quality"], r["toxic"]))
+    good = {i: float(min(q for q, _ in v) == 1 and max(t for _, t in v) != 1) for i, v in told.items()}
+    bucket, begin, content = cotraining.text_features(*packed([r["text"] for r in rows]))
+    table = pa.table({"bucket": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(bucket)), "content": pa.array(content.astype(np.float32).tolist(), pa.list_(pa.float32())), **{k: [r[k] for r in rows] for k in cotraining.RECORD}})
+    known = [i for i, r in enumerate(rows) if r["doc_id"] in good][:most]
+    sets = {0: [(i, good[rows[i]["doc_id"]]) for i in known], 1: [], 2: []}
+    limit = (len(known) - len(known) // 4) // 10 + 1
+    for turn in range(rounds + 1):
+        chosen = sorted((i, kind, y) for kind, some in sets.items() for i, y in some)
+        kinds = np.array([k for _, k, _ in chosen])
+        sample = cotraining.Sample(table.take([i for i, _, _ in chosen]))
+        model = cotraining.fit_round(sample, np.array([y for _, _, y in chosen]), kinds == 1, kinds == 2)
+        one, two = cotraining.Sample(table).logits(model[0], model[1])
+        if turn == rounds:
+            break
+        for kind, logit, scale in ((2, one, model[2][0]), (1, two, model[2][1])):
+            p = 1 / (1 + np.exp(-(logit * scale[0] + scale[1])))
+            free = [i for i, r in enumerate(rows) if r["doc_id"] not in good and i not in {j for j, _ in sets[kind]}]
+            sets[kind] += [(i, 1.0) for i in sorted(free, key=lambda i: (-p[i], i)) if p[i] >= sure][:limit] + [(i, 0.0) for i in sorted(free, key=lambda i: (p[i], i)) if p[i] <= 1 - sure][:limit]
+    assert len(sets[1]) > 4 and len(sets[2]) > 4
+    want = 1 / (1 + np.exp(-(np.column_stack([one, two]) @ model[3][:-1] + model[3][-1])))
+    assert all(abs(got[r["doc_id"]] - w) < 1e-6 for r, w in zip(rows, want, strict=True))
+
+
 def test_logistic():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 2))
