@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import textvec as tv
 from .scratch import Scratch, fits
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 GROUP = 2_000
 #: Widths of cells of window starts after the runs themselves; a cell of one window needs no sorting.
 WIDTHS = (16, 1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 #: Bytes that are worked on at once; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
