@@ -32,7 +32,7 @@ SPACE = "▁"
 #: Keys of a segment where encode_chunk() is asked to bound them; encode() does not.
 VARIANTS = 8
 WIDE = 64
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 NEVER = np.int32(2**31 - 1)
 U = np.uint64
 
