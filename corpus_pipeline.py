@@ -17,24 +17,38 @@ from corpusmill.llm.scratch import Scratch
 LEAST_REPEAT = 200
 
 
+#: Bytes of an Arrow batch between an executor and its Python workers, each of which holds two of them at least.
+BATCH_BYTES = 16 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Long texts make batches of 10,000 rows large; this bounds them by bytes for the session. Results do not hang on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return cotraining.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return superminhash.keep_one(docs, shingle=5, percent=80)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     cut = suffix_dedup.without_repeats(docs, length=LEAST_REPEAT)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return merge_dropout.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
@@ -46,7 +60,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The classifier and the tokenizer have no SQL form; tests/llm hold each stage, and co-training's rounds, against plain restatements.
 ORACLE_SQL = None
 
 
