@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_rotation, cotraining, decontamination, host_rules, langid, merge_dropout, ppm, suffix_dedup, superminhash, url_gbt
+from . import chat_rotation, cotraining, decontamination, host_rules, langid, merge_dropout, ppm, source_tries, suffix_dedup, superminhash, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -55,9 +55,13 @@ def op10_url_trees(spark, sf_dir):
     return url_gbt.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_source_tries(spark, sf_dir):
+    return source_tries.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op2_cotraining, op3_superminhash, op4_merge_dropout, op5_viterbi_langid, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees)}
+    return {f.__name__: f for f in (op1_perspectives, op2_cotraining, op3_superminhash, op4_merge_dropout, op5_viterbi_langid, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees, op11_source_tries)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op6_column_suffixes": suffix_dedup.oracle_sql(), "op8_host_rules": host_rules.ORACLE_SQL, "op9_containment": decontamination.ORACLE_SQL}
+    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op6_column_suffixes": suffix_dedup.oracle_sql(), "op8_host_rules": host_rules.ORACLE_SQL, "op9_containment": decontamination.ORACLE_SQL, "op11_source_tries": source_tries.ORACLE_SQL}
