@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_rotation, cotraining, decontamination, host_rules, langid, merge_dropout, ppm, secret_index, source_tries, suffix_dedup, superminhash, url_gbt
+from . import chat_rotation, cotraining, decontamination, host_rules, langid, merge_dropout, ppm, secret_index, source_tries, suffix_dedup, superminhash, turn_trie, url_gbt
 
 
 def table(spark, sf_dir: str, name: str):
@@ -63,9 +63,13 @@ def op12_trigram_secrets(spark, sf_dir):
     return secret_index.digest(secret_index.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op13_partition_refinement(spark, sf_dir):
+    return turn_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_perspectives, op2_cotraining, op3_superminhash, op4_merge_dropout, op5_viterbi_langid, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees, op11_source_tries, op12_trigram_secrets)}
+    return {f.__name__: f for f in (op1_perspectives, op2_cotraining, op3_superminhash, op4_merge_dropout, op5_viterbi_langid, op6_column_suffixes, op7_ppm, op8_host_rules, op9_containment, op10_url_trees, op11_source_tries, op12_trigram_secrets, op13_partition_refinement)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op6_column_suffixes": suffix_dedup.oracle_sql(), "op8_host_rules": host_rules.ORACLE_SQL, "op9_containment": decontamination.ORACLE_SQL, "op11_source_tries": source_tries.ORACLE_SQL, "op12_trigram_secrets": secret_index.oracle_sql()}
+    return {"op1_perspectives": chat_rotation.ORACLE_SQL, "op3_superminhash": superminhash.ORACLE_SQL, "op6_column_suffixes": suffix_dedup.oracle_sql(), "op8_host_rules": host_rules.ORACLE_SQL, "op9_containment": decontamination.ORACLE_SQL, "op11_source_tries": source_tries.ORACLE_SQL, "op12_trigram_secrets": secret_index.oracle_sql(), "op13_partition_refinement": turn_trie.ORACLE_SQL}
