@@ -116,10 +116,9 @@ class Trie:
         tries = []
         while begin < end:
             cut = min(begin + CHUNK, end)
-            while cut < end and _INSIDE[data[cut - 1 : cut + CHUNK]].all():
-                cut = min(cut + CHUNK, end)
-            if cut < end:
-                cut += int(np.argmin(_INSIDE[data[cut - 1 : cut + CHUNK]]))
+            while cut < end and _INSIDE[data[cut - 1]]:  # a term goes on here
+                more = _INSIDE[data[cut : min(cut + CHUNK, end)]]
+                cut += len(more) if more.all() else int(np.argmin(more)) + 1
             tries.append(cls.of_texts(data, np.array([begin, cut]), lang, source))
             tries = [cls.merged(tries)]
             begin = cut
@@ -248,7 +247,9 @@ def shares(count: np.ndarray, total) -> np.ndarray:
     """1 + floor(UNIT * (count + SMOOTH) / total) without an overflow: long division in two steps. total: N + SMOOTH * V."""
     if np.max(total, initial=0) >= 1 << 46:
         count, total = count.astype(object), np.asarray(total).astype(object)
-    high, rest = np.divmod((count + SMOOTH) * 100_000, total)
+    wide = (count + SMOOTH) * 100_000
+    high = wide // total
+    rest = wide - high * total
     return 1 + high * (UNIT // 100_000) + rest * (UNIT // 100_000) // total
 
 
