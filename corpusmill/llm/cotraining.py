@@ -3,7 +3,11 @@
 The content view sees a text alone: which words it has, how they are written (repeated, capitalised, ending in signs) and how its
 bytes are made up. The metadata view sees a page's record alone: source, language, both together, and the record's length. In
 each round both views are fitted to their labelled sets and calibrated on labels that neither is fitted to; each then scores all
-unlabelled documents, and the documents that it is surest of go to the other's set as pseudo-labels. At the end a logistic
+unlabelled documents, and the documents that it is surest of, by rank and for either label, go to the other's set as pseudo-labels.
+A pseudo-label weighs what its view adds to the share of that label among the known ones, (p - share) / (1 - share), times the
+view's skill on the labels that it is not fitted to (twice the area under its ROC curve, less one; LEAST_SKILL at least, as few
+labels measure it badly). So a view that tells documents apart only weakly hands over as many labels as the other, of less weight,
+and none where a document stands out in nothing. At the end a logistic
 combination of both calibrated views, fitted to the calibration labels, scores all documents.
 
 A document is good where quality is 1 and toxic is not 1. Fitting sees at most MAX_LABELLED labelled documents, by order of a hash
@@ -34,7 +38,7 @@ from .scratch import Scratch
 BITS = 18
 MAX_LABELLED = 5000
 ROUNDS = 3
-SURE = 0.98
+LEAST_SKILL = 0.1
 #: Least G statistic of a word that the content view keeps.
 EVIDENCE = 12.0
 SIGNS = np.zeros(256, bool)
@@ -106,20 +110,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
 class Content:
     """Log-odds of the words with enough evidence, summed, beside the measures of how words are written."""
 
-    def __init__(self, bucket, begin, content, y):
+    def __init__(self, bucket, begin, content, y, weight):
         size, good = 1 << BITS, y > 0.5
         owner = np.repeat(np.arange(len(y)), np.diff(begin))
-        a, b = (np.bincount(bucket[keep[owner]], minlength=size).astype(float) for keep in (good, ~good))
-        na, nb = max(good.sum(), 1), max((~good).sum(), 1)
+        a, b = (np.bincount(bucket, weights=np.where(keep, weight, 0)[owner], minlength=size) for keep in (good, ~good))
+        na, nb = max(weight[good].sum(), 1), max(weight[~good].sum(), 1)
         share = (a + b) / (na + nb)
         with np.errstate(divide="ignore", invalid="ignore"):
             g = sum(2 * np.where(o > 0, o * np.log(o / e), 0) for o, e in ((a, na * share), (b, nb * share), (na - a, na * (1 - share)), (nb - b, nb * (1 - share))))
         odds = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
         self.words = np.where(np.nan_to_num(g) >= EVIDENCE, odds, 0).astype(np.float32)
         # A word's own document is left out of its odds while the weights are fitted, else rare words look surer than they are.
-        own = np.where(good[owner], np.log(np.maximum(a[bucket] - 0.5, 0.25) / na) - np.log((b[bucket] + 0.5) / (nb + 1)), np.log((a[bucket] + 0.5) / (na + 1)) - np.log(np.maximum(b[bucket] - 0.5, 0.25) / nb)) if len(bucket) else bucket
+        mine = weight[owner]
+        own = np.where(good[owner], np.log(np.maximum(a[bucket] + 0.5 - mine, 0.25) / na) - np.log((b[bucket] + 0.5) / (nb + 1)), np.log((a[bucket] + 0.5) / (na + 1)) - np.log(np.maximum(b[bucket] + 0.5 - mine, 0.25) / nb)) if len(bucket) else bucket
         own = np.where(self.words[bucket] != 0, own, 0)
-        self.w = logistic(np.column_stack([self._split(own, begin), content]), y)
+        self.w = logistic(np.column_stack([self._split(own, begin), content]), y, weight)
 
     @staticmethod
     def _split(odds, begin):
@@ -134,12 +139,13 @@ class Content:
 class Meta:
     """Rates of the record's hashed values, and its length."""
 
-    def __init__(self, size, hashed, y):
+    def __init__(self, size, hashed, y, weight):
         self.rates = np.zeros((hashed.shape[1], META_HASH))
+        share = (y * weight).sum() / weight.sum()
         for row, column in zip(self.rates, hashed.T, strict=True):
-            n, good = np.bincount(column, minlength=META_HASH), np.bincount(column, weights=y, minlength=META_HASH)
-            row += np.where(n > 0, np.log((good + 10 * y.mean() + 0.01) / (n - good + 10 * (1 - y.mean()) + 0.01)) - math.log((y.mean() + 0.001) / (1 - y.mean() + 0.001)), 0)
-        self.w = logistic(self._rows(size, hashed), y)
+            n, good = (np.bincount(column, weights=v, minlength=META_HASH) for v in (weight, y * weight))
+            row += np.where(n > 0, np.log((good + 10 * share + 0.01) / (n - good + 10 * (1 - share) + 0.01)) - math.log((share + 0.001) / (1 - share + 0.001)), 0)
+        self.w = logistic(self._rows(size, hashed), y, weight)
 
     def _rows(self, size, hashed):
         return np.column_stack([size, size**2, *(row[column] for row, column in zip(self.rates, hashed.T, strict=True))])
@@ -195,17 +201,25 @@ def held_out(y: np.ndarray) -> np.ndarray:
     return held if len(set(y[held])) == 2 and len(set(y[~held])) == 2 else np.zeros(len(y), bool)
 
 
-def fit_round(sample: Sample, y: np.ndarray, for_content: np.ndarray, for_meta: np.ndarray):
-    """(content view, metadata view, their calibrations, combination). y: labels of the sample's rows, at first those that are
-    known, in the order of a hash; for_content and for_meta: is a row a pseudo-label of that view's set? If neither, it is known."""
+def skill(score: np.ndarray, y: np.ndarray) -> float:
+    """Twice the area under the ROC curve, less one; LEAST_SKILL where that is less."""
+    good, bad = np.sort(score[y > 0.5]), np.sort(score[y <= 0.5])
+    less, ties = np.searchsorted(bad, good, "left").sum(), (np.searchsorted(bad, good, "right") - np.searchsorted(bad, good, "left")).sum()
+    return max(LEAST_SKILL, float(2 * (less + ties / 2) / max(len(good) * len(bad), 1) - 1))
+
+
+def fit_round(sample: Sample, y: np.ndarray, weight: np.ndarray, for_content: np.ndarray, for_meta: np.ndarray):
+    """(content view, metadata view, their calibrations, combination, their skills). y and weight: labels of the sample's rows and what they weigh,
+    at first those that are known, in the order of a hash; for_content and for_meta: is a row a pseudo-label of that view's set? If
+    neither, it is known."""
     known = np.flatnonzero(~for_content & ~for_meta)
     held = held_out(y[known])
     fit, test = known[~held], known[held] if held.any() else known
     ours = np.concatenate([fit, np.flatnonzero(for_content)])
     theirs = np.concatenate([fit, np.flatnonzero(for_meta)])
-    content, meta = Content(*sample.content_of(ours), y[ours]), Meta(*sample.meta_of(theirs), y[theirs])
+    content, meta = Content(*sample.content_of(ours), y[ours], weight[ours]), Meta(*sample.meta_of(theirs), y[theirs], weight[theirs])
     one, two = content.logit(*sample.content_of(test)), meta.logit(*sample.meta_of(test))
-    return content, meta, (logistic(one[:, None], y[test]), logistic(two[:, None], y[test])), logistic(np.column_stack([one, two]), y[test])
+    return content, meta, (logistic(one[:, None], y[test]), logistic(two[:, None], y[test])), logistic(np.column_stack([one, two]), y[test]), (skill(one, y[test]), skill(two, y[test]))
 
 
 def _fit(batches):
@@ -214,8 +228,8 @@ def _fit(batches):
     if not batches:
         return
     rows = pa.Table.from_batches(batches)
-    y, kind = rows.column("y").to_numpy(), rows.column("kind").to_numpy()
-    fitted = pickle.dumps(fit_round(Sample(rows), y, kind == 1, kind == 2)) if len(set(y[kind == 0])) == 2 else None
+    y, weight, kind = (rows.column(c).to_numpy() for c in ("y", "weight", "kind"))
+    fitted = pickle.dumps(fit_round(Sample(rows), y, weight, kind == 1, kind == 2)) if len(set(y[kind == 0])) == 2 else None
     yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], ["model"])
 
 
@@ -223,7 +237,7 @@ def _calibrated(model):
     """doc_id, th and both views' calibrated probabilities of documents by their features."""
 
     def run(batches):
-        content, meta, scales, _ = model.value
+        content, meta, scales, *_ = model.value
         for batch in batches:
             p = [_sigmoid(x * s[0] + s[1]) for x, s in zip(Sample(batch).logits(content, meta), scales, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *map(pa.array, p)], ["doc_id", "th", "by_content", "by_meta"])
@@ -233,7 +247,7 @@ def _calibrated(model):
 
 def _scores(model, one: np.ndarray, two: np.ndarray):
     """(content view, metadata view, both) as probabilities."""
-    _, _, (c, m), both = model
+    _, _, (c, m), both, _ = model
     return _sigmoid(one * c[0] + c[1]), _sigmoid(two * m[0] + m[1]), _sigmoid(np.column_stack([one, two]) @ both[:-1] + both[-1])
 
 
@@ -272,8 +286,8 @@ def _record(docs: DataFrame, source_col: str, lang_col: str, chars_col: str) ->
     return {"h1": of("source", text(source)), "h2": of("lang", text(lang)), "h3": of("both", text(source), text(lang)), "h4": of("length", text(lang), step), "size": F.coalesce(F.log1p(F.greatest(chars, F.lit(0)).cast("double")) / 5, F.lit(0.0))}
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, columns: tuple, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, sure: float = SURE):
-    """(the model or None, the share of good labels, the features of all documents)."""
+def _fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, columns: tuple, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS):
+    """(the model or None, the share of good labels, the features of all documents, the labels that were fitted to)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     record = _record(docs, *columns)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"), *[c.alias(k) for k, c in record.items()])
@@ -286,7 +300,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, t
     keys = features.select("doc_id", "th").where("doc_id is not null")
     by_hash = F.xxhash64("doc_id", "th"), F.col("doc_id"), F.col("th")
     # Bounded: max_labelled rows and, in each round, a tenth of them for each view and label.
-    chosen = scratch.save(keys.join(known, "doc_id").distinct().orderBy(*by_hash).limit(max_labelled).withColumn("kind", F.lit(0)), "chosen")
+    chosen = scratch.save(keys.join(known, "doc_id").distinct().orderBy(*by_hash).limit(max_labelled).select("doc_id", "th", "y", F.lit(1.0).alias("weight"), F.lit(0).alias("kind"), F.lit(0).alias("turn")), "chosen")
     n = chosen.count()
     limit = (n - n // 4) // 10 + 1  # of each kind in a round, so that pseudo-labels stay a minority
     model = None
@@ -298,23 +312,22 @@ def _fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, t
             break
         held = docs.sparkSession.sparkContext.broadcast(model)
         pool = features.where("doc_id is not null").mapInArrow(_calibrated(held), "doc_id long, th long, by_content double, by_meta double")
-        pool = pool.where((F.greatest("by_content", "by_meta") >= sure) | (F.least("by_content", "by_meta") <= 1 - sure))
         pool = scratch.save(pool.join(known, "doc_id", "left_anti").distinct(), f"pool-{turn}")
         parts = [chosen]
-        for kind, p in ((2, "by_content"), (1, "by_meta")):  # a view's surest documents are the other's pseudo-labels
+        for kind, p, able in ((2, "by_content", model[4][0]), (1, "by_meta", model[4][1])):  # a view's surest documents are the other's pseudo-labels
             fresh = pool.join(F.broadcast(chosen.where(F.col("kind") == kind).select("doc_id", "th")), ["doc_id", "th"], "left_anti")
-            for y, fits, order in ((1.0, F.col(p) >= sure, F.desc(p)), (0.0, F.col(p) <= 1 - sure, F.asc(p))):
-                parts.append(fresh.where(fits).orderBy(order, *by_hash).limit(limit).select("doc_id", "th", F.lit(y).alias("y"), F.lit(kind).alias("kind")))
+            for y, told, base in ((1.0, F.col(p), share), (0.0, 1 - F.col(p), 1 - share)):
+                weight = (told - base) / (1 - base) * able
+                parts.append(fresh.where(weight > 0).orderBy(told.desc(), *by_hash).limit(limit).select("doc_id", "th", F.lit(y).alias("y"), weight.alias("weight"), F.lit(kind).alias("kind"), F.lit(turn + 1).alias("turn")))
         chosen = scratch.save(reduce(DataFrame.union, parts), f"chosen-{turn}")
         scratch.drop(f"pool-{turn}")
-    return model, share, features
+    return model, share, features, chosen
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5, **options) -> DataFrame:
-    """doc_id, content_score, meta_score, quality (0 to 1), kept (quality is threshold or more). options: max_labelled, rounds,
-    sure (a pseudo-label's least probability)."""
+    """doc_id, content_score, meta_score, quality (0 to 1), kept (quality is threshold or more). options: max_labelled, rounds."""
     scratch = Scratch(docs.sparkSession, "cotraining")
-    model, share, features = _fitted(docs, labels, scratch, id_col, text_col, (source_col, lang_col, chars_col), **options)
+    model, share, features, _ = _fitted(docs, labels, scratch, id_col, text_col, (source_col, lang_col, chars_col), **options)
     if model is None:
         p = F.lit(share)
         return features.select("doc_id", p.alias("content_score"), p.alias("meta_score"), p.alias("quality"), (p >= threshold).alias("kept"))
@@ -322,10 +335,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     return scored.withColumn("kept", F.col("quality") >= threshold)
 
 
+def pseudo_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", **options) -> DataFrame:
+    """doc_id, view ('content' or 'metadata', which was given the label), turn (from 1), good, weight: what the views handed over."""
+    chosen = _fitted(docs, labels, Scratch(docs.sparkSession, "cotraining"), id_col, text_col, (source_col, lang_col, chars_col), **options)[3]
+    return chosen.where("kind > 0").select("doc_id", F.when(F.col("kind") == 1, "content").otherwise("metadata").alias("view"), "turn", (F.col("y") == 1).alias("good"), "weight")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5, **options) -> DataFrame:
     """The documents, all columns, that the classifier keeps. They are scored where they stand and not joined to a list."""
     scratch = Scratch(docs.sparkSession, "cotraining")
-    model, share, _ = _fitted(docs, labels, scratch, id_col, text_col, (source_col, lang_col, chars_col), **options)
+    model, share, _, _ = _fitted(docs, labels, scratch, id_col, text_col, (source_col, lang_col, chars_col), **options)
     scratch.drop("features")
     if model is None:
         return docs if share >= threshold else docs.limit(0)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, sized
 
 #: Characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -110,15 +110,16 @@ def apply_host_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for each document: its counts, base_failed, host, host_ok and kept.
 
     max_rate: a host whose shrunk failure rate of a rule is above it is rejected.
-    The counts are written once and read twice, by the sum over hosts and by the join; the join moves no text, and a host
-    with a third of all documents is split by Spark's skew join unless the hosts are few enough to be broadcast by size.
+    The counts are written once and read twice, by the sum over hosts and by the join, which moves no text. The verdicts are
+    written before the join: where the hosts fit they are broadcast, and beyond that both sides of the join are plain exchanges
+    of written tables, of which Spark splits a host with a third of all documents.
     """
-    spark = docs.sparkSession
-    counts = Scratch(spark, "host-rules").save(text_counts(docs, id_col, text_col, host_col), "counts")
-    verdicts = host_verdicts(counts, max_rate)
+    scratch = Scratch(docs.sparkSession, "host-rules")
+    counts = scratch.save(text_counts(docs, id_col, text_col, host_col), "counts")
+    verdicts = sized(scratch.save(host_verdicts(counts, max_rate).select("host", "host_ok"), "verdicts"))
     rules = failures()
     failed = counts.withColumn("base_failed", rules["short"] | rules["repeats"])
-    return failed.join(verdicts.select("host", "host_ok"), "host", "left").select(
+    return failed.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host", "host_ok"
     )
 

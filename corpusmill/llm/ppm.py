@@ -10,7 +10,10 @@ a few lookups, done for whole batches.
 
 The trie is whole however many strings it has (a caller may bound each order by `nodes`). It is dealt out by the two symbols
 before the newest: what the coding of a string looks up at orders from 2 up shares them, and orders 0 and 1 have a fixed size
-and are sent to all. So each distinct string of the texts is coded once, in its part of the trie. Scorers hold the code lengths
+and are sent to all. Two symbols with over CROWDED strings are dealt out by the third symbol before the newest, those of three by
+the fourth, and so on, and each such part gets a copy of the few shorter strings that it looks up; where all symbols but one are
+shared, a context has 258 * 258 strings at most, so no part grows with the texts. So each distinct string of the texts is coded
+once, in its part of the trie. Scorers hold the code lengths
 of the most frequent strings (at most CODES), and the rest meet theirs in a join. Word counts are whole in the same way:
 scorers hold the most frequent words (at most WORDS), and the rest meet their counts in a join.
 
@@ -25,19 +28,22 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
-from .scratch import Scratch
+from .scratch import Scratch, sized
 
 ORDER = 5
 CODES = 2_000_000
 WORDS = 65_536
 #: Strings of the dealt trie, and asked ones, in a part.
 PART = 500_000
+#: Asked strings of a context that stay in one part.
+CROWDED = 100_000
 #: Bytes that are scored at once, and distinct keys that a counting task holds.
 CHUNK, HELD = 1 << 19, 2_000_000
 END, START, ALPHABET = 256, 257, 257
@@ -200,6 +206,28 @@ def _code(low, order):
     return run
 
 
+def dealt(rows: DataFrame, scratch: Scratch, order: int, crowded: int | None = None) -> DataFrame:
+    """rows (level, key, m; asked strings have level -1) with depth and context: the symbols before the newest that a part shares.
+    A context with more than `crowded` asked strings is dealt out by one symbol more; strings too short to tell which are copied
+    to each, 257 times 258 rows at most."""
+    crowded = CROWDED if crowded is None else crowded
+    of = lambda depth: F.shiftright("key", 9).bitwiseAND(F.lit((1 << (9 * depth)) - 1))
+    depth, rows, done = 2, rows.withColumn("context", of(2)), []
+    while depth < order - 1:
+        hot = scratch.save(rows.where("level = -1").groupBy("context").count().where(F.col("count") > crowded).select("context"), f"crowded-{depth}")
+        if hot.isEmpty():
+            break
+        hot = sized(hot)
+        done.append(rows.join(hot, "context", "left_anti").select(F.lit(depth).alias("depth"), "context", "level", "key", "m"))
+        within = rows.join(hot, "context", "left_semi")
+        longer = (F.col("level") < 0) | (F.col("level") > depth)
+        parts = sized(scratch.save(within.where("level = -1").select("context", of(depth + 1).alias("next")).distinct(), f"parts-{depth}"))
+        copied = within.where(~longer).join(parts, "context").select("level", "key", "m", F.col("next").alias("context"))
+        depth += 1
+        rows = within.where(longer).select("level", "key", "m", of(depth).alias("context")).union(copied)
+    return reduce(DataFrame.union, [*done, rows.select(F.lit(depth).alias("depth"), "context", "level", "key", "m")])
+
+
 def codes(source: DataFrame, scratch: Scratch, order: int = ORDER, nodes: int | None = None) -> DataFrame:
     """key, n, code: each distinct string of order + 1 symbols of source's texts (column text, bytes), how often it occurs, and
     the log10 probability of its newest symbol by the trie of the texts that are not held out."""
@@ -222,9 +250,8 @@ def codes(source: DataFrame, scratch: Scratch, order: int = ORDER, nodes: int |
     rows = every.select(F.lit(-1).alias("level"), "key", F.col("all").alias("m"))
     for k, t in enumerate(tables[2:], 2):
         rows = rows.union(t.select(F.lit(k), "key", "m"))
-    before = F.shiftright("key", 9).bitwiseAND(F.lit((1 << 18) - 1))  # the two symbols before the newest
     parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every.count() // PART))
-    return scratch.save(rows.repartition(parts, before).mapInArrow(_code(low, order), "key long, n long, code double"), "codes")
+    return scratch.save(dealt(rows, scratch, order).repartition(parts, "depth", "context").mapInArrow(_code(low, order), "key long, n long, code double"), "codes")
 
 
 class Table:
