@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cotraining, langid, merge_dropout as md, ppm, scratch, suffix_dedup, superminhash, textvec as tv
+from corpusmill.llm import cotraining, host_rules, langid, merge_dropout as md, ppm, scratch, suffix_dedup, superminhash, textvec as tv
 
 from plain import LOWER, WORD, components_of
 
@@ -397,10 +397,10 @@ def test_quality_held_out(spark):
 
 
 def test_co_training_over_the_whole_pool(spark):
-    """The rounds restated: lists of documents, sorted whole, in place of jobs, weighed pools and top-k."""
-    data, most, rounds, sure = "/root/testdata/sf0.001", 60, 2, 0.8
+    """The rounds restated: lists of documents, sorted whole, in place of jobs and top-k."""
+    data, most, rounds = "/root/testdata/sf0.001", 60, 2
     d, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
-    got = {r["doc_id"]: r["quality"] for r in cotraining.classify(d, labels, max_labelled=most, rounds=rounds, sure=sure).collect()}
+    got = {r["doc_id"]: r["quality"] for r in cotraining.classify(d, labels, max_labelled=most, rounds=rounds).collect()}
 
     record = cotraining._record(d, "source", "lang", "n_chars")
     rows = d.select("doc_id", "text", F.xxhash64("text").alias("th"), F.xxhash64("doc_id", F.xxhash64("text")).alias("order"), *[c.alias(k) for k, c in record.items()]).collect()
@@ -409,30 +409,105 @@ def test_co_training_over_the_whole_pool(spark):
     for r in labels.collect():
         told[r["doc_id"]].append((r["quality"], r["toxic"]))
     good = {i: float(min(q for q, _ in v) == 1 and max(t for _, t in v) != 1) for i, v in told.items()}
+    share = sum(good.values()) / len(good)
     bucket, begin, content = cotraining.text_features(*packed([r["text"] for r in rows]))
     table = pa.table({"bucket": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(bucket)), "content": pa.array(content.astype(np.float32).tolist(), pa.list_(pa.float32())), **{k: [r[k] for r in rows] for k in cotraining.RECORD}})
     known = [i for i, r in enumerate(rows) if r["doc_id"] in good][:most]
-    sets = {0: [(i, good[rows[i]["doc_id"]]) for i in known], 1: [], 2: []}
+    sets = {0: [(i, good[rows[i]["doc_id"]], 1.0) for i in known], 1: [], 2: []}
     limit = (len(known) - len(known) // 4) // 10 + 1
     for turn in range(rounds + 1):
-        chosen = sorted((i, kind, y) for kind, some in sets.items() for i, y in some)
-        kinds = np.array([k for _, k, _ in chosen])
-        sample = cotraining.Sample(table.take([i for i, _, _ in chosen]))
-        model = cotraining.fit_round(sample, np.array([y for _, _, y in chosen]), kinds == 1, kinds == 2)
+        chosen = sorted((i, kind, y, w) for kind, some in sets.items() for i, y, w in some)
+        kinds = np.array([k for _, k, _, _ in chosen])
+        sample = cotraining.Sample(table.take([i for i, *_ in chosen]))
+        model = cotraining.fit_round(sample, np.array([c[2] for c in chosen]), np.array([c[3] for c in chosen]), kinds == 1, kinds == 2)
         one, two = cotraining.Sample(table).logits(model[0], model[1])
         if turn == rounds:
             break
-        for kind, logit, scale in ((2, one, model[2][0]), (1, two, model[2][1])):
+        for kind, logit, scale, skill in ((2, one, model[2][0], model[4][0]), (1, two, model[2][1], model[4][1])):
             p = 1 / (1 + np.exp(-(logit * scale[0] + scale[1])))
-            free = [i for i, r in enumerate(rows) if r["doc_id"] not in good and i not in {j for j, _ in sets[kind]}]
-            sets[kind] += [(i, 1.0) for i in sorted(free, key=lambda i: (-p[i], i)) if p[i] >= sure][:limit] + [(i, 0.0) for i in sorted(free, key=lambda i: (p[i], i)) if p[i] <= 1 - sure][:limit]
+            free = [i for i, r in enumerate(rows) if r["doc_id"] not in good and i not in {x[0] for x in sets[kind]}]
+            for y, told_by, base in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
+                surest = sorted((i for i in free if told_by[i] > base), key=lambda i: (-told_by[i], i))[:limit]
+                sets[kind] += [(i, y, (told_by[i] - base) / (1 - base) * skill) for i in surest]
     assert len(sets[1]) > 4 and len(sets[2]) > 4
     want = 1 / (1 + np.exp(-(np.column_stack([one, two]) @ model[3][:-1] + model[3][-1])))
     assert all(abs(got[r["doc_id"]] - w) < 1e-6 for r, w in zip(rows, want, strict=True))
 
 
+def area(scores, y):
+    """Under the ROC curve, by all pairs."""
+    good, bad = [s for s, v in zip(scores, y, strict=True) if v], [s for s, v in zip(scores, y, strict=True) if not v]
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_skill():
+    scores, y = np.array([0.9, 0.1, 0.5, 0.5, 0.2]), np.array([1.0, 0, 1, 0, 0])
+    assert cotraining.skill(scores, y) == pytest.approx(2 * area(scores, y) - 1)
+    assert cotraining.skill(-scores, y) == cotraining.LEAST_SKILL
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_views_exchange_at_production_settings(spark, scale):
+    d, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+    given = {(r["view"], r["turn"]): r["n"] for r in cotraining.pseudo_labels(d, labels).groupBy("view", "turn").agg(F.count("*").alias("n")).collect()}
+    assert set(given) == {(v, t) for v in ("content", "metadata") for t in range(1, cotraining.ROUNDS + 1)} and min(given.values()) >= 10
+
+
+def test_both_views_are_no_worse_than_content(spark):
+    """On labels that nothing was fitted to: a quarter is fitted to, the others are held out."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fitted = labels.where(F.xxhash64("doc_id") % 4 == 0)
+    rest = labels.join(fitted.select("doc_id"), "doc_id", "left_anti").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") != 1)).alias("y"))
+    by = {n: cotraining.classify(d, fitted, rounds=n).join(rest, "doc_id").collect() for n in (0, cotraining.ROUNDS)}
+    of = lambda n, c: area([r[c] for r in by[n]], [r["y"] for r in by[n]])
+    assert of(cotraining.ROUNDS, "quality") >= of(cotraining.ROUNDS, "content_score") - 0.002
+    assert of(cotraining.ROUNDS, "quality") >= of(0, "quality") - 0.005 and of(cotraining.ROUNDS, "quality") > 0.95
+
+
 def test_logistic():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 2))
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
     assert np.allclose(cotraining.logistic(x, y), [2, -1, 0.5], atol=0.2)
+
+
+def test_crowded_contexts_are_dealt_further(spark, monkeypatch, tmp_path):
+    """A corpus of one dominant pair of symbols: no part holds more than its share, and the scores stay."""
+    rng = random.Random(5)
+    rows = [(i, "".join("ab" + rng.choice("cdefgh") for _ in range(60)) + rng.choice(["", " xyz", "\n"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r["score"] for r in ppm.score_documents(df).collect()}
+    sizes = {}
+
+    def parts(rows, scratch, order, real=ppm.dealt):
+        out = real(rows, scratch, order)
+        sizes[ppm.CROWDED] = sorted(r["count"] for r in out.where("level = -1").groupBy("depth", "context").count().collect())
+        return out
+
+    monkeypatch.setattr(ppm, "dealt", parts)
+    ppm.score_documents(df).collect()
+    monkeypatch.setattr(ppm, "CROWDED", 20)
+    crowded = {r["doc_id"]: r["score"] for r in ppm.score_documents(df).collect()}
+    assert all(abs(whole[i] - crowded[i]) < 1e-9 for i in whole)
+    first, last = sizes.values()
+    assert sum(first) == sum(last) and last[-1] <= 20 < first[-1]
+
+
+def test_hot_host_is_split(spark):
+    """With broadcasts off and two thirds of the documents on one host, Spark splits the join with the verdicts."""
+    rows = [(i, f"word{i} " * 12, "hot" if i % 3 else f"h{i}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    weighed = host_rules.sized
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        host_rules.sized = lambda rows: rows
+        out = host_rules.apply_host_rules(df)
+        assert len(out.collect()) == len(rows)
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        host_rules.sized = weighed
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
