@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from .vectors import nearest
+from .vector_codes import coded, scale_of
+from .vectors import nearest, top_k
 
 K_RRF = 60
 #: Characters of phrases that one automaton holds; more are searched for in further passes.
@@ -46,11 +47,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, floor: float | None =
     return top_k(nearest(vectors, queries, k, floor=floor, digits=digits), k)
 
 
-def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
-    w = W.partitionBy("query_id").orderBy(*(order or (F.desc("score"), F.col("id"))))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def terms(c: Column, least: int = 1) -> Column:
     """Distinct lower-case runs of ASCII letters and digits of at least `least` characters."""
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"([a-z0-9]{{{least},}})"), F.lit(1)))
@@ -279,16 +275,14 @@ def semantic_cache(requests: DataFrame, asked: DataFrame, *, least: float = 0.92
 
 
 def quantised(vectors: DataFrame, quantile: float = 0.99) -> tuple[DataFrame, float]:
-    """Vectors as bytes, scaled so that the quantile of absolute values is 127; and that scale."""
-    bound = vectors.select(F.explode("embedding").alias("x")).agg(F.percentile_approx(F.abs("x"), quantile, 10_000)).first()[0] or 1.0
-    scale = 127.0 / bound
-    small = F.transform("embedding", lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x * scale))).cast("tinyint"))
-    return vectors.withColumn("code", small), scale
+    """Vectors as bytes, scaled so that the exact quantile of absolute values is 127; and that scale."""
+    scale = scale_of(vectors, quantile)
+    return vectors.withColumn("code", coded(F.col("embedding"), scale)), scale
 
 
 def signature(c: Column, bits: int = 16, seed: int = 7) -> Column:
-    """Random-projection bits of a vector, for coarse buckets beyond exact search; the projections come from a rule."""
-    weight = lambda i, b: F.pmod(F.xxhash64(i, F.lit(b), F.lit(seed)), F.lit(2001)) - 1000
+    """Signs of a vector's projections, for coarse buckets: its numbers weighed by the CRC-32 of (seed, bit, place), less half."""
+    weight = lambda i, b: F.crc32(F.concat_ws(",", F.lit(str(seed)), F.lit(str(b)), i.cast("string")).cast("binary")) - (1 << 31)
     side = lambda b: F.aggregate(F.transform(c, lambda x, i: x.cast("double") * weight(i, b)), F.lit(0.0), lambda s, x: s + x) > 0
     return reduce(lambda a, b: a.bitwiseOR(F.when(side(b), F.lit(1 << b)).otherwise(F.lit(0))), range(bits), F.lit(0))
 

@@ -1,15 +1,17 @@
 """Exact vector search as products of blocks.
 
 Vectors are packed into rows of up to CHUNK_BYTES, queries into rows of up to BLOCK. A task multiplies the blocks it meets and
-holds the best k of each query it has seen, so what leaves a task is k rows a query at most, whatever the number of vectors, and
-the vectors are scanned once for all queries. Queries are a stated set that meets all rows: the product of a few wide rows.
+holds the best k of each query it has seen, so what leaves a task is k rows a query at most, whatever the number of vectors. Both
+sides are packed and written once; queries are a stated set that meets all rows: the product of a few wide rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..scratch import Scratch
 
 CHUNK_BYTES = 1 << 20
 BLOCK = 1024
@@ -21,7 +23,7 @@ _PACKED = "dim int, ids binary, times binary, first long, last long, vectors bin
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
     """A matrix of the vectors of an Arrow column, all of length dim; vectors with a null in them are zero."""
     flat = column.flatten()
-    x = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), dim)
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
     x[np.isnan(x).any(axis=1)] = 0
     return x
 
@@ -113,7 +115,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, floor: float | No
     """query_id, id, score: of each task the best k of each query; rank them for the best k of all. vectors: id, embedding;
     queries: query_id, embedding, with an id each of its own. span: only what is older than the query (by at and query_at) by up
     to span microseconds. Cosine is 0 where either vector is 0, null, or of another length."""
-    asked = packed(queries.withColumn("id", F.col("query_id")), query_at, BLOCK)
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    asked = scratch.save(packed(queries.withColumn("id", F.col("query_id")), query_at, BLOCK), "asked")
     asked = asked.select(*[F.col(c).alias(f"q{c}") for c in ("dim", "ids", "times", "first", "last", "vectors")])
-    pairs = packed(vectors, at).join(asked, (F.col("first") < F.col("qlast")) & (F.col("last") >= F.col("qfirst") - span) if span is not None else None, how="inner" if span is not None else "cross")
+    rows = scratch.save(packed(vectors, at), "rows")
+    if span is None:
+        pairs = rows.crossJoin(asked)
+    else:  # rows are in order of time and span little of it: they meet by slices of time, and each pair in the first that both have
+        slices = lambda first, last: F.explode(F.sequence(F.floor(F.col(first) / span), F.floor(F.col(last) / span)))
+        rows = rows.withColumn("slice", slices("first", "last"))
+        asked = asked.withColumn("qearliest", F.col("qfirst") - span).withColumn("slice", slices("qearliest", "qlast"))
+        once = F.col("slice") == F.greatest(F.floor(F.col("first") / span), F.floor(F.col("qearliest") / span))
+        pairs = rows.join(asked, "slice").where(once & (F.col("first") < F.col("qlast")) & (F.col("last") >= F.col("qearliest")))
     return pairs.select("dim", "ids", "times", "vectors", "qdim", "qids", "qtimes", "qvectors").mapInArrow(_scored(k, floor, digits, span), "query_id long, id long, score double")
+
+
+def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
+    w = W.partitionBy("query_id").orderBy(*(order or (F.desc("score"), F.col("id"))))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

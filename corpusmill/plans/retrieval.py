@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import vocabulary as V
-from ..operators import labels as Lb, retrieval as R
+from ..operators import labels as Lb, retrieval as R, vector_codes as C
+from ..operators.vector_index import VectorIndex
 from .base import query, table
 
 COS = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
@@ -58,6 +59,21 @@ def knn_score_floor(spark, d):
     return R.knn(_vectors(spark, d), _asked(spark, d), 40, floor=0.3)
 
 
+@query("knn_int8", _knn_sql(10))
+def knn_int8(spark, d):
+    """The rows of exact search, found over codes of a byte."""
+    return C.knn_by_codes(_vectors(spark, d), _asked(spark, d), 10)
+
+
+@query("knn_ann")
+def knn_ann(spark, d):
+    """The query set against the index of all vectors, sent to as many lists as a recall of 0.95 takes on a sample of the queries.
+    The lists hang on the sample that they are trained on; tests measure the recall."""
+    vectors, asked = _vectors(spark, d), _asked(spark, d)
+    index = VectorIndex.build(vectors)
+    return R.top_k(index.nearest(asked, 10, probes=index.probes_for(vectors, asked, 10)), 10)
+
+
 def _chunks(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -275,7 +291,11 @@ def trigram_similarity(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(R.trigram_similarity(F.col("p_name"), F.lit("blue ring")), 6).alias("s"))
 
 
-@query("int8_quantise")
+_SCALE = """a AS (SELECT abs(x)::DOUBLE AS x FROM (SELECT unnest(embedding) AS x FROM embeddings)),
+z AS (SELECT 127.0::DOUBLE / x AS scale FROM (SELECT x, row_number() OVER (ORDER BY x) AS r FROM a) WHERE r = (SELECT ceil(0.99 * count(*)) FROM a))"""
+
+
+@query("int8_quantise", f"WITH {_SCALE} SELECT vec_id AS id, list_transform(embedding, lambda x: greatest(-127, least(127, round(x::DOUBLE * scale)))::INT) AS code FROM embeddings, z")
 def int8_quantise(spark, d):
     coded, _ = R.quantised(_vectors(spark, d))
     return coded.select("id", F.transform("code", lambda x: x.cast("int")).alias("code"))

@@ -120,11 +120,76 @@ def test_html_columns(spark):
 def test_quantile(spark):
     import statistics
 
-    for values in ([], [3.0], [1.0, 2.0], [float(i * 7 % 101) for i in range(100)]):
-        df = spark.createDataFrame([(values,)], "v array<double>").select(F.sort_array("v").alias("v"))
+    groups = {"none": [None, None], "one": [3.0], "two": [1.0, 2.0], "many": [float(i * 7 % 101) for i in range(100)], "large": [float(i * 7919 % 30011) for i in range(25_000)]}
+    df = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "k string, v double")
+    got = {r["k"]: r for r in V.latency(df, ["k"], "v").collect()}
+    for k, values in groups.items():
+        values = [v for v in values if v is not None]
         for p in (50, 95):
             want = round(statistics.quantiles(values, n=100)[p - 1], 1) if len(values) >= 2 else (values[0] if values else 0.0)
-            assert abs(df.select(V.exclusive_quantile(F.col("v"), p).alias("x")).first()["x"] - want) < 0.051
+            assert abs(got[k][f"p{p}"] - want) < 0.051 and got[k]["n"] == len(values)
+
+
+def test_exact_quantile(spark, monkeypatch):
+    from corpusmill.operators import quantiles
+
+    values = [float(i * 7919 % 30011) ** 3 for i in range(3000)] + [5.0] * 2000 + [1e300, -1e300]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(4)
+    values.sort()
+    for band in (1, 100, 10_000):
+        monkeypatch.setattr(quantiles, "BAND", band)
+        for q in (0.0, 0.2, 0.5, 0.99, 1.0):
+            assert quantiles.exact_quantile(df, F.col("v"), q) == values[max(1, -(-int(q * 100) * len(values) // 100)) - 1]
+    assert quantiles.exact_quantile(df.limit(0), F.col("v"), 0.5) is None
+
+
+def _odd_vectors(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(i % 5, 1) for _ in range(8)]) for i in range(300)]
+    rows += [(300, [0.0] * 8), (301, None), (302, [1.0, 2.0]), (303, []), (304, [None] + [1.0] * 7), (None, [1.0] * 8), *[(400 + i, [1.0] * 8) for i in range(30)], (450, [1e6] * 8)]
+    return spark.createDataFrame(rows, "id long, embedding array<double>").withColumn("list", F.lit(1)).repartition(3)
+
+
+def test_search_over_codes_is_exact(spark, monkeypatch):
+    from corpusmill.operators import vector_codes
+
+    v = _odd_vectors(spark)
+    q = v.where("id % 20 = 0 or id >= 300").select(F.col("id").alias("query_id"), "embedding")
+    for block in (1024, 7):
+        monkeypatch.setattr(vector_codes, "BLOCK", block)
+        for k in (1, 10, 400):
+            want = sorted(map(tuple, R.knn(v.where("embedding is not null"), q.where("embedding is not null"), k).collect()))
+            assert sorted(map(tuple, vector_codes.knn_by_codes(v, q, k).collect())) == want
+    assert vector_codes.knn_by_codes(v.limit(0), q, 3).collect() == []
+
+
+def test_vector_index(spark, tmp_path):
+    from corpusmill.operators.vector_index import VectorIndex, recall
+
+    v = _odd_vectors(spark).where("embedding is not null and id is not null")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = VectorIndex.build(v, lists=9, path=str(tmp_path / "index"))
+    assert index.blocks.select(F.sum(F.length("ids") / 8)).first()[0] == v.count()  # every row is in a list
+    exact = R.knn(v, q, 5)
+    whole = R.top_k(index.nearest(q, 5, probes=9), 5)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
+    probes = index.probes_for(v, q, 5, target=0.9)
+    assert 1 <= probes <= 9
+    some = R.top_k(VectorIndex.open(spark, str(tmp_path / "index")).nearest(q, 5, probes=probes), 5)
+    found, wanted = recall(exact, some).agg(F.sum("found"), F.sum("wanted")).first()
+    assert found >= 0.9 * wanted
+    assert R.top_k(VectorIndex.build(v.limit(0)).nearest(q, 5, probes=2), 5).collect() == []
+
+
+def test_recall_of_the_registered_index(spark):
+    from corpusmill.operators.vector_index import recall
+    from corpusmill.plans import retrieval as P
+
+    data = "/root/testdata/sf0.1"
+    found, wanted = recall(P.knn_batch(spark, data), P.knn_ann(spark, data)).agg(F.sum("found"), F.sum("wanted")).first()
+    assert found >= 0.9 * wanted
 
 
 def test_grounded(spark):
