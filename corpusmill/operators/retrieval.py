@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .text_index import TextIndex
 from .vector_codes import coded, scale_of
 from .vectors import nearest, top_k
 
@@ -144,11 +145,19 @@ def containing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts) if parts else texts.select(F.lit("").alias("phrase"), *kept).limit(0)
 
 
-def phrase_lookup(docs: DataFrame, phrases: DataFrame, limit: int = 4) -> DataFrame:
-    """query_id, phrase, id, rank: shortest documents with each phrase, in any case. phrases: query_id, phrase."""
-    sized = containing(docs.select("id", "text"), phrases).select(F.col("phrase").alias("_p"), "id", F.length("text").alias("_n"))
+def phrase_lookup(docs: DataFrame, phrases: DataFrame, limit: int = 4, index: TextIndex | None = None) -> DataFrame:
+    """query_id, phrase, id, rank: shortest documents with each phrase, in any case. phrases: query_id, phrase. index: of docs; with
+    it only documents that hold the phrase's terms in their places are read, and phrases without a whole term scan all texts."""
+    docs = docs.select("id", "text")
+    if index is None:
+        found = containing(docs, phrases)
+    else:
+        own = phrases.where(F.length("phrase") > 0).select(F.lower("phrase").alias("phrase")).distinct()
+        found, rest = index.holding(docs, own)
+        found = found.select("phrase", "id", "text").unionByName(containing(docs, rest))
+    best = found.select(F.col("phrase").alias("_p"), "id", F.length("text").alias("_n"))
     w = W.partitionBy("_p").orderBy("_n", "id")
-    best = sized.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return phrases.distinct().join(best, F.lower("phrase") == F.col("_p")).select("query_id", "phrase", "id", "rank")
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, kept
 from .vectors import BLOCK, CHUNK_BYTES, _rows, _scored, nearest, top_k
 
 #: Vectors that centroids are fitted to; most centroids; rounds of fitting.
@@ -122,7 +122,7 @@ class VectorIndex:
         rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("id is not null and embedding is not null")
         lists = min(MOST_LISTS, lists or max(1, math.isqrt(rows.count())))
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        save = (lambda df, name: cls._kept(df, f"{path}/{name}")) if path else scratch.save
+        save = (lambda df, name: kept(df, f"{path}/{name}")) if path else scratch.save
         centroids = save(sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(_train(lists), "list int, embedding array<double>"), "centroids")
         dealt = scratch.save(rows.mapInArrow(_assign(cls._sent(centroids), 1), "id long, list int, embedding array<double>"), "dealt")
         packed = dealt.repartitionByRange("list", "id").sortWithinPartitions("list", "id").mapInArrow(_pack(None), _BLOCKS)
@@ -130,11 +130,6 @@ class VectorIndex:
         scratch.drop("dealt")
         return index
 
-    @staticmethod
-    def _kept(df: DataFrame, path: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorIndex:
         return cls(spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/blocks"))

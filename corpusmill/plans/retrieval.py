@@ -6,7 +6,9 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import vocabulary as V
 from ..operators import labels as Lb, retrieval as R, vector_codes as C
+from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
+from ..scratch import once
 from .base import query, table
 
 COS = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
@@ -93,9 +95,14 @@ df AS (SELECT term, count(*) AS df FROM ix GROUP BY 1),
 h AS (SELECT query_id, id, round(sum(tf * ln(1 + (SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score, count(*) AS matched FROM ix JOIN w USING (term) JOIN df USING (term) GROUP BY 1, 2)"""
 
 
+def _index(spark, d):
+    """The index of the documents, built once a session and read by all searches for terms and phrases."""
+    return once(spark, ("documents", d), lambda: TextIndex.build(_chunks(spark, d)))
+
+
 def _search(spark, d, k, every):
-    docs = _chunks(spark, d)
-    return R.full_text(R.term_index(docs, 5), _questions(spark, d), docs.count(), k, every=every)
+    index = _index(spark, d)
+    return R.full_text(index.terms(5), _questions(spark, d), index.n_docs, k, every=every)
 
 
 @query("fts_and_topk", f"WITH {_FTS} SELECT query_id, id, score, matched, rank FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h JOIN qs USING (query_id) WHERE matched = len(terms)) WHERE rank <= 12")
@@ -154,10 +161,11 @@ def hybrid_search(spark, d):
     source."""
     asked, docs = _item_vectors(spark, d), _chunks(spark, d)
     ids = asked.select("query_id")
-    terms = R.full_text(R.term_index(docs, 5), _questions(spark, d).join(ids, "query_id", "left_semi"), docs.count(), 12, every=False, source=F.col("id") % 3)
+    index = _index(spark, d)
+    terms = R.full_text(index.terms(5), _questions(spark, d).join(ids, "query_id", "left_semi"), index.n_docs, 12, every=False, source=F.col("id") % 3)
     vectors = [R.knn(_vectors(spark, d), asked, 40), R.knn(_vectors(spark, d).where("label = 3"), asked, 12)]
     phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase")).join(ids, "query_id", "left_semi")
-    found = R.hybrid([*vectors, terms], R.phrase_lookup(docs, phrases))
+    found = R.hybrid([*vectors, terms], R.phrase_lookup(docs, phrases, index=index))
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"))
     return R.citations(found.join(titles, "id"))
 
@@ -165,8 +173,8 @@ def hybrid_search(spark, d):
 @query("fts_source_concat", f"""WITH {_FTS}, t AS (SELECT query_id, id, id % 3 AS s, row_number() OVER (PARTITION BY query_id, id % 3 ORDER BY score DESC, id) AS k FROM h)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s, k) AS rank FROM t WHERE k <= 4""")
 def fts_source_concat(spark, d):
-    docs = _chunks(spark, d)
-    hits = R.full_text(R.term_index(docs, 5), _questions(spark, d), docs.count(), 4, every=False, source=F.col("id") % 3)
+    index = _index(spark, d)
+    hits = R.full_text(index.terms(5), _questions(spark, d), index.n_docs, 4, every=False, source=F.col("id") % 3)
     return R.concatenated(hits)
 
 
@@ -183,7 +191,45 @@ SELECT query_id, phrase, id, rank FROM (SELECT query_id, phrase, doc_id AS id, r
 FROM documents JOIN p ON contains(lower(text), lower(phrase))) WHERE rank <= 4""")
 def phrase_lookup(spark, d):
     phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
-    return R.phrase_lookup(_chunks(spark, d), phrases)
+    return R.phrase_lookup(_chunks(spark, d), phrases, index=_index(spark, d))
+
+
+#: Each item's first three words as a phrase without its last word, or its fourth word with a phrase of its fifth and sixth.
+_WEB = """w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+t AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
+df AS (SELECT term, ln(1 + (SELECT count(DISTINCT doc_id) FROM documents)::DOUBLE / count(DISTINCT doc_id)) AS idf FROM t GROUP BY term),
+i AS (SELECT item_id, 0 AS alt, 0 AS item, false AS neg, w[1:3] AS p FROM w UNION ALL SELECT item_id, 0, 1, true, w[-1:] FROM w
+      UNION ALL SELECT item_id, 1, 2, false, w[4:4] FROM w UNION ALL SELECT item_id, 1, 3, false, w[5:6] FROM w),
+o AS (SELECT item_id, item, len(p) AS n, unnest(p) AS term, unnest(range(len(p))) AS off FROM i),
+s AS (SELECT o.item_id, o.item, t.doc_id, t.place - o.off AS start, any_value(n) AS n, count(*) AS m FROM o JOIN t USING (term) GROUP BY ALL),
+m AS (SELECT item_id, item, doc_id, count(*) AS tf FROM s WHERE m = n GROUP BY ALL),
+k AS (SELECT item_id, item, sum(idf) AS weight FROM o JOIN df USING (term) GROUP BY ALL),
+h AS (SELECT m.item_id, alt, doc_id, count(*) FILTER (NOT neg) AS has, count(*) FILTER (neg) AS barred, sum(CASE WHEN neg THEN 0 ELSE tf * weight END) AS x
+      FROM m JOIN i USING (item_id, item) JOIN k USING (item_id, item) GROUP BY ALL)"""
+
+
+@query("fts_websearch", f"""WITH {_WEB},
+b AS (SELECT item_id, doc_id, round(max(x), 6) AS score FROM h WHERE barred = 0 AND has = alt + 1 GROUP BY ALL)
+SELECT item_id AS query_id, doc_id AS id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 12""")
+def fts_websearch(spark, d):
+    """Phrases, exclusion and alternatives in one query of each item."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
+    at = lambda i: F.get(w, F.lit(i))
+    asked = F.concat(F.lit('"'), at(0), F.lit(" "), at(1), F.lit(" "), at(2), F.lit('" -'), F.element_at(w, -1), F.lit(" OR "), at(3), F.lit(' "'), at(4), F.lit(" "), at(5), F.lit('"'))
+    return _index(spark, d).web_search(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text")), 12)
+
+
+@query("phrase_counts", r"""WITH w AS (SELECT item_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)),
+p AS (SELECT DISTINCT unnest(p) AS phrase FROM w),
+t AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
+b AS (SELECT doc_id, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY place) AS phrase FROM t)
+SELECT phrase, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM b JOIN p USING (phrase) GROUP BY phrase""")
+def phrase_counts(spark, d):
+    """How many documents hold each pair of neighbouring words of the items, and how often, from the index alone."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
+    pairs = table(spark, d, "benchmark").select(w.alias("w")).where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.array(F.get("w", i), F.get("w", i + 1)))).alias("terms")).distinct()
+    found = _index(spark, d).matches(pairs.select(F.array_join("terms", " ").alias("key"), "terms"))
+    return found.groupBy(F.col("key").alias("phrase")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
 
 
 NAMES = ["the", "than", "inthe", "that", "von", "que", "dans", "er"]

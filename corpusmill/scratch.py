@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,3 +70,32 @@ class Scratch:
     def drop(self, *labels: str) -> None:
         for label in labels:
             _delete(f"{self.root}/{label}")
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """Write df where the caller wants it and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Of a list in an executor's memory, with ROW_BYTES for each row beside its values.
+BROADCAST_BYTES = 24 << 20
+ROW_BYTES = 64
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast where all of its rows, weighed as text, have BROADCAST_BYTES at most; a larger one meets the
+    other side in a shuffle."""
+    weight = rows.select((F.lit(ROW_BYTES) + F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0))).cast("long").alias("w")).agg(F.sum("w")).first()[0]
+    return F.broadcast(rows) if (weight or 0) <= BROADCAST_BYTES else rows
+
+
+_BUILT: dict = {}
+
+
+def once(spark: SparkSession, key: tuple, build):
+    """What build() gives, built once a session for a key: an index over a table that several searches read."""
+    mine = (spark.sparkContext.applicationId, *key)
+    if mine not in _BUILT:
+        _BUILT[mine] = build()
+    return _BUILT[mine]
