@@ -2,7 +2,8 @@
 injection, re-scoring, citations and a semantic cache.
 
 Every function takes a table of queries, so a batch is one job; every ranking ends in an id, so it is total. Vectors are searched
-in blocks (operators/vectors.py), texts for phrases by one automaton of many phrases.
+in blocks (operators/vectors.py), texts by an index with places (operators/text_index.py) or by tries of many phrases
+(operators/dictionary.py).
 """
 
 from __future__ import annotations
@@ -10,18 +11,17 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .dictionary import containing
+from .fuzzy import grams
 from .text_index import TextIndex
 from .vector_codes import coded, scale_of
 from .vectors import nearest, top_k
 
 K_RRF = 60
-#: Characters of phrases that one automaton holds; more are searched for in further passes.
-PHRASE_CHARS = 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -105,46 +105,6 @@ def proper_phrases(c: Column, stop: list[str]) -> Column:
     return F.filter(found, lambda p, i: ~F.exists(F.slice(found, 1, i), lambda q: F.lower(q) == F.lower(p)))
 
 
-def _finder(phrases: list[str]):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for p in phrases:
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    return automaton
-
-
-def containing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase and the columns of rows: each row once for each distinct phrase (any case) that its text contains. rows: text and
-    others. A text is read once for all phrases of a pass, by an Aho-Corasick automaton; a pass takes PHRASE_CHARS of phrases."""
-    own = phrases.where(F.length("phrase") > 0).select(F.lower("phrase").alias("phrase")).distinct()
-    passes = -(-(own.agg(F.sum(F.length("phrase") + 8)).first()[0] or 0) // PHRASE_CHARS)
-    texts = rows.withColumn("_text", F.lower("text"))
-    kept = [c for c in texts.columns if c != "_text"]
-
-    def found(some):
-        def run(batches):
-            automaton = _finder(some)
-            for batch in batches:
-                at, names = [], []
-                for i, text in enumerate(batch.column("_text").to_pylist()):
-                    hits = sorted({p for _, p in automaton.iter(text)}) if text else []
-                    at += [i] * len(hits)
-                    names += hits
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(batch.column(c).take(pa.array(at, pa.int64())) for c in kept)], ["phrase", *kept])
-
-        return run
-
-    schema = T.StructType([T.StructField("phrase", T.StringType()), *[texts.schema[c] for c in kept]])
-    parts = []
-    for i in range(passes):  # PHRASE_CHARS of a stated set of phrases at a time
-        some = [r["phrase"] for r in own.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == i).collect()]
-        if some:
-            parts.append(texts.mapInArrow(found(some), schema))
-    return reduce(DataFrame.union, parts) if parts else texts.select(F.lit("").alias("phrase"), *kept).limit(0)
-
-
 def phrase_lookup(docs: DataFrame, phrases: DataFrame, limit: int = 4, index: TextIndex | None = None) -> DataFrame:
     """query_id, phrase, id, rank: shortest documents with each phrase, in any case. phrases: query_id, phrase. index: of docs; with
     it only documents that hold the phrase's terms in their places are read, and phrases without a whole term scan all texts."""
@@ -178,6 +138,14 @@ def mention_weights(found: DataFrame, labels: DataFrame) -> DataFrame:
     return weighted.groupBy("name").agg(F.sum("w").alias("weight"))
 
 
+def weighted(lists: dict[str, DataFrame], weights: dict[str, float], *, k: int = K_RRF, top: int = 40) -> DataFrame:
+    """Fusion of named searches by weights that sum to 1; a search without a weight, or with 0, is not run."""
+    used = {n: w for n, w in weights.items() if w}
+    if abs(sum(used.values()) - 1) > 1e-9 or not used.keys() <= lists.keys():
+        raise ValueError("weights of known searches sum to 1")
+    return rrf(*[lists[n] for n in used], k=k, top=top, weights=tuple(used.values()))
+
+
 def rrf(*lists: DataFrame, k: int = K_RRF, top: int = 40, digits: int = 8, weights: tuple[float, ...] | None = None) -> DataFrame:
     """Reciprocal rank fusion of lists (query_id, id, rank): the sum of 1 / (k + rank), ties by the first list and rank. A table may
     hold several lists, told apart by a column source from 0."""
@@ -321,6 +289,5 @@ def ranges_to_chunks(request: Column, chunks: DataFrame, spark_rows: DataFrame)
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of padded letter trigrams."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("  "), F.lower(c), F.lit(" ")), i, F.lit(3)))
-    x, y = F.array_distinct(grams(a)), F.array_distinct(grams(b))
+    x, y = grams(a), grams(b)
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))

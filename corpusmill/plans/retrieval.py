@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import vocabulary as V
-from ..operators import labels as Lb, retrieval as R, vector_codes as C
+from ..operators import dictionary as D, fuzzy as Fz, labels as Lb, retrieval as R, vector_codes as C
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..scratch import once
@@ -135,6 +135,14 @@ def rrf_fuse(spark, d):
     return _fused(spark, d, 40).select("query_id", "id", "score", "rank")
 
 
+@query("hybrid_weighted", _HYBRID.replace("sum(1.0::DOUBLE / (60 + rank))", "sum((CASE list WHEN 0 THEN 0.6 ELSE 0.4 END)::DOUBLE / (60 + rank))") + "SELECT * FROM r WHERE rank <= 40")
+def hybrid_weighted(spark, d):
+    """Vectors and terms by the weights of the older search; names like the question's are found, and weigh nothing there."""
+    vector = R.knn(_vectors(spark, d), _item_vectors(spark, d), 40)
+    text = _search(spark, d, 40, False).join(_item_vectors(spark, d).select("query_id"), "query_id", "left_semi")
+    return R.weighted({"dense": vector, "sparse": text}, {"dense": 0.6, "sparse": 0.4, "ilike": 0.0, "fuzzy": 0.0}).select("query_id", "id", "score", "rank")
+
+
 @query("rrf_inject", _HYBRID + """, b AS (SELECT * FROM r WHERE rank <= 10), e AS (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS k FROM t WHERE (query_id, id) NOT IN (SELECT query_id, id FROM b) AND query_id IN (SELECT query_id FROM b) AND rank <= 40)
 SELECT query_id, id, rank, false AS injected FROM b UNION ALL SELECT query_id, id, 10 + k, true FROM e WHERE k <= 3""")
@@ -232,6 +240,23 @@ def phrase_counts(spark, d):
     return found.groupBy(F.col("key").alias("phrase")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
 
 
+@query("dictionary_mentions", """SELECT l_orderkey AS id, p_name AS name, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
+def dictionary_mentions(spark, d):
+    """The names of all parts as the dictionary, in texts that list the parts of each order."""
+    part = table(spark, d, "part")
+    lines = table(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    texts = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "p_name"))), lambda x: x["p_name"]), " ").alias("text"))
+    return D.mentions(texts, part.select(F.col("p_name").alias("name")))
+
+
+@query("fuzzy_names", """WITH g AS (SELECT p_partkey AS id, p_partkey % 20 = 0 AS asked, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part),
+s AS (SELECT q.id AS query_id, a.id, len(list_intersect(q.g, a.g)) / (len(q.g) + len(a.g) - len(list_intersect(q.g, a.g))) AS s FROM g q, g a WHERE q.asked)
+SELECT query_id, id, score, rank FROM (SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS rank FROM s WHERE s >= 0.3) WHERE rank <= 40""")
+def fuzzy_names(spark, d):
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return Fz.fuzzy(names, names.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 40)
+
+
 NAMES = ["the", "than", "inthe", "that", "von", "que", "dans", "er"]
 
 

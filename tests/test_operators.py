@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import external as E
 from corpusmill.functions import scalars as S, text as X
-from corpusmill.operators import chunking as K, conversations as C, evaluation as V, lifecycle as L, retrieval as R, social as O, vectors as Vc
+from corpusmill.operators import chunking as K, conversations as C, evaluation as V, lifecycle as L, retrieval as R, social as O, text_index as TI, vectors as Vc
 from corpusmill.sources import html as H, readers as Rd
 from corpusmill.streaming import jobs as J
 
@@ -183,6 +183,93 @@ def test_vector_index(spark, tmp_path):
     assert R.top_k(VectorIndex.build(v.limit(0)).nearest(q, 5, probes=2), 5).collect() == []
 
 
+def test_web_search_syntax(spark):
+    parse = lambda t: [(x["alternative"], x["negated"], list(x["terms"])) for x in one(spark, TI.parsed(F.col("q")), q=t)]
+    assert parse('red "big dog" -cat or state-of-art -"old news" ""') == [(0, False, ["red"]), (0, False, ["big", "dog"]), (0, True, ["cat"]), (1, False, ["state", "of", "art"]), (1, True, ["old", "news"])]
+    assert parse('"open phrase') == [(0, False, ["open", "phrase"])] and parse(" - OR é") == []
+
+
+def test_text_index_against_plain_matching(spark, tmp_path):
+    rng = random.Random(8)
+    docs = {i: " ".join(rng.choice(["a", "b", "c", "dd", "e-e", "Dd."]) for _ in range(rng.randint(0, 30))) for i in range(60)} | {60: None, 61: "", 62: "é a é"}
+    index = TI.TextIndex.build(spark.createDataFrame(list(docs.items()), "id long, text string").repartition(3), str(tmp_path / "ix"))
+    words = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in docs.items()}
+
+    def times(i, terms):
+        return sum(words[i][p : p + len(terms)] == terms for p in range(len(words[i])))
+
+    queries = {0: "a b", 1: '"a b" -c', 2: '"dd e e" or "a a a"', 3: "-a", 4: "zz a", 5: '"a zz" or b -"b b"', 6: "", 7: "e-e", 8: '"a b a b"'}
+    got = {(r["query_id"], r["id"]): r["score"] for r in TI.TextIndex.open(spark, str(tmp_path / "ix")).web_search(spark.createDataFrame(list(queries.items()), "query_id long, text string"), 1000).collect()}
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    want = {}
+    for q, text in queries.items():
+        items = [(x["alternative"], x["negated"], list(x["terms"])) for x in one(spark, TI.parsed(F.col("q")), q=text)]
+        for i in docs:
+            for alt in {a for a, *_ in items}:
+                mine = [(n, times(i, t), sum(math.log1p(len(docs) / df[w]) for w in t) if all(w in df for w in t) else 0) for a, n, t in items if a == alt]
+                if any(not n for n, *_ in mine) and all((k == 0) == n for n, k, _ in mine):
+                    want[q, i] = max(want.get((q, i), 0), sum(k * w for n, k, w in mine if not n))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_phrases_by_the_index(spark):
+    docs = spark.createDataFrame([(1, "The Quick brown fox"), (2, "quick brown"), (3, "thequick brown foxes"), (4, None), (5, "q-u--!"), (6, "quick  brown fox")], "id long, text string")
+    phrases = spark.createDataFrame([(1, "quick brown fox"), (2, "--!"), (3, "k brown"), (4, ""), (5, "QUICK brown"), (6, "zzz brown fox")], "query_id long, phrase string")
+    plain = sorted(map(tuple, R.phrase_lookup(docs, phrases).collect()))
+    assert sorted(map(tuple, R.phrase_lookup(docs, phrases, index=TI.TextIndex.build(docs)).collect())) == plain and len(plain) == 9
+
+
+def test_dictionary_against_plain_matching(spark, monkeypatch):
+    from corpusmill.operators import dictionary as D
+
+    rng = random.Random(3)
+    names = ["new york", "new", "york city", "New York City", "a", "aa b", "é x", "b", "o'neil", "x y z", ""]
+    texts = [" ".join(rng.choice(["new", "York", "city", "a", "aa", "b", "é", "x", "y", "z", "newyork", "o'neil's", ","]) for _ in range(rng.randint(0, 25))) for _ in range(60)] + [None, "", "NEW YORK CITYé", "b" * 50]
+    df, own = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3), spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    word = "[0-9A-Za-z_\u0080-\U0010ffff]"
+    pattern = re.compile("|".join(f"(?:(?<!{word})|(?!{word}))(?:{re.escape(n.lower())})(?:(?!{word})|(?<!{word}))" for n in sorted(names, key=len, reverse=True) if n))
+    want = [(i, len(t.lower()[: m.start()].encode()), m[0]) for i, t in enumerate(texts) if t for m in pattern.finditer(t.lower())]
+    held = {(i, n.lower()) for i, t in enumerate(texts) for n in names if n and t and n.lower() in t.lower()}
+    for part, chunk in ((4 << 20, 1 << 20), (30, 7)):
+        monkeypatch.setattr(D, "PART_BYTES", part)
+        assert sorted((r["id"], r["start"], r["name"]) for r in D.leftmost_longest(df, own).collect()) == want
+        assert {(r["id"], r["phrase"]) for r in D.containing(df, own.withColumnRenamed("name", "phrase")).collect()} == held
+    trie = D.PhraseTrie([n.lower() for n in names if n])
+    monkeypatch.setattr(D, "CHUNK", 7)
+    import pyarrow as pa
+
+    lowered = pa.array([t.lower() if t else t for t in texts])
+    small = set(map(tuple, D._matches(trie, lowered, True).T.tolist()))
+    monkeypatch.setattr(D, "CHUNK", 1 << 20)
+    assert small == set(map(tuple, D._matches(trie, lowered, True).T.tolist()))
+    assert D.mentions(df, own.limit(0)).collect() == []
+
+
+def test_fuzzy_names_against_all_pairs(spark):
+    from corpusmill.operators import fuzzy as Z
+
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["Alpha", "alpha", None, ""] * 2
+    rows = list(enumerate(names))
+    df = spark.createDataFrame(rows, "id long, name string").repartition(3)
+    gram = lambda t: {f"  {t.lower()} "[i : i + 3] for i in range(len(t) + 1)}
+    for least, k in ((0.3, 5), (0.6, 200), (1.0, 3)):
+        want = []
+        for q, a in rows:
+            if q % 4 == 0 and a is not None:
+                like = [(round(len(gram(a) & gram(b)) / len(gram(a) | gram(b)), 6), i) for i, b in rows if b is not None and len(gram(a) & gram(b)) >= least * len(gram(a) | gram(b)) - 1e-12]
+                want += [(q, i, s, r) for r, (s, i) in enumerate(sorted(like, key=lambda x: (-x[0], x[1]))[:k], 1)]
+        assert sorted(map(tuple, Z.fuzzy(df, df.where("id % 4 = 0").withColumnRenamed("id", "query_id"), k, least=least).collect())) == sorted(want)
+
+
+def test_weights_sum_to_one(spark):
+    rows = spark.createDataFrame([(1, 2, 1)], "query_id long, id long, rank int")
+    assert R.weighted({"a": rows, "b": rows}, {"a": 1.0, "b": 0.0}).first()["score"] == round(1 / 61, 8)
+    for bad in ({"a": 0.5}, {"z": 1.0}):
+        with pytest.raises(ValueError):
+            R.weighted({"a": rows}, bad)
+
+
 def test_recall_of_the_registered_index(spark):
     from corpusmill.operators.vector_index import recall
     from corpusmill.plans import retrieval as P
@@ -379,7 +466,9 @@ def test_vectors_in_blocks(spark, monkeypatch):
 
 
 def test_phrases_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(R, "PHRASE_CHARS", 20)
+    from corpusmill.operators import dictionary as D
+
+    monkeypatch.setattr(D, "PART_BYTES", 40)
     texts = ["The cat sat", "a CAT", "", None, "cats and dogs", "nothing"]
     phrases = ["cat", "Cat", "dog", "s a", "zebra", "", "the cat sat on"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
