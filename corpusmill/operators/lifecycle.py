@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..scratch import Scratch
+
 #: Allowed moves of a document's state.
 MOVES = {"pending": ["fetched", "failed"], "fetched": ["extracted", "failed"], "extracted": ["chunked", "failed"], "chunked": ["complete", "failed"], "failed": ["pending"], "complete": []}
 MOST_RETRIES = 3
@@ -83,6 +85,26 @@ def cascaded(children: DataFrame, parents_left: DataFrame, child_key: str, paren
     return children.where(F.col(child_key).isNull()).unionByName(children.join(left, child_key, "left_semi").select(*children.columns))
 
 
+def cascaded_tree(rows: DataFrame, gone: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """rows without the gone ones and all that is below them, through any number of levels. rows: key (unique) and parent.
+
+    Every row looks up at its parent, and in each round at twice the distance, until it has met a gone row or its root; so the
+    rounds, each a join of written tables, grow with the logarithm of the deepest path. A parent that is not in rows is a root;
+    rows on a cycle go if one of it is gone."""
+    scratch = Scratch(rows.sparkSession, "cascade")
+    out = gone.select(F.col(key).alias("_k")).distinct().withColumn("_hit", F.lit(True))
+    state = rows.select(F.col(key).alias("_k"), F.col(parent).alias("_far")).where("_k is not null").join(out, "_k", "left").select("_k", "_far", F.coalesce("_hit", F.lit(False)).alias("_hit"))
+    state = scratch.save(state, "0")
+    for turn in range(1, max(1, state.count()).bit_length() + 1):
+        above = state.select(F.col("_k").alias("_far"), F.col("_far").alias("_next"), F.col("_hit").alias("_above"))
+        settled = state.where("_hit or _far is null")
+        looked = state.where("not _hit and _far is not null").join(above, "_far", "left").select("_k", F.col("_next").alias("_far"), F.coalesce("_above", F.lit(False)).alias("_hit"))
+        state = scratch.save(settled.union(looked), str(turn))
+        if state.where("not _hit and _far is not null").isEmpty():
+            break
+    return rows.join(state.where("_hit").select(F.col("_k").alias(key)), key, "left_anti")
+
+
 def novel(rows: DataFrame, existing: DataFrame, scope: str, digest: str = "content_hash") -> DataFrame:
     """Rows whose hash their own document does not have yet; a missing hash is novel."""
     return rows.join(existing.where(F.col(digest).isNotNull()).select(scope, digest).distinct(), [scope, digest], "left_anti")
