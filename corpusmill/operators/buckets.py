@@ -1,10 +1,9 @@
 """Tables in buckets: a change writes the buckets that it touches and publishes them at once, or leaves the table as it was.
 
-The table is a folder. rows/version=N/bucket=B holds all rows of bucket B as of version N; log/version=N says which buckets version N
-wrote. A bucket's rows are those of its last version in the log. The log entry is written after the rows, as one file, and is what
-publishes them: a job that breaks off before it leaves nothing that a reader sees, a version written again writes the same buckets
-once more, and a change costs what the buckets that it touches hold. Two writers that make the same version are told apart by the
-log's name for it: the later one fails.
+The table is a folder. rows/W/bucket=B holds all rows of bucket B as writer W left them; log/version=N says which buckets version N
+wrote, and its writer. A bucket's rows are those of its last version in the log. The log entry is written after the rows, as one file,
+and is what publishes them: a job that breaks off before it leaves nothing that a reader sees, a version written again stands in for
+the one before, and a change costs what the buckets that it touches hold. Of two writers of the same next version the later one fails.
 """
 
 from __future__ import annotations
@@ -52,10 +51,10 @@ class BucketTable:
     def read(self, version: int | None = None, touched: DataFrame | None = None) -> DataFrame:
         """The rows as of a version, by default the newest. touched: a table of bucket numbers; only these buckets are read."""
         log = self._log() if version is None else self._log().where(F.col("version") <= version)
-        last = log.groupBy("bucket").agg(F.max_by(F.struct("version", "holds"), "version").alias("l")).where("l.holds").select("bucket", "l.version")  # a bucket may have become empty
+        last = log.groupBy("bucket").agg(F.max_by(F.struct("writer", "holds"), "version").alias("l")).where("l.holds").select("bucket", "l.writer")  # a bucket may have become empty
         if touched is not None:
             last = last.join(touched.select("bucket"), "bucket", "left_semi")
-        paths = [f"{self.path}/rows/version={r['version']}/bucket={r['bucket']}" for r in last.collect()]  # one for each bucket
+        paths = [f"{self.path}/rows/{r['writer']}/bucket={r['bucket']}" for r in last.collect()]  # one for each bucket
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
@@ -69,18 +68,19 @@ class BucketTable:
             return number
         some = self.spark.createDataFrame(buckets, "bucket int")
         rows = make(self.read(number - 1, some)).select(*self.schema.names).withColumn("bucket", self.bucket_of())
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/version={number}")
-        held = self.spark.read.schema("bucket int").parquet(f"{self.path}/rows/version={number}").select("bucket").distinct()
-        some = some.join(held.withColumn("holds", F.lit(True)), "bucket", "left").select("bucket", F.coalesce("holds", F.lit(False)).alias("holds"))
-        self._publish(some, number, again=version is not None)
-        return number
-
-    def _publish(self, buckets: DataFrame, number: int, again: bool) -> None:
         writer = uuid.uuid4().hex
-        entry = buckets.select("bucket", "holds", F.lit(number).cast("long").alias("version"), F.lit(writer).alias("writer")).coalesce(1)
-        entry.write.mode("overwrite" if again else "errorifexists").json(f"{self.path}/log/version={number}")
-        if {r["writer"] for r in self._log().where(F.col("version") == number).select("writer").distinct().collect()} != {writer}:
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/rows/{writer}")
+        held = self.spark.read.schema("bucket int").parquet(f"{self.path}/rows/{writer}").select("bucket").distinct()
+        entry = some.join(held.withColumn("holds", F.lit(True)), "bucket", "left").select("bucket", F.lit(number).cast("long").alias("version"), F.coalesce("holds", F.lit(False)).alias("holds"), F.lit(writer).alias("writer"))
+        try:
+            entry.coalesce(1).write.mode("overwrite" if version is not None else "errorifexists").json(f"{self.path}/log/version={number}")
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" in str(e):
+                raise ConcurrentWrite(f"version {number} has another writer") from e
+            raise
+        if self._log().where((F.col("version") == number) & (F.col("writer") != writer)).limit(1).count():
             raise ConcurrentWrite(f"version {number} has another writer")
+        return number
 
     def replace(self, rows: DataFrame, by: str | None = None) -> int:
         """Replace by document: the rows whose key (or column `by`, which must decide the bucket) is in rows go, and rows come."""
