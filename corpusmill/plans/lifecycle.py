@@ -154,8 +154,8 @@ def not_processed(spark, d):
     return R.not_done(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM benchmark WHERE length(text) < 200) ORDER BY md5(item_id || ',11'), item_id LIMIT 20")
 def seeded_sample(spark, d):
     """A sampling operator: 20 items that were not seen, in the order of a seeded random number."""
     seen = table(spark, d, "benchmark").where("length(text) < 200").select("item_id")
-    return table(spark, d, "benchmark").join(seen, "item_id", "left_anti").orderBy(F.xxhash64("item_id", F.lit(11)), "item_id").limit(20).select("item_id")
+    return table(spark, d, "benchmark").join(seen, "item_id", "left_anti").orderBy(F.md5(F.concat_ws(",", F.col("item_id").cast("string"), F.lit("11")).cast("binary")), "item_id").limit(20).select("item_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import conversations as C, lifecycle as L, retrieval as R
 from ..scratch import Scratch
-from ..sources import html as H, readers as Rd
+from ..sources import crawl as Cr, html as H, readers as Rd
 from ..streaming import jobs as J
 from . import base as B
 from .base import query, table
@@ -24,18 +24,20 @@ def manifest_read(spark, d):
 
 @query("questions_read", "SELECT item_id::VARCHAR AS id, text AS question, [split_part(text, ' ', 1)] AS expected_source_keywords, (item_id % 3 + 1)::INT AS difficulty FROM benchmark")
 def questions_read(spark, d):
-    """Benchmark items as one question set."""
+    """Benchmark items as a question set, an object a line."""
     path = Scratch(spark, "questions").path("q")
     q = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.array(F.split_part("text", F.lit(" "), F.lit(1))).alias("expected_source_keywords"), (F.col("item_id") % 3 + 1).alias("difficulty"))
-    table(spark, d, "benchmark").agg(F.to_json(F.collect_list(q)).alias("value")).write.text(path)
+    table(spark, d, "benchmark").select(F.to_json(q).alias("value")).write.text(path)
     return Rd.questions(spark, path).select("id", "question", "expected_source_keywords", "difficulty")
 
 
 @query("report_questions_read", "SELECT 'run-1' AS run_id, text AS question, length(text)::INT AS n_retrieved, CASE WHEN item_id % 5 = 0 THEN 'late' END AS error FROM benchmark")
 def report_questions_read(spark, d):
+    """Items as a run's report in parts of a hundred questions, a part a line."""
     path = Scratch(spark, "report").path("r")
     row = F.struct(F.col("text").alias("question"), F.length("text").alias("n_retrieved"), F.when(F.col("item_id") % 5 == 0, "late").alias("error"))
-    table(spark, d, "benchmark").agg(F.to_json(F.struct(F.lit("run-1").alias("run_id"), F.collect_list(row).alias("per_question"))).alias("value")).write.text(path)
+    parts = table(spark, d, "benchmark").groupBy(F.floor(F.col("item_id") / 100).alias("part")).agg(F.to_json(F.struct(F.lit("run-1").alias("run_id"), F.collect_list(row).alias("per_question"))).alias("value"))
+    parts.select("value").write.text(path)
     return Rd.report_questions(spark, path).select("run_id", "question", "n_retrieved", "error")
 
 
@@ -86,14 +88,48 @@ def pages_by_kind(spark, d):
     return table(spark, d, "pages").select("page_id", H.routed(kind, body).alias("parser"))
 
 
-@query("chapter_bundles", """SELECT page_id % 7 AS bundle, page_id AS chapter_id, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1 AS chapter, 'c' || page_id AS title, url FROM pages""")
+_BUNDLE = r"regexp_extract(url, '://([^/?#]*)', 1) || '/' || page_id // 50"
+
+
+@query("chapter_bundles", f"""SELECT {_BUNDLE} AS bundle, page_id AS chapter_id, row_number() OVER (PARTITION BY {_BUNDLE} ORDER BY page_id) - 1 AS chapter, 'c' || page_id AS title, url FROM pages""")
 def chapter_bundles(spark, d):
-    """Pages as the chapters of a few bundles, one JSON object each, taken apart again in their order."""
+    """Pages as the chapters of their host's bundles of fifty at most, one JSON object each, taken apart again in their order."""
     chapter = F.struct(F.col("page_id").alias("k"), F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("title"), "url", "html")
-    bundles = table(spark, d, "pages").groupBy((F.col("page_id") % 7).alias("bundle")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(chapter)).alias("chapters"))).alias("body"))
+    bundle = F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), F.floor(F.col("page_id") / 50).cast("string"))
+    bundles = table(spark, d, "pages").groupBy(bundle.alias("bundle")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(chapter)).alias("chapters"))).alias("body"))
     return Rd.bundle_chapters(bundles, "bundle", "body").select("bundle", F.substring("title", 2, 20).cast("bigint").alias("chapter_id"), "chapter", "title", "url")
 
 
+#: Page p links on to the pages 4p + 1 to 4p + 4, where these are there and not divisible by five.
+_CRAWL = """WITH RECURSIVE r AS (SELECT page_id FROM pages WHERE page_id = 0 UNION SELECT p.page_id FROM r JOIN pages p ON p.page_id BETWEEN 4 * r.page_id + 1 AND 4 * r.page_id + 4 AND p.page_id % 5 <> 0)"""
+
+
+def _linked(spark, d):
+    """Pages under a URL of their own, with links to the next ones behind their html."""
+    url = lambda i: F.concat(F.lit("https://index.example.org/p/"), i.cast("string"))
+    one = lambda k: F.when((F.col("page_id") * 4 + k) % 5 != 0, F.concat(F.lit('<a class="next" href="/p/'), (F.col("page_id") * 4 + k).cast("string"), F.lit('#top">next</a>'))).otherwise("")
+    return table(spark, d, "pages").select("page_id", url(F.col("page_id")).alias("url"), F.concat(F.col("html"), *[one(k) for k in (1, 2, 3, 4)]).alias("html"))
+
+
+@query("crawl_first_run", f"{_CRAWL} SELECT page_id, md5(html) AS page FROM r JOIN pages USING (page_id)")
+def crawl_first_run(spark, d):
+    """All pages that the first one leads to, by its next links."""
+    pages = _linked(spark, d)
+    found = Cr.Crawl(spark, Scratch(spark, "crawl-state").path("s"), Cr.offline(pages), next_mark='class="next"', buckets=4).run(pages.where("page_id = 0"), 1)
+    number = F.substring_index("url", "/", -1).cast("long")
+    return found.select(number.alias("page_id"), F.md5(F.regexp_replace("body", '(<a class="next"[^>]*>next</a>)+$', "").cast("binary")).alias("page"))
+
+
+@query("crawl_changed", f"{_CRAWL} SELECT page_id FROM r WHERE page_id % 3 = 0")
+def crawl_changed(spark, d):
+    """A second run, after a third of the pages have changed: these alone are fetched, and the rest answer that they are as before."""
+    pages, path = _linked(spark, d), Scratch(spark, "crawl-state").path("s")
+    Cr.Crawl(spark, path, Cr.offline(pages), next_mark='class="next"', buckets=4).run(pages.where("page_id = 0"), 1)
+    later = pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<!-- new -->"), F.col("html"))).otherwise(F.col("html")))
+    found = Cr.Crawl(spark, path, Cr.offline(later), next_mark='class="next"', buckets=4).run(pages.where("page_id = 0"), 2)
+    return found.select(F.substring_index("url", "/", -1).cast("long").alias("page_id"))
+
+
 @query("snapshot_upsert", """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS v FROM orders WHERE o_orderkey % 3 <> 0""")
 def snapshot_upsert(spark, d):
     """A table's first snapshot, an upsert of every second row, and a delete of every third."""

@@ -13,14 +13,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"guidelines array<struct<{GUIDELINE.replace(' string', ':string').replace(' int', ':int')}>>").json(path, multiLine=True).select(F.explode("guidelines").alias("g")).select("g.*")
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUESTION).json(path, multiLine=True)
+def questions(spark: SparkSession, path: str, *, whole: bool = False) -> DataFrame:
+    """A question set, an object a line; whole: each file is one array, as small hand-written sets are."""
+    return spark.read.schema(QUESTION).json(path, multiLine=whole)
 
 
-def report_questions(spark: SparkSession, path: str) -> DataFrame:
-    """The per-question rows of an evaluation report."""
+def report_questions(spark: SparkSession, path: str, *, whole: bool = False) -> DataFrame:
+    """The per-question rows of evaluation reports, a report or a part of one a line; whole: each file is one report."""
     row = "question string, answer string, n_retrieved int, n_reranked int, n_citations int, error string"
-    return spark.read.schema(f"run_id string, per_question array<struct<{row.replace(' string', ':string').replace(' int', ':int')}>>").json(path, multiLine=True).select("run_id", F.explode("per_question").alias("q")).select("run_id", "q.*")
+    return spark.read.schema(f"run_id string, per_question array<struct<{row.replace(' string', ':string').replace(' int', ':int')}>>").json(path, multiLine=whole).select("run_id", F.explode("per_question").alias("q")).select("run_id", "q.*")
 
 
 def bundle_chapters(bundles: DataFrame, key: str, body: str) -> DataFrame:

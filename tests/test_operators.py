@@ -338,7 +338,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"guidelines": [{"guideline_id": "a", "pub_year": 2016}, {"guideline_id": "b"}], "drugs": []}')
     assert [r["guideline_id"] for r in Rd.manifest(spark, str(tmp_path / "m.json")).collect()] == ["a", "b"]
     (tmp_path / "q.json").write_text('[{"id": "1", "question": "x?", "expected_source_keywords": ["k"], "difficulty": 2}]')
-    assert Rd.questions(spark, str(tmp_path / "q.json")).first()["difficulty"] == 2
+    assert Rd.questions(spark, str(tmp_path / "q.json"), whole=True).first()["difficulty"] == 2
     folder = tmp_path / "f" / "ab"
     folder.mkdir(parents=True)
     (folder / ("a" * 64 + ".pdf")).write_bytes(b"x")
