@@ -74,6 +74,14 @@ def first_match(text: Column, rules, default=None) -> Column:
     return out
 
 
+def first_prefix(c: Column, rules, default=None) -> Column:
+    """The value of the first (prefix, value) that the text begins with; a value may be empty."""
+    out = F.lit(default)
+    for prefix, value in reversed(list(rules)):
+        out = F.when(F.startswith(c, F.lit(prefix)), F.lit(value)).otherwise(out)
+    return out
+
+
 def mapped(c: Column, table: dict[str, str], default: Column | None = None) -> Column:
     """Lookup in a small constant table."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, evaluation, lifecycle, retrieval, social, sources, sql_functions, state, text  # noqa: F401
+from . import base, details, evaluation, lifecycle, retrieval, social, sources, sql_functions, state, text  # noqa: F401
 
 
 def queries() -> dict:
