@@ -144,11 +144,12 @@ def repaired_json(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), "^```(?:json)?\\s*", ""), "\\s*```$", ""))
 
 
-def ocr_quality(methods: Column) -> Column:
-    n = F.size(methods)
-    clean = F.size(F.filter(methods, lambda m: F.contains(m, F.lit("pymupdf")))) / n
-    low = F.size(F.filter(methods, lambda m: F.contains(m, F.lit("low")) | (m == "failed"))) / n
-    return F.when(n == 0, "failed").when(clean >= 0.9, "clean").when(low >= 0.3, "ocr_low").when(clean >= 0.5, "mixed").otherwise("ocr_good")
+def ocr_quality(method: Column) -> Column:
+    """Of a document's pages, an aggregate over their methods: three counts, and no list of pages."""
+    n = F.count(F.lit(1))
+    clean = F.count_if(F.contains(method, F.lit("pymupdf"))) / n
+    low = F.count_if(F.contains(method, F.lit("low")) | (method == "failed")) / n
+    return F.when(clean >= 0.9, "clean").when(low >= 0.3, "ocr_low").when(clean >= 0.5, "mixed").otherwise("ocr_good")
 
 
 def metadata_gate(confidence_: Column, *required: Column, least: float = 0.7) -> Column:

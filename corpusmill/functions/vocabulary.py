@@ -206,3 +206,14 @@ SUGGESTION_STOP = [
 DRUG_QUESTION = "(?i)\\b(side effects?|adverse effects?|doses?|dosing|dosage|drug interactions?|contraindications?)\\b"
 NUTRITION = ["f75", "f100", "rutf", "plumpy", "ors", "ebm", "formula", "therapeutic milk", "therapeutic food"]
 DRUG_MARKERS = "(?i)\\b(\\d+\\s*mg|\\d+\\s*mcg|\\d+\\s*ml/kg|\\d+\\s*iu\\b|tablets?|capsules?|intravenous|infusion|injection|oral dose)\\b"
+
+# How headings look. In markdown, as a line of upper-case letters, and as a numbered line.
+MARKDOWN_HEADING = "(?m)^(#{1,3})\\s+(.+)$"
+CAPITAL_HEADING = "(?m)^(?=\\S+(?:[ \\t]+\\S+){0,7}[ \\t]*$)([A-Z][A-Z \\t\\d/\\-]{4,60})[ \\t]*$"
+NUMBERED_HEADING = "(?m)^(\\d+(?:\\.\\d+)*\\.?\\s+[A-Z][^\\n]{3,60})$"
+# Proper names in a question. Acronyms in parentheses, capitalised phrases, upper-case words, and what stands before
+# a trial or a study.
+ACRONYM_INSIDE = "\\(([A-Z][A-Z0-9-]{2,})\\)"
+CAPITAL_PHRASE = "\\b((?:[A-Z][a-zA-Z]{2,}|[A-Z]{2,})(?:\\s+(?:(?:[A-Z][a-zA-Z]+|[A-Z]{2,})|(?:in|of|and|the)))*\\s+(?:[A-Z][a-zA-Z]+|[A-Z]{2,}))\\b"
+UPPER_WORDS = "\\b([A-Z]{3,}(?:\\s+[A-Z]{3,})*)\\b"
+BEFORE_TRIAL = "\\b((?:\\w+\\s+){1,3})(?:trial|study)\\b"

@@ -101,9 +101,9 @@ def sections(text: Column, title: Column, least: int = 60) -> Column:
         return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.split(p, "\u0002"))
 
     part = lambda t, depth, method, body: F.struct(t.alias("title"), depth.cast("int").alias("depth"), F.lit(method).alias("method"), F.trim(body).alias("text"))
-    marked = cut("(?m)^(#{1,3})\\s+(.+)$", f"{MARK}$1\u0002$2\u0002")
-    capital = cut("(?m)^(?=\\S+(?:[ \\t]+\\S+){0,7}[ \\t]*$)([A-Z][A-Z \\t\\d/\\-]{4,60})[ \\t]*$", f"{MARK}$1\u0002")
-    numbered = cut("(?m)^(\\d+(?:\\.\\d+)*\\.?\\s+[A-Z][^\\n]{3,60})$", f"{MARK}$1\u0002")
+    marked = cut(V.MARKDOWN_HEADING, f"{MARK}$1\u0002$2\u0002")
+    capital = cut(V.CAPITAL_HEADING, f"{MARK}$1\u0002")
+    numbered = cut(V.NUMBERED_HEADING, f"{MARK}$1\u0002")
     long_enough = lambda a: F.filter(a, lambda x: S.word_count(x["text"]) >= least)
     one = F.transform(marked, lambda p: part(F.trim(F.get(p, F.lit(1))), F.length(F.get(p, F.lit(0))), "markdown_heading", F.get(p, F.lit(2))))
     two = long_enough(F.transform(capital, lambda p: part(S.title_case(F.trim(F.get(p, F.lit(0)))), F.lit(1), "caps_heading", F.get(p, F.lit(1)))))

@@ -20,6 +20,7 @@ LOWER_IS_BETTER = (
 
 #: Of percentile_approx; its rank is wrong by n / ACCURACY at most.
 ACCURACY = 10_000
+BINS = 1024
 
 
 def latency(results: DataFrame, key: list[str], value: str, percents=(50, 95)) -> DataFrame:
@@ -27,7 +28,8 @@ def latency(results: DataFrame, key: list[str], value: str, percents=(50, 95)) -
     rounded to one place; of one value the value itself. Groups of nulls alone have 0 and n = 0.
 
     Exact, and no group is collected: percentile_approx gives a value on either side of both neighbours, what lies below is
-    counted, and only distinct values between the two (some ten-thousandths of a group) are put in order."""
+    counted, and the distinct values between the two (some ten-thousandths of a group) are counted in BINS spans of equal width; only
+    the values of the spans that hold the two neighbours are put in order."""
     rows = results.select(*key, F.col(value).cast("double").alias("_v"))
     margin = 4 / ACCURACY
     ends = [x for p in percents for x in (max(0.0, p / 100 - margin), min(1.0, p / 100 + margin))]
@@ -38,12 +40,18 @@ def latency(results: DataFrame, key: list[str], value: str, percents=(50, 95)) -
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
     counted = rows.where("_v is not null").groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_m"))
     met = counted.join(bounds, reduce(lambda a, b: a & b, same)).select(*key, "n", "_v", "_m", F.explode("_spans").alias("_s"))
-    shown = F.when(F.col("_v") < F.col("_s.lo"), F.lit(None)).otherwise(F.col("_v"))  # all that lies below is one row
-    near = met.where(F.col("_v") <= F.col("_s.hi")).groupBy(*key, "n", F.col("_s.p").alias("p"), shown.alias("v")).agg(F.sum("_m").alias("m"))
-    upto = near.withColumn("_to", F.sum("m").over(W.partitionBy(*key, "p").orderBy(F.asc_nulls_first("v"))))
+    lo, width = F.col("_s.lo"), (F.col("_s.hi") - F.col("_s.lo")) / BINS
+    bin_ = F.when(F.col("_v") < lo, -1).when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_v") - lo) / width))).otherwise(0).cast("int")  # all that lies below is one bin
+    near = met.where(F.col("_v") <= F.col("_s.hi")).select(*key, "n", F.col("_s.p").alias("p"), bin_.alias("_b"), "_v", "_m")
     at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("p") * (F.col("n") + 1) / 100)))
-    holds = lambda rank: (F.col("_to") >= rank) & (F.col("_to") - F.col("m") < rank)
-    pair = upto.groupBy(*key, "n", "p").agg(F.max(F.when(holds(at), F.col("v"))).alias("low"), F.max(F.when(holds(at + 1), F.col("v"))).alias("high"))
+    group = [*key, "n", "p"]
+    bins = near.groupBy(*group, "_b").agg(F.sum("_m").alias("_k")).withColumn("_to", F.sum("_k").over(W.partitionBy(*group).orderBy("_b")))
+    bins = bins.withColumn("_base", F.col("_to") - F.col("_k")).where((F.col("_to") >= at) & (F.col("_base") < at + 1))
+    bins = bins.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, "_b"])], "_base")
+    within = near.join(bins, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate([*group, "_b"])])).select(*group, "_b", "_v", "_m", "_base")
+    upto = within.withColumn("_to", F.col("_base") + F.sum("_m").over(W.partitionBy(*group, "_b").orderBy("_v")))
+    holds = lambda rank: (F.col("_to") >= rank) & (F.col("_to") - F.col("_m") < rank)
+    pair = upto.groupBy(*group).agg(F.max(F.when(holds(at), F.col("_v"))).alias("low"), F.max(F.when(holds(at + 1), F.col("_v"))).alias("high"))
     rest = F.col("p") * (F.col("n") + 1) - at * 100
     between = F.when(F.col("n") == 1, F.col("low")).otherwise(F.round((F.col("low") * (100 - rest) + F.col("high") * rest) / 100.0, 1))
     found = pair.select(*key, "p", between.alias("x")).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(*[F.max(F.when(F.col("p") == p, F.col("x"))).alias(f"p{p}") for p in percents])

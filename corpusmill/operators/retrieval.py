@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-from ..functions import scalars as S
+from ..functions import scalars as S, vocabulary as V
 from .dictionary import containing
 from .fuzzy import grams
 from .text_index import TextIndex
@@ -91,14 +91,11 @@ def query_terms(c: Column, stop: list[str]) -> Column:
 def proper_phrases(c: Column, stop: list[str]) -> Column:
     """Acronyms in parentheses, then capitalised phrases, then upper-case tokens; else what stands before 'trial' or 'study'.
     The first spelling of each phrase stays."""
-    connectors = "(?:in|of|and|the)"
-    name = "(?:[A-Z][a-zA-Z]+|[A-Z]{2,})"
-    inside = F.regexp_extract_all(c, F.lit("\\(([A-Z][A-Z0-9-]{2,})\\)"), F.lit(1))
-    capital = F.regexp_extract_all(c, F.lit(f"\\b((?:[A-Z][a-zA-Z]{{2,}}|[A-Z]{{2,}})(?:\\s+(?:{name}|{connectors}))*\\s+{name})\\b"), F.lit(1))
-    upper = F.regexp_extract_all(c, F.lit("\\b([A-Z]{3,}(?:\\s+[A-Z]{3,})*)\\b"), F.lit(1))
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    inside, capital, upper = every(c, V.ACRONYM_INSIDE), every(c, V.CAPITAL_PHRASE), every(c, V.UPPER_WORDS)
     fine = lambda p: (F.length(F.trim(p)) >= 3) & ~F.lower(F.trim(p)).isin(stop)
     first = F.filter(F.transform(F.concat(inside, capital, upper), F.trim), fine)
-    before = F.regexp_extract_all(F.lower(c), F.lit("\\b((?:\\w+\\s+){1,3})(?:trial|study)\\b"), F.lit(1))
+    before = every(F.lower(c), V.BEFORE_TRIAL)
     tail = lambda p: F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.filter(S.words(p), lambda w: ~w.isin(stop))), 1, 3)), 1, 3), " ")
     fallback = F.filter(F.transform(before, tail), fine)
     found = F.when(F.size(first) > 0, first).otherwise(fallback)

@@ -66,11 +66,15 @@ def comments_of(comments, profiles, likes, *, post_id, viewer, limit: int = 50)
     return with_viewer(with_author(rows, profiles), viewer, likes).orderBy("created_at", "id").limit(limit)
 
 
-def threads(comments: DataFrame) -> DataFrame:
-    """Top-level comments with the array of their replies, oldest first."""
-    replies = comments.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("created_at", F.col("id").alias("reply_id")))).alias("replies"))
-    top = comments.where("parent_id is null").join(replies, "id", "left")
-    return top.withColumn("reply_ids", F.coalesce(F.transform("replies", lambda r: r["reply_id"]), F.array().cast("array<bigint>"))).drop("replies")
+def threads(comments: DataFrame, part: int = 64) -> DataFrame:
+    """Top-level comments with their replies, oldest first, in parts of `part` replies: a row for each part, n_replies in all, and
+    reply_ids of the part; a comment without replies is one row, part 0."""
+    numbered = comments.where("parent_id is not null").select(F.col("parent_id").alias("_top"), "created_at", F.col("id").alias("reply_id"))
+    numbered = numbered.withColumn("_place", F.row_number().over(W.partitionBy("_top").orderBy("created_at", "reply_id")) - 1)
+    parts = numbered.groupBy("_top", F.floor(F.col("_place") / part).alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "reply_id"))), lambda r: r["reply_id"]).alias("reply_ids"))
+    sizes = numbered.groupBy("_top").agg(F.count(F.lit(1)).alias("n_replies"))
+    top = comments.where("parent_id is null").join(sizes, F.col("id") == F.col("_top"), "left").drop("_top").join(parts, F.col("id") == F.col("_top"), "left").drop("_top")
+    return top.withColumns({"part": F.coalesce("part", F.lit(0)), "n_replies": F.coalesce("n_replies", F.lit(0)), "reply_ids": F.coalesce("reply_ids", F.array().cast("array<bigint>"))})
 
 
 def discover(profiles, follows, *, viewer, specialty=None, country=None, limit: int = 20, offset: int = 0) -> DataFrame:

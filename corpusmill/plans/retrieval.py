@@ -372,9 +372,18 @@ def int8_quantise(spark, d):
     return coded.select("id", F.transform("code", lambda x: x.cast("int")).alias("code"))
 
 
-@query("lsh_buckets")
+_BITS = 12
+
+
+@query("lsh_buckets", f"""WITH RECURSIVE tab(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM tab WHERE k < 8),
+s AS (SELECT b, i, '7,' || b || ',' || i AS s FROM range({_BITS}) x(b), (SELECT unnest(range(max(len(embedding)))) AS i FROM embeddings)),
+crc(b, i, s, p, v) AS (SELECT b, i, s, 0, 4294967295 FROM s UNION ALL SELECT crc.b, crc.i, crc.s, p + 1, xor(crc.v >> 8, t.v) FROM crc JOIN tab t ON t.k = 8 AND t.i = xor(crc.v, ascii(substr(s, p + 1, 1))) & 255 WHERE p < length(s)),
+w AS (SELECT b, i, xor(v, 4294967295) - 2147483648 AS w FROM crc WHERE p = length(s)),
+x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+d AS (SELECT vec_id, b, sum(x * w) > 0 AS side FROM x JOIN w USING (i) GROUP BY ALL)
+SELECT vec_id AS id, sum(CASE WHEN side THEN 1 << b::INT ELSE 0 END)::INT AS bucket FROM d GROUP BY vec_id""")
 def lsh_buckets(spark, d):
-    return _vectors(spark, d).select("id", R.signature(F.col("embedding"), 12).alias("bucket"))
+    return _vectors(spark, d).select("id", R.signature(F.col("embedding"), _BITS).alias("bucket"))
 
 
 @query("cosine_zero_safe", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_transform(embedding, lambda x: CASE WHEN vec_id % 4 = 0 OR x < 0 THEN 0.0 ELSE x::DOUBLE END)::DOUBLE[] AS b FROM embeddings)

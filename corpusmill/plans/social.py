@@ -71,11 +71,14 @@ def comments_with_context(spark, d):
     return O.with_viewer(rows, VIEWER, B.likes_of(spark, d)).select("id", "post_id", "author_name", "verified", "viewer_liked").distinct()
 
 
-@query("thread_assembly", f"""WITH {B.COMMENTS}, c AS (SELECT DISTINCT id, parent_id FROM comments)
-SELECT c.id, count(r.id) AS n_replies, coalesce(min(r.id), 0) AS first_reply FROM c LEFT JOIN c r ON r.parent_id = c.id WHERE c.parent_id IS NULL GROUP BY c.id""")
+@query("thread_assembly", f"""WITH {B.COMMENTS}, c AS (SELECT DISTINCT id, parent_id FROM comments),
+n AS (SELECT parent_id, id, row_number() OVER (PARTITION BY parent_id ORDER BY id) - 1 AS k FROM c WHERE parent_id IS NOT NULL),
+p AS (SELECT parent_id, k // 2 AS part, string_agg(id::VARCHAR, ',' ORDER BY k) AS replies FROM n GROUP BY ALL)
+SELECT c.id, coalesce(part, 0) AS part, (SELECT count(*) FROM n WHERE n.parent_id = c.id) AS n_replies, coalesce(replies, '') AS replies FROM c LEFT JOIN p ON p.parent_id = c.id WHERE c.parent_id IS NULL""")
 def thread_assembly(spark, d):
-    rows = O.threads(B.comments(spark, d).select("id", "parent_id", F.lit(0).alias("created_at")).distinct())
-    return rows.select("id", F.size("reply_ids").cast("long").alias("n_replies"), F.coalesce(F.array_min("reply_ids"), F.lit(0)).alias("first_reply"))
+    """Replies in parts of two, so that threads of several parts come up."""
+    rows = O.threads(B.comments(spark, d).select("id", "parent_id", F.lit(0).alias("created_at")).distinct(), part=2)
+    return rows.select("id", "part", "n_replies", F.array_join("reply_ids", ",").alias("replies"))
 
 
 @query("discover_users_offset", f"""WITH {B.FOLLOWS}, {B.PROFILES} SELECT user_id, display_name, follower_count, post_count, f.follower_id IS NOT NULL AS is_following

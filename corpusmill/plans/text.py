@@ -278,7 +278,7 @@ def sanitize_rows(spark, d):
 @query("ocr_quality", "SELECT l_orderkey, CASE WHEN a / n >= 0.9 THEN 'clean' WHEN b / n >= 0.3 THEN 'ocr_low' WHEN a / n >= 0.5 THEN 'mixed' ELSE 'ocr_good' END AS quality FROM (SELECT l_orderkey, count(*) AS n, sum((l_returnflag = 'A')::INT) AS a, sum((l_returnflag = 'R')::INT) AS b FROM lineitem GROUP BY 1)")
 def ocr_quality(spark, d):
     method = F.when(F.col("l_returnflag") == "A", "pymupdf").when(F.col("l_returnflag") == "R", "claude_low").otherwise("mistral_ocr")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(method).alias("m")).select("l_orderkey", X.ocr_quality(F.col("m")).alias("quality"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(X.ocr_quality(method).alias("quality"))
 
 
 @query("metadata_gate", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN least(0.6, x) ELSE x END AS confidence, CASE WHEN raw >= 0.7 THEN 'metadata_extracted' ELSE 'metadata_review' END AS status FROM (SELECT o_orderkey, o_totalprice / 400000 AS raw, least(1.0, greatest(0.0, o_totalprice / 400000)) AS x FROM orders)")
