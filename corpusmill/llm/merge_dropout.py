@@ -8,8 +8,9 @@ occurrence of a word is cut by itself, and equal seeds give equal ids on any clu
 
 Distinct segments of a batch are merged together without dropout, one merge of each in a round, as arrays, and their candidates
 kept; occurrences that skip none of these have that result. The others are merged together too, each by its own key. Segments
-of more than WIDE symbols take an agenda of their own. Spaces are the model's U+2581; a U+2581 of the text itself, and characters
-without a piece, become bytes; so decode() gives back every text.
+of more than WIDE symbols are cut first where no piece of the model that is in the text reaches over, which changes no merge; parts
+that are still longer are merged together by rank, all occurrences of a merge at once. Spaces are the model's U+2581; a U+2581 of
+the text itself, and characters without a piece, become bytes; so decode() gives back every text.
 
 Defined cases: null text has null ids; empty text has no ids; a null id counts as the empty string; repeated rows get equal
 ids; other columns of the input are ignored.
@@ -24,16 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.dictionary import PhraseTrie
 from . import textvec as tv
 
 #: A public model; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Keys of a segment where encode_chunk() is asked to bound them; encode() does not.
-VARIANTS = 8
 WIDE = 64
 CHUNK = 1 << 18
+#: Times that a long part may wait for a merge of its own before it takes an agenda.
+WAITS = 16
 NEVER = np.int32(2**31 - 1)
+_ALL = 2**64 - 1
 U = np.uint64
 
 
@@ -68,6 +71,7 @@ class Vocabulary:
         self.one_byte = self.byte_id.copy()
         self.one_byte[[ord(p) for p in ids if len(p) == 1 and ord(p) < 0x80]] = [i for p, i in ids.items() if len(p) == 1 and ord(p) < 0x80]
         self.one_byte[0x20] = ids[SPACE]
+        self.trie = PhraseTrie([p.replace(SPACE, " ") for p in ids])
 
 
 @lru_cache(maxsize=2)
@@ -100,9 +104,9 @@ def _skipped(key: np.ndarray, a, b, c, rate: int) -> np.ndarray:
     return tv.mix(key ^ tv.mix(place + tv.GOLDEN)) < U(rate)
 
 
-def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All segments of up to WIDE symbols at once. ids: n x width, sizes and keys by row. The final ids, one after another, and
-    their number by row. seen: takes the candidates, as arrays of rows and three columns."""
+def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, off: np.ndarray, rate: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All parts of up to WIDE symbols at once. ids: n x width; sizes, keys and where the part begins in its segment by row. The
+    final ids, one after another, and their number by row. seen: takes the candidates, as arrays of rows and three columns."""
     n, width = ids.shape
     col = np.arange(width)
     nxt = np.broadcast_to(np.minimum(col + 1, width), (n, width)).astype(np.int16).copy()
@@ -123,7 +127,7 @@ def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.nda
         if seen is not None:
             seen.append((r, c, right, end[r, right]))
         if rate:
-            go = ~_skipped(keys[r], c, right, end[r, right], rate)
+            go = ~_skipped(keys[r], off[r] + c, off[r] + right, off[r] + end[r, right], rate)
             r, c, at = r[go], c[go], at[go]
         best[r, c], into[r, c] = v.rank[at], v.merged[at]
 
@@ -150,16 +154,25 @@ def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.nda
     return ids[alive], alive.sum(axis=1)
 
 
-def merge_agenda(v: Vocabulary, ids: list[int], key: int, rate: int) -> list[int]:
-    """One segment of any length, by an agenda of candidates."""
+def _mixed(x: int) -> int:
+    """textvec.mix() of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def merge_agenda(v: Vocabulary, ids: list[int], key: int, rate: int, off: int = 0) -> list[int]:
+    """One part of any length, by an agenda of candidates. off: where it begins in its segment."""
     n = len(ids)
     nxt, prv, end, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
     agenda: list[tuple[int, int, int, int, int]] = []
+    golden = int(tv.GOLDEN)
 
     def ask(a):
         b = nxt[a]
         if b < n and (m := v.merges.get((ids[a], ids[b]))):
-            if not rate or not _skipped(np.array([key], U), np.array([a]), np.array([b]), np.array([end[b]]), rate)[0]:
+            place = (a + off) << 42 | (b + off) << 21 | (end[b] + off)
+            if not rate or _mixed(key ^ _mixed((place + golden) & _ALL)) >= rate:
                 heapq.heappush(agenda, (m[0], a, b, end[b], m[1]))
 
     for a in range(n):
@@ -177,8 +190,128 @@ def merge_agenda(v: Vocabulary, ids: list[int], key: int, rate: int) -> list[int
     return [i for i, x in zip(ids, alive, strict=True) if x]
 
 
+def merge_by_rank(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, off: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of any length, one after another in ids, at once: the final ids and their number by part.
+
+    Ranks come up in order, each with all its candidates, which an agenda would take from left to right: of candidates over one
+    another every second is merged. A merge may make a candidate of a lower or equal rank, which the agenda would take before the
+    merges to its right; in such a part the merges up to that one are done, and the others wait until their rank comes up again. A
+    part that waits more than WAITS times, as a long run of one sign does, is merged by an agenda."""
+    n, given, waits, whole = len(ids), {}, np.zeros(len(sizes), np.int64), ids
+    ids, which = ids.astype(np.int32), np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(n) - first[which] + off[which]
+    nxt, prv, end, key = np.arange(1, n + 1), np.arange(-1, n - 1), place + 1, keys[which]
+    nxt[(first + sizes - 1)[sizes > 0]] = -1
+    prv[first[sizes > 0]] = -1
+    alive, marked = np.ones(n, bool), np.zeros(n, bool)
+    rank, into = np.full(n, NEVER), np.zeros(n, np.int32)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def found(left, right, a, b, c, k):
+        """(rank, piece) of the candidates of symbols left and right, at places a, b and c; NEVER for none."""
+        at = v.find.find((left.astype(U) << U(20)) | right.astype(U))
+        ok = at >= 0
+        if rate:
+            ok[ok] = ~_skipped(k[ok], a[ok], b[ok], c[ok], rate)
+        return np.where(ok, v.rank[np.maximum(at, 0)], NEVER), np.where(ok, v.merged[np.maximum(at, 0)], 0)
+
+    def wait(r: int, at: np.ndarray) -> None:
+        if r not in waiting:
+            waiting[r] = []
+            heapq.heappush(ranks, r)
+        waiting[r].append(at)
+
+    def ask(at):
+        rank[at] = NEVER
+        at = at[nxt[at] >= 0]
+        right = nxt[at]
+        rank[at], into[at] = found(ids[at], ids[right], place[at], place[right], end[right], key[at])
+        at = at[rank[at] != NEVER]
+        at = at[np.argsort(rank[at], kind="stable")]
+        cut = np.flatnonzero(np.diff(rank[at])) + 1
+        for part in np.split(at, cut) if len(at) else ():
+            wait(int(rank[part[0]]), part)
+
+    ask(np.arange(n))
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[alive[at] & (rank[at] == r)]
+        if not len(at):
+            continue
+        marked[at] = True
+        over = (prv[at] >= 0) & marked[prv[at]]  # over the candidate to the left
+        marked[at] = False
+        index = np.arange(len(at))
+        c = at[(index - np.maximum.accumulate(np.where(over, 0, index))) % 2 == 0]
+        right = nxt[c]
+        after, stop, made = nxt[right], end[right], into[c]
+        # The symbol to the left, which may be a merge of this round, and the one to the right, before its own.
+        marked[right] = True
+        left = prv[c]
+        merged = (left >= 0) & marked[left]
+        marked[right] = False
+        left = np.where(merged, prv[left], left)
+        early = np.zeros(len(c), bool)
+        some = np.flatnonzero(after >= 0)
+        early[some] = found(made[some], ids[after[some]], place[c[some]], stop[some], end[after[some]], key[c[some]])[0] <= r
+        some = np.flatnonzero(left >= 0)
+        symbol = np.where(merged[some], into[left[some]], ids[left[some]])
+        early[some] |= found(symbol, made[some], place[left[some]], place[c[some]], stop[some], key[c[some]])[0] <= r
+        if early.any():
+            limit = np.full(len(sizes), n)
+            np.minimum.at(limit, which[c[early]], c[early])
+            go = c <= limit[which[c]]
+            c, right, after, stop, made = c[go], right[go], after[go], stop[go], made[go]
+            behind = np.flatnonzero(limit < n)
+            waits[behind] += 1
+            for part in behind[waits[behind] > WAITS].tolist():
+                own = slice(first[part], first[part] + sizes[part])
+                given[part] = merge_agenda(v, whole[own].tolist(), int(keys[part]), rate, int(off[part]))
+                alive[own], rank[own] = False, NEVER
+            if given:
+                go = alive[c]
+                c, right, after, stop, made = c[go], right[go], after[go], stop[go], made[go]
+            wait(r, at)
+        ids[c], end[c], nxt[c] = made, stop, after
+        alive[right], rank[right] = False, NEVER
+        prv[after[after >= 0]] = c[after >= 0]
+        before = prv[c]
+        ask(np.unique(np.concatenate([c, before[before >= 0]])))
+    counts = np.bincount(which[alive], minlength=len(sizes))
+    if not given:
+        return ids[alive], counts
+    lists = np.split(ids[alive], np.cumsum(counts)[:-1])
+    lists = [np.array(given.get(part, own), np.int32) for part, own in enumerate(lists)]
+    return np.concatenate(lists), np.array([len(x) for x in lists])
+
+
+def _parts(v: Vocabulary, flat: np.ndarray, place: np.ndarray, begins: np.ndarray, sizes: np.ndarray, base: np.ndarray):
+    """(segment, first symbol, symbols) of the parts that segments are merged in: segments of more than WIDE symbols are cut where
+    no piece that is in the text reaches over."""
+    long = np.flatnonzero(sizes > WIDE)
+    if not len(long):
+        return np.arange(len(sizes)), begins[:-1], sizes
+    symbol = np.repeat(begins[long] - (np.cumsum(sizes[long]) - sizes[long]), sizes[long]) + np.arange(sizes[long].sum())
+    segment = np.repeat(long, sizes[long])
+    start = place[symbol]
+    reach = start + 1
+    for begin, end, _ in v.trie.walk(flat, start, base[segment + 1]):
+        reach[np.searchsorted(start, begin)] = end
+    far = np.maximum.accumulate(reach)  # segments stand one after another, and no piece reaches beyond its segment
+    cut = np.concatenate([[True], (far[:-1] <= start[1:]) | (segment[1:] != segment[:-1])])
+    first = symbol[cut]
+    last = np.concatenate([np.flatnonzero(cut)[1:], [len(symbol)]]) - 1
+    short = np.flatnonzero(sizes <= WIDE)
+    owner, begin, size = np.concatenate([short, segment[cut]]), np.concatenate([begins[short], first]), np.concatenate([sizes[short], symbol[last] - first + 1])
+    order = np.lexsort((begin, owner))
+    return owner[order], begin[order], size[order]
+
+
 def _merged(v: Vocabulary, data, start, stop, keys, rate: int, seen: list | None = None):
-    """(ids of the segments, in some order; where each segment's begin; their numbers; the segments' symbols). seen: takes the
+    """(ids of the segments, one after another; where each segment's begin; their numbers; the segments' symbols). seen: takes the
     candidates; segments of more than WIDE symbols are left out then."""
     # The segments' bytes, one after another.
     length = stop - start
@@ -187,28 +320,38 @@ def _merged(v: Vocabulary, data, start, stop, keys, rate: int, seen: list | None
     ids, place = symbols(v, flat)
     begins = np.searchsorted(place, base)
     sizes = np.diff(begins)
-    counts, parts, order = np.zeros(len(start), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    if seen is None:
+        owner, begin, size = _parts(v, flat, place, begins, sizes, base)
+    else:
+        owner, begin, size = np.arange(len(sizes)), begins[:-1], np.where(sizes > WIDE, 0, sizes)
+    off = begin - begins[owner]
+    counts, parts, order = np.zeros(len(owner), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for low, high in ((0, 3), (3, 5), (5, 7), (7, 9), (9, 12), (12, 16), (16, 32), (32, WIDE)):
-        rows = np.flatnonzero((sizes > low) & (sizes <= high))
+        rows = np.flatnonzero((size > low) & (size <= high))
         if len(rows):
             grid = np.zeros((len(rows), high), np.int32)
-            inside = np.arange(high) < sizes[rows][:, None]
-            grid[inside] = ids[(begins[rows][:, None] + np.arange(high))[inside]]
+            inside = np.arange(high) < size[rows][:, None]
+            grid[inside] = ids[(begin[rows][:, None] + np.arange(high))[inside]]
             found = None if seen is None else []
-            out, counts[rows] = merge_rounds(v, grid, sizes[rows], keys[rows], rate, found)
+            out, counts[rows] = merge_rounds(v, grid, size[rows], keys[owner[rows]], off[rows], rate, found)
             parts.append(out)
             order.append(rows)
             if found:
-                seen.extend((rows[r], *place) for r, *place in found)
-    for row in np.flatnonzero(sizes > WIDE) if seen is None else ():
-        out = merge_agenda(v, ids[begins[row] : begins[row + 1]].tolist(), int(keys[row]), rate)
-        counts[row] = len(out)
-        parts.append(np.array(out, np.int32))
-        order.append(np.array([row]))
-    order = np.concatenate(order)
-    where = np.zeros(len(start), np.int64)
+                seen.extend((owner[rows[r]], *columns) for r, *columns in found)
+    rows = np.flatnonzero(size > WIDE)
+    if len(rows):
+        some = ids[np.repeat(begin[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows]) + np.arange(size[rows].sum())]
+        out, counts[rows] = merge_by_rank(v, some, size[rows], keys[owner[rows]], off[rows], rate)
+        parts.append(out)
+        order.append(rows)
+    order, pool = np.concatenate(order), np.concatenate(parts)
+    where = np.zeros(len(owner), np.int64)
     where[order] = np.cumsum(counts[order]) - counts[order]
-    return np.concatenate(parts), where, counts, sizes
+    # Parts in the order of their segments again.
+    to = np.cumsum(counts) - counts
+    pool = pool[np.repeat(where - to, counts) + np.arange(counts.sum())]
+    many = np.bincount(owner, weights=counts, minlength=len(start)).astype(np.int64)
+    return pool, np.cumsum(many) - many, many, sizes
 
 
 def _skips(which: np.ndarray, keys: np.ndarray, seen: list, n: int, rate: int) -> np.ndarray:
@@ -229,9 +372,9 @@ def _skips(which: np.ndarray, keys: np.ndarray, seen: list, n: int, rate: int) -
     return out
 
 
-def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, dropout: float, seed: int, prefix: bool = True, variants: int | None = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, one after another; where each text begins, and the end). prefix: the model's space before a text. variants: at
-    most so many keys of a segment; with None each occurrence has its own."""
+def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, dropout: float, seed: int, prefix: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, one after another; where each text begins, and the end). prefix: the model's space before a text. Each
+    occurrence of a segment has a key of its own."""
     rate = int(dropout * 2**64) if dropout < 1 else 2**64 - 1
     at = offsets - offsets[0]
     n = np.diff(at)
@@ -255,8 +398,8 @@ def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_keys:
     np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     word = tv.mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U))
     salt = tv.mix(np.array([seed], U) + tv.GOLDEN)
-    variant = tv.mix(tv.mix(doc_keys.astype(U)[text] ^ salt) + number.astype(U))
-    key = tv.mix(word ^ tv.mix((variant % U(variants) if variants else variant) + salt))
+    occurrence = tv.mix(tv.mix(doc_keys.astype(U)[text] ^ salt) + number.astype(U))
+    key = tv.mix(word ^ tv.mix(occurrence + salt))
     _, one, which = np.unique(word, return_index=True, return_inverse=True)
     seen: list | None = [] if rate else None
     pool, where, counts, sizes = _merged(v, data, start[one], stop[one], key[one], 0, seen)
@@ -301,7 +444,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
             for a, b in tv.chunks(offsets, CHUNK):
                 part = offsets[a : b + 1]
                 raw = data[part[0] : part[-1]]
-                ids, begin = encode_chunk(v, raw, part, keys[a:b], dropout, seed, prefix, None)
+                ids, begin = encode_chunk(v, raw, part, keys[a:b], dropout, seed, prefix)
                 null = column.slice(a, b - a).is_null()
                 flat, edges, view, out = ids.tolist(), begin.tolist(), memoryview(raw), v.output
                 at = (part - part[0]).tolist()
