@@ -276,7 +276,7 @@ def test_dropout_is_lossless_and_seeded(pieces):
         assert ids == encoded(v, texts, rate)
         assert [sp.decode(i) for i in ids[: len(TEXTS)]] == [sp.decode(i) for i in sp.encode(TEXTS)]
     many = {tuple(i) for i in encoded(v, ["internationalization"] * 60, 0.3)}
-    assert 1 < len(many) <= md.VARIANTS and encoded(v, texts, 0.5) != encoded(v, texts, 0.5, seed=8)
+    assert len(many) > 8 and encoded(v, texts, 0.5) != encoded(v, texts, 0.5, seed=8)
 
 
 def test_rounds_and_agenda_agree(pieces):
@@ -284,7 +284,65 @@ def test_rounds_and_agenda_agree(pieces):
     for word, rate, key in itertools.product(["internationalization", "aaaaaaaaaaaaaaa", "ciónciónmenteas"], (0, 2**62, 2**63), range(10)):
         ids, _ = md.symbols(v, np.frombuffer(f" {word}".encode(), np.uint8))
         k = np.array([key * 7919 + 1], np.uint64)
-        assert md.merge_rounds(v, ids[None].copy(), np.array([len(ids)]), k, rate)[0].tolist() == md.merge_agenda(v, ids.tolist(), int(k[0]), rate)
+        assert md.merge_rounds(v, ids[None].copy(), np.array([len(ids)]), k, np.zeros(1, np.int64), rate)[0].tolist() == md.merge_agenda(v, ids.tolist(), int(k[0]), rate)
+
+
+def plain_merges(v, ids, key, rate):
+    """The keyed skip restated: the candidate of least rank, the leftmost of equals, until none is left; no agenda, no arrays."""
+    parts = [(i, k, k + 1) for k, i in enumerate(ids)]
+    every = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & every
+        return x ^ x >> 31
+
+    while True:
+        best = None
+        for k in range(len(parts) - 1):
+            (a, p, q), (b, _, r) = parts[k], parts[k + 1]
+            m = v.merges.get((a, b))
+            skipped = m and mixed(key ^ mixed(((p << 42 | q << 21 | r) + 0x9E3779B97F4A7C15) & every)) < rate
+            if m and not skipped and (best is None or m[0] < best[0]):
+                best = (m[0], k, m[1])
+        if best is None:
+            return [i for i, _, _ in parts]
+        _, k, piece = best
+        parts[k : k + 2] = [(piece, parts[k][1], parts[k + 1][2])]
+
+
+def long_words(n):
+    rng = random.Random(n)
+    prose = "".join(rng.choice(["internation", "al", "ización", "the", "que", "ing", "日本", "X", "e"]) for _ in range(n))
+    return ["=" * n, "a" * n, prose[: 2 * n], "".join(rng.choice("ABCdefgh0123+/=") for _ in range(n)), "".join(rng.choice(["-", "--", "=", "ab", "\n"]) for _ in range(n))]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5, 1.0])
+def test_long_segments_are_cut_and_merged_as_a_whole(pieces, monkeypatch, rate):
+    v, _ = pieces
+    whole = int(rate * 2**64) if rate < 1 else 2**64 - 1
+    for n, key in itertools.product((70, 150), (1, 2**63 + 12345)):
+        words = long_words(n)
+        want = []
+        for word in words:
+            ids, _ = md.symbols(v, np.frombuffer(word.encode(), np.uint8))
+            want.append(plain_merges(v, ids.tolist(), key, whole))
+            assert md.merge_agenda(v, ids.tolist(), key, whole) == want[-1]
+            for waits in (0, 10**6):
+                monkeypatch.setattr(md, "WAITS", waits)
+                assert md.merge_by_rank(v, ids, np.array([len(ids)]), np.array([key], np.uint64), np.array([0]), whole)[0].tolist() == want[-1]
+        data, offsets = packed(words)
+        pool, where, counts, _ = md._merged(v, data, offsets[:-1], offsets[1:], np.full(len(words), key, np.uint64), whole)
+        assert [pool[a : a + c].tolist() for a, c in zip(where, counts, strict=True)] == want
+
+
+def test_prose_without_spaces_is_cut(pieces):
+    """Nearly all of it is merged in short parts, so that its cost grows with its length."""
+    v, _ = pieces
+    data = np.frombuffer(long_words(5000)[2].encode(), np.uint8)
+    ids, place = md.symbols(v, data)
+    _, _, size = md._parts(v, data, place, np.array([0, len(ids)]), np.array([len(ids)]), np.array([0, len(data)]))
+    assert size.sum() == len(ids) and size[size > md.WIDE].sum() < len(ids) / 4
 
 
 def test_dropout_of_each_occurrence(spark):
@@ -303,10 +361,10 @@ def test_shared_merging_is_each_occurrences_own(pieces, monkeypatch):
     rng = random.Random(8)
     texts = [*TEXTS, *(" ".join(rng.choice(["the", "internationalization", "ciónmenteas", "a" * 70, "x", "日本語", ""]) for _ in range(40)) for _ in range(30))]
     for rate in (0.02, 0.1, 0.6):
-        got = md.encode_chunk(v, *packed(texts), np.arange(len(texts)), rate, 7, True, None)
+        got = md.encode_chunk(v, *packed(texts), np.arange(len(texts)), rate, 7)
         with monkeypatch.context() as m:
             m.setattr(md, "_skips", lambda which, *_: np.ones(len(which), bool))
-            alone = md.encode_chunk(v, *packed(texts), np.arange(len(texts)), rate, 7, True, None)
+            alone = md.encode_chunk(v, *packed(texts), np.arange(len(texts)), rate, 7)
         assert all(a.tolist() == b.tolist() for a, b in zip(got, alone, strict=True))
 
 
