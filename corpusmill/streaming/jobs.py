@@ -4,10 +4,12 @@ Each function takes a streaming (or plain) DataFrame, so that a test can hold a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import lifecycle as L
@@ -49,11 +51,6 @@ def token_events(answers: DataFrame, size: int = 8) -> DataFrame:
     return rows.unionByName(done)
 
 
-def running_counters(changes: DataFrame) -> DataFrame:
-    """Counters kept from +1 and -1 changes; complete output mode."""
-    return changes.groupBy("key").agg(F.greatest(F.lit(0), F.sum("delta")).cast("long").alias("n"), F.max("ts").alias("touched_at"))
-
-
 def last_seen(events: DataFrame, ttl_seconds: int = 300) -> DataFrame:
     """A keyed cache with a time to live: the last value of each user and whether it came while the one before was alive."""
 
@@ -81,6 +78,18 @@ def work(spark: SparkSession, jobs: DataFrame, done: L.SnapshotTable, stage: Cal
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """A time guard: after so many seconds the batch at hand is let finish and the query ends; what is left waits for the next
+    start. Returns whether the query had ended by itself."""
+    end = time.monotonic() + seconds
+    while query.isActive:
+        if time.monotonic() >= end and not query.status["isTriggerActive"]:
+            query.stop()
+            return False
+        query.awaitTermination(0.2)
+    return True
+
+
 def failed_share(rows: DataFrame, ok: Column, most: float = 0.3) -> DataFrame:
     """Documents whose share of bad rows is above `most`, with the counts."""
     counted = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("bad"))

@@ -129,3 +129,13 @@ def test_parameters_reach_the_scan(spark, tmp_path):
     tables.register(spark, paths=spark.read.parquet(str(tmp_path / "paths")))
     plan = spark.sql("SELECT * FROM get_active_path(7)")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(conversation_id,7)" in plan
+
+
+def test_time_guard(spark, tmp_path):
+    """A worker that would wait for ever ends between batches; the next start goes on from there."""
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    start = lambda **t: spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(**t).start()
+    assert J.run_for(start(processingTime="200 milliseconds"), 6) is False
+    spark.range(5, 8).write.mode("append").parquet(str(tmp_path / "in"))
+    assert J.run_for(start(availableNow=True), 60) is True
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(8))
