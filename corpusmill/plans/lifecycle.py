@@ -104,9 +104,11 @@ def sharded_paths(spark, d):
     return table(spark, d, "documents").select("doc_id", L.sharded_path(F.sha2("text", 256), "raw", "txt").alias("path"))
 
 
-@query("rate_limit_window", "SELECT event_id, place, place <= 1 AS allowed FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS place FROM events)")
+@query("rate_limit_window", "SELECT event_id, place, place <= 15 AS allowed FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS place FROM (SELECT event_id, user_id, TIMESTAMP '2024-01-01' + to_seconds(event_id * 7 % 180) AS ts FROM events))")
 def rate_limit_window(spark, d):
-    return J.rate_limited(events(spark, d).withColumn("ts", F.date_trunc("day", "ts")), 1).select("event_id", "place", "allowed")
+    """Events as requests within three minutes, fifteen a minute for each user."""
+    ts = F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, event_id * 7 % 180)")
+    return J.rate_limited(events(spark, d).withColumn("ts", ts)).select("event_id", "place", "allowed")
 
 
 @query("window_counts", "SELECT event_type, date_trunc('hour', ts)::VARCHAR AS hour, count(*) AS n FROM events GROUP BY 1, 2")

@@ -411,19 +411,22 @@ def _labels(spark, d):
 
 
 _SECTIONS = ["ECONOMY", "SMALL", "LARGE", "STANDARD", "PROMO", "MEDIUM"]
-_LABEL_SQL = """q AS (SELECT DISTINCT p_brand AS query_id FROM part),
-w AS (SELECT query_id, unnest(['small', 'widget']) AS word FROM q),
+_HINTS = ((["widget"], "PROMO"), (["bolt", "ring"], "STANDARD"))
+_LABEL_SQL = """q AS (SELECT p_brand AS query_id, max(p_name) AS text FROM part GROUP BY 1),
+h AS (SELECT query_id, text, CASE WHEN contains(text, 'bolt') OR contains(text, 'ring') THEN ['STANDARD', 'ECONOMY', 'SMALL', 'LARGE', 'PROMO', 'MEDIUM'] WHEN contains(text, 'widget') THEN ['PROMO', 'ECONOMY', 'SMALL', 'LARGE', 'STANDARD', 'MEDIUM']
+  ELSE ['ECONOMY', 'SMALL', 'LARGE', 'STANDARD', 'PROMO', 'MEDIUM'] END AS ord FROM q),
+w AS (SELECT query_id, unnest(list_filter(string_split(text, ' '), lambda x: length(x) >= 5)) AS word FROM q),
 n AS (SELECT query_id, name FROM (SELECT query_id, word, name, row_number() OVER (PARTITION BY query_id, word ORDER BY name) AS k FROM w JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(name), word)) WHERE k <= 3),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name) AS nn FROM (SELECT DISTINCT query_id, name FROM n)),
-l AS (SELECT query_id, p_partkey AS id, p_name AS name, p_type AS section, nn, list_position(['ECONOMY', 'SMALL', 'LARGE', 'STANDARD', 'PROMO', 'MEDIUM'], p_type) AS pos FROM part JOIN o ON name = p_name WHERE nn <= 3),
+l AS (SELECT query_id, p_partkey AS id, p_name AS name, p_type AS section, nn, list_position(ord, p_type) AS pos FROM part JOIN o ON name = p_name JOIN h USING (query_id) WHERE nn <= 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY pos, id) AS r FROM l WHERE pos BETWEEN 1 AND 5)"""
 
 
 @query("label_direct_lookup", f"WITH {_LABEL_SQL} SELECT query_id, id, name, section, row_number() OVER (PARTITION BY query_id ORDER BY nn, pos, id) AS rank FROM r WHERE r <= 4")
 def label_direct_lookup(spark, d):
-    """Brands as questions, part names as labels, part types as sections."""
-    questions = table(spark, d, "part").select(F.col("p_brand").alias("query_id"), F.lit("small widget, of x").alias("text")).distinct()
-    return Lb.direct_lookup(questions, _labels(spark, d), sections=_SECTIONS, hints=((["no such word"], "ECONOMY"),))
+    """Brands ask after a part by its name, part names are labels, part types their sections; some names hint at a section."""
+    questions = table(spark, d, "part").groupBy(F.col("p_brand").alias("query_id")).agg(F.max("p_name").alias("text"))
+    return Lb.direct_lookup(questions, _labels(spark, d), sections=_SECTIONS, hints=_HINTS)
 
 
 @query("label_augment", r"""WITH f AS (SELECT p_brand AS query_id, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, p_name AS content FROM part WHERE p_type = 'ECONOMY'),
