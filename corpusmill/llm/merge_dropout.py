@@ -40,6 +40,39 @@ _ALL = 2**64 - 1
 U = np.uint64
 
 
+class Pairs:
+    """Numbers of pairs of ids: open addressing, a pair (40 bits) and its number (24 bits) in one word, so that a look is one."""
+
+    EMPTY = U(2**64 - 1)
+
+    def __init__(self, pairs: np.ndarray):
+        self.bits = max(4, int(2 * len(pairs) + 1).bit_length())
+        self.table = np.full(1 << self.bits, self.EMPTY, U)
+        for number, pair in enumerate(pairs.tolist()):
+            slot = int(pair * int(tv.GOLDEN) & _ALL) >> (64 - self.bits)
+            while self.table[slot] != self.EMPTY:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.table[slot] = U(pair << 24 | number)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pairs are in the table, their numbers)."""
+        pairs = (left << 20 | right).view(U)
+        slot = ((pairs * tv.GOLDEN) >> U(64 - self.bits)).view(np.int64)
+        word = self.table[slot]
+        hit = word >> U(24) == pairs
+        more = np.flatnonzero(~hit & (word != self.EMPTY))
+        slot = slot[more]
+        while len(more):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            word[more] = self.table[slot]
+            again = word[more] >> U(24) == pairs[more]
+            hit[more[again]] = True
+            go = ~again & (word[more] != self.EMPTY)
+            more, slot = more[go], slot[go]
+        found = np.flatnonzero(hit)
+        return found, (word[found] & U(0xFFFFFF)).view(np.int64)
+
+
 class Vocabulary:
     """A model's pieces, and its merges: (left id, right id) to (rank, id)."""
 
@@ -63,7 +96,7 @@ class Vocabulary:
         rank = np.unique(-scores, return_inverse=True)[1]
         self.merges = {(ids[p[:k]], ids[p[k:]]): (int(rank[i]), i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
         pairs = np.array([a << 20 | b for a, b in self.merges], U)
-        self.find = tv.Lookup(pairs)
+        self.find = Pairs(pairs).find
         self.rank, self.merged = (np.array(x, np.int32) for x in zip(*self.merges.values(), strict=True))
         single = {p.encode(): i for p, i in ids.items() if len(p) == 1 and p != SPACE}
         self.chars = tv.Lookup(np.array([int.from_bytes(c, "big") + (len(c) << 40) for c in single], U))
@@ -108,50 +141,50 @@ def merge_rounds(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.nda
     """All parts of up to WIDE symbols at once. ids: n x width; sizes, keys and where the part begins in its segment by row. The
     final ids, one after another, and their number by row. seen: takes the candidates, as arrays of rows and three columns."""
     n, width = ids.shape
-    col = np.arange(width)
-    nxt = np.broadcast_to(np.minimum(col + 1, width), (n, width)).astype(np.int16).copy()
-    prv = np.broadcast_to(col - 1, (n, width)).astype(np.int16).copy()
-    end = nxt.copy()  # where the symbol that begins here ends
-    nxt[nxt >= sizes[:, None]] = width
-    alive = col < sizes[:, None]
-    best, into = np.full((n, width), NEVER), np.zeros((n, width), np.int32)
-
-    def ask(r, c):
-        """Ranks of the candidates that begin at column c of row r."""
-        right = nxt[r, c].astype(np.int64)
-        ok = right < width
-        r, c, right = r[ok], c[ok], right[ok]
-        at = v.find.find((ids[r, c].astype(U) << U(20)) | ids[r, right].astype(U))
-        found = at >= 0
-        r, c, right, at = r[found], c[found], right[found], at[found]
+    # A symbol is a place in the whole grid; next and previous ones are places too, or -1.
+    col = np.tile(np.arange(width), n)
+    ids, alive = ids.ravel().astype(np.int64), col < np.repeat(sizes, width)
+    place = np.arange(n * width)
+    nxt, prv = np.where(col + 1 < np.repeat(sizes, width), place + 1, -1), np.where(col > 0, place - 1, -1)
+    end = col + 1  # where the symbol that begins here ends
+    best, into = np.full(n * width, NEVER), np.zeros(n * width, np.int32)
+    grid = best.reshape(n, width)
+
+    def ask(p):
+        """Ranks of the candidates that begin at places p."""
+        right = nxt[p]
+        ok = right >= 0
+        p, right = p[ok], right[ok]
+        found, at = v.find(ids[p], ids[right])
+        p, right = p[found], right[found]
+        if rate or seen is not None:
+            row, a, b, c = p // width, col[p], col[right], end[right]
         if seen is not None:
-            seen.append((r, c, right, end[r, right]))
+            seen.append((row, a, b, c))
         if rate:
-            go = ~_skipped(keys[r], off[r] + c, off[r] + right, off[r] + end[r, right], rate)
-            r, c, at = r[go], c[go], at[go]
-        best[r, c], into[r, c] = v.rank[at], v.merged[at]
+            go = ~_skipped(keys[row], off[row] + a, off[row] + b, off[row] + c, rate)
+            p, at = p[go], at[go]
+        best[p], into[p] = v.rank[at], v.merged[at]
 
-    r, c = np.nonzero(alive)
-    ask(r, c)
+    ask(np.flatnonzero(alive))
     rows = np.arange(n)
     while len(rows):
-        c = best[rows].argmin(axis=1)
-        go = best[rows, c] != NEVER
-        rows, c = rows[go], c[go]
+        p = rows * width + grid[rows].argmin(axis=1)
+        go = best[p] != NEVER
+        rows, p = rows[go], p[go]
         if not len(rows):
             break
-        right = nxt[rows, c].astype(np.int64)
-        ids[rows, c] = into[rows, c]
-        alive[rows, right], best[rows, right], best[rows, c] = False, NEVER, NEVER
-        after = nxt[rows, right].astype(np.int64)
-        nxt[rows, c], end[rows, c] = after, end[rows, right]
-        inner = after < width
-        prv[rows[inner], after[inner]] = c[inner]
-        before = prv[rows, c].astype(np.int64)
-        has = before >= 0
-        best[rows[has], before[has]] = NEVER
-        ask(np.concatenate([rows, rows[has]]), np.concatenate([c, before[has]]))
-    return ids[alive], alive.sum(axis=1)
+        right = nxt[p]
+        after = nxt[right]
+        ids[p], end[p], nxt[p] = into[p], end[right], after
+        alive[right], best[right], best[p] = False, NEVER, NEVER
+        inner = after >= 0
+        prv[after[inner]] = p[inner]
+        before = prv[p]
+        before = before[before >= 0]
+        best[before] = NEVER
+        ask(np.concatenate([p, before]))
+    return ids[alive].astype(np.int32), alive.reshape(n, width).sum(axis=1)
 
 
 def _mixed(x: int) -> int:
@@ -198,24 +231,26 @@ def merge_by_rank(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.nd
     merges to its right; in such a part the merges up to that one are done, and the others wait until their rank comes up again. A
     part that waits more than WAITS times, as a long run of one sign does, is merged by an agenda."""
     n, given, waits, whole = len(ids), {}, np.zeros(len(sizes), np.int64), ids
-    ids, which = ids.astype(np.int32), np.repeat(np.arange(len(sizes)), sizes)
+    ids, which = ids.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
     first = np.cumsum(sizes) - sizes
     place = np.arange(n) - first[which] + off[which]
     nxt, prv, end, key = np.arange(1, n + 1), np.arange(-1, n - 1), place + 1, keys[which]
     nxt[(first + sizes - 1)[sizes > 0]] = -1
     prv[first[sizes > 0]] = -1
     alive, marked = np.ones(n, bool), np.zeros(n, bool)
-    rank, into = np.full(n, NEVER), np.zeros(n, np.int32)
+    rank, into = np.full(n, NEVER), np.zeros(n, np.int64)
     waiting: dict[int, list[np.ndarray]] = {}
     ranks: list[int] = []
 
     def found(left, right, a, b, c, k):
         """(rank, piece) of the candidates of symbols left and right, at places a, b and c; NEVER for none."""
-        at = v.find.find((left.astype(U) << U(20)) | right.astype(U))
-        ok = at >= 0
+        ranks, pieces = np.full(len(left), NEVER), np.zeros(len(left), np.int64)
+        where, at = v.find(left, right)
         if rate:
-            ok[ok] = ~_skipped(k[ok], a[ok], b[ok], c[ok], rate)
-        return np.where(ok, v.rank[np.maximum(at, 0)], NEVER), np.where(ok, v.merged[np.maximum(at, 0)], 0)
+            go = ~_skipped(k[where], a[where], b[where], c[where], rate)
+            where, at = where[go], at[go]
+        ranks[where], pieces[where] = v.rank[at], v.merged[at]
+        return ranks, pieces
 
     def wait(r: int, at: np.ndarray) -> None:
         if r not in waiting:
@@ -282,7 +317,7 @@ def merge_by_rank(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, keys: np.nd
         ask(np.unique(np.concatenate([c, before[before >= 0]])))
     counts = np.bincount(which[alive], minlength=len(sizes))
     if not given:
-        return ids[alive], counts
+        return ids[alive].astype(np.int32), counts
     lists = np.split(ids[alive], np.cumsum(counts)[:-1])
     lists = [np.array(given.get(part, own), np.int32) for part, own in enumerate(lists)]
     return np.concatenate(lists), np.array([len(x) for x in lists])
