@@ -6,7 +6,8 @@ named users; system turns stay system turns. The loss mask covers what the assis
 A dialogue is rendered in parts of PART turns, so that no row and no task grows with a dialogue: row number part holds turns
 part * PART up to the next part, char_start is where its text begins in the whole rendering, and mask_spans are [start, end)
 in characters of the whole rendering. Dialogues of up to PART turns are one row for each participant. Turn numbers and
-character offsets come from prefix sums in two levels (counts of blocks, then rows in a block).
+character offsets come from prefix sums in two levels (counts of blocks, then rows in a block). What is put in order in one task is
+a block: the turns of 64 turn numbers of a dialogue, or its turns without a number.
 
 Defined cases: turns are ordered by turn, speaker and text, null turns last; repeated rows are turns of their own; null
 text is empty text; a null or empty speaker is a user named UNKNOWN, not a participant; rows with a null conversation id

@@ -76,6 +76,8 @@ def text_runs(data: np.ndarray, offsets: np.ndarray, length: int):
     K, U = gram_of(length), np.uint64
     at = offsets - offsets[0]
     n, w = len(data), length - gram_of(length) + 1
+    if n >> 28 or w >> _FIELD:  # places and distances have so many bits
+        raise ValueError("a text has less than 256 MB, a length less than 32,768 windows")
     if n < length:
         return (np.zeros(0, np.int64),) * 5
     up, down = tv._POWERS.upto(n + 1)
