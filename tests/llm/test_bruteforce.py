@@ -569,3 +569,8 @@ def test_hot_host_is_split(spark):
         host_rules.sized = weighed
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_lengths_beyond_the_fields_are_refused():
+    with pytest.raises(ValueError):
+        suffix_dedup.text_runs(np.zeros(100, np.uint8), np.array([0, 100]), 200_000)
