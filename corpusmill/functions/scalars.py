@@ -23,6 +23,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, "\\s+"), lambda w: w != "")
 
 
+def trimmed(texts: Column) -> Column:
+    """An array's texts without spaces around them. F.trim itself takes what to trim as a second argument, so F.transform would hand
+    it each text's place and '10' would lose its 0."""
+    return F.transform(texts, lambda t: F.trim(t))
+
+
 def word_count(c: Column) -> Column:
     return F.size(words(c))
 

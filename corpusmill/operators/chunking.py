@@ -80,7 +80,7 @@ def paragraph_chunks(text: Column, most: int = 600, target: int = 400, overlap:
 
 def char_chunks(text: Column, most: int = 3200, overlap: int = 400) -> Column:
     """Paragraphs packed by characters; one that is too long is cut hard with overlap."""
-    paragraphs = F.filter(F.transform(F.split(text, "\\n{2,}"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(S.trimmed(F.split(text, "\\n{2,}")), lambda p: p != "")
     hard = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(most - overlap)), lambda i: F.substring(p, i, F.lit(most)))
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > most, hard(p)).otherwise(F.array(p))))
     return packed(pieces, lambda p: F.length(p) + 1, most + 1, 0, "\n\n")

@@ -60,7 +60,7 @@ def latency(results: DataFrame, key: list[str], value: str, percents=(50, 95)) -
 
 
 def numbers_of(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)), F.trim), lambda x: x != "")
+    return F.filter(S.trimmed(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))), lambda x: x != "")
 
 
 def numeric_recall(answer: Column, truth: Column) -> Column:
