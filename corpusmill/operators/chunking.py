@@ -72,7 +72,7 @@ def paragraph_chunks(text: Column, most: int = 600, target: int = 400, overlap:
     """Paragraphs packed to target. One longer than most is packed by sentences of its own, a sentence longer than most is cut in
     windows of words; a paragraph that begins with [TABLE] is never cut. The overlap is the last whole paragraphs that fit, and
     size any measure (words here; a tokenizer's count where one is plugged in)."""
-    paragraphs = F.filter(F.transform(F.split(text, split), F.trim), lambda p: p != "")
+    paragraphs = F.filter(S.trimmed(F.split(text, split)), lambda p: p != "")
     hard = lambda p: F.flatten(F.transform(packed(sentences(p), size, most), lambda s: F.when(size(s) > most, windows(S.words(s), most, most)).otherwise(F.array(s))))
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when((size(p) > most) & ~F.startswith(p, F.lit("[TABLE]")), hard(p)).otherwise(F.array(p))))
     return packed(pieces, size, target, overlap, "\n\n")
