@@ -18,6 +18,13 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
+def capitalised(c: Column) -> Column:
+    """A word with its first letter in upper case and the rest in lower case. A letter that has no single one, as a German sharp s,
+    stays; F.initcap would begin the word with two letters."""
+    first = F.substring(c, 1, 1)
+    return F.concat(F.when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(first), F.lower(F.substring(c, 2, 1 << 30)))
+
+
 def words(c: Column) -> Column:
     """Words between white space; none for empty text."""
     return F.filter(F.split(c, "\\s+"), lambda w: w != "")

@@ -342,7 +342,7 @@ SELECT doc_id, ends_with(trim(s, ' '), '?') AND len(list_filter(string_split_reg
 def suggestion_grounding(spark, d):
     """Suggestions from each text's first word, half of them with its letters turned round, some too short, some about doses."""
     k, first = F.col("doc_id"), F.coalesce(F.try_element_at(S.words(F.col("text")), F.lit(1)), F.lit(""))
-    word = F.initcap(F.when(k % 2 == 0, first).otherwise(F.reverse(first)))
+    word = S.capitalised(F.when(k % 2 == 0, first).otherwise(F.reverse(first)))
     s = F.concat(F.when(k % 5 == 0, "Is ").otherwise("What about the "), word, F.when(k % 3 == 0, " dose").otherwise(" of this"), F.when(k % 7 == 0, " one.").otherwise(" one?"))
     return docs(spark, d).select("doc_id", X.grounded(s, F.col("text")).alias("grounded"))
 
