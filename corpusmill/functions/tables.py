@@ -2,6 +2,8 @@
 
 register() makes the tables that a caller names into temporary views and the functions over them. A function's body is part of the
 query that calls it, so filters on its parameters reach the scans, and a LATERAL call over a table of parameters is a join.
+match_documents() scores one vector against all, in expressions; for a table of vectors, mill_likeness are the pairs that
+vectors.reaching() finds in blocks, and match_each() gives those above a floor of its own, which the view's must not pass.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ VIEWS = {
     "mill_messages": "id conversation_id parent_id created_at",
     "mill_paths": "id conversation_id depth",
     "mill_vectors": "id embedding",
+    "mill_likeness": "query_id id cosine",
 }
 _AUTHOR = "CASE WHEN {0}.is_anonymous THEN 'Anonymous Physician' ELSE u.display_name END"
 _DOT = "aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * y), 0.0D, (a, x) -> a + x)"
@@ -49,6 +52,7 @@ FUNCTIONS = {
         WHERE m.id = p_message GROUP BY s.id""",
     "get_active_path(p_conversation BIGINT) RETURNS TABLE(id BIGINT, depth BIGINT)": "SELECT p.id, CAST(p.depth AS BIGINT) FROM mill_paths p WHERE p.conversation_id = p_conversation",
     "match_documents(p_query ARRAY<DOUBLE>, p_floor DOUBLE) RETURNS TABLE(id BIGINT, similarity DOUBLE)": f"SELECT v.id, round({_COSINE}, 6) FROM mill_vectors v WHERE {_COSINE} >= p_floor",
+    "match_each(p_floor DOUBLE) RETURNS TABLE(query_id BIGINT, id BIGINT, similarity DOUBLE)": "SELECT v.query_id, v.id, round(v.cosine, 6) FROM mill_likeness v WHERE v.cosine >= p_floor",
 }
 
 

