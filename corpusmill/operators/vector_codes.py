@@ -23,6 +23,9 @@ from .vectors import BLOCK, CHUNK_BYTES, _rows, top_k
 
 #: Over what rounding to digits and floating point can move a score.
 SLACK = 2e-6
+#: Pairs whose bounds a task works out at once, and those that it holds.
+CELLS = 1 << 20
+HELD = 1 << 22
 _CODED = "dim int, ids binary, codes binary, factors binary, errors binary"
 
 
@@ -80,29 +83,40 @@ def _ruled_in(k: int):
 
     def run(batches):
         held: dict[bytes, tuple] = {}
+        floors: dict[bytes, np.ndarray] = {}  # of each query the best k-th lower bound so far, of rows that have been given on too
 
-        def kept(query, ids, low, high):
+        def kept(floor, query, ids, low, high):
             order = np.lexsort((-low, query))
             query, ids, low, high = query[order], ids[order], low[order], high[order]
-            first = np.searchsorted(query, query)
-            last = np.searchsorted(query, query, side="right")
-            least = np.where(last - first >= k, low[np.minimum(first + k - 1, len(low) - 1)], -np.inf)
-            keep = high >= least - SLACK
+            first, last = (np.searchsorted(query, np.arange(len(floor)), side=s) for s in ("left", "right"))
+            many = last - first >= k
+            floor[many] = np.maximum(floor[many], low[first[many] + k - 1])
+            keep = high >= floor[query] - SLACK
             return query[keep], ids[keep], low[keep], high[keep]
 
+        def rows():
+            for asked, (query, ids, low, high) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(asked, np.int64)[query]), pa.array(ids), pa.array(low), pa.array(high)], ["query_id", "id", "low", "high"])
+            held.clear()
+
         for batch in batches:
-            for row in batch.to_pylist():
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
                 ids = np.frombuffer(row["ids"], np.int64)
                 floats = {c: np.frombuffer(row[c]) for c in ("factors", "errors", "qfactors", "qerrors")}
-                low, high = _bounds(row["qdim"], row["qcodes"], floats["qfactors"], floats["qerrors"], row["dim"], row["codes"], floats["factors"], floats["errors"])
-                least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
-                query, column = np.nonzero(high >= least - SLACK)
-                found = query, ids[column], low[query, column], high[query, column]
-                if row["qids"] in held:
-                    found = tuple(np.concatenate(p) for p in zip(held[row["qids"]], found, strict=True))
-                held[row["qids"]] = kept(*found)
-        for asked, (query, ids, low, high) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(asked, np.int64)[query]), pa.array(ids), pa.array(low), pa.array(high)], ["query_id", "id", "low", "high"])
+                found = [held[row["qids"]]] if row["qids"] in held else []
+                floor = floors.setdefault(row["qids"], np.full(len(floats["qfactors"]), -np.inf))
+                few = max(1, CELLS // len(ids))
+                for a in range(0, len(floats["qfactors"]), few):  # a chunk holds many codes: some queries at a time
+                    b = slice(a, a + few)
+                    low, high = _bounds(row["qdim"], row["qcodes"][a * row["qdim"] : (a + few) * row["qdim"]], floats["qfactors"][b], floats["qerrors"][b], row["dim"], row["codes"], floats["factors"], floats["errors"])
+                    least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+                    query, column = np.nonzero(high >= np.maximum(least, floor[b, None]) - SLACK)
+                    found.append((query + a, ids[column], low[query, column], high[query, column]))
+                held[row["qids"]] = kept(floor, *map(np.concatenate, zip(*found, strict=True)))
+                if sum(len(x[0]) for x in held.values()) > HELD:
+                    yield from rows()
+        yield from rows()
 
     return run
 
