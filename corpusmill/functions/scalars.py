@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -102,10 +103,26 @@ def mapped(c: Column, table: dict[str, str], default: Column | None = None) -> C
     return F.coalesce(found, default) if default is not None else found
 
 
+def needle(pattern: str) -> str | None:
+    """The longest lower-case text that every match of a pattern has, in any case; None where none is seen."""
+    if not pattern.isascii() and pattern != pattern.lower():
+        return None
+    rest = re.sub(r"\(\?:[^()]*\)[+*?]?|\[[^\]]*\][+*?]?|\\.[+*?]?|[^\\][*?]|[.+]", "\0", pattern.removeprefix("(?i)"))
+    found = max(rest.split("\0"), key=len).lower()
+    return found if found and not re.search(r"[()\[\]{}|^$\\]", rest) else None
+
+
+def found(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern is found in text, whose lower-case form is low: held against the pattern only where it has its needle, as
+    looking for a text takes a small part of the time."""
+    own = needle(pattern)
+    return F.contains(low, F.lit(own)) & text.rlike(pattern) if own else text.rlike(pattern)
+
+
 def tags(text: Column, patterns: dict[str, list[str]]) -> Column:
     """Names whose patterns are found, in the table's order."""
-    hits = [F.when(reduce(lambda a, b: a | b, [text.rlike(p) for p in ps]), F.lit(name)) for name, ps in patterns.items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    hits = lambda t, low: F.array(*[F.when(reduce(lambda a, b: a | b, [found(t, low, p) for p in ps]), F.lit(name)) for name, ps in patterns.items()])
+    return F.filter(let(text, lambda t: let(F.lower(t), lambda low: hits(t, low))), lambda x: x.isNotNull())
 
 
 def citation_marks(c: Column) -> Column:
