@@ -41,7 +41,9 @@ def grade(symbol: Column) -> Column:
 
 
 def has_dosage(content: Column) -> Column:
-    return content.rlike("(?i)(" + "|".join(V.DOSAGE) + ")")
+    needles = [S.needle(p) for p in V.DOSAGE]
+    seen = S.let(F.lower(content), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) if n else F.lit(True) for n in needles]))
+    return seen & content.rlike("(?i)(" + "|".join(V.DOSAGE) + ")")
 
 
 def drug_tags(content: Column) -> Column:
@@ -58,17 +60,19 @@ def evidence(content: Column) -> Column:
 
 
 def segment_type(content: Column, at_recommendation: Column) -> Column:
-    t = F.lower(content)
-    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
-    signals = reduce(lambda a, b: a + b, [content.rlike(p).cast("int") for p in V.REASONS])
-    return (
-        F.when(at_recommendation & content.rlike(V.RECOMMENDATION), "recommendation")
-        .when(content.rlike(V.DOSES) & has("dose", "dosage", "dosing", "mg/kg", "per kg"), "drug_dosing")
-        .when(has("monitor", "surveillance", "follow-up", "follow up"), "monitoring")
-        .when(has("defined as", "criterion", "criteria", "classified as"), "definition_criteria")
-        .when(signals >= 2, "rationale")
-        .otherwise("background")
-    )
+    def of(t):
+        has = lambda *words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+        signals = reduce(lambda a, b: a + b, [S.found(content, t, p).cast("int") for p in V.REASONS])
+        return (
+            F.when(at_recommendation & content.rlike(V.RECOMMENDATION), "recommendation")
+            .when(has("dose", "dosage", "dosing", "mg/kg", "per kg") & content.rlike(V.DOSES), "drug_dosing")
+            .when(has("monitor", "surveillance", "follow-up", "follow up"), "monitoring")
+            .when(has("defined as", "criterion", "criteria", "classified as"), "definition_criteria")
+            .when(signals >= 2, "rationale")
+            .otherwise("background")
+        )
+
+    return S.let(F.lower(content), of)
 
 
 def population_tags(content: Column) -> Column:

@@ -105,11 +105,14 @@ def sections(text: Column, title: Column, least: int = 60) -> Column:
     capital = cut(V.CAPITAL_HEADING, f"{MARK}$1\u0002")
     numbered = cut(V.NUMBERED_HEADING, f"{MARK}$1\u0002")
     long_enough = lambda a: F.filter(a, lambda x: S.word_count(x["text"]) >= least)
-    one = F.transform(marked, lambda p: part(F.trim(F.get(p, F.lit(1))), F.length(F.get(p, F.lit(0))), "markdown_heading", F.get(p, F.lit(2))))
-    two = long_enough(F.transform(capital, lambda p: part(S.title_case(F.trim(F.get(p, F.lit(0)))), F.lit(1), "caps_heading", F.get(p, F.lit(1)))))
-    three = long_enough(F.transform(numbered, lambda p: part(F.trim(F.get(p, F.lit(0))), F.lit(1), "numbered_heading", F.get(p, F.lit(1)))))
+    one = lambda m: F.transform(m, lambda p: part(F.trim(F.get(p, F.lit(1))), F.length(F.get(p, F.lit(0))), "markdown_heading", F.get(p, F.lit(2))))
+    two = lambda m: long_enough(F.transform(m, lambda p: part(S.title_case(F.trim(F.get(p, F.lit(0)))), F.lit(1), "caps_heading", F.get(p, F.lit(1)))))
+    three = lambda m: long_enough(F.transform(m, lambda p: part(F.trim(F.get(p, F.lit(0))), F.lit(1), "numbered_heading", F.get(p, F.lit(1)))))
     whole = F.array(part(title, F.lit(1), "sliding_window", text))
-    return F.when(F.size(marked) >= 3, one).when((F.size(capital) >= 3) & (F.size(two) > 0), two).when((F.size(numbered) >= 3) & (F.size(three) > 0), three).otherwise(whole)
+    filled = lambda found, rest: S.let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(rest))
+    by_number = S.let(numbered, lambda m: F.when(F.size(m) >= 3, filled(three(m), whole)).otherwise(whole))
+    by_capitals = S.let(capital, lambda m: F.when(F.size(m) >= 3, filled(two(m), by_number)).otherwise(by_number))
+    return S.let(marked, lambda m: F.when(F.size(m) >= 3, one(m)).otherwise(by_capitals))
 
 
 def breadcrumbs(headings: DataFrame, levels: int = 6) -> DataFrame:
