@@ -166,7 +166,7 @@ def xml_metadata(articles: DataFrame, key: str, body: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(k, m) for k, x in zip(batch.column(key).to_pylist(), batch.column("body").to_pylist(), strict=True) if (m := article_metadata(x))]
+            rows = [(k, m) for k, x in zip(batch.column(key).to_pylist(), (x.as_py() for x in batch.column("body")), strict=True) if (m := article_metadata(x))]
             columns = [pa.array([k for k, _ in rows], batch.schema.field(key).type), *[pa.array([m[c] for _, m in rows], pa.string()) for c in texts]]
             columns += [pa.array([m[c] for _, m in rows], pa.list_(pa.string())) for c in ("pub_types", "keywords")]
             yield pa.RecordBatch.from_arrays(columns, [key, *texts, "pub_types", "keywords"])
@@ -174,12 +174,31 @@ def xml_metadata(articles: DataFrame, key: str, body: str) -> DataFrame:
     return articles.select(key, F.col(body).alias("body")).mapInArrow(run, f"{key} {kind}, {', '.join(f'{c} string' for c in texts)}, pub_types array<string>, keywords array<string>")
 
 
+#: Characters of sections that a task holds as Python's texts.
+HELD = 1 << 20
+
+
 def _rows(parse, key: str):
+    """Pages one by one; their sections leave HELD characters at a time, so that a batch of many or long pages is not held twice."""
+
     def run(batches):
         for batch in batches:
-            out = [(k, i, *s) for k, page in zip(batch.column(key).to_pylist(), batch.column("body").to_pylist(), strict=True) for i, s in enumerate(parse(page))]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(key).type, pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], [key, "seq", "level", "heading", "text"])
+            kinds = (batch.schema.field(key).type, pa.int32(), pa.int32(), pa.string(), pa.string())
+            out, size = [], 0
+
+            def rows():
+                columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "seq", "level", "heading", "text"])
+
+            for k, page in zip(batch.column(key), batch.column("body"), strict=True):
+                k = k.as_py()
+                for i, s in enumerate(parse(page.as_py())):
+                    out.append((k, i, *s))
+                    size += len(s[-1])
+                    if size >= HELD:
+                        yield rows()
+                        out, size = [], 0
+            yield rows()
 
     return run
 

@@ -66,3 +66,16 @@ def test_followed_links_and_failures(spark, tmp_path):
     assert get.asked.count("http://nowhere.org/") == MOST_FAILURES
     assert crawl.state.read().where(F.col("url") == "http://nowhere.org/").first()["failures"] == MOST_FAILURES
     assert Crawl(spark, str(tmp_path / "t"), get).run(seeds.limit(0), 1).collect() == []
+
+
+def test_sections_leave_a_task_in_parts(monkeypatch):
+    """A batch of many pages leaves in parts of HELD characters, with all of its sections in order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(H, "HELD", 500, raising=False)
+    page = lambda i: f"<article><abstract><p>a{i}</p></abstract><body><sec><title>t</title><p>{'w ' * i}</p></sec></body></article>"
+    batch = pa.RecordBatch.from_pydict({"k": list(range(100)), "body": [None if i == 7 else page(i) for i in range(100)]})
+    parts = list(H._rows(H.article_of, "k")([batch]))
+    assert len(parts) > 10 and all(sum(map(len, p.column("text").to_pylist())) < 500 + 200 for p in parts)
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert rows == [(i, n, *s) for i in range(100) for n, s in enumerate(H.article_of(page(i) if i != 7 else None))]
