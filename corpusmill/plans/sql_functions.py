@@ -12,7 +12,7 @@ from .retrieval import COS
 
 
 def _social(spark, d):
-    T.register(spark, posts=B.posts(spark, d), profiles=B.profiles(spark, d), likes=B.likes_of(spark, d), follows=B.follows_of(spark, d), comments=B.comments(spark, d).distinct())
+    T.register(spark, posts=B.posts(spark, d), profiles=B.profiles(spark, d), likes=B.likes_of(spark, d), follows=B.follows_of(spark, d), comments=B.comments(spark, d))
 
 
 @query("sql_personalized_feed", ORACLES["feed_personalised"])
@@ -36,6 +36,8 @@ def sql_post_with_context(spark, d):
 
 @query("sql_comments_with_context", ORACLES["comments_with_context"])
 def sql_comments_with_context(spark, d):
+    """The comments of each post. Equal ones go at the end, where they meet by post: an aggregate over all comments as they are read
+    would hold a file's part of them in one task."""
     _social(spark, d)
     return spark.sql(f"SELECT DISTINCT f.* FROM (SELECT DISTINCT post_id FROM mill_comments) a, LATERAL get_comments_with_context(a.post_id, {So.VIEWER}) f")
 
