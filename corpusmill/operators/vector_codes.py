@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, small_batches
 from .quantiles import exact_quantile
 from .vectors import BLOCK, CHUNK_BYTES, _rows, top_k
 
@@ -131,7 +131,9 @@ def candidates(vectors: DataFrame, queries: DataFrame, k: int, *, quantile: floa
     asked = scratch.save(clean(queries, "query_id").mapInArrow(_pack(scale, BLOCK), _CODED), "asked").select(*[F.col(c).alias(f"q{c}") for c in ("dim", "ids", "codes", "factors", "errors")])
     left = codes.crossJoin(asked).mapInArrow(_ruled_in(k), "query_id long, id long, low double, high double")
     best = W.partitionBy("query_id").orderBy(F.desc("low"), "id")
-    ranked = scratch.save(left, "left").withColumn("place", F.row_number().over(best))
+    with small_batches(vectors.sparkSession):
+        left = scratch.save(left, "left")
+    ranked = left.withColumn("place", F.row_number().over(best))
     least = ranked.where(F.col("place") == k).select("query_id", F.col("low").alias("least"))
     return ranked.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("high") >= F.col("least") - SLACK)).select("query_id", "id", "low", "high")
 

@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..scratch import Scratch, kept
-from .vectors import BLOCK, CHUNK_BYTES, _rows, _scored, nearest, top_k
+from ..scratch import Scratch, kept, small_batches
+from .vectors import BLOCK, CHUNK_BYTES, SCORED, _rows, _scored, nearest, top_k
 
 #: Vectors that centroids are fitted to; most centroids; rounds of fitting.
 SAMPLE, MOST_LISTS, ROUNDS = 20_000, 4096, 8
@@ -149,7 +149,8 @@ class VectorIndex:
         packed = packed.select("list", *[F.col(c).alias(f"q{c}") for c in ("dim", "ids", "vectors")])
         none = F.lit(None).cast("binary")
         pairs = self.blocks.join(packed, "list").select("dim", "ids", none.alias("times"), "vectors", "qdim", "qids", none.alias("qtimes"), "qvectors")
-        return pairs.mapInArrow(_scored(k, None, digits, None), "query_id long, id long, score double")
+        with small_batches(queries.sparkSession):
+            return scratch.save(pairs.mapInArrow(_scored(k, None, digits, None), SCORED), "scored")
 
 
     def probes_for(self, vectors: DataFrame, queries: DataFrame, k: int, *, target: float = 0.95, sample: int = 200) -> int:
